@@ -21,10 +21,7 @@ def normalize(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """White-space separated words; empty text gives an empty array."""
-    flat = F.trim(F.regexp_replace(col, WHITESPACE, " "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(
-        F.split(flat, " ")
-    )
+    return F.array_remove(F.split(col, WHITESPACE), "")
 
 
 def word_count(col: Column) -> Column:

@@ -20,7 +20,6 @@ from assayline.functions.text import (
     gram_at,
     gram_starts,
     grams_of,
-    normalize,
     normalize_strict,
     word_spans,
     words,
@@ -34,10 +33,14 @@ def ngram_rows(
     ids: Sequence[str],
     text: str,
     n: int = QUESTION_NGRAM,
-    normalizer=normalize,
+    normalizer=F.lower,
     distinct: bool = True,
 ) -> DataFrame:
-    """One row ``(ids, ngram)`` per gram; repeats inside a text merge before explode."""
+    """One row ``(ids, ngram)`` per gram; repeats inside a text merge before explode.
+
+    Splitting into words drops all extra white space, so lower case is all the
+    normalization that is left to do.
+    """
     split = df.select(*ids, words(normalizer(F.col(text))).alias("_w"))
     grams = grams_of("_w", n)
     if distinct:
@@ -69,7 +72,7 @@ def contaminated_by(
         hits = rows.join(F.broadcast(protected), "ngram", "left_semi")
         return hits.select(*ids).distinct()
 
-    split = train.select(*ids, words(normalize(F.col(text))).alias("_w"))
+    split = train.select(*ids, words(F.lower(F.col(text))).alias("_w"))
     w = F.col("_w")
     hashes = F.transform(gram_starts(w, n), lambda i: F.xxhash64(gram_at(w, i, n)))
     coarse = split.select(*ids, F.explode(F.array_distinct(hashes)).alias("_g"))

@@ -513,12 +513,12 @@ def fewshot(
             )
         )
         return df.join(shots, id_col, "left").select(*df.columns, turns.alias("context"))
-    text = F.concat(
-        F.array_join(
-            F.transform("_shots", lambda s: F.concat(s["q"], F.lit(between), s["a"])),
-            delimiter,
+    labelled = F.transform(
+        "_shots",
+        lambda s: F.when(s["a"] == "", s["q"]).otherwise(
+            F.concat(s["q"], F.lit(between), s["a"], F.lit(delimiter))
         ),
-        F.lit(delimiter),
     )
+    text = F.array_join(labelled, "")
     joined = df.join(shots, id_col, "left")
     return joined.select(*df.columns, F.coalesce(text, F.lit("")).alias("context"))

@@ -30,7 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-MODULES = ["cleaning", "joining", "selection", "voting"]
+MODULES = [
+    "cleaning",
+    "joining",
+    "selection",
+    "voting",
+    "measures",
+    "transport",
+]
 
 
 def load_all() -> None:
