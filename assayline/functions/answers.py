@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from assayline import fixed_values as V
 from assayline.functions.math_text import is_int_text, normalize_math, strip_grouping_commas
-from assayline.functions.rewrite import trim_space
+from assayline.functions.rewrite import let, trim_space
 from assayline.functions.text import words
 
 STRINGS = T.ArrayType(T.StringType())
@@ -343,39 +343,53 @@ def answer_number(col: Column) -> Column:
 
 def answers_match(pred: Column, ref: Column) -> Column:
     """Equal after light cleaning, or equal numbers within 1e-6."""
-    p, r = simple_answer(pred), simple_answer(ref)
-    near = F.abs(answer_number(p) - answer_number(r)) < 1e-6
-    return (r != "") & ((p == r) | F.coalesce(near, F.lit(False)))
+
+    def same(pair: Column) -> Column:
+        p, r = pair["p"], pair["r"]
+        near = F.abs(answer_number(p) - answer_number(r)) < 1e-6
+        return (r != "") & ((p == r) | F.coalesce(near, F.lit(False)))
+
+    return let(F.struct(simple_answer(pred).alias("p"), simple_answer(ref).alias("r")), same)
 
 
 def tuple_parts(col: Column) -> Column:
     """Elements of a tuple or interval, else the text itself."""
-    flat = strip_grouping_commas(col)
-    inner = F.substring(flat, 2, F.greatest(F.length(flat) - 2, F.lit(0)))
-    is_tuple = flat.rlike(r"^[()\[\]].+[()\[\]]$") & ~inner.rlike(r"[()\[\]]")
-    parts = F.transform(F.split(inner, ","), trim_space)
-    empty = F.array().cast("array<string>")
-    return F.when(flat == "", empty).when(is_tuple, parts).otherwise(F.array(flat))
+
+    def parts(flat: Column) -> Column:
+        inner = F.substring(flat, F.lit(2), F.greatest(F.length(flat) - 2, F.lit(0)))
+        is_tuple = flat.rlike(r"^[()\[\]].+[()\[\]]$") & ~inner.rlike(r"[()\[\]]")
+        empty = F.array().cast("array<string>")
+        listed = F.transform(F.split(inner, ","), trim_space)
+        return F.when(flat == "", empty).when(is_tuple, listed).otherwise(F.array(flat))
+
+    return let(strip_grouping_commas(col), parts)
 
 
 def grade_tuple(given: Column, truth: Column) -> Column:
     """Normalized equality, else equal fractions element by element in the same
     brackets. Symbolic equality is not tried."""
     text = lambda c: trim_space(F.regexp_replace(trim_space(c), r"^\\text\{(.+?)\}$", "$1"))
+    no = F.lit(False)
     same = normalize_math(text(given), "competition") == normalize_math(text(truth), "competition")
-    g, t = normalize_math(given, "grader"), normalize_math(truth, "grader")
-    ge, te = tuple_parts(g), tuple_parts(t)
     frac = r"^-?[0-9]+.?/0*[1-9][0-9]*.?$"
-    ends = (F.left(g, F.lit(1)) == F.left(t, F.lit(1))) & (F.right(g, F.lit(1)) == F.right(t, F.lit(1)))
-    pairs = F.zip_with(ge, te, lambda a, b: a.rlike(frac) & b.rlike(frac) & (a == b))
-    by_part = (
-        (g != "")
-        & ((F.size(te) <= 1) | ends)
-        & (F.size(ge) == F.size(te))
-        & (F.size(te) > 0)
-        & F.forall(pairs, lambda x: F.coalesce(x, F.lit(False)))
+
+    def by_text(x: Column) -> Column:
+        end = lambda c: F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+        both = F.struct(
+            tuple_parts(x["g"]).alias("g"), tuple_parts(x["t"]).alias("t"),
+            (end(x["g"]) == end(x["t"])).alias("ends"),
+        )
+        return F.coalesce(x["g"] == x["t"], no) | ((x["g"] != "") & let(both, by_part))
+
+    def by_part(x: Column) -> Column:
+        pairs = F.zip_with(x["g"], x["t"], lambda a, b: a.rlike(frac) & b.rlike(frac) & (a == b))
+        sizes = (F.size(x["t"]) > 0) & (F.size(x["g"]) == F.size(x["t"]))
+        return ((F.size(x["t"]) == 1) | x["ends"]) & sizes & F.forall(pairs, lambda p: F.coalesce(p, no))
+
+    forms = F.struct(
+        normalize_math(given, "grader").alias("g"), normalize_math(truth, "grader").alias("t")
     )
-    return F.coalesce(same, F.lit(False)) | F.coalesce(g == t, F.lit(False)) | F.coalesce(by_part, F.lit(False))
+    return F.coalesce(same, no) | F.coalesce(let(forms, by_text), no)
 
 
 # --- phrases -----------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from assayline import fixed_values as V
-from assayline.functions.rewrite import apply_rules, trim_space
+from assayline.functions.rewrite import apply_rules, let, trim_space
 
 INTEGER = r"(0|-?[1-9]\d*)"
 
@@ -14,10 +14,13 @@ INTEGER = r"(0|-?[1-9]\d*)"
 def braces_for_fracs(col: Column) -> Column:
     r"""``\frac12`` and ``\frac1{2}`` to ``\frac{1}{2}``; a cut-off fraction leaves the
     text as it was."""
-    fixed = F.regexp_replace(col, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
-    fixed = F.regexp_replace(fixed, r"\\frac([^{])\{", r"\\frac{$1}{")
-    cut_off = col.rlike(r"\\frac[^{\\]?(?:\\frac|$)")
-    return F.when(cut_off, col).otherwise(fixed)
+
+    def repair(c: Column) -> Column:
+        fixed = F.regexp_replace(c, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
+        fixed = F.regexp_replace(fixed, r"\\frac([^{])\{", r"\\frac{$1}{")
+        return F.when(c.rlike(r"\\frac[^{\\]?(?:\\frac|$)"), c).otherwise(fixed)
+
+    return let(col, repair)
 
 
 def slash_to_frac(col: Column, side: str = INTEGER) -> Column:
@@ -37,7 +40,7 @@ def _competition(col: Column) -> Column:
     out = F.regexp_replace(out, r"^[^=]{0,2}=([^=]*)$", "$1")
     out = F.replace(braces_for_sqrt(out), F.lit(" "), F.lit(""))
     out = braces_for_fracs(out)
-    out = F.when(out == "0.5", F.lit("\\frac{1}{2}")).otherwise(out)
+    out = F.regexp_replace(out, r"^0\.5$", r"\\frac{1}{2}")
     return slash_to_frac(out)
 
 
@@ -45,8 +48,12 @@ def _quantitative(col: Column) -> Column:
     out = apply_rules(F.substring_index(col, "=", -1), V.MATH_QUANTITATIVE)
     out = apply_rules(out, [("text", word, "") for word in V.MATH_REMOVED])
     out = apply_rules(out, V.MATH_QUANTITATIVE_TEX)
-    bare = F.replace(out, F.lit(","), F.lit(""))
-    return F.when(bare.rlike(r"^\d+$"), bare).otherwise(out)
+
+    def ungrouped(c: Column) -> Column:
+        bare = F.replace(c, F.lit(","), F.lit(""))
+        return F.when(bare.rlike(r"^\d+$"), bare).otherwise(c)
+
+    return let(out, ungrouped)
 
 
 def strip_grouping_commas(col: Column) -> Column:
@@ -55,9 +62,10 @@ def strip_grouping_commas(col: Column) -> Column:
 
 
 def is_int_text(col: Column) -> Column:
-    number = strip_grouping_commas(col).try_cast("double")
-    near = F.abs(number - F.round(number)) <= 1e-7
-    return F.coalesce(near, F.lit(False))
+    return let(
+        strip_grouping_commas(col).try_cast("double"),
+        lambda x: F.coalesce(F.abs(x - F.round(x)) <= 1e-7, F.lit(False)),
+    )
 
 
 def _grader(col: Column) -> Column:
@@ -67,29 +75,44 @@ def _grader(col: Column) -> Column:
     out = F.regexp_replace(out, r"\^ *\\circ", "")
     out = F.regexp_replace(out, r"^\{(.*)\}$", "$1")
     out = F.regexp_replace(out, r",\\! *", "")
-    number = out.try_cast("double")
-    whole = (F.abs(number - F.round(number)) <= 1e-7) & (F.abs(number) < 1e15)
-    out = F.when(F.coalesce(whole, F.lit(False)), F.round(number).try_cast("long").cast("string")).otherwise(out)
-    out = F.when(out.contains("\\"), apply_rules(out, V.MATH_GRADER_TEX)).otherwise(out)
+
+    def whole(c: Column) -> Column:
+        as_int = lambda x: F.when(
+            (F.abs(x - F.round(x)) <= 1e-7) & (F.abs(x) < 1e15), F.round(x).try_cast("long")
+        )
+        return F.coalesce(let(c.try_cast("double"), as_int).cast("string"), c)
+
+    def without_tex(c: Column) -> Column:
+        return F.when(c.contains("\\"), apply_rules(c, V.MATH_GRADER_TEX)).otherwise(c)
+
+    def integer(c: Column) -> Column:
+        value = F.replace(c, F.lit(","), F.lit("")).try_cast("double")
+        small = F.coalesce(F.abs(value) < 1e15, F.lit(False))
+        return F.when(is_int_text(c) & small, value.try_cast("long").cast("string")).otherwise(c)
+
+    out = let(let(out, whole), without_tex)
     out = F.regexp_replace(out, "- *", "-")
     out = F.regexp_replace(out, "([0-9]) +([0-9])", r"$1+$2")
-    out = F.lower(F.regexp_replace(out, "[ {}]", ""))
-    whole_text = strip_grouping_commas(out).try_cast("double")
-    as_int = F.replace(out, F.lit(","), F.lit("")).try_cast("double").try_cast("long")
-    small = F.coalesce(F.abs(whole_text) < 1e15, F.lit(False))
-    return F.when(is_int_text(out) & small, as_int.cast("string")).otherwise(out)
+    return let(F.lower(F.regexp_replace(out, "[ {}]", "")), integer)
 
 
 def _extraction(col: Column) -> Column:
     out = apply_rules(col, V.MATH_EXTRACTION)
-    no_unit = trim_space(F.regexp_replace(out, r"\\text\{.*?\}$", ""))
-    out = F.when(no_unit != "", no_unit).otherwise(out)
-    out = apply_rules(out, V.MATH_EXTRACTION_REST)
-    out = F.when(out.contains("\\infty"), out).otherwise(
-        F.replace(out, F.lit("inf"), F.lit("\\infty"))
-    )
-    out = apply_rules(out, V.MATH_EXTRACTION_LAST)
-    out = F.when(out.contains("j") & ~out.contains("i"), F.translate(out, "j", "i")).otherwise(out)
+
+    def without_unit(c: Column) -> Column:
+        bare = trim_space(F.regexp_replace(c, r"\\text\{.*?\}$", ""))
+        return let(bare, lambda b: F.when(b != "", b).otherwise(c))
+
+    def infinity(c: Column) -> Column:
+        short = F.replace(c, F.lit("inf"), F.lit("\\infty"))
+        return F.when(c.contains("\\infty"), c).otherwise(short)
+
+    def imaginary(c: Column) -> Column:
+        return F.when(c.contains("j") & ~c.contains("i"), F.translate(c, "j", "i")).otherwise(c)
+
+    out = apply_rules(let(out, without_unit), V.MATH_EXTRACTION_REST)
+    out = apply_rules(let(out, infinity), V.MATH_EXTRACTION_LAST)
+    out = let(out, imaginary)
     out = F.regexp_replace(out, r"(\d+)\.0+([^\d])", "$1$2")
     out = F.regexp_replace(out, r"(\d+)\.0+$", "$1")
     out = F.regexp_replace(out, r"^\.", "0.")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +30,15 @@ def detokenize(col: Column, rules: str = "general") -> Column:
     return apply_rules(col, DETOKENIZE[rules])
 
 
+def let(col: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(col)`` with ``col`` evaluated once, however often ``fn`` uses it.
+
+    Steps like "keep if unchanged, else rewrite" mention their input several times; in
+    a long chain the plain expression would grow exponentially.
+    """
+    return F.get(F.transform(F.array(col), fn), F.lit(0))
+
+
 def trim_space(col: Column) -> Column:
     """Strip all white space at both ends, not only blanks."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")

@@ -37,6 +37,8 @@ MODULES = [
     "voting",
     "measures",
     "transport",
+    "reshaping",
+    "answers",
 ]
 
 

@@ -156,10 +156,10 @@ def _(spark, sf):
 
 @query(
     "k5_match_names",
-    "SELECT DISTINCT p_name FROM part WHERE p_name GLOB '*a*1?' OR p_name GLOB '[pP]*7'",
+    "SELECT DISTINCT p_name FROM part WHERE p_name GLOB '*widget' OR p_name GLOB '[sS]*b?lt'",
 )
 def _(spark, sf):
-    return sets.match_names(table(spark, sf, "part"), "p_name", ["*a*1?", "[pP]*7"])
+    return sets.match_names(table(spark, sf, "part"), "p_name", ["*widget", "[sS]*b?lt"])
 
 
 @query(
