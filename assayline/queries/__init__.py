@@ -39,6 +39,8 @@ MODULES = [
     "transport",
     "reshaping",
     "answers",
+    "choice_scores",
+    "text_scores",
 ]
 
 
