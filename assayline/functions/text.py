@@ -44,14 +44,14 @@ def gram_starts(word_array: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<int>"))
 
 
-def grams_of(word_array: str, n: int) -> Column:
-    """All n-grams of a *materialized* word array column.
+def grams(col: Column, n: int) -> Column:
+    """All n-grams of a text whose words are parted by single spaces.
 
-    It takes a column name, not an expression: inside the lambda an expression
-    would be evaluated again for every gram.
+    One scan of the text: at every word start the next n words are captured ahead and
+    one word is consumed. Possessive quantifiers rule out backtracking.
     """
-    w = F.col(word_array)
-    return F.transform(gram_starts(w, n), lambda i: gram_at(w, i, n))
+    pattern = rf"(?=((?:\S++ ){{{n - 1}}}\S++))\S++ ?"
+    return F.regexp_extract_all(col, F.lit(pattern), F.lit(1))
 
 
 def normalize_strict(col: Column) -> Column:
@@ -59,6 +59,11 @@ def normalize_strict(col: Column) -> Column:
     return F.translate(col, UPPERCASE + PUNCTUATION, LOWERCASE)
 
 
+def normalize_spaced(col: Column) -> Column:
+    """Strict normalization with single spaces between the words that are left."""
+    return F.trim(F.regexp_replace(normalize_strict(col), WHITESPACE, " "))
+
+
 SPANS = T.ArrayType(
     T.StructType()
     .add("word", T.StringType())

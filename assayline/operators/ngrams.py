@@ -17,12 +17,12 @@ from assayline.fixed_values import (
     QUESTION_NGRAM,
 )
 from assayline.functions.text import (
-    gram_at,
     gram_starts,
-    grams_of,
+    grams,
+    normalize,
+    normalize_spaced,
     normalize_strict,
     word_spans,
-    words,
 )
 from assayline.operators.scale import BROADCAST_ROWS, broadcast_if_small
 from assayline.session import materialize
@@ -33,19 +33,14 @@ def ngram_rows(
     ids: Sequence[str],
     text: str,
     n: int = QUESTION_NGRAM,
-    normalizer=F.lower,
+    normalizer=normalize,
     distinct: bool = True,
 ) -> DataFrame:
-    """One row ``(ids, ngram)`` per gram; repeats inside a text merge before explode.
-
-    Splitting into words drops all extra white space, so lower case is all the
-    normalization that is left to do.
-    """
-    split = df.select(*ids, words(normalizer(F.col(text))).alias("_w"))
-    grams = grams_of("_w", n)
+    """One row ``(ids, ngram)`` per gram; repeats inside a text merge before explode."""
+    found = grams(normalizer(F.col(text)), n)
     if distinct:
-        grams = F.array_distinct(grams)
-    return split.select(*ids, F.explode(grams).alias("ngram"))
+        found = F.array_distinct(found)
+    return df.select(*ids, F.explode(found).alias("ngram"))
 
 
 def ngram_index(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
@@ -72,10 +67,8 @@ def contaminated_by(
         hits = rows.join(F.broadcast(protected), "ngram", "left_semi")
         return hits.select(*ids).distinct()
 
-    split = train.select(*ids, words(F.lower(F.col(text))).alias("_w"))
-    w = F.col("_w")
-    hashes = F.transform(gram_starts(w, n), lambda i: F.xxhash64(gram_at(w, i, n)))
-    coarse = split.select(*ids, F.explode(F.array_distinct(hashes)).alias("_g"))
+    hashes = F.transform(grams(normalize(F.col(text)), n), lambda g: F.xxhash64(g))
+    coarse = train.select(*ids, F.explode(F.array_distinct(hashes)).alias("_g"))
     known = protected.select(F.xxhash64("ngram").alias("_g")).distinct()
     candidates = coarse.join(known, "_g", "left_semi").select(*ids).distinct()
     narrowed = train.join(candidates, list(ids), "left_semi")
@@ -244,7 +237,7 @@ def clean_chunks(
 
 def dirty_ngrams(df: DataFrame, text: str, n: int = CORPUS_NGRAM) -> DataFrame:
     """Grams to cut: normalized without case and punctuation before splitting."""
-    return ngram_rows(df, [], text, n, normalize_strict).distinct()
+    return ngram_rows(df, [], text, n, normalize_spaced).distinct()
 
 
 def write_ngram_index(
@@ -262,7 +255,7 @@ def write_ngram_index(
     frequent gram over many tasks, which hashing on the gram would not.
     """
     order = ["bucket", "ngram", doc_id]
-    rows = ngram_rows(df, [doc_id], text, n, normalize_strict, distinct=False).withColumn(
+    rows = ngram_rows(df, [doc_id], text, n, normalize_spaced, distinct=False).withColumn(
         "bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int")
     )
     spread = (
@@ -303,7 +296,7 @@ def train_overlap(
     n: int = CORPUS_NGRAM,
 ) -> DataFrame:
     """Ids (task, split, document) of evaluation rows found in the corpus index."""
-    rows = ngram_rows(tasks, ids, text, n, normalize_strict)
+    rows = ngram_rows(tasks, ids, text, n, normalize_spaced)
     found = matching_grams(index, rows)
     return (
         rows.join(broadcast_if_small(found), "ngram", "left_semi")
@@ -317,7 +310,7 @@ def overlap_stats(
 ) -> DataFrame:
     """One row over the corpus index: all grams, distinct grams, and how many of the
     distinct ones occur in the evaluation texts or not."""
-    wanted = ngram_rows(tasks, [], text, n, normalize_strict).distinct()
+    wanted = ngram_rows(tasks, [], text, n, normalize_spaced).distinct()
     marked = index.select("ngram").join(
         broadcast_if_small(wanted.withColumn("_hit", F.lit(1))), "ngram", "left"
     )

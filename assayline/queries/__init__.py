@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayline.sources.readers import read_split
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -30,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """Text table for work that is heavy per row: a table of few partitions is spread."""
+    return read_split(spark, f"{sf_dir}/{name}.parquet", spread=True)
+
+
 MODULES = [
     "cleaning",
     "joining",

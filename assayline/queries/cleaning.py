@@ -6,7 +6,7 @@ from assayline.functions import text as T
 from assayline.operators import ngrams as N
 from assayline.operators import selection as S
 from assayline.operators.aggregate import value_counts
-from assayline.queries import query, table
+from assayline.queries import query, table, texts
 from assayline.queries.sqltext import grams, norm, strict
 from assayline.session import scratch_path
 
@@ -17,7 +17,7 @@ HIT8 = f"SELECT DISTINCT doc_id FROM ({DOC8}) WHERE ngram IN (SELECT ngram FROM
 
 @query("c1_normalize", f"SELECT doc_id, {norm('text')} AS norm FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+    return texts(spark, sf).select("doc_id", T.normalize(F.col("text")).alias("norm"))
 
 
 @query(
@@ -25,26 +25,26 @@ def _(spark, sf):
     f"SELECT doc_id, ngram, count(*) AS n FROM ({grams('documents', 'doc_id', 13)}) GROUP BY ALL",
 )
 def _(spark, sf):
-    rows = N.ngram_rows(table(spark, sf, "documents"), ["doc_id"], "text", 13, distinct=False)
+    rows = N.ngram_rows(texts(spark, sf), ["doc_id"], "text", 13, distinct=False)
     return rows.groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c3_ngram_index", f"SELECT DISTINCT ngram, doc_id FROM ({DOC8})")
 def _(spark, sf):
-    return N.ngram_index(table(spark, sf, "documents"), "doc_id", "text", 8)
+    return N.ngram_index(texts(spark, sf), "doc_id", "text", 8)
 
 
 @query("c4_contaminated", HIT8)
 def _(spark, sf):
     return N.contaminated(
-        table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"], "text", "text"
+        texts(spark, sf), table(spark, sf, "benchmark"), ["doc_id"], "text", "text"
     )
 
 
 @query("c4_contaminated_large_set", HIT8)
 def _(spark, sf):
     return N.contaminated(
-        table(spark, sf, "documents"),
+        texts(spark, sf),
         table(spark, sf, "benchmark"),
         ["doc_id"],
         "text",
@@ -56,7 +56,7 @@ def _(spark, sf):
 @query("c5_decontaminate", f"SELECT doc_id, lang FROM documents WHERE doc_id NOT IN ({HIT8})")
 def _(spark, sf):
     kept, _report = N.decontaminate(
-        table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"], "text", "text"
+        texts(spark, sf), table(spark, sf, "benchmark"), ["doc_id"], "text", "text"
     )
     return kept.select("doc_id", "lang")
 
@@ -70,7 +70,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     _kept, report = N.decontaminate(
-        table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"], "text", "text"
+        texts(spark, sf), table(spark, sf, "benchmark"), ["doc_id"], "text", "text"
     )
     return report.withColumn("rate_percent", F.round("rate_percent", 6))
 
@@ -96,7 +96,7 @@ def _fold_sql() -> str:
 
 @query("c6_decontaminate_sources", _fold_sql())
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     kept = N.decontaminate_sources(
         [docs.where(F.col("lang") == lang) for lang in LANGS],
         table(spark, sf, "benchmark"),
@@ -134,7 +134,7 @@ def _(spark, sf):
 @query("c8_clean_chunks")
 def _(spark, sf):
     dirty = N.dirty_ngrams(table(spark, sf, "benchmark"), "text", 8)
-    return N.clean_chunks(table(spark, sf, "documents"), dirty, "doc_id", "text", n=8)
+    return N.clean_chunks(texts(spark, sf), dirty, "doc_id", "text", n=8)
 
 
 @query(
@@ -152,7 +152,7 @@ def _(spark, sf):
     f"SELECT ngram, count(DISTINCT doc_id) AS docs FROM ({DOC8}) GROUP BY ngram HAVING count(DISTINCT doc_id) > 10",
 )
 def _(spark, sf):
-    index = N.ngram_index(table(spark, sf, "documents"), "doc_id", "text", 8)
+    index = N.ngram_index(texts(spark, sf), "doc_id", "text", 8)
     return N.frequent_ngrams(index, "doc_id")
 
 
@@ -165,7 +165,7 @@ DOC_STRICT = grams("documents", "doc_id", 8, strict("text"))
     f"SELECT DISTINCT item_id FROM ({BEN_STRICT}) WHERE ngram IN (SELECT ngram FROM ({DOC_STRICT}))",
 )
 def _(spark, sf):
-    index = N.ngram_rows(table(spark, sf, "documents"), ["doc_id"], "text", 8, T.normalize_strict)
+    index = N.ngram_rows(texts(spark, sf), ["doc_id"], "text", 8, T.normalize_spaced)
     return N.train_overlap(table(spark, sf, "benchmark"), index, ["item_id"], "text", 8)
 
 
@@ -183,7 +183,7 @@ DOC_STRICT13 = grams("documents", "doc_id", 13, strict("text"))
 )
 def _(spark, sf):
     path = scratch_path(spark, "grams13")
-    N.write_ngram_index(table(spark, sf, "documents"), path, "doc_id", "text", buckets=16)
+    N.write_ngram_index(texts(spark, sf), path, "doc_id", "text", buckets=16)
     return N.overlap_stats(spark.read.parquet(path), table(spark, sf, "benchmark"), "text")
 
 
@@ -197,7 +197,7 @@ def _(spark, sf):
         GROUP BY d.lang""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     flagged = N.contaminated(docs, table(spark, sf, "benchmark"), ["doc_id"], "text", "text")
     scores = table(spark, sf, "labels").join(docs.select("doc_id", "lang"), "doc_id")
     out = N.metric_clean(scores, flagged, ["doc_id"], ["lang"], "quality")
@@ -212,7 +212,7 @@ def _(spark, sf):
        FROM documents GROUP BY source""",
 )
 def _(spark, sf):
-    return N.corpus_stats(table(spark, sf, "documents"), "source", "text")
+    return N.corpus_stats(texts(spark, sf), "source", "text")
 
 
 @query(
@@ -223,6 +223,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     kept, _report = N.decontaminate(
-        table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"], "text", "text"
+        texts(spark, sf), table(spark, sf, "benchmark"), ["doc_id"], "text", "text"
     )
     return value_counts(S.dedup_first(kept, "text", ["doc_id"]), "lang")
