@@ -55,25 +55,29 @@ def contaminated_by(
     protected: DataFrame,
     n: int = QUESTION_NGRAM,
     max_rows: int = BROADCAST_ROWS,
+    normalizer=normalize,
 ) -> DataFrame:
     """Ids of ``train`` rows holding any gram of the ``protected`` table (``ngram``).
 
     A protected set that fits is broadcast, so the corpus is scanned once and only
     the hits are shuffled. Beyond ``max_rows`` only 64-bit gram hashes are shuffled
-    to find candidate rows; the grams of candidates are then compared as text.
+    to find candidate rows; the grams of the candidates are then compared as text,
+    again without moving the protected side.
     """
     if protected.count() <= max_rows:
-        rows = ngram_rows(train, ids, text, n)
+        rows = ngram_rows(train, ids, text, n, normalizer)
         hits = rows.join(F.broadcast(protected), "ngram", "left_semi")
         return hits.select(*ids).distinct()
 
-    hashes = F.transform(grams(normalize(F.col(text)), n), lambda g: F.xxhash64(g))
+    hashes = F.transform(grams(normalizer(F.col(text)), n), lambda g: F.xxhash64(g))
     coarse = train.select(*ids, F.explode(F.array_distinct(hashes)).alias("_g"))
     known = protected.select(F.xxhash64("ngram").alias("_g")).distinct()
     candidates = coarse.join(known, "_g", "left_semi").select(*ids).distinct()
-    narrowed = train.join(candidates, list(ids), "left_semi")
-    exact = ngram_rows(narrowed, ids, text, n).join(protected, "ngram", "left_semi")
-    return exact.select(*ids).distinct()
+    candidates = materialize(candidates, "candidates")
+    narrowed = train.join(broadcast_if_small(candidates, max_rows), list(ids), "left_semi")
+    rows = ngram_rows(narrowed, ids, text, n, normalizer)
+    found = matching_grams(protected, rows, max_rows)
+    return rows.join(found, "ngram", "left_semi").select(*ids).distinct()
 
 
 def contaminated(
@@ -125,23 +129,20 @@ def decontaminate_sources(
 ) -> DataFrame:
     """Ordered fold: kept rows of a source protect all later sources.
 
-    The loop runs over sources, not rows. Each step writes its kept rows and grams
-    to the shared folder, so no step repeats an earlier one.
+    The loop runs over sources, not rows. Each step writes its marks and the grams it
+    adds to the shared folder, so no step repeats an earlier one.
     """
     protected = materialize(ngram_rows(test, [], test_text, n).distinct(), "grams")
     kept_all: DataFrame | None = None
     for rank, source in enumerate(sources):
-        flagged = contaminated_by(source, ids, text, protected, n)
-        kept = materialize(
-            source.join(flagged, list(ids), "left_anti").withColumn(
-                "source_rank", F.lit(rank)
-            ),
-            "kept",
-        )
+        flagged = materialize(contaminated_by(source, ids, text, protected, n), "flagged")
+        kept = source.join(broadcast_if_small(flagged), list(ids), "left_anti")
+        kept = kept.withColumn("source_rank", F.lit(rank))
         kept_all = kept if kept_all is None else kept_all.unionByName(kept)
         if rank < len(sources) - 1:
-            grown = protected.unionByName(ngram_rows(kept, [], text, n))
-            protected = materialize(grown.distinct(), "grams")
+            # every step adds a table of its own; earlier ones are not written again
+            grown = materialize(ngram_rows(kept, [], text, n), "grams")
+            protected = protected.unionByName(grown)
     return kept_all
 
 
@@ -211,14 +212,20 @@ def clean_chunks(
     ``compat`` also drops clean texts shorter than ``min_chars``; the default keeps
     them whole. Documents with more than ``max_matches`` matches are dropped.
     """
-    scanned = ngrams_with_offsets(df, [doc_id], text, n).withColumn(
+    dirty = materialize(dirty.select("ngram").distinct(), "dirty")
+    # a cheap scan that can only find too many rows, then positions for those alone
+    marked = contaminated_by(df, [doc_id], text, dirty, n, normalizer=normalize_spaced)
+    marked = materialize(marked, "marked")
+    suspects = df.join(broadcast_if_small(marked), doc_id, "left_semi")
+    scanned = ngrams_with_offsets(suspects, [doc_id], text, n).withColumn(
         "ngram", normalize_strict(F.col("ngram"))
     )
-    hits = scanned.join(broadcast_if_small(dirty.distinct()), "ngram", "left_semi")
+    hits = scanned.join(broadcast_if_small(dirty), "ngram", "left_semi")
     spans = hits.groupBy(doc_id).agg(
         F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans")
     )
-    joined = df.select(doc_id, text).join(spans, doc_id, "left")
+    spans = materialize(spans, "spans")
+    joined = df.select(doc_id, text).join(broadcast_if_small(spans), doc_id, "left")
     cut = _cut(F.col(text), F.col("_spans"), window, min_chars)
     nothing = F.array().cast("array<string>")
     whole = F.array(F.col(text))
@@ -247,25 +254,20 @@ def write_ngram_index(
     text: str,
     n: int = CORPUS_NGRAM,
     buckets: int = CORPUS_BUCKETS,
-    partitions: int | None = None,
 ) -> None:
     """Corpus index in hash buckets, sorted inside a bucket, zstd Parquet.
 
-    Range partitioning on (bucket, ngram, doc) keeps files sorted and splits a very
-    frequent gram over many tasks, which hashing on the gram would not.
+    Rows are rebalanced by bucket: adaptive execution splits a bucket that a very
+    frequent gram has blown up over several tasks and merges small ones, so files have
+    an even size and each is sorted. The grams are computed once.
     """
     order = ["bucket", "ngram", doc_id]
     rows = ngram_rows(df, [doc_id], text, n, normalize_spaced, distinct=False).withColumn(
         "bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int")
     )
-    spread = (
-        rows.repartitionByRange(partitions, *order)
-        if partitions
-        else rows.repartitionByRange(*order)
-    )
-    spread.sortWithinPartitions(*order).write.partitionBy("bucket").option(
-        "compression", "zstd"
-    ).parquet(path)
+    rows.hint("rebalance", "bucket").sortWithinPartitions(*order).write.partitionBy(
+        "bucket"
+    ).option("compression", "zstd").parquet(path)
 
 
 def frequent_ngrams(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 20
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 _ALL = "_all"
 
 
