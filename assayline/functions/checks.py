@@ -232,9 +232,13 @@ def check_rephrased_paragraph(resp: Column, original: str, low: int, high: int)
     for word in re.findall(r"\w+", original.lower()):
         counts[word] = counts.get(word, 0) + 1
     have = F.regexp_extract_all(F.lower(resp), F.lit(r"(?U)\w+"), F.lit(0))
+
+    def found(word: str) -> Column:
+        return F.size(F.filter(have, lambda w: w == word))
+
     shared = F.lit(0)
     for word, n in counts.items():
-        shared = shared + F.least(F.lit(n), F.size(F.filter(have, lambda w, x=word: w == x)))
+        shared = shared + F.least(F.lit(n), found(word))
     return shared.between(low, high)
 
 
