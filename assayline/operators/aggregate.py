@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.text import words
 from assayline.operators.joins import leaf_tasks
-from assayline.operators.scale import ranked, running
+from assayline.operators.scale import first_k, ranked, running, running_in_order
 
 
 
@@ -49,17 +49,51 @@ def agg_mean_last(
     df: DataFrame, keys: Sequence[str], idx: str, value: str, last: int = 30
 ) -> DataFrame:
     """Mean of the last rows per key; -1 when there are fewer."""
-    w = Window.partitionBy(*keys).orderBy(F.col(idx).desc())
-    tail = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= last)
+    tail = first_k(df, keys, [F.col(idx).desc()], last, "_rn")
     mean = F.when(F.count(F.lit(1)) < last, F.lit(-1.0)).otherwise(F.avg(value))
     return tail.groupBy(*keys).agg(mean.alias("mean_last"))
 
 
 def agg_median(value: Column) -> Column:
-    """True median."""
+    """True median as an aggregate; its buffer holds the distinct values of a group, so
+    use ``median`` where a group may be large."""
     return F.percentile(value, 0.5)
 
 
+def median(
+    df: DataFrame, keys: Sequence[str], value: str, accuracy: int = 100_000
+) -> DataFrame:
+    """True median per key for groups of any size.
+
+    An approximate quantile sketch brackets the middle, exactly counted rows below the
+    bracket give its offset, and only values inside it are put in order.
+    """
+    slack = min(2.0 / accuracy, 0.5)
+    bracket = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.percentile_approx(value, [0.5 - slack, 0.5 + slack], accuracy).alias("_b"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    rows = df.select(*keys, F.col(value).alias("_v")).join(bracket, list(keys))
+    low, high = F.col("_b")[0], F.col("_b")[1]
+    # everything below the bracket merges into one row with a null value
+    near = (
+        rows.where(F.col("_v") <= high)
+        .withColumn("_v", F.when(F.col("_v") >= low, F.col("_v")))
+        .groupBy(*keys, "_n", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    frame = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = near.withColumn("_upto", F.sum("_c").over(frame))
+    before = F.col("_upto") - F.col("_c")
+
+    def value_at(place: Column) -> Column:
+        return F.max(F.when((before < place) & (place <= F.col("_upto")), F.col("_v")))
+
+    first, last = F.floor((F.col("_n") - 1) / 2) + 1, F.floor(F.col("_n") / 2) + 1
+    return placed.groupBy(*keys).agg(((value_at(first) + value_at(last)) / 2).alias("median"))
+
+
 def middle_element(
     df: DataFrame, keys: Sequence[str], idx: str, value: str
 ) -> DataFrame:
@@ -217,20 +251,19 @@ def qa_suite(
         f"_run_{name}": F.when(has, F.col(col).cast("double")).otherwise(penalty)
         for name, col in (("exact", exact), ("f1", f1_col))
     }
-    walked = running(
-        df, [], "", steps, [F.floor(F.col(na_prob) * 4096)], [F.col(na_prob), F.col(doc)]
-    )
+    slim = df.select(doc, exact, f1_col, has_answer, empty, na_prob)
+    walked = running_in_order(slim, [], [F.col(na_prob), F.col(doc)], steps)
     peaks = walked.agg(
         *[F.greatest(F.max(f"_run_{n}"), F.lit(0.0)).alias(f"_peak_{n}") for n in ("exact", "f1")]
     )
-    total = F.col("total")
-    joined = plain.withColumn("_k", F.lit(0)).join(peaks.withColumn("_k", F.lit(0)), "_k")
-    return joined.withColumns(
-        {
-            f"best_{n}": 100 * (F.col("_na") + F.col(f"_peak_{n}")) / total
-            for n in ("exact", "f1")
-        }
-    ).drop("_k", "_na", "_peak_exact", "_peak_f1")
+    # two one-row results side by side
+    stacked = plain.unionByName(peaks, allowMissingColumns=True)
+    row = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    best = {
+        f"best_{n}": 100 * (F.col("_na") + F.col(f"_peak_{n}")) / F.col("total")
+        for n in ("exact", "f1")
+    }
+    return row.withColumns(best).drop("_na", "_peak_exact", "_peak_f1")
 
 
 def inst_accuracy(df: DataFrame, flags: str) -> DataFrame:
@@ -458,13 +491,8 @@ def correctness_by_length(df: DataFrame, response: str, correct: str, idx: str)
     rows = df.withColumns(
         {"thinking_words": trace_columns(response)["thinking_words"]}
     )
-    out = ranked(
-        rows,
-        [],
-        [F.col("thinking_words"), F.floor(F.col(idx) / F.lit(1 << 20))],
-        [F.col(idx)],
-        "place",
-    )
+    slim = rows.select(idx, "thinking_words", correct)
+    out = ranked(slim, [], [F.col("thinking_words"), F.col(idx)], "place")
     return out.select("place", idx, "thinking_words", correct)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.operators.scale import broadcast_if_small
+from assayline.session import materialize
 
 
 def question_hash(col: Column) -> Column:
@@ -134,9 +135,9 @@ def leaf_tasks(
             steps.select(F.col("group").alias("task"), F.col("task").alias("_next")),
             "task",
         ).select("group", F.col("_next").alias("task"))
-        if deeper.isEmpty():
+        level = materialize(deeper, "level")
+        if level.isEmpty():
             return leaves.distinct()
-        level = deeper
 
 
 def join_predictions(

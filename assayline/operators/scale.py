@@ -12,8 +12,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayline.session import materialize
+
 CHUNK_ROWS = 1 << 20
 BROADCAST_ROWS = 1_000_000
+RANK_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 _ALL = "_all"
 
 
@@ -86,15 +89,38 @@ def numbered(
     return running(df, keys, order, {name: F.lit(1).cast("long")})
 
 
+def running_in_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]
+) -> DataFrame:
+    """Running sums per key in any unique order.
+
+    Range partitioning on the whole order gives chunks of even size even when one key
+    or one value is hot; they are written once so that chunk numbers stay fixed.
+    """
+    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    fixed = materialize(spread, "ordered")
+    return running(fixed, keys, "", sums, [F.col("_part")], order).drop("_part")
+
+
 def ranked(
-    df: DataFrame,
-    keys: Sequence[str],
-    chunk: Sequence[Column],
-    within: Sequence[Column],
-    name: str = "pos",
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "pos"
+) -> DataFrame:
+    """1-based position per key in any unique order."""
+    return running_in_order(df, keys, order, {name: F.lit(1).cast("long")})
+
+
+def first_k(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "pos"
 ) -> DataFrame:
-    """1-based position per key by (ascending ``chunk`` columns, then ``within``)."""
-    return running(df, keys, "", {name: F.lit(1).cast("long")}, chunk, within)
+    """First ``k`` rows per key with their position.
+
+    Up to ``RANK_LIMIT`` Spark cuts every key to k rows before the shuffle already; a
+    larger k is ranked in chunks.
+    """
+    if k > RANK_LIMIT:
+        return ranked(df, keys, order, name).where(F.col(name) <= k)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
 def hash_text(cols: Sequence[str], seed: int) -> Column:
@@ -113,14 +139,9 @@ def hash_ranked(
 ) -> DataFrame:
     """Seeded random 1-based position per key; chunk = leading hex digits."""
     mixed = df.withColumn("_h", hash_text(id_cols, seed))
-    out = ranked(
-        mixed,
-        keys,
-        [F.substring("_h", 1, digits)],
-        [F.col("_h"), *[F.col(c) for c in id_cols]],
-        name,
-    )
-    return out.drop("_h")
+    order = [F.col("_h"), *[F.col(c) for c in id_cols]]
+    one = {name: F.lit(1).cast("long")}
+    return running(mixed, keys, "", one, [F.substring("_h", 1, digits)], order).drop("_h")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

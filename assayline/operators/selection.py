@@ -90,33 +90,39 @@ def quota_sample(
     per_task = math.ceil(n / max(counts["tasks"], 1))
     per_topic = math.ceil(per_task / max(counts["topics"], 1))
 
-    mixed = df.withColumn("_h", hash_text(id_cols, seed))
+    # only rows within a quota of their own can be picked: as many as the sample asks
+    slim = df.select(*id_cols, task, topic)
+    by_task = hash_ranked(slim, [task], id_cols, seed, "_task_no").where(
+        F.col("_task_no") <= per_task
+    )
+    by_topic = hash_ranked(
+        slim.where(F.col(topic).isNotNull()), [topic], id_cols, seed, "_topic_no"
+    ).where(F.col("_topic_no") <= per_topic)
+    near = by_task.drop(topic).join(by_topic.drop(topic), [*id_cols, task], "full")
+    near = near.withColumns(
+        {
+            "_by_topic": F.col("_topic_no").isNotNull().cast("long"),
+            "_h": hash_text(id_cols, seed),
+        }
+    )
+    near = materialize(near, "quota")
+
     chunk = [F.substring("_h", 1, 4)]
     within = [F.col("_h"), *[F.col(c) for c in id_cols]]
-    one = F.lit(1).cast("long")
-    out = running(mixed, [task], "", {"_task_no": one}, chunk, within)
-    # a null topic forms its own group here and is not picked below
-    out = out.withColumn("_topic", F.coalesce(F.col(topic).cast("string"), F.lit("")))
-    out = running(out, ["_topic"], "", {"_topic_no": one}, chunk, within)
-    out = out.withColumn(
-        "_by_topic",
-        (F.col(topic).isNotNull() & (F.col("_topic_no") <= per_topic)).cast("long"),
-    )
-    out = running(out, [], "", {"_topic_picks": F.col("_by_topic")}, chunk, within)
-    used_before = F.when(
-        F.col(task) == topic_task, F.col("_topic_picks") + F.col("_task_no") - 1
-    ).otherwise(F.col("_task_no") - 1)
-    out = out.withColumn("_by_task", (used_before < per_task).cast("long"))
-    out = out.withColumn("_picks", F.col("_by_topic") + F.col("_by_task"))
+    out = running(near, [], "", {"_topic_picks": F.col("_by_topic")}, chunk, within)
+    used_before = F.col("_task_no") - 1 + F.when(
+        F.col(task) == topic_task, F.col("_topic_picks")
+    ).otherwise(0)
+    by_quota = F.coalesce(used_before < per_task, F.lit(False)).cast("long")
+    out = materialize(out.withColumn("_picks", F.col("_by_topic") + by_quota), "picks")
     out = running(out, [], "", {"_out": F.col("_picks")}, chunk, within)
-
     picked = out.where(F.col("_picks") > 0)
     stop = picked.where(F.col("_out") == n).agg(F.min("_h").alias("h")).first()["h"]
     if stop is not None:
         picked = picked.where(F.col("_h") <= stop)
-    return picked.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_picks").cast("int")))
-    ).select(*df.columns)
+    copies = F.explode(F.sequence(F.lit(1), F.col("_picks").cast("int")))
+    picked = picked.select(*id_cols, copies.alias("_copy")).drop("_copy")
+    return df.join(broadcast_if_small(picked), list(id_cols)).select(*df.columns)
 
 
 def select_hard(
@@ -217,13 +223,8 @@ def length_weights(
     domain is needed for the normalization.
     """
     mixed = df.withColumn("_h", hash_text([id_col], 0))
-    out = ranked(
-        mixed,
-        [domain],
-        [-F.col(length), F.substring("_h", 1, 2)],
-        [F.col("_h")],
-        "_pos",
-    )
+    order = [F.col(domain), F.col(length).desc(), F.col("_h"), F.col(id_col)]
+    out = ranked(mixed, [domain], order, "_pos")
     sizes = df.groupBy(domain).agg(F.count(F.lit(1)).alias("_n"))
     rank = F.col("_pos") - 1
     total = F.lit(2.0) - F.pow(F.lit(2.0), 1 - F.col("_n"))
@@ -286,13 +287,8 @@ def diversity_sample(
     count = picked.count()
     reach = 2 * total + 54
     mixed = marked.withColumn("_h", hash_text(["id"], seed))
-    pools = ranked(
-        mixed,
-        ["domain"],
-        [-F.col("length"), F.substring("_h", 1, 2)],
-        [F.col("_h")],
-        "_pos",
-    ).where(F.col("_pos") <= reach)
+    order = [F.col("domain"), F.col("length").desc(), F.col("_h"), F.col("id")]
+    pools = ranked(mixed, ["domain"], order, "_pos").where(F.col("_pos") <= reach)
     sizes = marked.groupBy("domain").agg(F.count(F.lit(1)).alias("_n"))
     pools = pools.join(sizes, "domain").withColumn("length_rank", F.col("_pos") - 1)
     id_type = dict(marked.dtypes)["id"]

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.operators.scale import ranked
+from assayline.operators.scale import first_k, ranked
 from assayline.session import materialize
 
 
@@ -22,8 +22,6 @@ def path_table(
     Built level by level: every node joins its parent once, so the work over all
     levels is one pass over the nodes. The number of levels is the tree depth.
     """
-    # fixed by the data, one number per tree level; no rows come to the driver
-    depths = nodes.agg(F.max("depth")).first()[0]
     step = F.col(tokens) if tokens else F.lit(0).cast("long")
     keep = nodes.select(
         F.col(question).alias("_q"),
@@ -34,6 +32,9 @@ def path_table(
         step.alias("_t"),
         "leaf",
     )
+    # one folder per level, so that each level reads its own rows only
+    keep = materialize(keep, "nodes", ["_d"])
+    depths = keep.agg(F.max("_d")).first()[0]
     level = keep.where("_d = 0").select(
         "_q", "_id", "_d", "leaf",
         F.array().cast("array<double>").alias("step_scores"),
@@ -49,8 +50,7 @@ def path_table(
             F.array_append("step_scores", F.col("_s")).alias("step_scores"),
             (F.col("cum_tokens") + F.col("_t")).alias("cum_tokens"),
         )
-        if depth % 8 == 0:
-            level = materialize(level, "paths")
+        level = materialize(level, "paths")
         out = out.unionByName(level)
     return out.select(
         F.col("_q").alias(question),
@@ -104,18 +104,17 @@ def allocate(
     order = [F.col(score).desc(), F.col(node).desc()]
     rows = df
     if keep_ratio is not None:
-        coarse = -F.floor(F.col(score) * 4096)
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        unique = [*order, *[F.col(k) for k in keys]]
         rows = (
-            ranked(df, keys, [coarse], order, "_place")
+            ranked(df, keys, unique, "_place")
             .join(sizes, list(keys))
             .where(F.col("_place") <= F.ceil(F.col("_n") * keep_ratio))
             .select(*df.columns)
         )
     weight = F.exp(F.col(score) / temperature)
     totals = rows.groupBy(*keys).agg(F.sum(weight).alias("_sum"))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    top = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= width)
+    top = first_k(rows, keys, order, width, "_rn")
     lists = top.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(F.struct("_rn", F.col(node).alias("n"), weight.alias("w")))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.operators.scale import first_by, running
+from assayline.operators.scale import first_by, first_k, running
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -31,8 +31,7 @@ def take_first_k(
     """First ``k`` responses; with ``check`` a question with fewer is an error."""
     if check and not short_groups(df, keys, k).isEmpty():
         raise ValueError(f"some questions have fewer than {k} responses")
-    w = Window.partitionBy(*keys).orderBy(idx)
-    return df.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    return first_k(df, keys, [F.col(idx)], k)
 
 
 def majority_vote(
@@ -145,10 +144,7 @@ def cov_maj_at_n(
 ) -> DataFrame:
     """Per question ``cov_n`` (any right answer) and ``maj_n`` (majority right) over
     the first n responses; null when there are fewer than n."""
-    w = Window.partitionBy(*keys).orderBy(idx)
-    top = df.withColumn("_pos", F.row_number().over(w)).where(
-        F.col("_pos") <= max(ns)
-    )
+    top = first_k(df, keys, [F.col(idx)], max(ns), "_pos")
     spread = top.withColumn(
         "_n", F.explode(F.filter(F.array(*[F.lit(n) for n in ns]), lambda n: n >= F.col("_pos")))
     )

@@ -39,11 +39,16 @@ def _(spark, sf):
     return plain.join(last.withColumn("mean_last", F.round("mean_last", 6)), "user_id")
 
 
-@query("h3_median", "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY 1")
+@query(
+    "h3_median",
+    """SELECT event_type, round(median(value), 6) AS median, round(median(value), 6) AS by_aggregate
+       FROM events GROUP BY 1""",
+)
 def _(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(
-        F.round(A.agg_median(F.col("value")), 6).alias("median")
-    )
+    events = table(spark, sf, "events")
+    plain = events.groupBy("event_type").agg(F.round(A.agg_median(F.col("value")), 6).alias("by_aggregate"))
+    out = A.median(events, ["event_type"], "value")
+    return out.withColumn("median", F.round("median", 6)).join(plain, "event_type")
 
 
 @query(
@@ -90,27 +95,28 @@ def pairs(spark, sf):
 
 @query(
     "h5_f1",
-    f"""WITH {PAIRS} SELECT (SELECT round(f, 6) FROM f WHERE label = 1) AS binary_f1,
-        (SELECT round(avg(f), 6) FROM f) AS macro_f1, (SELECT round(2.0 * sum(tp) / sum(2 * tp + fp + fn), 6) FROM f) AS micro_f1,
-        (SELECT round(sum(f * t) / sum(t), 6) FROM f) AS weighted_f1,
-        (SELECT round(sum(f) / 2, 6) FROM f WHERE label IN (0, 2)) AS selected_f1,
-        (SELECT round(sum(f) / 3, 6) FROM f WHERE label IN (0, 1, 2)) AS three_class_f1""",
+    f"""WITH {PAIRS} SELECT 'binary' AS average, round(f, 6) AS f1 FROM f WHERE label = 1
+        UNION ALL SELECT 'macro', round(avg(f), 6) FROM f
+        UNION ALL SELECT 'micro', round(2.0 * sum(tp) / sum(2 * tp + fp + fn), 6) FROM f
+        UNION ALL SELECT 'weighted', round(sum(f * t) / sum(t), 6) FROM f
+        UNION ALL SELECT 'selected', round(sum(f) / 2, 6) FROM f WHERE label IN (0, 2)
+        UNION ALL SELECT 'three_class', round(sum(f) / 3, 6) FROM f WHERE label IN (0, 1, 2)""",
 )
 def _(spark, sf):
     rows = pairs(spark, sf)
     parts = {
-        "binary_f1": A.f1(rows, "gold", "pred"),
-        "macro_f1": A.f1(rows, "gold", "pred", "macro"),
-        "micro_f1": A.f1(rows, "gold", "pred", "micro"),
-        "weighted_f1": A.f1(rows, "gold", "pred", "weighted"),
-        "selected_f1": A.f1(rows, "gold", "pred", "macro", [0, 2]),
-        "three_class_f1": A.f1(rows, "gold", "pred", "macro", [0, 1, 2]),
+        "binary": A.f1(rows, "gold", "pred"),
+        "macro": A.f1(rows, "gold", "pred", "macro"),
+        "micro": A.f1(rows, "gold", "pred", "micro"),
+        "weighted": A.f1(rows, "gold", "pred", "weighted"),
+        "selected": A.f1(rows, "gold", "pred", "macro", [0, 2]),
+        "three_class": A.f1(rows, "gold", "pred", "macro", [0, 1, 2]),
     }
     out = None
     for name, part in parts.items():
-        one = part.select(F.lit(0).alias("k"), F.round("f1", 6).alias(name))
-        out = one if out is None else out.join(one, "k")
-    return out.drop("k")
+        one = part.select(F.lit(name).alias("average"), F.round("f1", 6).alias("f1"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(

@@ -9,6 +9,7 @@ from assayline.operators import trees
 from assayline.operators import vote as V
 from assayline.operators.scale import numbered
 from assayline.queries import query, table
+from assayline.session import materialize
 
 Q = ["user_id"]
 
@@ -160,7 +161,7 @@ def nodes(spark, sf):
     rows = events(spark, sf)
     sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     i = F.col("id")
-    return numbered(rows, Q, "event_id", "id").join(sizes, "user_id").select(
+    placed = numbered(rows, Q, "event_id", "id").join(sizes, "user_id").select(
         "user_id",
         "id",
         F.when(i > 1, F.floor(i / 2)).alias("parent_id"),
@@ -169,6 +170,7 @@ def nodes(spark, sf):
         (2 * i > F.col("n")).alias("leaf"),
         F.floor("value").alias("num_step_tokens"),
     )
+    return materialize(placed, "tree")
 
 
 @query(

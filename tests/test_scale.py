@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assayline.operators import selection as S
 from assayline.operators import vote as V
-from assayline.operators.scale import hash_ranked, numbered, ranked, running
+from assayline.operators.scale import first_k, hash_ranked, numbered, ranked, running
 
 
 def skewed(n=600, seed=1):
@@ -54,7 +54,7 @@ def test_numbered(df, rows):
 
 
 def test_ranked_by_value_then_index(df, rows):
-    got = ranked(df, ["k"], [-F.col("w")], [F.col("idx")])
+    got = ranked(df, ["k"], [F.col("w").desc(), F.col("idx")])
     want, seen = {}, Counter()
     for k, i, *_ in sorted(rows, key=lambda r: (-r[2], r[1])):
         seen[k] += 1
@@ -62,6 +62,32 @@ def test_ranked_by_value_then_index(df, rows):
     assert {r["idx"]: r["pos"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("k", [1, 5, 2000])
+def test_first_k(df, rows, k):
+    got = first_k(df, ["k"], [F.col("w"), F.col("idx")], k)
+    seen, want = Counter(), {}
+    for key, i, *_ in sorted(rows, key=lambda r: (r[2], r[1])):
+        seen[key] += 1
+        if seen[key] <= k:
+            want[i] = seen[key]
+    assert {r["idx"]: r["pos"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("accuracy", [4, 50, 100_000])
+def test_median_of_hot_groups_and_values(spark, accuracy):
+    import statistics
+
+    from assayline.operators.aggregate import median
+
+    rng = random.Random(4)
+    rows = [("a", float(rng.choice([1, 1, 1, rng.random()]))) for _ in range(301)]
+    rows += [("b", rng.random()) for _ in range(100)] + [("c", 2.0), ("d", 1.0), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["median"] for r in median(df, ["k"], "v", accuracy).collect()}
+    for key in "abcd":
+        assert got[key] == pytest.approx(statistics.median([v for k, v in rows if k == key]))
+
+
 def test_hash_rank_is_a_permutation_and_repeats(df, rows):
     first = {r["idx"]: r["pos"] for r in hash_ranked(df, [], ["idx"], 5).collect()}
     again = {r["idx"]: r["pos"] for r in hash_ranked(df.repartition(3), [], ["idx"], 5, digits=1).collect()}
