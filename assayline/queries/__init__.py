@@ -48,6 +48,7 @@ MODULES = [
     "answers",
     "choice_scores",
     "text_scores",
+    "flows",
 ]
 
 

@@ -161,13 +161,49 @@ def _(spark, sf):
     return out.withColumn("bleu", F.round("bleu", 6))
 
 
-@query("h12_corpus_bleu")
+def translation_sql(col: str) -> str:
+    out = col
+    for a, b in [("'<skipped>'", "''"), ("'-' || chr(10)", "''"), ("chr(10)", "' '"), ("'&quot;'", "'\"'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'"), ("'&amp;'", "'&'")]:
+        out = f"replace({out}, {a}, {b})"
+    out = f"' ' || {out} || ' '"
+    for pattern, by in [
+        ("([{-~\\[-` -&(-+:-@/])", " \\1 "), ("([^0-9])([.,])", "\\1 \\2 "),
+        ("([.,])([^0-9])", " \\1 \\2"), ("([0-9])(-)", "\\1 \\2 "),
+    ]:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return word_list(f"({out})")
+
+
+def corpus_sums(orders) -> str:
+    union = " UNION ALL ".join(gram_counts(s, t, k) for k in orders for s, t in (("p", "pw"), ("r", "rw")))
+    sums = ", ".join(
+        f"CAST(sum(least(p, r)) FILTER (k = {k}) AS DOUBLE) AS m{k}, CAST(sum(p) FILTER (k = {k}) AS DOUBLE) AS p{k}, "
+        f"CAST(sum(r) FILTER (k = {k}) AS DOUBLE) AS r{k}" for k in orders
+    )
+    return f"""g AS ({union}), c AS (SELECT conv_id, turn, k, g, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'r') AS r
+      FROM g GROUP BY ALL), s AS (SELECT {sums} FROM c)"""
+
+
+@query(
+    "h12_corpus_bleu",
+    f"""WITH x AS (SELECT conv_id, turn, {translation_sql(PRED)} AS pw, {translation_sql('text')} AS rw FROM conversations), {corpus_sums((1, 2, 3, 4))}
+        SELECT round(100 * CASE WHEN p1 < r1 THEN exp(1 - r1 / p1) ELSE 1 END * exp(({" + ".join(f"ln(m{k} / p{k})" for k in (1, 2, 3, 4))}) / 4), 6) AS bleu FROM s""",
+)
 def _(spark, sf):
     out = S.corpus_bleu(turns(spark, sf), IDS, "pred", "ref")
     return out.withColumn("bleu", F.round("bleu", 6))
 
 
-@query("h12_chrf")
+CHARS = "string_split(regexp_replace({0}, '\\s+', '', 'g'), '')"
+SIX = (1, 2, 3, 4, 5, 6)
+
+
+@query(
+    "h12_chrf",
+    f"""WITH x AS (SELECT conv_id, turn, {CHARS.format(PRED)} AS pw, {CHARS.format('text')} AS rw FROM conversations), {corpus_sums(SIX)},
+        a AS (SELECT ({" + ".join(f"m{k} / p{k}" for k in SIX)}) / 6 AS p, ({" + ".join(f"m{k} / r{k}" for k in SIX)}) / 6 AS r FROM s)
+        SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf FROM a""",
+)
 def _(spark, sf):
     return S.chrf(turns(spark, sf), IDS, "pred", "ref").withColumn("chrf", F.round("chrf", 6))
 

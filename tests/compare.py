@@ -68,7 +68,12 @@ def main() -> int:
     from assayline.session import local_session
 
     sf_dir, parts = sys.argv[1], sys.argv[2:]
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(sf_dir), oracle_sql(), 0
     for name, fn in queries().items():
