@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayline import fixed_values as V
-from assayline.functions.math_text import is_int_text, normalize_math, strip_grouping_commas
+from assayline.functions.math_text import normalize_math, strip_grouping_commas
 from assayline.functions.rewrite import let, trim_space
 from assayline.functions.text import words
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,21 +130,53 @@ def decontaminate_sources(
 ) -> DataFrame:
     """Ordered fold: kept rows of a source protect all later sources.
 
-    The loop runs over sources, not rows. Each step writes its marks and the grams it
-    adds to the shared folder, so no step repeats an earlier one.
+    Every text is scanned once into 64-bit gram hashes, stored by source. The loop runs
+    over sources, not rows: it joins hashes to find suspects, and compares grams as
+    text only between suspects and the rows that share a hash with them.
     """
-    protected = materialize(ngram_rows(test, [], test_text, n).distinct(), "grams")
-    kept_all: DataFrame | None = None
+    place = ["source_rank", *ids]
+    rows = [
+        s.select(F.lit(i).alias("source_rank"), *ids, text) for i, s in enumerate(sources)
+    ]
+    rows = reduce(DataFrame.unionByName, rows)
+    hashes = F.transform(grams(normalize(F.col(text)), n), lambda g: F.xxhash64(g))
+    hashed = rows.select(*place, F.explode(F.array_distinct(hashes)).alias("_g"))
+    hashed = materialize(hashed, "hashes", ["source_rank"])
+    fixed = ngram_rows(test, [], test_text, n).distinct()
+    fixed = materialize(fixed.withColumn("_g", F.xxhash64("ngram")), "grams")
+
+    removed: DataFrame | None = None
     for rank, source in enumerate(sources):
-        flagged = materialize(contaminated_by(source, ids, text, protected, n), "flagged")
-        kept = source.join(broadcast_if_small(flagged), list(ids), "left_anti")
-        kept = kept.withColumn("source_rank", F.lit(rank))
-        kept_all = kept if kept_all is None else kept_all.unionByName(kept)
-        if rank < len(sources) - 1:
-            # every step adds a table of its own; earlier ones are not written again
-            grown = materialize(ngram_rows(kept, [], text, n), "grams")
-            protected = protected.unionByName(grown)
-    return kept_all
+        earlier = hashed.where(F.col("source_rank") < rank)
+        if removed is not None:
+            earlier = earlier.join(broadcast_if_small(removed), place, "left_anti")
+        known = fixed.select("_g").unionByName(earlier.select("_g")).distinct()
+        own = hashed.where(F.col("source_rank") == rank)
+        hits = materialize(own.join(known, "_g", "left_semi").select(*ids, "_g"), "hits")
+        hint = F.broadcast if hits.count() <= BROADCAST_ROWS else (lambda df: df)
+        wanted = hint(hits.select("_g").distinct())
+
+        def wanted_grams(df: DataFrame, cols: Sequence[str], wanted=wanted) -> DataFrame:
+            found = ngram_rows(df, cols, text, n).withColumn("_g", F.xxhash64("ngram"))
+            return found.join(wanted, "_g", "left_semi").drop("_g")
+
+        proof = fixed.join(wanted, "_g", "left_semi").select("ngram")
+        if rank:
+            holders = earlier.join(wanted, "_g", "left_semi").select(*place).distinct()
+            holders = broadcast_if_small(materialize(holders, "holders"))
+            before = rows.where(F.col("source_rank") < rank)
+            proof = proof.unionByName(
+                wanted_grams(before.join(holders, place, "left_semi"), [])
+            )
+        suspects = source.join(hint(hits.select(*ids).distinct()), list(ids), "left_semi")
+        agreed = wanted_grams(suspects, ids).join(proof, "ngram", "left_semi")
+        flagged = agreed.select(F.lit(rank).alias("source_rank"), *ids).distinct()
+        flagged = materialize(flagged, "flagged")
+        removed = flagged if removed is None else removed.unionByName(flagged)
+
+    marked = [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)]
+    whole = reduce(lambda a, b: a.unionByName(b), marked)
+    return whole.join(broadcast_if_small(removed), place, "left_anti")
 
 
 def ngrams_with_offsets(
