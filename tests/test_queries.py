@@ -6,7 +6,8 @@ import pytest
 from compare import compare, connect
 from conftest import SF
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from assayline.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +15,9 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    ok, message = compare(spark, duck, SF, queries()[name], oracle_sql().get(name))
+    ok, message = compare(spark, duck, SF, QUERIES[name], ORACLES.get(name))
     assert ok, message
 
 
@@ -25,4 +26,4 @@ def test_entry(spark):
 
 
 def test_oracles_belong_to_queries():
-    assert set(oracle_sql()) <= set(queries())
+    assert set(ORACLES) <= set(QUERIES)
