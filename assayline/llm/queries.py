@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import decontaminate, lines, mixing, tokens
+from assayline.llm import (
+    covertree,
+    decontaminate,
+    language,
+    lines,
+    mixing,
+    pii,
+    simhash,
+    tokens,
+    toxicity,
+)
 from assayline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +34,59 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_simhash")
+def _(spark, sf):
+    rows = simhash.classes(read(spark, sf, "documents"))
+    return rows.select("doc_id", simhash.as_hex(F.col("code")).alias("fingerprint"), "component_id")
+
+
+@query("op2_personal_data")
+def _(spark, sf):
+    rows = pii.find_personal_data(read(spark, sf, "documents"))
+    return rows.select("row.doc_id", *[c.alias(k) for k, c in pii.digest(F.col("found")).items()])
+
+
+@query("op4_language_id")
+def _(spark, sf):
+    return language.identify(read(spark, sf, "documents"))
+
+
+@query("op5_toxicity")
+def _(spark, sf):
+    rows = toxicity.score_documents(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    return rows.select("row.doc_id", "held_out", "score", "predicted")
+
+
+OP7_SQL = """
+WITH e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v,
+         label IS NOT NULL AND embedding IS NOT NULL
+         AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+         AND len([x FOR x IN embedding IF x <> 0]) > 0 AS ok
+  FROM embeddings
+), n AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE ok
+), p AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM n a JOIN n b
+  ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), c AS (SELECT i, count(*) AS n_links FROM p GROUP BY i),
+r AS (
+  WITH RECURSIVE t(i, k) AS (
+    SELECT vec_id, vec_id FROM e UNION SELECT t.i, p.j FROM t JOIN p ON p.i = t.k
+  ) SELECT i, min(k) AS component_id FROM t GROUP BY i
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id,
+       vec_id = component_id AS kept
+FROM e JOIN r ON r.i = vec_id LEFT JOIN c ON c.i = vec_id
+"""
+
+
+@query("op7_embedding_dedup", OP7_SQL)
+def _(spark, sf):
+    return covertree.classes(read(spark, sf, "embeddings"))
+
+
 WORDS6 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP6_SQL = f"""
