@@ -14,6 +14,7 @@ from assayline.llm import (
     lines,
     mixing,
     pii,
+    repeats,
     simhash,
     tokens,
     toxicity,
@@ -46,6 +47,18 @@ def _(spark, sf):
     return rows.select("row.doc_id", *[c.alias(k) for k, c in pii.digest(F.col("found")).items()])
 
 
+@query("op3_suffix_dedup")
+def _(spark, sf):
+    rows = repeats.remove_repeats(read(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op4_language_id")
 def _(spark, sf):
     return language.identify(read(spark, sf, "documents"))
