@@ -21,6 +21,7 @@ __all__ = [
     "ascii_lower",
     "bounded_batches",
     "components",
+    "drawn",
     "held_out",
     "materialize",
     "read",
@@ -49,6 +50,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def drawn(col: Column, wanted: Column | int, rows: Column | int) -> Column:
+    """Condition that a hash of ``col`` falls among about ``2 * wanted + 100`` of ``rows``
+    rows, so that a sample is cut down before any sort, however many rows there are."""
+    wanted, rows = (F.lit(x) if isinstance(x, int) else x for x in (wanted, rows))
+    return F.pmod(F.xxhash64(col, F.lit(5)), F.lit(1 << 40)) < (2 * wanted + 100) / F.greatest(
+        rows, F.lit(1)
+    ) * (1 << 40)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)`` as (node, root): the smallest node reachable.
 

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.llm.common import components, materialize
+from assayline.llm.common import components, drawn, materialize
 from assayline.llm.simhash import _joined
 
 LEAF = 16
@@ -161,10 +161,13 @@ def _centres(points: DataFrame, cell_rows: int, max_centres: int) -> dict[str, n
     }
     if not plan:
         return {}
-    wanted = points.sparkSession.createDataFrame(list(plan.items()), "grp string, k long")
-    drawn = Window.partitionBy("grp").orderBy(F.xxhash64("id", F.lit(3)), "id")
-    sample = points.join(F.broadcast(wanted), "grp").withColumn("rn", F.row_number().over(drawn))
-    sample = sample.where(F.col("rn") <= 8 * max(plan.values())).where(F.col("rn") <= 8 * F.col("k"))
+    wanted = points.sparkSession.createDataFrame(
+        [(r["grp"], plan[r["grp"]], r["n"]) for r in big], "grp string, k long, n long"
+    )
+    first = Window.partitionBy("grp").orderBy(F.xxhash64("id", F.lit(3)), "id")
+    sample = points.join(F.broadcast(wanted), "grp")
+    sample = sample.where(drawn(F.col("id"), 8 * F.col("k"), F.col("n")))
+    sample = sample.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= 8 * F.col("k"))
     out: dict[str, list] = {}
     for r in sample.orderBy("grp", "rn").select("grp", "emb").collect():
         out.setdefault(r["grp"], []).append(r["emb"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.llm.common import held_out
+from assayline.llm.common import drawn, held_out
 
 SIZES = (2, 3, 4)
 CELL_BITS = 20
@@ -128,14 +128,16 @@ def learn(
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not sizes:
         return Filters([], [], None)
     languages = [r["lang"] for r in sizes]
     common = max(sizes, key=lambda r: r["n"])["lang"]
     bit_of = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, i)])
-    known = known.withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= per_language)
+    rows_of = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["n"])])
+    known = known.where(drawn(F.col("id"), per_language, rows_of[F.col("lang")]))
+    known = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
     known = known.select("id", bit_of[F.col("lang")].alias("bit")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(known), "id").select("bit", "text")

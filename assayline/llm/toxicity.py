@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.llm.common import held_out
+from assayline.llm.common import drawn, held_out
 from assayline.llm.decontaminate import WORD_BYTES
 
 BITS = 20
@@ -99,8 +99,11 @@ def train(
         F.col(id_col).alias("id"), (F.col(label_col) >= 1).cast("int").alias("label")
     ).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
-    drawn = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    known = known.withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= per_class)
+    count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = F.when(F.col("label") == 1, count.get(1, 0)).otherwise(count.get(0, 0))
+    known = known.where(drawn(F.col("id"), per_class, rows))
+    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    known = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_class)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(known.drop("k")), "id")  # at most 2 * per_class rows
 
