@@ -5,7 +5,8 @@ document. Three steps find them without sorting all suffixes of the corpus:
 
 1. Every document is cut into runs of windows that share an anchor (``anchors``). Runs are
    brought together by anchor. An anchor seen once has no repeats. Of runs with equal
-   content only the first stays, the others are removed whole.
+   content only the first stays, the others are removed whole; within a batch of
+   documents that is settled before the shuffle.
 2. What is left are runs that share an anchor but not all bytes. Their texts are gathered by
    anchor into shards; each shard has its own Burrows-Wheeler transform. The transforms
    are merged by refining their interleave one symbol at a time: in round k the suffixes
@@ -37,6 +38,7 @@ HEAVY_RUNS = 20_000
 SHARD_BYTES = 1 << 16
 GROUP_BYTES = 1 << 21
 NO_ID = (1 << 63) - 1
+SETTLED = np.int64(-(1 << 63))
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,18 +60,27 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, g, id, pos) of each run; pos packs start, windows and mark."""
+    """(h, g, id, pos) of each run; pos packs start, windows and mark.
+
+    Of equal runs in a batch all but the first are settled here: they carry the sign bit
+    and need not meet the others, so a hot run gives each batch one row for its anchor.
+    """
     for batch in batches:
-        for first in range(0, len(batch), 100):
-            part, out = batch.slice(first, 100), []
-            for i, mark, text in zip(part["id"].to_pylist(), part["mark"].to_pylist(), part["text"]):
-                start, size, anchor, content = owned_windows(text.as_buffer().to_pybytes())
-                if len(start):
-                    pos = start << 32 | size << MARK_BITS | mark
-                    out.append((anchor.view(np.int64), content.view(np.int64), np.full(len(start), i), pos))
-            if out:
-                cols = [pa.array(np.concatenate(c)) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "g", "id", "pos"])
+        out = []
+        for i, mark, text in zip(batch["id"].to_pylist(), batch["mark"].to_pylist(), batch["text"]):
+            start, size, anchor, content = owned_windows(text.as_buffer().to_pybytes())
+            if len(start):
+                pos = start << 32 | size << MARK_BITS | mark
+                out.append((anchor.view(np.int64), content.view(np.int64), np.full(len(start), i), pos))
+        if out:
+            h, g, i, pos = (np.concatenate(c) for c in zip(*out))
+            order = np.lexsort((pos, i, g, h))
+            h, g, i, pos = h[order], g[order], i[order], pos[order]
+            fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
+            head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            late = (i != i[head]) | (pos != pos[head])
+            pos = np.where(late, pos | SETTLED, pos)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, g, i, pos)], ["h", "g", "id", "pos"])
 
 
 def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +95,13 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         cols = [batch[c].to_numpy() for c in ("h", "g", "id", "pos")]
+        settled = cols[3] < 0
+        if settled.any():
+            h, _, i, pos = (c[settled] for c in cols)
+            yield rows(h, np.full(len(h), True), i, pos ^ SETTLED)
+            cols = [c[~settled] for c in cols]
+            if not len(cols[0]):
+                continue
         before = False
         if carry is not None:
             cols = [np.concatenate(([c], col)) for c, col in zip(carry[0], cols)]
@@ -276,7 +294,8 @@ def repeats(
     """(id, pos) of runs of repeated windows: ``pos`` packs start, windows and mark."""
     packed = _packed(docs, id_col, text_col)
     runs = packed.mapInArrow(_runs, "h long, g long, id long, pos long")
-    runs = runs.repartition("h").sortWithinPartitions("h", "g", "id", "pos")
+    meet = F.when(F.col("pos") < 0, F.xxhash64("id", "pos")).otherwise(F.col("h"))
+    runs = runs.repartition(meet).sortWithinPartitions("h", "g", "id", "pos")
     found = materialize(
         runs.mapInArrow(_classified, "h long, gone boolean, id long, pos long"), "runs"
     )
