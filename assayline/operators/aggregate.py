@@ -73,7 +73,11 @@ def median(
         F.percentile_approx(value, [0.5 - slack, 0.5 + slack], accuracy).alias("_b"),
         F.count(F.lit(1)).alias("_n"),
     )
-    rows = df.select(*keys, F.col(value).alias("_v")).join(bracket, list(keys))
+    # null keys are groups as well
+    bracket = bracket.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    rows = df.select(*keys, F.col(value).alias("_v"))
+    rows = rows.join(bracket, same) if keys else rows.crossJoin(bracket)  # one bracket row
     low, high = F.col("_b")[0], F.col("_b")[1]
     # everything below the bracket merges into one row with a null value
     near = (
@@ -299,13 +303,13 @@ def bootstrap_stderr(
     metric: Callable[[Mapping[str, Column]], Column],
     iters: int = 1000,
     seed: int = 42,
-    block: int = 4096,
 ) -> DataFrame:
     """Bootstrap standard error of a metric of column sums (``n`` is always there).
 
     Rows with equal statistics are merged first; a merged row of m samples gets a
-    Poisson(m) weight per replicate. A task adds its rows into one sum per replicate,
-    so ``iters`` rows per task are shuffled, whatever the number of samples.
+    Poisson(m) weight per replicate, drawn from a generator seeded by the row itself, so
+    the answer does not depend on the partitioning. A task adds its rows into one sum per
+    replicate, so ``iters`` rows per task are shuffled, whatever the number of samples.
     """
     names = [*stats, "n"]
     merged = (
@@ -317,15 +321,10 @@ def bootstrap_stderr(
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((iters, len(names)))
         for batch in batches:
-            values = batch[names].to_numpy(dtype=float)
-            for start in range(0, len(values), block):
-                part = values[start : start + block]
-                rng = np.random.default_rng([seed, zlib.crc32(part.tobytes())])
-                times = part[:, -1]
-                draws = rng.poisson(times, size=(iters, len(part)))
+            for row in batch[names].to_numpy(dtype=float):
+                rng = np.random.default_rng([seed, zlib.crc32(row.tobytes())])
                 # a merged row carries its statistics once per sample
-                per_sample = np.hstack([part[:, :-1], np.ones((len(part), 1))])
-                sums += draws @ per_sample
+                sums += np.outer(rng.poisson(row[-1], size=iters), np.append(row[:-1], 1.0))
         yield pd.DataFrame(sums, columns=names).assign(replicate=range(iters))
 
     schema = ", ".join(f"{c} double" for c in names) + ", replicate long"
@@ -506,33 +505,26 @@ def sample_counts(df: DataFrame, keys: Sequence[str], limit: int | None) -> Data
 
 
 def task_hash(
-    df: DataFrame, keys: Sequence[str], position: str, sample_hash: str, chunk: int = 1 << 17
+    df: DataFrame, keys: Sequence[str], position: str, sample_hash: str, chunk: int = 1 << 14
 ) -> DataFrame:
     """Hash over the sample hashes of a task in order (``position`` counts from 1).
 
-    Up to ``chunk`` samples it is the hash of the joined hashes. A longer task is
-    hashed chunk by chunk and then over the chunk hashes, so no task is ever joined
-    into one text.
+    A tree of three levels for every task, however small: hashes of ``chunk`` samples
+    each, hashes of ``chunk`` of those, and the hash of all that are left. No task is
+    ever joined into one text.
     """
-    pieces = df.withColumn("_c", F.floor((F.col(position) - 1) / F.lit(chunk)))
-
-    def joined(order: str, value: str) -> Column:
-        ordered = F.array_sort(F.collect_list(F.struct(order, value)))
-        return F.sha2(F.array_join(F.transform(ordered, lambda x: x[value]), ""), 256)
-
-    parts = pieces.groupBy(*keys, "_c").agg(joined(position, sample_hash).alias("_h"))
-    return (
-        parts.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.max("_h").alias("_one"),
-            joined("_c", "_h").alias("_many"),
-        )
-        .select(
-            *keys,
-            F.when(F.col("_n") == 1, F.col("_one")).otherwise(F.col("_many")).alias("task_hash"),
-        )
+    level = df.select(
+        *keys, (F.col(position) - 1).alias("_at"), F.col(sample_hash).alias("_h")
     )
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_h")))
+    joined = F.sha2(F.array_join(F.transform(ordered, lambda x: x["_h"]), ""), 256)
+    for _ in range(2):
+        level = level.groupBy(*keys, F.floor(F.col("_at") / chunk).alias("_c")).agg(
+            joined.alias("_h")
+        )
+        level = level.withColumnRenamed("_c", "_at")
+    return level.groupBy(*keys).agg(joined.alias("task_hash"))
+
 
 
 def token_cost(

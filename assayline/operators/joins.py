@@ -123,18 +123,22 @@ def leaf_tasks(
 ) -> DataFrame:
     """Leaf tasks below every group, as rows ``(group, task)``.
 
-    One join per level of the tree; a node is a leaf when it has no children.
+    One join per level; a node is a leaf when it has no children. Paths that meet again
+    are merged on every level. A group below itself is an error.
     """
-    steps = edges.select(F.col(parent).alias("group"), F.col(child).alias("task"))
+    steps = edges.select(F.col(parent).alias("group"), F.col(child).alias("task")).distinct()
     inner = steps.select(F.col("group").alias("task")).distinct()
-    level, leaves = steps, None
+    level, leaves, depth = steps, None, inner.count()
     while True:
+        if depth < 0:
+            raise ValueError("the groups form a cycle")
+        depth -= 1
         done = level.join(inner, "task", "left_anti").select("group", "task")
         leaves = done if leaves is None else leaves.unionByName(done)
         deeper = level.join(
             steps.select(F.col("group").alias("task"), F.col("task").alias("_next")),
             "task",
-        ).select("group", F.col("_next").alias("task"))
+        ).select("group", F.col("_next").alias("task")).distinct()
         level = materialize(deeper, "level")
         if level.isEmpty():
             return leaves.distinct()

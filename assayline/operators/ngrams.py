@@ -238,12 +238,12 @@ def clean_chunks(
     window: int = CLEAN_WINDOW,
     max_matches: int = CLEAN_MAX_MATCHES,
     min_chars: int = CLEAN_MIN_CHARS,
-    compat: bool = False,
+    compat: bool = True,
 ) -> DataFrame:
     """Clean chunks ``(doc_id, chunk_no, chunk)`` around matches of ``dirty`` grams.
 
-    ``compat`` also drops clean texts shorter than ``min_chars``; the default keeps
-    them whole. Documents with more than ``max_matches`` matches are dropped.
+    Clean texts shorter than ``min_chars`` are dropped too; ``compat=False`` keeps them
+    whole. Documents with more than ``max_matches`` matches are dropped.
     """
     dirty = materialize(dirty.select("ngram").distinct(), "dirty")
     # a cheap scan that can only find too many rows, then positions for those alone

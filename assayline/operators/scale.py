@@ -16,7 +16,9 @@ from assayline.session import materialize
 
 CHUNK_ROWS = 1 << 20
 BROADCAST_ROWS = 1_000_000
-RANK_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+HASH_ROWS = 1 << 16
+RANK_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
+SPARSE = 4  # id range over rows from which on ids count as sparse
 _ALL = "_all"
 
 
@@ -38,11 +40,17 @@ def running(
     chunk: Sequence[Column] | None = None,
     within: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums per key.
+    """Inclusive running sums per key. No row is lost: null keys are keys of their own
+    and null order values come first.
 
-    Default order is the unique integer column ``order``. For another order give
+    Default order is the unique integer column ``order``: dense ids are cut into ranges,
+    sparse ones are range-partitioned, with the same sums. For another order give
     ``chunk`` (leading sort columns, small enough groups) and ``within`` (the rest).
     """
+    if chunk is None:
+        facts = df.agg(F.count(F.lit(1)), F.max(order) - F.min(order)).first()
+        if (facts[1] or 0) > SPARSE * max(facts[0], CHUNK_ROWS):
+            return running_in_order(df, keys, [F.col(order).asc()], sums)
     chunk = list(chunk) if chunk is not None else [chunk_of(order)]
     within = list(within) if within is not None else [F.col(order).asc()]
     parts = [f"_c{i}" for i in range(len(chunk))]
@@ -61,7 +69,7 @@ def running(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
-        *cell,
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(cell)],
         *[
             F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}")
             for name in sums
@@ -74,11 +82,12 @@ def running(
     )
     out = base.withColumns(
         {f"_l_{name}": F.sum(expr).over(local) for name, expr in sums.items()}
-    ).join(offsets, cell)
+    ).join(offsets, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cell)])
     out = out.withColumns(
         {name: F.col(f"_l_{name}") + F.col(f"_o_{name}") for name in sums}
     )
-    helper = [*parts, *[f"_{p}_{n}" for n in sums for p in "lo"]]
+    helper = [*parts, *[f"_k{i}" for i in range(len(cell))]]
+    helper += [f"_{p}_{n}" for n in sums for p in "lo"]
     return out.drop(*helper, *([] if keys else [_ALL]))
 
 
@@ -112,12 +121,12 @@ def ranked(
 def first_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "pos"
 ) -> DataFrame:
-    """First ``k`` rows per key with their position.
+    """First ``k`` rows per key with their position, the same rows for every k.
 
-    Up to ``RANK_LIMIT`` Spark cuts every key to k rows before the shuffle already; a
-    larger k is ranked in chunks.
+    Up to the rank limit of the session Spark cuts every key to k rows before the shuffle
+    already; a larger k is ranked in chunks.
     """
-    if k > RANK_LIMIT:
+    if k > int(df.sparkSession.conf.get(RANK_SETTING)):
         return ranked(df, keys, order, name).where(F.col(name) <= k)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
@@ -135,9 +144,15 @@ def hash_ranked(
     id_cols: Sequence[str],
     seed: int,
     name: str = "pos",
-    digits: int = 4,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Seeded random 1-based position per key; chunk = leading hex digits."""
+    """Seeded random 1-based position per key; chunk = leading hex digits, as many as keep
+    a chunk at about ``HASH_ROWS`` rows."""
+    if digits is None:
+        digits = 1
+        rows = df.count()
+        while rows > HASH_ROWS * 16**digits:
+            digits += 1
     mixed = df.withColumn("_h", hash_text(id_cols, seed))
     order = [F.col("_h"), *[F.col(c) for c in id_cols]]
     one = {name: F.lit(1).cast("long")}

@@ -370,6 +370,9 @@ def split_eval(
     ).drop("_pos")
 
 
+TOP_ROWS = 10_000
+
+
 def limit_docs(
     df: DataFrame,
     limit: float | None,
@@ -381,6 +384,12 @@ def limit_docs(
     if limit is None:
         return df
     n = math.ceil(df.count() * limit) if limit < 1 else int(limit)
+    if n <= TOP_ROWS:  # the same rows without numbering the table
+        if shuffle_by:
+            order = [hash_text(shuffle_by, seed), *[F.col(c) for c in shuffle_by]]
+        else:
+            order = [F.col(row_idx)]
+        return df.orderBy(*order).limit(n)
     if shuffle_by:
         out = hash_ranked(df, [], shuffle_by, seed, "_pos")
     else:

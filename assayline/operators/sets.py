@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.operators.scale import broadcast_if_small, numbered
+from assayline.operators.scale import broadcast_if_small, first_k
 
 
 def union_sources(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -51,4 +51,4 @@ def _java(pattern: str) -> str:
 
 def head_rows(df: DataFrame, keys: Sequence[str], row_idx: str, n: int) -> DataFrame:
     """First ``n`` rows per task."""
-    return numbered(df, keys, row_idx, "_pos").where(F.col("_pos") <= n).drop("_pos")
+    return first_k(df, keys, [F.col(row_idx)], n, "_pos").drop("_pos")

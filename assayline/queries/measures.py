@@ -395,15 +395,16 @@ def _(spark, sf):
 @query(
     "h25_task_hash",
     """WITH h AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pos, sha256(text) AS h FROM documents),
-       c AS (SELECT lang, (pos - 1) // 64 AS c, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM h GROUP BY 1, 2)
-       SELECT lang, CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY c)) END AS task_hash FROM c GROUP BY 1""",
+       c AS (SELECT lang, (pos - 1) // 16384 AS c, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM h GROUP BY 1, 2),
+       d AS (SELECT lang, c // 16384 AS d, sha256(string_agg(h, '' ORDER BY c)) AS h FROM c GROUP BY 1, 2)
+       SELECT lang, sha256(string_agg(h, '' ORDER BY d)) AS task_hash FROM d GROUP BY 1""",
 )
 def _(spark, sf):
     from assayline.operators.scale import numbered
 
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
     placed = numbered(docs, ["lang"], "doc_id", "pos")
-    return A.task_hash(placed, ["lang"], "pos", "h", chunk=64)
+    return A.task_hash(placed, ["lang"], "pos", "h")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -73,7 +74,10 @@ def _parse_corpus_line(line: str) -> tuple[str, str]:
     text = record["text"]
     if isinstance(text, list):
         text = "\n\n".join(text)
-    return text, json.dumps(record.get("meta", {}))
+    meta = record.get("meta", {})
+    if isinstance(meta, str):
+        return text, meta
+    return text, json.dumps(meta, separators=(",", ":"), ensure_ascii=False)
 
 
 def _corpus_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,13 +103,28 @@ def _corpus_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Corpus files of JSON lines, ``.zst`` compressed or plain: a line is a text or an
-    object with ``text`` (a list is joined by blank lines) and optional ``meta``.
+    object with ``text`` (a list is joined by blank lines) and optional ``meta`` (a text
+    as it is, anything else as JSON). A folder may hold both kinds of files.
 
-    Compressed files are decompressed as streams inside the tasks, one file per task.
+    Compressed files are decompressed as streams inside the tasks; one file is one value,
+    so a compressed file may have up to 2 GiB.
     """
-    if path.endswith(".zst"):
-        raw = spark.read.format("binaryFile").load(path).select("path", "content")
-        return raw.mapInPandas(_corpus_files, CORPUS)
+    files = spark.read.format("binaryFile").load(path)
+    packed = F.col("path").endswith(".zst")
+    kinds = files.select(packed.alias("packed")).distinct().collect()
+    parts = []
+    if any(k["packed"] for k in kinds):
+        raw = files.where(packed).select("path", "content")
+        parts.append(raw.mapInPandas(_corpus_files, CORPUS))
+    if not parts:
+        return _plain_corpus(spark, path)
+    if len(kinds) > 1:
+        rest = [r["path"] for r in files.where(~packed).select("path").collect()]
+        parts.append(_plain_corpus(spark, rest))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _plain_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = spark.read.text(path).where(F.trim("value") != "")
     row = F.parse_json("value")
     parts = F.try_variant_get(row, "$.text", "array<string>")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assayline.operators.scale import broadcast_if_small
+from assayline.operators.scale import broadcast_if_small, first_by
 
 
 def new_rows(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,20 +35,25 @@ def intake(
     checkpoint: str,
     work: Callable[[DataFrame], DataFrame] = lambda df: df,
     available_now: bool = True,
+    order: Sequence[str] = (),
 ) -> StreamingQuery:
     """Append results of new keys to a Parquet table, batch by batch.
 
-    Each micro-batch is compared with the table itself, so the state does not grow in
-    memory; a batch that runs again after a failure overwrites its own folder.
+    Each micro-batch is compared with the keys in the table, whoever wrote them, so a new
+    checkpoint over an old table adds to it. A folder is named by checkpoint and batch
+    number: a batch that runs again after a failure overwrites its own folder and nothing
+    else. Of rows with equal keys in a batch the first by ``order`` is taken; without an
+    order, the first by all columns.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(keys))
-        done = _earlier(spark, results_path, number)
+        own = f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{number}"
+        fresh = first_by(batch, list(keys), [F.col(c) for c in order or batch.columns])
+        done = _others(spark, results_path, own)
         if done is not None:
             fresh = new_rows(fresh, done, keys)
-        work(fresh).write.mode("overwrite").parquet(f"{results_path}/batch={number}")
+        work(fresh).write.mode("overwrite").parquet(f"{results_path}/batch={own}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:
@@ -53,8 +61,12 @@ def intake(
     return writer.start()
 
 
-def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """Results of the batches before ``number``; the first batch has none."""
-    if number == 0:
+def _others(spark: SparkSession, path: str, own: str) -> DataFrame | None:
+    """Results of all other batches; none while there is no table."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as gone:
+        if gone.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
-    return spark.read.parquet(path).where(f"batch < {number}")
+    return table.where(F.col("batch").cast("string") != own)
