@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayline import fixed_values as V
+from assayline.functions import answers
 from assayline.operators import aggregate as A
 from assayline.operators import vote
 
@@ -76,9 +78,61 @@ register_aggregation("weighted_perplexity")(
     lambda pair: A.weighted_perplexity(pair["ll"], pair["size"])
 )
 register_aggregation("bits_per_byte")(lambda pair: A.bits_per_byte(pair["ll"], pair["size"]))
-register_filter("take_first")(vote.take_first)
-register_filter("take_first_k")(vote.take_first_k)
+
+
+def _on_answer(build: Callable[..., Column]) -> Callable[..., DataFrame]:
+    """Filter step that rewrites the answer column."""
+
+    def step(df: DataFrame, keys: Sequence[str], idx: str, answer: str, **options) -> DataFrame:
+        return df.withColumn(answer, build(F.col(answer), **options))
+
+    return step
+
+
+register_filter("take_first")(lambda df, keys, idx, answer: vote.take_first(df, keys, idx))
+register_filter("take_first_k")(
+    lambda df, keys, idx, answer, **options: vote.take_first_k(df, keys, idx, **options)
+)
 register_filter("majority_vote")(vote.majority_vote)
+register_filter("regex")(
+    _on_answer(
+        lambda col, regex_pattern, group_select=0, fallback=V.INVALID: answers.regex_filter(
+            col, regex_pattern, group_select, fallback
+        )
+    )
+)
+register_filter("multi_choice_regex")(
+    _on_answer(
+        lambda col, regex_pattern, choices, **options: answers.choice_regex(
+            col, regex_pattern, F.col(choices), **options
+        )
+    )
+)
+register_filter("map")(
+    _on_answer(
+        lambda col, mapping_dict, default_value=None: answers.map_values(
+            col, mapping_dict, default_value
+        )
+    )
+)
+register_filter("lowercase")(_on_answer(F.lower))
+register_filter("uppercase")(_on_answer(F.upper))
+register_filter("remove_whitespace")(_on_answer(answers.ltrim_space))
+
+
+def filter_chains(
+    declared: Sequence[Mapping], keys: Sequence[str], idx: str, answer: str
+) -> dict[str, list[Step]]:
+    """Chains for ``apply_filters`` from a declared list, as in a task file:
+    ``[{"name": ..., "filter": [{"function": "regex", "regex_pattern": ...}, ...]}, ...]``.
+    """
+
+    def step(options: Mapping) -> Step:
+        build = FILTERS[options["function"]]
+        rest = {k: v for k, v in options.items() if k != "function"}
+        return lambda df: build(df, keys, idx, answer, **rest)
+
+    return {chain["name"]: [step(o) for o in chain["filter"]] for chain in declared}
 
 
 def evaluate_metrics(

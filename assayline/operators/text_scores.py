@@ -1,17 +1,18 @@
 """Token, n-gram and edit scores between predictions and references.
 
-Overlaps are counted relationally: grams of both sides become rows, meet by
-(sample, gram) and are summed per sample, so one long text is spread over tasks and
-no pair of texts is compared gram by gram.
+Overlaps are counted inside the row: both sides of a sample lie in it, so no gram is
+shuffled, and only counts leave the task. Samples with equal ids stay apart.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from assayline import fixed_values as V
 from assayline.functions.answers import normalize_qa
 from assayline.functions.rewrite import apply_rules, trim_space
-from assayline.functions.text import gram_at, gram_starts, words
+from assayline.functions.text import words
 
 
 def overlap(
@@ -30,33 +31,26 @@ def overlap(
     orders: Sequence[int] = (1,),
 ) -> DataFrame:
     """Per sample and order k: shared grams ``match_k``, and gram counts ``pred_k`` and
-    ``ref_k`` of the token arrays ``pred`` and ``ref``."""
-
-    def grams(col: str, k: int, side: int) -> Column:
-        arr = F.col(col)
-        return F.transform(
-            gram_starts(arr, k),
-            lambda i: F.struct(
-                F.lit(k).alias("k"),
-                gram_at(arr, i, k).alias("gram"),
-                F.lit(1 - side).cast("long").alias("p"),
-                F.lit(side).cast("long").alias("r"),
-            ),
-        )
+    ``ref_k`` of the token arrays ``pred`` and ``ref``; a null array has no grams."""
+    names = [f"{n}_{k}" for k in orders for n in ("match", "pred", "ref")]
 
-    both = F.concat(*[grams(c, k, s) for k in orders for s, c in enumerate((pred, ref))])
-    rows = df.select(*ids, F.inline(both))
-    per_gram = rows.groupBy(*ids, "k", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    shared = F.least("p", "r")
-    sums = per_gram.groupBy(*ids).agg(
-        *[
-            F.sum(F.when(F.col("k") == k, value)).alias(f"{name}_{k}")
-            for k in orders
-            for name, value in (("match", shared), ("pred", F.col("p")), ("ref", F.col("r")))
+    @F.arrow_udf(", ".join(f"{n} long" for n in names))
+    def count(preds: pa.Array, refs: pa.Array) -> pa.Array:
+        out = [
+            [n for k in orders for n in shared_grams(p or [], r or [], k)]
+            for p, r in zip(preds.to_pylist(), refs.to_pylist())
         ]
-    )
-    names = [f"{n}_{k}" for k in orders for n in ("match", "pred", "ref")]
-    return df.select(*ids).join(sums, list(ids), "left").fillna(0, names)
+        cols = list(zip(*out)) or [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    return df.select(*ids, count(F.col(pred), F.col(ref)).alias("_o")).select(*ids, "_o.*")
+
+
+def shared_grams(pred: list[str], ref: list[str], k: int) -> tuple[int, int, int]:
+    """Grams in both lists, counted as often as in the poorer one, and grams of each."""
+    p, r = (Counter(zip(*[side[i:] for i in range(k)]) if k > 1 else side) for side in (pred, ref))
+    both = sum([min(n, r[gram]) for gram, n in p.items() if gram in r])
+    return both, max(0, len(pred) - k + 1), max(0, len(ref) - k + 1)
 
 
 def f_from_counts(match: Column, pred: Column, ref: Column) -> Column:
@@ -82,11 +76,11 @@ def token_scores(
         *ids, (F.col("_p") == F.col("_r")).cast("int").alias("em"),
         words(F.col("_p")).alias("_pw"), words(F.col("_r")).alias("_rw"),
     )
-    counts = overlap(rows, ids, "_pw", "_rw")
+    counts = overlap(rows, [*ids, "em"], "_pw", "_rw")
     f1 = f_from_counts(F.col("match_1"), F.col("pred_1"), F.col("ref_1"))
     if not empty_agrees:
         f1 = F.when(F.col("match_1") == 0, 0.0).otherwise(f1)
-    return counts.join(rows.select(*ids, "em"), list(ids)).select(*ids, "em", f1.alias("f1"))
+    return counts.select(*ids, "em", f1.alias("f1"))
 
 
 def max_over_refs(
@@ -257,10 +251,8 @@ def rouge1(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> DataFrame:
     """Mean ROUGE-1 and mean length in words, after cleaning both texts."""
     tidy = df.select(
         *ids, clean_summary(F.col(pred)).alias("_cp"), clean_summary(F.col(ref)).alias("_cr")
-    )
-    score = rouge_n(tidy, ids, "_cp", "_cr", 1)
-    sizes = tidy.select(*ids, F.size(words(F.col("_cp"))).alias("_len"))
-    return score.join(sizes, list(ids)).agg(
+    ).withColumn("_len", F.size(words(F.col("_cp"))))
+    return rouge_n(tidy, [*ids, "_len"], "_cp", "_cr", 1).agg(
         F.avg("rouge1").alias("rouge1"), F.avg("_len").alias("average_len")
     )
 

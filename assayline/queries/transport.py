@@ -324,10 +324,8 @@ def _(spark, sf):
     "SELECT user_id, upper(event_type) AS event_type, value FROM events",
 )
 def _(spark, sf):
-    if "uppercase" not in R.FILTERS:
-        R.register_filter("uppercase")(lambda df, col: df.withColumn(col, F.upper(col)))
     rows = table(spark, sf, "events").select("user_id", "event_type", "value")
-    return R.FILTERS["uppercase"](rows, "event_type")
+    return R.FILTERS["uppercase"](rows, ["user_id"], "event_id", "event_type")
 
 
 @query(

@@ -5,6 +5,7 @@ Question = user, answer = event type, order = event id, weight = value.
 
 from pyspark.sql import functions as F
 
+from assayline.operators import registry as R
 from assayline.operators import trees
 from assayline.operators import vote as V
 from assayline.operators.scale import numbered
@@ -70,6 +71,46 @@ def _(spark, sf):
     return V.apply_filters(events(spark, sf), chains).select("filter", "user_id", "event_type")
 
 
+MAPPED8 = """(SELECT user_id, event_id, CASE letters WHEN 'CLI' THEN 'click' WHEN 'PUR' THEN 'buy'
+    ELSE 'other' END AS event_type FROM (SELECT *, coalesce(nullif(trim(regexp_extract(upper(event_type),
+    '^([A-Z]{3})', 1)), ''), '[invalid]') AS letters FROM """ + FIRST8 + """))"""
+
+
+@query(
+    "j4_named_filters",
+    f"""SELECT 'regex-first' AS filter, user_id, coalesce(nullif(regexp_extract(event_type, '([a-m]+)', 1), ''),
+          '[invalid]') AS event_type FROM events
+          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1
+        UNION ALL SELECT 'map-maj@8', user_id, event_type FROM ({MAJ.format(src=MAPPED8)})""",
+)
+def _(spark, sf):
+    declared = [
+        {
+            "name": "regex-first",
+            "filter": [
+                {"function": "regex", "regex_pattern": "([a-m]+)"},
+                {"function": "take_first"},
+            ],
+        },
+        {
+            "name": "map-maj@8",
+            "filter": [
+                {"function": "take_first_k", "k": 8, "check": False},
+                {"function": "uppercase"},
+                {"function": "regex", "regex_pattern": "^([A-Z]{3})"},
+                {
+                    "function": "map",
+                    "mapping_dict": {"CLI": "click", "PUR": "buy"},
+                    "default_value": "other",
+                },
+                {"function": "majority_vote"},
+            ],
+        },
+    ]
+    chains = R.filter_chains(declared, Q, "event_id", "event_type")
+    return V.apply_filters(events(spark, sf), chains).select("filter", "user_id", "event_type")
+
+
 @query(
     "j5_agg_steps",
     """WITH s AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CASE WHEN abs(x) > 0.2 THEN NULL
