@@ -136,18 +136,28 @@ def filter_chains(
 
 
 def evaluate_metrics(
-    df: DataFrame, keys: Sequence[str], scores: Mapping[str, Sequence[Column]]
+    df: DataFrame,
+    keys: Sequence[str],
+    scores: Mapping[str, Sequence[Column]],
+    errors: bool = False,
 ) -> DataFrame:
-    """Aggregate registered metrics in one pass: metric name to its score arguments."""
+    """Aggregate registered metrics in one pass: metric name to its score arguments.
+
+    With ``errors`` every metric has a column ``<name>_stderr``: the standard error of the
+    mean for metrics aggregated by ``mean``, null (shown as N/A) for fewer than two rows and
+    for other aggregations, whose error ``bootstrap_stderr`` estimates.
+    """
     rows = df.withColumns(
         {f"_m_{name}": METRICS[name].score(*args) for name, args in scores.items()}
     )
-    return rows.groupBy(*keys).agg(
-        *[
-            AGGREGATIONS[METRICS[name].aggregation](F.col(f"_m_{name}")).alias(name)
-            for name in scores
-        ]
-    )
+    out = []
+    for name in scores:
+        how, value = METRICS[name].aggregation, F.col(f"_m_{name}")
+        out.append(AGGREGATIONS[how](value).alias(name))
+        if errors:
+            error = A.mean_stderr(value) if how == "mean" else F.max(F.lit(None).cast("double"))
+            out.append(error.alias(f"{name}_stderr"))
+    return rows.groupBy(*keys).agg(*out)
 
 
 @dataclass

@@ -16,6 +16,7 @@ from assayline.session import materialize
 
 CHUNK_ROWS = 1 << 20
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 HASH_ROWS = 1 << 16
 RANK_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 SPARSE = 4  # id range over rows from which on ids count as sparse
@@ -27,9 +28,27 @@ def chunk_of(order: str, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(order) / F.lit(rows)).cast("long")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; larger inputs are left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def _row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: texts and nested values by their length, others 8 bytes."""
+    total = F.lit(0)
+    for name, kind in df.dtypes:
+        col = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(col), F.lit(0))
+        elif "<" in kind:
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Broadcast hint only within a bound of rows and of bytes; larger inputs are left to a
+    shuffle join."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 def running(

@@ -149,9 +149,8 @@ def _(spark, sf):
     rows = table(spark, sf, "part").select(
         "p_partkey", said.alias("said"), F.array("p_brand", "p_type", F.concat(F.lit(" "), "p_name")).alias("choices")
     )
-    out = X.choice_regex(F.col("said"), r"\(([A-Z])\)", F.col("choices"), ignore_case=False)
-    bare = F.when(out.rlike("^[A-Z]$"), F.concat(F.lit("("), out, F.lit(")"))).otherwise(out)
-    return rows.select("p_partkey", bare.alias("letter"))
+    out = X.choice_regex(F.col("said"), r"(\([A-Z]\))", F.col("choices"), ignore_case=False)
+    return rows.select("p_partkey", out.alias("letter"))
 
 
 @query(

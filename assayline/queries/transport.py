@@ -306,6 +306,22 @@ def _(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ["over_fifty", "spread"]})
 
 
+@query(
+    "n1_metric_errors",
+    """SELECT event_type, round(avg(CAST(value > 20 AS INT)), 6) AS over_twenty,
+       round(stddev_samp(CAST(value > 20 AS INT)) / sqrt(count(*)), 6) AS over_twenty_stderr,
+       round(median(value), 6) AS middle, CAST(NULL AS DOUBLE) AS middle_stderr FROM events GROUP BY 1""",
+)
+def _(spark, sf):
+    if "over_twenty" not in R.METRICS:
+        R.register_metric("over_twenty")(lambda v: (v > 20).cast("int"))
+        R.register_metric("middle", aggregation="median")(lambda v: v)
+    value = F.col("value")
+    scores = {"over_twenty": [value], "middle": [value]}
+    out = R.evaluate_metrics(table(spark, sf, "events"), ["event_type"], scores, errors=True)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "event_type"})
+
+
 @query(
     "n2_aggregation_registry",
     "SELECT l_returnflag, round(max(l_tax), 6) AS largest FROM lineitem GROUP BY 1",
