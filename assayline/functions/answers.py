@@ -392,6 +392,16 @@ def grade_tuple(given: Column, truth: Column) -> Column:
     return F.coalesce(same, no) | F.coalesce(let(forms, by_text), no)
 
 
+def answer_class(answer: Column) -> Column:
+    """One text for all answers graded as equal: the grader's form of the competition form.
+
+    A class has to be a key, so the two forms are taken one after the other instead of
+    either of them agreeing.
+    """
+    bare = trim_space(F.regexp_replace(trim_space(answer), r"^\\text\{(.+?)\}$", "$1"))
+    return normalize_math(normalize_math(bare, "competition"), "grader")
+
+
 # --- phrases -----------------------------------------------------------------------
 
 

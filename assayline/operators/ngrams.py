@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -127,12 +127,17 @@ def decontaminate_sources(
     text: str,
     test_text: str,
     n: int = QUESTION_NGRAM,
+    select: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ordered fold: kept rows of a source protect all later sources.
 
-    Every text is scanned once into 64-bit gram hashes, stored by source. The loop runs
-    over sources, not rows: it joins hashes to find suspects, and compares grams as
-    text only between suspects and the rows that share a hash with them.
+    ``select`` picks among the clean rows of a source; rows it leaves out are dropped and
+    protect nothing.
+
+    Only a gram that is protected or met in two sources can decide anything: one count by
+    64-bit hash finds those, and only their rows are stored, by source. The loop runs over
+    sources, not rows, on that table: it joins hashes to find suspects, and compares grams
+    as text only between suspects and the rows that share a hash with them.
     """
     place = ["source_rank", *ids]
     rows = [
@@ -141,9 +146,12 @@ def decontaminate_sources(
     rows = reduce(DataFrame.unionByName, rows)
     hashes = F.transform(grams(normalize(F.col(text)), n), lambda g: F.xxhash64(g))
     hashed = rows.select(*place, F.explode(F.array_distinct(hashes)).alias("_g"))
-    hashed = materialize(hashed, "hashes", ["source_rank"])
     fixed = ngram_rows(test, [], test_text, n).distinct()
     fixed = materialize(fixed.withColumn("_g", F.xxhash64("ngram")), "grams")
+    met = hashed.groupBy("_g").agg(F.min("source_rank").alias("lo"), F.max("source_rank").alias("hi"))
+    deciding = met.where("lo < hi").select("_g").unionByName(fixed.select("_g")).distinct()
+    deciding = broadcast_if_small(materialize(deciding, "deciding"))
+    hashed = materialize(hashed.join(deciding, "_g", "left_semi"), "hashes", ["source_rank"])
 
     removed: DataFrame | None = None
     for rank, source in enumerate(sources):
@@ -172,6 +180,12 @@ def decontaminate_sources(
         agreed = wanted_grams(suspects, ids).join(proof, "ngram", "left_semi")
         flagged = agreed.select(F.lit(rank).alias("source_rank"), *ids).distinct()
         flagged = materialize(flagged, "flagged")
+        if select is not None:
+            bad = broadcast_if_small(flagged.select(*ids))
+            picked = select(source.join(bad, list(ids), "left_anti")).select(*ids)
+            picked = broadcast_if_small(materialize(picked, "picked"))
+            left = source.select(*ids).join(picked, list(ids), "left_anti").distinct()
+            flagged = materialize(left.select(F.lit(rank).alias("source_rank"), *ids), "left-out")
         removed = flagged if removed is None else removed.unionByName(flagged)
 
     marked = [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)]

@@ -97,9 +97,14 @@ def weighted_vote(
     idx: str,
     answer: str,
     weight: Column | None = None,
+    same: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Vote over answer classes by running weight (plain vote: every weight is 1).
 
+    Answers are of one class if ``same`` maps them to one value (the answer itself if not
+    given; ``answers.answer_class`` for graded equality). The text shown is that of the
+    response with which the class took the lead.
+
     The lead changes only when a *repeated* answer's running weight exceeds the best
     so far; an unrepeated answer leads only while the best is still zero. Weights
     must not be negative. So the winner is the first response that has weight, or
@@ -108,9 +113,13 @@ def weighted_vote(
     """
     one = F.lit(1).cast("long")
     rows = df.select(
-        *keys, idx, answer, (F.lit(1.0) if weight is None else weight).cast("double").alias("_w")
+        *keys,
+        idx,
+        answer,
+        (F.lit(1.0) if weight is None else weight).cast("double").alias("_w"),
+        (same or (lambda a: a))(F.col(answer)).alias("_class"),
     )
-    rows = running(rows, [*keys, answer], idx, {"_run": F.col("_w"), "_seen": one})
+    rows = running(rows, [*keys, "_class"], idx, {"_run": F.col("_w"), "_seen": one})
     is_repeat, order = F.col("_seen") > 1, -F.col(idx)
     cell = F.struct(F.col("_run").alias("run"), order.alias("o"), F.col(answer).alias("a"))
     opening = F.struct(F.col(idx).alias("i"), F.col("_run").alias("run"), F.col(answer).alias("a"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from assayline.fixed_values import CLEAN_MAX_MATCHES, CLEAN_MIN_CHARS, CLEAN_WINDOW
 from assayline.functions import text as T
 from assayline.operators import ngrams as N
 from assayline.operators import selection as S
@@ -78,13 +79,13 @@ def _(spark, sf):
 LANGS = ["en", "de", "es", "fr"]
 
 
-def _fold_sql() -> str:
+def _fold_sql(pick: str = "") -> str:
     parts = [f"g0 AS MATERIALIZED (SELECT DISTINCT ngram FROM ({BEN8}))"]
     parts.append(f"d AS MATERIALIZED ({DOC8})")
     for i, lang in enumerate(LANGS):
         parts.append(
             f"k{i} AS MATERIALIZED (SELECT doc_id FROM documents WHERE lang = '{lang}' AND doc_id NOT IN "
-            f"(SELECT doc_id FROM d WHERE ngram IN (SELECT ngram FROM g{i})))"
+            f"(SELECT doc_id FROM d WHERE ngram IN (SELECT ngram FROM g{i})) {pick})"
         )
         parts.append(
             f"g{i + 1} AS MATERIALIZED (SELECT ngram FROM g{i} UNION "
@@ -107,6 +108,23 @@ def _(spark, sf):
     return kept.select("doc_id", "source_rank")
 
 
+@query(
+    "c6_select_sources",
+    _fold_sql("QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"),
+)
+def _(spark, sf):
+    docs = texts(spark, sf)
+    kept = N.decontaminate_sources(
+        [docs.where(F.col("lang") == lang) for lang in LANGS],
+        table(spark, sf, "benchmark"),
+        ["doc_id"],
+        "text",
+        "text",
+        select=lambda clean: S.dedup_first(clean, "text", ["doc_id"]),
+    )
+    return kept.select("doc_id", "source_rank")
+
+
 @query("c7_normalize_strict", f"SELECT item_id, {strict('text')} AS norm FROM benchmark")
 def _(spark, sf):
     return table(spark, sf, "benchmark").select(
@@ -114,24 +132,38 @@ def _(spark, sf):
     )
 
 
-@query(
-    "c7_ngrams_with_offsets",
-    # every gram of single-space text starts where the words before it end
-    """WITH w AS (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark),
-       p AS (SELECT item_id, w, unnest(range(1, len(w) - 5 + 2)) AS i FROM w)
-       SELECT item_id, array_to_string(w[i:i + 4], ' ') AS ngram,
-         CAST(coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS start,
-         CAST(coalesce(list_sum(list_transform(w[1:i + 4], lambda x: length(x) + 1)), 0) - 2 AS INTEGER) AS stop
-       FROM p""",
-)
+def positions_sql(n: int) -> str:
+    """CTEs ending in ``placed``: (doc_id, ngram, start, stop) of the raw document texts. A word
+    starts after all words and all white space before it."""
+    words = ", ".join(f"lead(word, {k}) OVER o" for k in range(1, n))
+    return f"""t AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w,
+          regexp_split_to_array(text, '\\S+') AS s FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS word, unnest(s[1:len(w)]) AS gap, unnest(range(1, len(w) + 1)) AS i FROM t),
+        q AS (SELECT doc_id, i, word, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM p),
+        placed AS (SELECT doc_id, concat_ws(' ', word, {words}) AS ngram, CAST(after - length(word) AS INTEGER) AS start,
+          CAST(lead(after, {n - 1}) OVER o - 1 AS INTEGER) AS stop FROM q
+          WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(after, {n - 1}) OVER o IS NOT NULL)"""
+
+
+@query("c7_ngrams_with_offsets", f"WITH {positions_sql(5)} SELECT * FROM placed")
 def _(spark, sf):
-    flat = table(spark, sf, "benchmark").withColumn(
-        "text", F.trim(F.regexp_replace("text", r"\s+", " "))
-    )
-    return N.ngrams_with_offsets(flat, ["item_id"], "text", 5)
+    return N.ngrams_with_offsets(texts(spark, sf), ["doc_id"], "text", 5)
 
 
-@query("c8_clean_chunks")
+@query(
+    "c8_clean_chunks",
+    f"""WITH {positions_sql(8)},
+        h AS (SELECT doc_id, start, stop FROM placed WHERE {strict("ngram")} IN
+          (SELECT ngram FROM ({grams("benchmark", "", 8, strict("text"))}))),
+        e AS (SELECT h.doc_id, text, length(text) AS size, greatest(0, start - {CLEAN_WINDOW}) AS l,
+            least(length(text), stop + {CLEAN_WINDOW}) AS r, row_number() OVER v AS i, count(*) OVER (PARTITION BY h.doc_id) AS n
+          FROM h JOIN documents d ON d.doc_id = h.doc_id WINDOW v AS (PARTITION BY h.doc_id ORDER BY start, stop)),
+        c AS (SELECT *, coalesce(lag(r) OVER (PARTITION BY doc_id ORDER BY i), 0) AS b FROM e WHERE n <= {CLEAN_MAX_MATCHES}),
+        o AS (SELECT doc_id, 2 * i AS i, substring(text, b + 1, l - b) AS chunk FROM c WHERE l - b > {CLEAN_MIN_CHARS}
+          UNION ALL SELECT doc_id, 2 * i + 1, substring(text, r + 2) FROM c WHERE i = n AND r < size - {CLEAN_MIN_CHARS}
+          UNION ALL SELECT doc_id, 1, text FROM documents WHERE length(text) >= {CLEAN_MIN_CHARS} AND doc_id NOT IN (SELECT doc_id FROM h))
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, chunk FROM o""",
+)
 def _(spark, sf):
     dirty = N.dirty_ngrams(table(spark, sf, "benchmark"), "text", 8)
     return N.clean_chunks(texts(spark, sf), dirty, "doc_id", "text", n=8)
@@ -139,12 +171,12 @@ def _(spark, sf):
 
 @query(
     "c9_write_ngram_index",
-    f"SELECT ngram, item_id FROM ({grams('benchmark', 'item_id', 13, strict('text'))})",
+    f"SELECT ngram, doc_id FROM ({grams('documents', 'doc_id', 13, strict('text'))})",
 )
 def _(spark, sf):
     path = scratch_path(spark, "grams13")
-    N.write_ngram_index(table(spark, sf, "benchmark"), path, "item_id", "text", 13, buckets=16)
-    return spark.read.parquet(path).select("ngram", "item_id")
+    N.write_ngram_index(texts(spark, sf), path, "doc_id", "text", 13, buckets=16)
+    return spark.read.parquet(path).select("ngram", "doc_id")
 
 
 @query(

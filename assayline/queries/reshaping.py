@@ -359,8 +359,14 @@ def _(spark, sf):
 
 @query(
     "b20_explode_sheets",
-    """SELECT s_suppkey, CAST(n AS INT) AS question_no, length(s_name) + length(CAST(s_nationkey AS VARCHAR)) AS gap, 'x' || CAST(n AS VARCHAR) || '=' || s_name AS answers
-       FROM supplier, (SELECT unnest([0, 1]) AS n)""",
+    """WITH s AS (SELECT s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS pre, CAST(n AS INT) AS question_no, chr(10) AS nl,
+          chr(10) || 'Part ' || n || chr(10) || 'x' || n || ' ' || s_name || chr(10) AS own,
+          chr(10) || 'Part 0' || chr(10) || 'x0 ' || s_name || chr(10) || chr(10) || 'Part 1' || chr(10) || 'x1 ' || s_name || chr(10) AS every
+          FROM supplier, (SELECT unnest([0, 1]) AS n)),
+        e AS (SELECT *, nl || nl || 'Now respond to the following questions:' || nl || own || nl || nl ||
+          'Format your response as a json file with the keys as provided below:' || nl || '{"x' || question_no || '":""}' || nl AS ask FROM s)
+       SELECT s_suppkey, question_no, pre || nl || s_name || pre || nl || every || ask AS prompt, pre || nl || every || ask AS nc_prompt,
+         'x' || question_no || '=' || s_name AS answers FROM e""",
 )
 def _(spark, sf):
     part = lambda i: F.struct(
@@ -380,9 +386,7 @@ def _(spark, sf):
     )
     out = B.explode_sheets(sheets, "s_suppkey", "preamble", "context", "questions")
     shown = F.concat_ws(",", F.transform(F.map_entries("answers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    # both prompts differ by the context line only
-    gap = F.length("prompt") - F.length("nc_prompt") - 1
-    return out.select("s_suppkey", "question_no", gap.alias("gap"), shown.alias("answers"))
+    return out.select("s_suppkey", "question_no", "prompt", "nc_prompt", shown.alias("answers"))
 
 
 @query(

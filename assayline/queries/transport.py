@@ -50,25 +50,36 @@ def _(spark, sf):
     return readers.read_corpus(spark, path).select("text", "meta")
 
 
-def supplier_files(spark, sf):
+def nation_files(spark, sf):
+    """A folder of results: one JSON file per nation, however many suppliers it has."""
     path = scratch_path(spark, "keyed")
-    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    rows = table(spark, sf, "supplier").groupBy("s_nationkey").agg(
+        F.count(F.lit(1)).alias("suppliers"), F.max("s_acctbal").alias("best")
+    )
     rows.write.option("maxRecordsPerFile", 1).json(path)
     return path
 
 
-SUPPLIER = "s_suppkey long, s_name string, s_acctbal double"
+NATION = "s_nationkey long, suppliers long, best double"
+NATION_SQL = "s_nationkey, count(*) AS suppliers, max(s_acctbal) AS best"
 
 
-@query("a5_read_keyed_json", "SELECT s_suppkey, s_name, s_acctbal, true AS keyed FROM supplier")
+@query(
+    "a5_read_keyed_json",
+    # the file stem as key tells the results apart
+    f"SELECT {NATION_SQL}, 1 AS results, true AS stem FROM supplier GROUP BY 1",
+)
 def _(spark, sf):
-    out = readers.read_keyed_json(spark, supplier_files(spark, sf), SUPPLIER)
-    return out.select("s_suppkey", "s_name", "s_acctbal", F.startswith("key", F.lit("part-")).alias("keyed"))
+    out = readers.read_keyed_json(spark, nation_files(spark, sf), NATION)
+    stem = ~F.contains("key", F.lit("/")) & ~F.endswith("key", F.lit(".json"))
+    columns = [F.max(c).alias(c) for c in ("s_nationkey", "suppliers", "best")]
+    per_key = out.groupBy("key").agg(*columns, F.count(F.lit(1)).alias("results"))
+    return per_key.withColumn("stem", stem).drop("key")
 
 
-@query("a6_combine_json", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+@query("a6_combine_json", f"SELECT {NATION_SQL} FROM supplier GROUP BY 1")
 def _(spark, sf):
-    return readers.combine_json(spark, supplier_files(spark, sf), SUPPLIER)
+    return readers.combine_json(spark, nation_files(spark, sf), NATION)
 
 
 @query("a7_merge_shards", 'SELECT lang AS task, doc_id AS "index", source FROM documents')
@@ -99,12 +110,23 @@ def _(spark, sf):
     return readers.latest_results(files, "model", "file")
 
 
-@query("a9_write_results", "SELECT source, count(*) AS n FROM documents GROUP BY 1")
+@query(
+    "a9_write_results",
+    """SELECT source, count(*) AS n, count(*) AS samples, min(doc_id) AS first, max(doc_id) AS last,
+       CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY 1""",
+)
 def _(spark, sf):
     path = scratch_path(spark, "results")
-    docs = table(spark, sf, "documents").select("doc_id", "source")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     writers.write_results(docs, docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), path)
-    return spark.read.schema("source string, n long").json(f"{path}/summary")
+    samples = spark.read.schema("doc_id long, source string, text string").json(f"{path}/samples")
+    back = samples.groupBy("source").agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.min("doc_id").alias("first"),
+        F.max("doc_id").alias("last"),
+        F.sum(F.length("text")).alias("characters"),
+    )
+    return spark.read.schema("source string, n long").json(f"{path}/summary").join(back, "source")
 
 
 @query("a10_write_dataset", "SELECT doc_id, lang, text FROM documents")

@@ -5,6 +5,7 @@ Question = user, answer = event type, order = event id, weight = value.
 
 from pyspark.sql import functions as F
 
+from assayline.functions.answers import answer_class
 from assayline.operators import registry as R
 from assayline.operators import trees
 from assayline.operators import vote as V
@@ -168,6 +169,24 @@ def _(spark, sf):
     return V.weighted_vote(events(spark, sf), Q, "event_id", "event_type")
 
 
+# three spellings of one half and two of seven
+SAID = """WITH said AS (SELECT user_id, event_id, CASE WHEN k < 3 THEN 'half' ELSE 'seven' END AS cls,
+      CASE k WHEN 0 THEN '1/2' WHEN 1 THEN '\\frac{1}{2}' WHEN 2 THEN '0.5' WHEN 3 THEN '7' ELSE '7.0' END AS event_type
+      FROM (SELECT *, CAST(floor(value) AS BIGINT) % 5 AS k FROM events)), r AS"""
+
+
+@query(
+    "j7_vote_classes",
+    VOTE.format(w="1.0").replace("user_id, event_type ORDER", "user_id, cls ORDER")
+    .replace("FROM events)", "FROM said)").replace("WITH r AS", SAID),
+)
+def _(spark, sf):
+    k = F.floor("value") % 5
+    spelled = F.element_at(F.array(*[F.lit(x) for x in ("1/2", "\\frac{1}{2}", "0.5", "7", "7.0")]), (k + 1).cast("int"))
+    rows = events(spark, sf).withColumn("event_type", spelled)
+    return V.weighted_vote(rows, Q, "event_id", "event_type", same=answer_class)
+
+
 @query(
     "g20_cov_maj_at_n",
     "WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events), "

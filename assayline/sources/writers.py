@@ -12,7 +12,7 @@ def write_results(samples: DataFrame, summary: DataFrame, path: str) -> None:
     """Per-sample JSON lines below ``path/samples`` and the summary (a few rows, as one
     JSON file) below ``path/summary``."""
     samples.write.json(f"{path}/samples")
-    summary.coalesce(1).write.json(f"{path}/summary")
+    summary.repartition(1).write.json(f"{path}/summary")
 
 
 def write_dataset(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

@@ -128,3 +128,25 @@ def test_corpus_is_the_same_packed_or_plain(spark, tmp_path):
         got = sorted((r["text"], r["meta"]) for r in readers.read_corpus(spark, str(folder)).collect())
         want = sorted([("one", "m"), ("a\n\nb", '{"k":1}'), ("bare", "{}")] * len(packed))
         assert got == want
+
+
+def test_vote_by_answer_class(spark):
+    from assayline.functions.answers import answer_class
+    from assayline.operators import vote
+
+    said = ["1/2", "7", "\\frac{1}{2}", "7"]
+    df = spark.createDataFrame([(1, i, a) for i, a in enumerate(said)], "q long, i long, a string")
+    assert vote.weighted_vote(df, ["q"], "i", "a", same=answer_class).first()["a"] == "\\frac{1}{2}"
+    assert vote.weighted_vote(df, ["q"], "i", "a").first()["a"] == "7"
+
+
+def test_left_out_rows_protect_nothing(spark):
+    from assayline.operators import ngrams
+
+    a = spark.createDataFrame([(1, "p q r s"), (2, "t u v w")], "id long, text string")
+    b = spark.createDataFrame([(3, "x p q r"), (4, "x t u v"), (5, "k l m n")], "id long, text string")
+    test = spark.createDataFrame([("l m n",)], "text string")
+    kept = ngrams.decontaminate_sources(
+        [a, b], test, ["id"], "text", "text", n=3, select=lambda d: d.where("id <> 2")
+    )
+    assert sorted(r["id"] for r in kept.collect()) == [1, 4]
