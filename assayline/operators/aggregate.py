@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -15,7 +16,6 @@ from assayline.operators.joins import leaf_tasks
 from assayline.operators.scale import first_k, ranked, running, running_in_order
 
 
-
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
@@ -428,10 +428,14 @@ def direction(df: DataFrame, keys: Sequence[str], higher_is_better: str) -> Data
     )
 
 
-def trace_columns(response: str, allowed_tokens: int | None = None) -> dict[str, Column]:
-    """Per-sample trace measures of a response with think and answer sections."""
+def trace_columns(
+    response: str, allowed_tokens: int | None = None, counted: bool = False
+) -> dict[str, Column]:
+    """Per-sample trace measures of a response with think and answer sections. In the
+    ``counted`` form every step says how many are left, and its own line is no part of it."""
     # fixed values: section markers and answer marks
     answer_mark, think_mark = "<|im_start|>answer", "<|im_start|>think"
+    section_mark, left_mark = "<|im_start|>", " steps left\n"
     text = F.col(response)
     before = F.substring_index(text, answer_mark, 1)
     lines = F.split(before, "\n")
@@ -439,13 +443,23 @@ def trace_columns(response: str, allowed_tokens: int | None = None) -> dict[str,
     after = F.when(text.contains(answer_mark), F.substring_index(text, answer_mark, -1))
     # the rest of the marker's own line does not belong to the answer
     body = F.regexp_replace(F.coalesce(after, F.lit("")), r"^[^\n]*\n", "")
+    step_count = F.size(lines) - 2
+    no_thinking = ~text.contains(think_mark)
+    if counted:
+        parts = F.split(text, re.escape(section_mark))
+        inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+        steps = F.transform(inner, lambda s: F.regexp_replace(s, r"^[^\n]*(\n|$)", ""))
+        step_count = F.size(F.split(text, left_mark)) - 1
+        no_thinking = ~text.contains(left_mark)
+        body = F.coalesce(F.get(F.split(text, re.escape(answer_mark)), F.lit(1)), F.lit(""))
     thinking_words = F.size(words(F.array_join(steps, "\n")))
     out = {
-        "steps": F.size(lines) - 2,
+        "steps": step_count,
+        "pieces": F.size(steps),
         "thinking_words": thinking_words,
         "total_words": F.size(words(text)),
         "answer_words": F.size(words(body)),
-        "no_thinking": ~text.contains(think_mark),
+        "no_thinking": no_thinking,
         "no_answer": ~text.contains("Answer:") & ~text.contains("\\boxed"),
     }
     if allowed_tokens is not None:
@@ -460,14 +474,17 @@ def trace_stats(
     allowed_steps: int | None = None,
     allowed_tokens: int | None = None,
     keys: Sequence[str] = (),
+    counted: bool = False,
 ) -> DataFrame:
     """Averages and extremes of step, thinking, answer and total lengths, and how many
-    samples lack thinking or an answer or go over the budget."""
-    rows = df.withColumns(trace_columns(response, allowed_tokens))
+    samples lack thinking or an answer or go over the budget. ``counted``: see
+    ``trace_columns``."""
+    rows = df.withColumns(trace_columns(response, allowed_tokens, counted))
     avg = lambda c: F.round(F.avg(c), 1)
     cols = [
         F.count(F.lit(1)).alias("samples"),
         avg("steps").alias("avg_steps"),
+        F.round(F.try_divide(F.sum("thinking_words"), F.sum("pieces")), 1).alias("avg_step"),
         F.min("thinking_words").alias("min_thinking"),
         F.max("thinking_words").alias("max_thinking"),
         avg("thinking_words").alias("avg_thinking"),

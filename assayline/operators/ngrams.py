@@ -25,7 +25,7 @@ from assayline.functions.text import (
     normalize_strict,
     word_spans,
 )
-from assayline.operators.scale import BROADCAST_ROWS, broadcast_if_small
+from assayline.operators.scale import BROADCAST_ROWS, broadcast_if_small, first_k
 from assayline.session import materialize
 
 
@@ -267,8 +267,10 @@ def clean_chunks(
     scanned = ngrams_with_offsets(suspects, [doc_id], text, n).withColumn(
         "ngram", normalize_strict(F.col("ngram"))
     )
-    hits = scanned.join(broadcast_if_small(dirty), "ngram", "left_semi")
-    spans = hits.groupBy(doc_id).agg(
+    hits = scanned.join(broadcast_if_small(dirty), "ngram", "left_semi").drop("ngram")
+    # one match more than allowed is enough to drop a document
+    few = first_k(hits, [doc_id], [F.col("start"), F.col("stop")], max_matches + 1)
+    spans = few.groupBy(doc_id).agg(
         F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans")
     )
     spans = materialize(spans, "spans")

@@ -53,6 +53,44 @@ def shared_grams(pred: list[str], ref: list[str], k: int) -> tuple[int, int, int
     return both, max(0, len(pred) - k + 1), max(0, len(ref) - k + 1)
 
 
+def overlap_refs(
+    df: DataFrame,
+    ids: Sequence[str],
+    pred: str,
+    refs: str,
+    orders: Sequence[int] = (1,),
+    length: str = "closest",
+) -> DataFrame:
+    """As ``overlap`` against several references, an array of token arrays: a gram counts as
+    often as in the reference that has most of it. ``ref_k`` is the gram count of the
+    ``closest`` (of two the shorter) or ``shortest`` reference; without references 0."""
+    names = [f"{n}_{k}" for k in orders for n in ("match", "pred", "ref")]
+
+    @F.arrow_udf(", ".join(f"{n} long" for n in names))
+    def count(preds: pa.Array, sides: pa.Array) -> pa.Array:
+        out = []
+        for p, known in zip(preds.to_pylist(), sides.to_pylist()):
+            p, known = p or [], [r or [] for r in known or []]
+            near = (lambda n, p=p: (abs(n - len(p)), n)) if length == "closest" else (lambda n: n)
+            size = min(map(len, known), key=near, default=0)
+            row = []
+            for k in orders:
+                most = Counter()
+                for r in known:
+                    most |= gram_counter(r, k)
+                own = gram_counter(p, k)
+                row += [(own & most).total(), own.total(), max(size - k + 1, 0)]
+            out.append(row)
+        cols = list(zip(*out)) or [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    return df.select(*ids, count(F.col(pred), F.col(refs)).alias("_o")).select(*ids, "_o.*")
+
+
+def gram_counter(tokens: list[str], k: int) -> Counter:
+    return Counter(zip(*[tokens[i:] for i in range(k)]))
+
+
 def f_from_counts(match: Column, pred: Column, ref: Column) -> Column:
     """F1 from overlap counts; two empty sides agree."""
     both = pred + ref
@@ -133,7 +171,7 @@ def group_best(
     ).withColumnRenamed("_n", "rows")
 
 
-# --- BLEU, chrF, ROUGE ------------------------------------------------------------
+# --- BLEU, chrF, ROUGE, TER ------------------------------------------------------------
 
 
 def translation_tokens(col: Column, lower: bool = False) -> Column:
@@ -150,15 +188,26 @@ ORDERS = tuple(range(1, V.BLEU_ORDER + 1))
 
 
 def bleu_sums(
-    df: DataFrame, ids: Sequence[str], pred: str, ref: str, tokens: Callable = translation_tokens
+    df: DataFrame,
+    ids: Sequence[str],
+    pred: str,
+    ref: str,
+    tokens: Callable = translation_tokens,
+    length: str = "closest",
 ) -> DataFrame:
+    """Gram counts per sample; ``ref`` is a text or an array of texts (several references)."""
+    if isinstance(df.schema[ref].dataType, T.ArrayType):
+        sides = F.transform(F.col(ref), lambda c: tokens(c))
+        split = df.select(*ids, tokens(F.col(pred)).alias("_p"), sides.alias("_r"))
+        return overlap_refs(split, ids, "_p", "_r", ORDERS, length)
     split = df.select(*ids, tokens(F.col(pred)).alias("_p"), tokens(F.col(ref)).alias("_r"))
     return overlap(split, ids, "_p", "_r", ORDERS)
 
 
 def smoothed_bleu4(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> DataFrame:
-    """Smoothed BLEU-4 per sample in percent: one is added to counts above unigrams."""
-    sums = bleu_sums(df, ids, pred, ref, code_tokens)
+    """Smoothed BLEU-4 per sample in percent: one is added to counts above unigrams. Of
+    several references the shortest gives the length."""
+    sums = bleu_sums(df, ids, pred, ref, code_tokens, "shortest")
     tiny = 2.2250738585072014e-308  # smallest normal double keeps log(0) finite
     logs = F.lit(0.0)
     for k in ORDERS:
@@ -307,10 +356,98 @@ def wer(df: DataFrame, pred: str, ref: str, keys: Sequence[str] = ()) -> DataFra
     return rows.groupBy(*keys).agg(F.try_divide(F.sum("_e"), F.sum("_n")).alias("wer"))
 
 
+#: Longest moved group of words and farthest move that TER looks at: part of its definition.
+SHIFT_WORDS, SHIFT_REACH = 10, 50
+
+
+def edit_path(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For two code arrays: which words of ``x`` and of ``y`` are matched on a cheapest edit
+    path, and where every word of ``y`` falls in ``x``."""
+    steps, rows = np.arange(len(y) + 1), [np.arange(len(y) + 1, dtype=np.int32)]
+    for i, word in enumerate(x, 1):
+        new = np.empty_like(rows[-1])
+        new[0] = i
+        new[1:] = np.minimum(rows[-1][1:] + 1, rows[-1][:-1] + (y != word))
+        rows.append((np.minimum.accumulate(new - steps) + steps).astype(np.int32))
+    fit_x, fit_y, place = np.zeros(len(x), bool), np.zeros(len(y), bool), np.zeros(len(y), int)
+    i, j = len(x), len(y)
+    while i or j:
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
+            i, j = i - 1, j - 1
+            fit_x[i] = fit_y[j] = x[i] == y[j]
+            place[j] = i
+        elif j and rows[i][j] == rows[i][j - 1] + 1:
+            j -= 1
+            place[j] = i
+        else:
+            i -= 1
+    return fit_x, fit_y, place
+
+
+def best_move(x: np.ndarray, y: np.ndarray, cost: int) -> tuple[int, np.ndarray]:
+    """Lowest distance after moving one group of words of ``x`` to where ``y`` has the same
+    group, and the words after the move; of equal gains the longer group, then the earlier.
+    Groups that fit already stay."""
+    fit_x, fit_y, place = edit_path(x, y)
+    best = (0, 0, 0, 0)
+    after = x
+    where: dict[int, list[int]] = {}
+    for j, word in enumerate(y):
+        where.setdefault(int(word), []).append(j)
+    for i in range(len(x)):
+        for j in where.get(int(x[i]), ()):
+            if abs(i - j) > SHIFT_REACH:
+                continue
+            for n in range(1, SHIFT_WORDS + 1):
+                if i + n > len(x) or j + n > len(y) or x[i + n - 1] != y[j + n - 1]:
+                    break
+                to = int(place[j])
+                if fit_x[i : i + n].all() or fit_y[j : j + n].all() or i <= to < i + n:
+                    continue
+                rest = np.delete(x, slice(i, i + n))
+                moved = np.insert(rest, to if to < i else to - n, x[i : i + n])
+                rank = (cost - edit_distance(moved, y), n, -i, -j)
+                if rank > best and rank[0] > 0:
+                    best, after = rank, moved
+    return cost - best[0], after
+
+
+def shifted_edits(pred: list[str], ref: list[str]) -> int:
+    """Edits with moves of word groups as one edit each, the best move first."""
+    x, y = _codes(list(pred), list(ref))
+    cost, moves = edit_distance(x, y), 0
+    while cost > 1:  # a move saves nothing below two edits
+        less, moved = best_move(x, y, cost)
+        if less == cost:
+            break
+        cost, x, moves = less, moved, moves + 1
+    return cost + moves
+
+
+MOVE_EDITS = T.StructType().add("edits", T.IntegerType()).add("size", T.DoubleType())
+
+
+@F.pandas_udf(MOVE_EDITS)
+def move_edits(preds: pd.Series, refs: pd.Series) -> pd.DataFrame:
+    """Fewest edits to any reference and the mean length of the references."""
+    out = [
+        (min((shifted_edits(p, r) for r in known), default=0), float(np.mean([len(r) for r in known] or [0])))
+        for p, known in zip(preds, refs)
+    ]
+    return pd.DataFrame(out, columns=["edits", "size"])
+
+
 def ter(df: DataFrame, pred: str, ref: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Edit rate in percent; moves of word groups count as edits (no shift search)."""
-    rows = wer(df, pred, ref, keys)
-    return rows.select(*keys, (100 * F.col("wer")).alias("ter"))
+    """Translation edit rate in percent, per key: insertions, deletions, replacements and
+    moves of word groups over reference words. ``ref`` is a text or an array of texts; the
+    nearest reference counts, over the mean length. A null text has no words."""
+    split = lambda c: words(F.coalesce(c, F.lit("")))
+    many = isinstance(df.schema[ref].dataType, T.ArrayType)
+    sides = F.transform(F.col(ref), lambda c: split(c)) if many else F.array(split(F.col(ref)))
+    sides = F.coalesce(sides, F.array().cast("array<array<string>>"))
+    rows = df.select(*keys, move_edits(split(F.col(pred)), sides).alias("_e"))
+    rate = F.try_divide(F.sum("_e.edits"), F.sum("_e.size"))
+    return rows.groupBy(*keys).agg((100 * rate).alias("ter"))
 
 
 def rouge_l(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> DataFrame:
@@ -323,12 +460,66 @@ def rouge_l(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> DataFrame
     return rows.select(*ids, F.coalesce(score, F.lit(0.0)).alias("rougeL"))
 
 
+def common_places(x: np.ndarray, y: np.ndarray) -> set[int]:
+    """Places in ``x`` of a longest common subsequence with ``y``. The table is kept as one
+    bit a cell."""
+    row, left = np.zeros(len(y) + 1, np.int32), []
+    for word in x:
+        new = row.copy()
+        new[1:] = np.maximum(row[1:], row[:-1] + (y == word))
+        new = np.maximum.accumulate(new)
+        left.append(np.packbits(new[:-1] > row[1:]))
+        row = new
+    found, i, j = set(), len(x) - 1, len(y) - 1
+    while i >= 0 and j >= 0:
+        if x[i] == y[j]:
+            found.add(i)
+            i, j = i - 1, j - 1
+        elif left[i][j >> 3] >> (7 - (j & 7)) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return found
+
+
+def summary_hits(pred: list[list[str]], ref: list[list[str]]) -> int:
+    """Words of the reference sentences on a common subsequence with any predicted sentence,
+    each at most as often as the prediction has it."""
+    code = {w: i for i, w in enumerate({w for s in [*pred, *ref] for w in s})}
+    sides = [[np.array([code[w] for w in s], int) for s in side] for side in (pred, ref)]
+    have = Counter(int(w) for s in sides[0] for w in s)
+    hits = 0
+    for sentence in sides[1]:
+        for i in sorted(set().union(*[common_places(sentence, p) for p in sides[0]])):
+            if have[int(sentence[i])] > 0:
+                have[int(sentence[i])] -= 1
+                hits += 1
+    return hits
+
+
+@F.pandas_udf(T.IntegerType())
+def common_summary(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([summary_hits(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def rouge_l_sum(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> DataFrame:
+    """Summary-level ROUGE-L F measure per sample: sentences end at " . " and at line ends.
+    A null text has no sentences."""
+    clean = lambda c: words(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    lines = lambda c: F.split(F.replace(F.coalesce(c, F.lit("")), F.lit(" . "), F.lit(".\n")), "\n")
+    split = lambda c: F.filter(F.transform(lines(F.col(c)), clean), lambda s: F.size(s) > 0)
+    rows = df.select(*ids, split(pred).alias("_p"), split(ref).alias("_r"))
+    both = F.size(F.flatten("_p")) + F.size(F.flatten("_r"))
+    score = F.try_divide(2.0 * common_summary("_p", "_r"), both)
+    return rows.select(*ids, F.coalesce(score, F.lit(0.0)).alias("rougeL"))
+
+
 def true_false_refs(
     df: DataFrame, ids: Sequence[str], pred: str, true_refs: str, false_refs: str, metric: str
 ) -> DataFrame:
     """Generation against true and false references: best true score, difference to
     the best false score, and whether the true side wins. Metric: bleu, rouge1,
-    rouge2 or rougeL, in percent."""
+    rouge2 or rougeL (summary-level), in percent."""
     dot = lambda r: F.when(r.endswith("."), r).otherwise(F.concat(r, F.lit(".")))
     tidy = lambda arr: F.transform(F.filter(F.transform(arr, trim_space), lambda r: r != ""), dot)
     plain = "I have no comment."
@@ -343,7 +534,7 @@ def true_false_refs(
     if metric == "bleu":
         scored = sample_bleu(long, keys, pred, "_ref").withColumnRenamed("bleu", "_s")
     elif metric == "rougeL":
-        scored = rouge_l(long, keys, pred, "_ref").withColumn("_s", 100 * F.col("rougeL"))
+        scored = rouge_l_sum(long, keys, pred, "_ref").withColumn("_s", 100 * F.col("rougeL"))
     else:
         n = int(metric.removeprefix("rouge"))
         scored = rouge_n(long, keys, pred, "_ref", n).withColumn("_s", 100 * F.col(f"rouge{n}"))

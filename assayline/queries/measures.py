@@ -364,6 +364,7 @@ def traces(spark, sf):
 @query(
     "h23_trace_stats",
     f"""WITH {TRACES} SELECT count(*) AS samples, round(avg(steps), 1) AS avg_steps, min(tw) AS min_thinking, max(tw) AS max_thinking,
+        round(sum(tw) / sum(greatest(steps, 0)), 1) AS avg_step,
         round(avg(tw), 1) AS avg_thinking, round(avg(aw), 1) AS avg_answer, round(avg(rw), 1) AS avg_total,
         count(*) FILTER (resp NOT LIKE '%Answer:%' AND resp NOT LIKE '%\\boxed%') AS without_answer,
         count(*) FILTER (resp NOT LIKE '%<|im_start|>think%') AS without_thinking,
@@ -375,6 +376,27 @@ def _(spark, sf):
     return out.withColumn("accuracy", F.round("accuracy", 6))
 
 
+# one counted step per line, one answer section
+COUNTED = """s AS (SELECT string_split(text, chr(10)) AS l, role, turn % 2 = 0 AS ok, text FROM conversations),
+    r AS (SELECT len(l) AS steps, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS tw, ok FROM s)"""
+
+
+@query(
+    "h23_counted_steps",
+    f"""WITH {COUNTED} SELECT count(*) AS samples, round(avg(steps), 1) AS avg_steps, round(sum(tw) / sum(steps), 1) AS avg_step,
+        min(tw) AS min_thinking, max(tw) AS max_thinking, round(avg(tw), 1) AS avg_thinking, 2.0 AS avg_answer,
+        round(avg(tw + 3 * steps + 3), 1) AS avg_total, 0 AS without_answer, 0 AS without_thinking,
+        count(*) FILTER (steps > 3) AS too_many_steps, round(avg(CAST(ok AS INT)), 6) AS accuracy FROM r""",
+)
+def _(spark, sf):
+    lines = F.split("text", "\n")
+    step = lambda s, i: F.concat(F.lit("<|im_start|>"), (F.size(lines) - i).cast("string"), F.lit(" steps left\n"), s)
+    resp = F.concat(F.array_join(F.transform(lines, step), "\n"), F.lit("\n<|im_start|>answer\nAnswer: "), "role")
+    rows = table(spark, sf, "conversations").select(resp.alias("resp"), (F.col("turn") % 2 == 0).alias("ok"))
+    out = A.trace_stats(rows, "resp", "ok", allowed_steps=3, counted=True)
+    return out.withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query(
     "h23_correctness_by_length",
     f"""WITH {TRACES.replace("SELECT conv_id, CASE", "SELECT conv_id * 1000 + turn AS idx, CASE", 1)}

@@ -123,6 +123,31 @@ def _(spark, sf):
     return out
 
 
+# order k of prediction against both true and the two false references
+TF_REFS = f"""(SELECT conv_id, turn * 10 + k AS turn, regexp_replace(lower({PRED}), '[^a-z0-9]+', ' ', 'g') AS p,
+      regexp_replace(lower(ref), '[^a-z0-9]+', ' ', 'g') AS r FROM (SELECT *,
+      unnest([CASE WHEN text LIKE '%.' THEN text ELSE text || '.' END, 'I have no comment.', role || '.',
+        CASE WHEN reverse(text) LIKE '%.' THEN reverse(text) ELSE reverse(text) || '.' END]) AS ref, unnest([0, 1, 2, 3]) AS k
+      FROM (SELECT * REPLACE (trim(text, ' ' || chr(10)) AS text) FROM conversations)))"""
+
+
+def _tf_sql() -> str:
+    union = " UNION ALL ".join(gram_counts(s, t, k) for k in (1, 2) for s, t in (("p", "pw"), ("r", "rw")))
+    best = lambda k: (
+        f"max(f) FILTER (k = {k} AND no < 2)", f"max(f) FILTER (k = {k} AND no >= 2)"
+    )
+    cols = ", ".join(
+        f"round({best(k)[0]}, 6) AS rouge{k}_max, round({best(k)[0]} - {best(k)[1]}, 6) AS rouge{k}_diff, "
+        f"CAST({best(k)[0]} > {best(k)[1]} AS INT) AS rouge{k}_acc" for k in (1, 2)
+    )
+    return f"""WITH x AS (SELECT conv_id, turn, {word_list('p')} AS pw, {word_list('r')} AS rw FROM {TF_REFS}),
+        g AS ({union}), c AS (SELECT conv_id, turn, k, g, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'r') AS r FROM g GROUP BY ALL),
+        m AS (SELECT conv_id, turn, k, 200.0 * sum(least(p, r)) / (sum(p) + sum(r)) AS f FROM c GROUP BY 1, 2, 3),
+        f AS (SELECT x.conv_id, x.turn // 10 AS turn, x.turn % 10 AS no, o.k, coalesce(m.f, 0.0) AS f
+          FROM x CROSS JOIN (SELECT unnest([1, 2]) AS k) o LEFT JOIN m ON m.conv_id = x.conv_id AND m.turn = x.turn AND m.k = o.k)
+        SELECT conv_id, turn, {cols} FROM f GROUP BY 1, 2"""
+
+
 def code_sql(col: str) -> str:
     """Token list of the code tokenizer, spaced again by the translation rules."""
     spaced = f"array_to_string(regexp_extract_all(lower(trim({col}, ' ' || chr(10))), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{M}}\\p{{N}}_]'), ' ')"
@@ -147,6 +172,18 @@ LOGS = " + ".join(
 )
 
 
+@query("g13_rouge_refs", _tf_sql())
+def _(spark, sf):
+    rows = turns(spark, sf).withColumns(
+        {"true_refs": F.array("ref", F.lit(" ")), "false_refs": F.array("role", F.reverse(F.btrim("ref", F.lit(" \n"))))}
+    )
+    one, two = (
+        S.true_false_refs(rows, IDS, "pred", "true_refs", "false_refs", m) for m in ("rouge1", "rouge2")
+    )
+    out = one.join(two, IDS)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("rouge") and not c.endswith("acc")})
+
+
 @query(
     "g14_smoothed_bleu4",
     f"""WITH x AS (SELECT conv_id, turn, {code_sql(PRED)} AS pw, {code_sql('text')} AS rw FROM conversations),
@@ -208,6 +245,39 @@ def _(spark, sf):
     return S.chrf(turns(spark, sf), IDS, "pred", "ref").withColumn("chrf", F.round("chrf", 6))
 
 
+MULTI = """SELECT conv_id, turn, k, g, count(*) FILTER (side = 'p') AS p,
+    greatest(count(*) FILTER (side = 'r'), count(*) FILTER (side = 'q')) AS r FROM g GROUP BY ALL"""
+
+
+@query(
+    "h12_corpus_bleu_refs",
+    # second reference: the text without its last word, which has the length of the prediction
+    f"""WITH x AS (SELECT conv_id, turn, {translation_sql(PRED)} AS pw, {translation_sql('text')} AS rw,
+          {translation_sql("regexp_replace(text, '\\s*\\S+$', '')")} AS qw FROM conversations),
+        g AS ({" UNION ALL ".join(gram_counts(s, t, k) for k in (1, 2, 3, 4) for s, t in (("p", "pw"), ("r", "rw"), ("q", "qw")))}),
+        c AS ({MULTI}),
+        s AS (SELECT {", ".join(f"CAST(sum(least(p, r)) FILTER (k = {k}) AS DOUBLE) AS m{k}, CAST(sum(p) FILTER (k = {k}) AS DOUBLE) AS p{k}" for k in (1, 2, 3, 4))},
+          (SELECT CAST(sum(CASE WHEN abs(len(qw) - len(pw)) <= abs(len(rw) - len(pw)) THEN len(qw) ELSE len(rw) END) AS DOUBLE) FROM x) AS r1 FROM c)
+        SELECT round(100 * CASE WHEN p1 < r1 THEN exp(1 - r1 / p1) ELSE 1 END * exp(({" + ".join(f"ln(m{k} / p{k})" for k in (1, 2, 3, 4))}) / 4), 6) AS bleu FROM s""",
+)
+def _(spark, sf):
+    cut = F.regexp_replace("ref", r"\s*\S+$", "")
+    rows = turns(spark, sf).withColumn("ref", F.array("ref", cut))
+    return S.corpus_bleu(rows, IDS, "pred", "ref").withColumn("bleu", F.round("bleu", 6))
+
+
+@query(
+    "h12_ter_moves",
+    # the first word is moved to the end: one edit, or two where that is too far for a move
+    f"""SELECT role, round(100.0 * coalesce(sum(CASE WHEN len(w) <= {S.SHIFT_REACH + 1} THEN 1 ELSE 2 END)
+          FILTER (len(w) > 1 AND w[1:len(w) - 1] <> w[2:]), 0) / sum(len(w)), 6) AS ter FROM (SELECT role, {word_list('text')} AS w FROM conversations) GROUP BY 1""",
+)
+def _(spark, sf):
+    first = F.regexp_extract("ref", r"(\S+)", 1)
+    rows = turns(spark, sf).withColumn("pred", F.concat_ws(" ", "pred", first))
+    return S.ter(rows, "pred", "ref", ["role"]).withColumn("ter", F.round("ter", 6))
+
+
 # the prediction only lacks the first word, so the edits are known
 @query(
     "h12_ter",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from assayline.operators import registry as R
-from assayline.operators import report, sets
+from assayline.operators import report, selection, sets
 from assayline.queries import query, table
 from assayline.session import scratch_path
 from assayline.sources import readers, writers
@@ -23,6 +23,24 @@ def _(spark, sf):
     return out.select("doc_id", "lang", "source", "n_chars")
 
 
+@query(
+    "a2_dedup_from_files",
+    # two sources of several sorted files each; the first of equal texts stays
+    """WITH p AS (SELECT doc_id, text, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS source_rank,
+          row_number() OVER (PARTITION BY lang = 'en' ORDER BY doc_id) - 1 AS row_idx FROM documents)
+       SELECT source_rank, row_idx, doc_id FROM p
+       QUALIFY row_number() OVER (PARTITION BY text ORDER BY source_rank, row_idx) = 1""",
+)
+def _(spark, sf):
+    base, docs = scratch_path(spark, "ordered"), table(spark, sf, "documents").select("doc_id", "text", "lang")
+    paths = [f"{base}/en", f"{base}/other"]
+    for path, rows in zip(paths, (docs.where("lang = 'en'"), docs.where("lang <> 'en' OR lang IS NULL"))):
+        rows.drop("lang").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    rows = readers.read_ordered(spark, paths)
+    out = selection.dedup_first(rows, "text", ["source_rank", "row_idx"])
+    return out.select("source_rank", "row_idx", "doc_id")
+
+
 @query("a3_read_subject_csv", "SELECT source AS subject, text AS question, lang AS answer FROM documents")
 def _(spark, sf):
     path = scratch_path(spark, "csv")

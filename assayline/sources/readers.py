@@ -8,9 +8,11 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayline.operators.scale import broadcast_if_small
+
 FILE_STEM = r"([^/]+?)(?:\.[^./]+)?$"
 
 
@@ -52,6 +54,28 @@ def read_split(spark: SparkSession, path: str, spread: bool = False) -> DataFram
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
+def read_ordered(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Parquet sources as one table with the places of their rows: ``source_rank`` is the
+    position in ``paths``, ``row_idx`` counts from 0 by file name and row in the file.
+
+    Places are the same on every run and partitioning. Rows are not shuffled: only one row
+    per file is counted up, and joined back by file. Sources need the same columns; a
+    source without rows adds none.
+    """
+    parts = []
+    for rank, path in enumerate(paths):
+        rows = spark.read.parquet(path).withColumns(
+            {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+        )
+        files = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+        earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+        placed = rows.join(broadcast_if_small(files.select("_file", start)), "_file")
+        place = {"source_rank": F.lit(rank), "row_idx": F.col("_start") + F.col("_row")}
+        parts.append(placed.withColumns(place).drop("_file", "_row", "_start"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_subject_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Header-less CSV files, one per subject; the subject is the file stem without a
     trailing ``_test``, ``_dev`` or ``_val``. Files in folders ``subject=...`` take it

@@ -295,3 +295,45 @@ def test_compare_runs_p_value(spark):
     z = 0.05 / math.sqrt(0.0008)
     assert row["z"] == pytest.approx(z)
     assert row["p_value"] == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-6)
+
+
+def test_moves_in_edit_rate():
+    said = "c d a b e".split()
+    assert TS.shifted_edits(said, "a b c d e".split()) == 1
+    assert TS.shifted_edits("a x b".split(), "a b".split()) == 1
+    assert TS.shifted_edits([], "a b".split()) == 2
+    assert TS.shifted_edits("a b".split(), "a b".split()) == 0
+    assert TS.shifted_edits("e a b c d".split(), "a b c d f e".split()) == 2  # a move and an insert
+
+
+def test_edit_path_is_cheapest():
+    rng = random.Random(5)
+    for _ in range(200):
+        x, y = (np.array([rng.randrange(4) for _ in range(rng.randrange(9))], int) for _ in "xy")
+        fit_x, fit_y, place = TS.edit_path(x, y)
+        assert fit_x.sum() == fit_y.sum()
+        at = place[fit_y]
+        assert (np.diff(at) > 0).all() and (x[at] == y[fit_y]).all() if len(at) else True
+        assert TS.shifted_edits(list(x), list(y)) <= TS.edit_distance(list(x), list(y))
+
+
+def test_summary_hits():
+    # union of two predicted sentences with one reference sentence: 4 of 5 words
+    ref = [["w1", "w2", "w3", "w4", "w5"]]
+    pred = [["w1", "w2", "w6", "w7", "w8"], ["w1", "w3", "w8", "w9", "w5"]]
+    assert TS.summary_hits(pred, ref) == 4
+    assert TS.summary_hits([], ref) == 0 and TS.summary_hits(pred, []) == 0
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([f"w{rng.randrange(5)}" for _ in range(rng.randrange(1, 20))] for _ in "ab")
+        assert TS.summary_hits([a], [b]) == TS.common_length(a, b)
+
+
+def test_several_references(spark):
+    rows = [(1, "the the cat", ["the cat", "the the dog sat"]), (2, "a b", []), (3, None, None)]
+    df = spark.createDataFrame(rows, "id long, p string, r array<string>")
+    sums = {r["id"]: r for r in TS.bleu_sums(df, ["id"], "p", "r").collect()}
+    assert (sums[1]["match_1"], sums[1]["pred_1"], sums[1]["ref_1"]) == (3, 3, 2)
+    assert (sums[1]["match_2"], sums[2]["match_1"], sums[3]["pred_1"]) == (2, 0, 0)
+    rate = {r["id"]: r["ter"] for r in TS.ter(df, "p", "r", ["id"]).collect()}
+    assert rate == {1: pytest.approx(100 / 3), 2: None, 3: None}

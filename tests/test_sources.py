@@ -98,3 +98,16 @@ def test_stream_deduplicated_with_watermark(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["k"] for r in spark.sql("SELECT k FROM dedup").collect()) == ["a", "b"]
+
+
+def test_places_of_rows(spark, tmp_path):
+    from assayline.sources import readers
+
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    spark.range(0, 40, 1, 5).selectExpr("id AS v").write.parquet(one)
+    spark.range(100, 103, 1, 1).selectExpr("id AS v").write.parquet(two)
+    rows = readers.read_ordered(spark, [one, two])
+    places = sorted((r["source_rank"], r["row_idx"], r["v"]) for r in rows.collect())
+    assert places == [(0, i, i) for i in range(40)] + [(1, i, 100 + i) for i in range(3)]
+    again = readers.read_ordered(spark, [one, two]).repartition(7)
+    assert sorted((r["source_rank"], r["row_idx"], r["v"]) for r in again.collect()) == places
