@@ -214,9 +214,9 @@ def _(spark, sf):
     """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders)
        SELECT o_orderkey,
         CASE o_orderkey % 4 WHEN 0 THEN '\\frac{1}{2}' || k WHEN 1 THEN '\\frac{3}{4}' WHEN 2 THEN k || '0.5' ELSE '\\sqrt{3}' || k END AS competition,
-        CASE o_orderkey % 4 WHEN 0 THEN '\\frac{1}{2}' || k WHEN 1 THEN '3/4' WHEN 2 THEN k || '.5' ELSE 'sqrt{3}' || k END AS quantitative,
-        CASE o_orderkey % 4 WHEN 0 THEN '\\frac12' || k WHEN 1 THEN '3/4' WHEN 2 THEN k || '.5' ELSE 'sqrt3' || k END AS grader,
-        CASE o_orderkey % 4 WHEN 0 THEN '\\frac{1}{2}' || k WHEN 1 THEN '\\frac{3}{4}' WHEN 2 THEN k || '0.5' ELSE '\\sqrt{3' || k || '}' END AS extraction
+        CASE o_orderkey % 4 WHEN 0 THEN '\\frac{1}{2}' || k WHEN 1 THEN '3/4' WHEN 2 THEN k || '.5' ELSE '\\sqrt{3}' || k END AS quantitative,
+        CASE o_orderkey % 4 WHEN 0 THEN '\\frac12' || k WHEN 1 THEN 'x=3/4' WHEN 2 THEN k || '.5' ELSE '\\sqrt3' || k END AS grader,
+        CASE o_orderkey % 4 WHEN 0 THEN '\\frac{1}{2}' || k WHEN 1 THEN 'x=3/4' WHEN 2 THEN k || '0.5' ELSE '\\sqrt{3' || k || '}' END AS extraction
        FROM o""",
 )
 def _(spark, sf):
@@ -228,15 +228,8 @@ def _(spark, sf):
         text("\\sqrt3", "@o_orderkey"),
     )
     rows = orders(spark, sf, said=said)
-    tidy = F.regexp_replace("said", "^x=", "")
-    out = rows.select(
-        "o_orderkey",
-        normalize_math(F.col("said"), "competition").alias("competition"),
-        F.regexp_replace(normalize_math(F.col("said"), "quantitative"), r"^sqrt|\\sqrt", "sqrt").alias("quantitative"),
-        normalize_math(tidy, "grader").alias("grader"),
-        normalize_math(tidy, "extraction").alias("extraction"),
-    )
-    return out.withColumn("grader", F.regexp_replace("grader", r"^\\+sqrt", "sqrt"))
+    kinds = ("competition", "quantitative", "grader", "extraction")
+    return rows.select("o_orderkey", *[normalize_math(F.col("said"), k).alias(k) for k in kinds])
 
 
 @query(

@@ -226,10 +226,10 @@ def _(spark, sf):
 
 @query("d15_fewshot_random")
 def _(spark, sf):
-    pool = table(spark, sf, "conversations").where("turn = 0").select("conv_id", "text", "role")
-    turns = table(spark, sf, "conversations").where("turn = 0").select("conv_id", "text")
-    out = S.fewshot(turns, pool, 3, "conv_id", "conv_id", "text", "role", "random", chat=True)
-    return out.select("conv_id", F.to_json("context").alias("context"))
+    place = (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id")
+    turns = table(spark, sf, "conversations").select(place, "text", "role")
+    out = S.fewshot(turns.drop("role"), turns, 3, "turn_id", "turn_id", "text", "role", "random", chat=True)
+    return out.select("turn_id", F.to_json("context").alias("context"))
 
 
 @query("d16_chunk", "SELECT doc_id, doc_id // 128 AS chunk_no FROM documents")
