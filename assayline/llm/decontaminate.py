@@ -16,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.llm.common import materialize
+from assayline.operators.scale import broadcast_if_small
+
 #: Upper to lower case; other ASCII characters except digits and letters to a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
     for b in range(256)
 )
 GROUP_BYTES = 4 << 20
+GROUPS_AT_ONCE = 2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -159,7 +163,8 @@ def item_groups(
         yield group
 
 
-RESULT = "n_words long, hits array<struct<first: int, last: int>>, items array<string>"
+SPANS = "array<struct<first: int, last: int>>"
+RESULT = f"n_words long, hits {SPANS}, items array<string>"
 
 
 def _automata(
@@ -202,6 +207,25 @@ def item_hits(text: Column, groups: list, window: int) -> Column:
     return scan(text)
 
 
+def joined_hits(found: Column, more: Column) -> Column:
+    """``found`` with the hits and items of further passes over the same text."""
+
+    @F.arrow_udf(SPANS)
+    def spans(parts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        rows = [merged([(s["first"], s["last"]) for s in p or []]) for p in parts.to_pylist()]
+        return pa.array(rows, kind)
+
+    hits = F.concat(found["hits"], F.flatten(F.transform(more, lambda f: f["hits"])))
+    items = F.concat(found["items"], F.flatten(F.transform(more, lambda f: f["items"])))
+    both = F.struct(
+        found["n_words"].alias("n_words"),
+        spans(hits).alias("hits"),
+        F.array_sort(F.array_distinct(items)).alias("items"),
+    )
+    return F.when(more.isNull(), found).otherwise(both)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     out: list[list[int]] = []
     for first, last in sorted(spans):
@@ -220,9 +244,13 @@ def scan_documents(
     item_text: str = "text",
     window: int = 10,
     group_bytes: int = GROUP_BYTES,
+    groups_at_once: int = GROUPS_AT_ONCE,
 ) -> DataFrame:
     """(row, found): the input row as a struct, and its words, hit spans and items.
 
+    With more than ``groups_at_once`` groups of items, every further pass gives one row for
+    each different text it hits, and these are looked up by a 128-bit hash of the text.
+
     Null and empty texts have no words and no hits, nor do items without words match
     anything; items with a null id are left out, items that share an id count as one.
     Spans are word numbers, end exclusive, merged. Very long texts are scanned in one
@@ -231,7 +259,24 @@ def scan_documents(
     spark = docs.sparkSession
     groups = _automata(spark, items, item_id, item_text, window, group_bytes)
     packed = docs.select(F.struct("*").alias("row"))
-    return packed.withColumn("found", item_hits(F.col(f"row.`{text_col}`"), groups, window))
+    text = F.col(f"row.`{text_col}`")
+    passes = [
+        groups[at : at + groups_at_once] for at in range(0, len(groups), groups_at_once)
+    ] or [[]]
+    rows = packed.withColumn("found", item_hits(text, passes[0], window))
+    if len(passes) == 1:
+        return rows
+    key = {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit("text"), text)}
+    more = None
+    for some in passes[1:]:
+        hit = packed.select(*[c.alias(k) for k, c in key.items()], item_hits(text, some, window).alias("f"))
+        hit = hit.where(F.size("f.hits") > 0).groupBy(*key).agg(F.first("f").alias("f"))
+        more = hit if more is None else more.union(hit)
+    # one entry a pass for each text
+    more = more.groupBy(*key).agg(F.collect_list("f").alias("more"))
+    more = broadcast_if_small(materialize(more, "further-hits"))
+    both = rows.withColumns(key).join(more, list(key), "left")
+    return both.select("row", joined_hits(F.col("found"), F.col("more")).alias("found"))
 
 
 def contamination(found: Column) -> dict[str, Column]:

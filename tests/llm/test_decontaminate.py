@@ -34,13 +34,14 @@ def random_texts(seed, n, longest, letters="abc"):
     return [" ".join(rng.choice(list(letters), rng.integers(0, longest))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 20, 40])
-def test_random_texts(spark, group_bytes):
+@pytest.mark.parametrize("group_bytes, at_once", [(1 << 20, 2), (40, 99), (40, 3)])
+def test_random_texts(spark, group_bytes, at_once):
     items = list(enumerate(random_texts(1, 25, 16)))
     texts = random_texts(2, 60, 60) + [None, "", "é A-b 1,a"]
+    texts += texts[:5] * 3
     docs = spark.createDataFrame([(t, "x") for t in texts], "text string, found string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = D.scan_documents(docs, bench, window=5, group_bytes=group_bytes)
+    rows = D.scan_documents(docs, bench, window=5, group_bytes=group_bytes, groups_at_once=at_once)
     got = rows.select("row.text", *[c.alias(k) for k, c in D.contamination(F.col("found")).items()], "found.items")
     for r in got.collect():
         n, hit, names = brute(r.text, items, 5)
