@@ -14,6 +14,8 @@ from assayline.session import materialize, scratch_path
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A key with more than one in so many of all rows is hot.
+HOT_PARTS = 1000
 
 __all__ = [
     "ASCII_SPACE",
@@ -23,6 +25,7 @@ __all__ = [
     "components",
     "drawn",
     "held_out",
+    "join_facts",
     "materialize",
     "read",
     "scratch_path",
@@ -59,6 +62,22 @@ def drawn(col: Column, wanted: Column | int, rows: Column | int) -> Column:
     ) * (1 << 40)
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, number: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with the stored table ``facts``, which has one row per key and
+    in ``number`` how many of ``rows`` have it; the number is not returned.
+
+    A key with more than one in ``HOT_PARTS`` of all rows is met by broadcast, as there are
+    fewer than ``HOT_PARTS`` such keys whatever the size, and its rows stay where they are;
+    the others are shuffled, and no task meets more than that share under one key.
+    """
+    total = facts.agg(F.sum(number)).first()[0] or 0
+    hot = F.col(number) * HOT_PARTS > total
+    often = F.broadcast(facts.where(hot).drop(number))
+    rest = rows.join(often.select(key), key, "left_anti")
+    rest = rest.join(facts.where(~hot).drop(number), key)
+    return rows.join(often, key).unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)`` as (node, root): the smallest node reachable.
 
@@ -66,7 +85,7 @@ def components(links: DataFrame) -> DataFrame:
     smallest node they know, links only ever point to smaller nodes, and the rounds
     needed grow with the logarithm of the longest chain. Each round is stored in the
     shared folder. A node with very many links is aggregated before the shuffle, and
-    the join back is left to skew handling. Only nodes with links are returned.
+    is joined back without being shuffled. Only nodes with links are returned.
     """
     edges = materialize(
         links.where("a <> b")
@@ -76,13 +95,13 @@ def components(links: DataFrame) -> DataFrame:
     )
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), "m")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = materialize(least.select("a", F.least("a", "m").alias("m"), "n"), "least")
+        large = join_facts(both, least, "a").where("b > a").select(F.col("b").alias("a"), "m")
         large = materialize(large.where("a <> m").distinct(), "large-star")
-        lowest = large.groupBy("a").agg(F.min("m").alias("r"))
+        lowest = large.groupBy("a").agg(F.min("m").alias("r"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(lowest, "a")
+            join_facts(large, materialize(lowest, "lowest"), "a")
             .select(F.explode(F.array(F.col("a"), F.col("m"))).alias("a"), F.col("r").alias("b"))
             .where("a <> b")
             .distinct()

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.llm.common import components, drawn, materialize
+from assayline.llm.common import components, drawn, join_facts, materialize
 from assayline.llm.simhash import _joined
 
 LEAF = 16
@@ -308,8 +308,9 @@ def classes(
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(found.where("a <> b").select("a", "b"))
     linked = points.join(roots, points["id"] == roots["node"]).select("id", "first", "root")
-    low = linked.groupBy("root").agg(F.min("first").alias("low"))
-    low = linked.join(low, "root").select(F.col("id").alias("l_id"), "low")
+    linked = materialize(linked, "linked-points")
+    low = linked.groupBy("root").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("n"))
+    low = join_facts(linked, materialize(low, "class-ids"), "root").select(F.col("id").alias("l_id"), "low")
     facts = (
         points.select("grp", "h1", "h2", "id", "first", "mult")
         .join(counts, F.col("id") == F.col("a"), "left")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.llm.common import components, materialize
+from assayline.llm.common import components, join_facts, materialize
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -247,18 +247,23 @@ def classes(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.select("id", F.xxhash64(text).alias("mark"), fingerprint(text).alias("code"))
     rows = materialize(rows, "codes")
-    codes = materialize(rows.groupBy("code").agg(F.min("id").alias("first")), "distinct-codes")
+    codes = rows.groupBy("code").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    codes = materialize(codes, "distinct-codes")
     roots = components(near_links(codes, node_rows))
     linked = codes.join(roots, codes["code"] == roots["node"]).select("code", "first", "root")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("low"))
-    moved = linked.join(smallest, "root").select(F.col("code").alias("m_code"), "root", "low")
+    linked = materialize(linked, "linked-codes")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("n"))
+    moved = join_facts(linked, materialize(smallest, "class-ids"), "root").select(
+        F.col("code").alias("m_code"), "root", "low"
+    )
     alone = F.col("m_code").isNull()
     named = codes.join(moved, F.col("code") == F.col("m_code"), "left").select(
-        F.col("code").alias("n_code"),
+        "code",
         F.coalesce("root", "code").alias("root"),
         F.when(alone, F.col("first")).otherwise(F.col("low")).alias("low"),
+        "n",
     )
-    return rows.join(named, F.col("code") == F.col("n_code")).select(
+    return join_facts(rows, materialize(named, "named-codes"), "code").select(
         F.col("id").alias(id_col), "mark", "code", "root", F.col("low").alias("component_id")
     )
 
