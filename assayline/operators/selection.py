@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
 import math
-import random
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -195,18 +197,13 @@ def preselect(
 def domain_weights(first: DataFrame, second: DataFrame, domain: str) -> DataFrame:
     """Mix two domain histograms: the first scaled (truncating) to half the size of
     the second, added, normalized; domains that end at zero vanish."""
-    a = first.groupBy(domain).agg(F.count(F.lit(1)).alias("_a"))
-    b = second.groupBy(domain).agg(F.count(F.lit(1)).alias("_b"))
+    both = first.select(domain, F.lit(1).alias("_a"), F.lit(0).alias("_b")).union(
+        second.select(domain, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    )
+    counts = both.groupBy(domain).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     everything = Window.partitionBy(F.lit(0))  # one row per domain
-    mixed = (
-        a.join(b, domain, "full")
-        .fillna(0, ["_a", "_b"])
-        .withColumns(
-            {
-                "_sa": F.sum("_a").over(everything),
-                "_sb": F.sum("_b").over(everything),
-            }
-        )
+    mixed = counts.withColumns(
+        {"_sa": F.sum("_a").over(everything), "_sb": F.sum("_b").over(everything)}
     )
     ratio = F.try_divide(F.col("_sb") * 0.5, F.col("_sa"))
     scaled = F.coalesce(F.floor(F.col("_a") * ratio), F.lit(0))
@@ -225,31 +222,38 @@ def length_weights(
     mixed = df.withColumn("_h", hash_text([id_col], 0))
     order = [F.col(domain), F.col(length).desc(), F.col("_h"), F.col(id_col)]
     out = ranked(mixed, [domain], order, "_pos")
-    sizes = df.groupBy(domain).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(F.col(domain).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     rank = F.col("_pos") - 1
     total = F.lit(2.0) - F.pow(F.lit(2.0), 1 - F.col("_n"))
     return (
-        out.join(sizes, domain)
+        out.join(sizes, F.col(domain).eqNullSafe(F.col("_d")))
         .withColumns(
             {"length_rank": rank, "weight": F.pow(F.lit(2.0), -rank) / total}
         )
-        .drop("_h", "_pos", "_n")
+        .drop("_h", "_pos", "_d", "_n")
     )
 
 
+def _even(*parts: object) -> float:
+    """Number in [0, 1) from the MD5 of the parts, so that a draw can be replayed in SQL."""
+    text = "|".join("" if p is None else str(p) for p in parts)
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
+
+
 def draw_order(pool: pd.DataFrame, seed: int, want: int) -> pd.DataFrame:
     """Order in which one domain gives out its rows: repeated 2^-rank draws."""
     left = pool.sort_values("length_rank")[["id", "chosen"]].values.tolist()
-    rng = random.Random(f"{seed}|{pool['domain'].iloc[0]}")
+    domain = pool["domain"].iloc[0]
+    domain = None if pd.isna(domain) else domain
     rows, fresh = [], 0
     size = int(pool["_n"].iloc[0])
     while left and fresh < want:
         remaining = size - len(rows)
         span = 1.0 - 2.0**-remaining if remaining < 60 else 1.0
-        rank = int(-math.log2(1.0 - rng.random() * span))
+        rank = int(-math.log2(1.0 - _even(seed, domain, len(rows)) * span))
         ident, chosen = left.pop(min(rank, len(left) - 1))
         fresh += not chosen
-        rows.append((pool["domain"].iloc[0], len(rows), ident, bool(chosen), size))
+        rows.append((domain, len(rows), ident, bool(chosen), size))
     return pd.DataFrame(rows, columns=["domain", "draw_no", "id", "chosen", "size"])
 
 
@@ -270,7 +274,8 @@ def diversity_sample(
     Each domain's draw order is made on Spark from its longest rows only. A draw
     reaches at most 53 ranks past the rows already drawn (a double holds no smaller
     probability), so ``2 * total + 54`` ranks hold every possible draw. The driver
-    sees the flags of those draws and picks domains, never the rows.
+    sees the flags of those draws and picks domains, never the rows. Numbers come from
+    hashes of seed, domain and draw. A null domain is a domain of its own.
     """
     spark = df.sparkSession
     marked = df.select(
@@ -289,8 +294,9 @@ def diversity_sample(
     mixed = marked.withColumn("_h", hash_text(["id"], seed))
     order = [F.col("domain"), F.col("length").desc(), F.col("_h"), F.col("id")]
     pools = ranked(mixed, ["domain"], order, "_pos").where(F.col("_pos") <= reach)
-    sizes = marked.groupBy("domain").agg(F.count(F.lit(1)).alias("_n"))
-    pools = pools.join(sizes, "domain").withColumn("length_rank", F.col("_pos") - 1)
+    sizes = marked.groupBy(F.col("domain").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    pools = pools.join(sizes, F.col("domain").eqNullSafe(F.col("_d")))
+    pools = pools.withColumn("length_rank", F.col("_pos") - 1)
     id_type = dict(marked.dtypes)["id"]
     orders = materialize(
         pools.select("id", "domain", "chosen", "length_rank", "_n")
@@ -315,9 +321,10 @@ def diversity_sample(
     }
     taken = _walk_domains(flags, weights, domain, count, total, switch, seed)
     limits = spark.createDataFrame(
-        [(d, k) for d, k in taken.items() if k], "domain string, _k long"
+        [(d, k) for d, k in taken.items() if k], "_d string, _k long"
     )
-    drawn = orders.join(F.broadcast(limits), "domain").where("draw_no < _k")
+    same = F.col("domain").eqNullSafe(F.col("_d"))
+    drawn = orders.join(F.broadcast(limits), same).where("draw_no < _k")
     return drawn.select("id").union(picked).distinct().withColumnRenamed("id", id_col)
 
 
@@ -331,21 +338,23 @@ def _walk_domains(
     seed: int,
 ) -> dict[str, int]:
     """Number of draws per domain until ``total`` rows are selected."""
-    rng = random.Random(seed)
-    open_all = sorted(flags)
     rows = weights.select(F.col(domain).cast("string"), "weight").collect()
-    mix = {d: w for d, w in sorted(tuple(r) for r in rows) if d in flags}
-    taken = dict.fromkeys(flags, 0)
+    odds = {d: w for d, w in map(tuple, rows) if d in flags and w > 0}
+    open_all = sorted(flags, key=lambda d: (d is not None, d))
+    taken, step = dict.fromkeys(flags, 0), 0
     while count < total and open_all:
-        names = open_all if count < switch or not mix else list(mix)
-        odds = None if names is open_all else list(mix.values())
-        name = rng.choices(names, odds)[0]
+        mix = [odds.get(d, 0.0) for d in open_all]
+        if count < switch or not any(mix):
+            mix = [1.0] * len(open_all)
+        upto = list(itertools.accumulate(mix))
+        at = bisect.bisect_right(upto, _even(seed, step) * upto[-1])
+        name = open_all[at]
         seen, size = flags[name]
         count += not seen[taken[name]]
         taken[name] += 1
+        step += 1
         if taken[name] >= size:
             open_all.remove(name)
-            mix.pop(name, None)
     return taken
 
 
@@ -417,9 +426,13 @@ def _random_positions(
 ) -> Column:
     """``count`` different positions below ``pool_size``, seeded per row."""
     first = pool_size - count
-    draw = lambda j: F.pmod(
-        F.xxhash64(*[F.col(c) for c in ids], F.lit(seed), j), j + 1
-    )
+
+    def number(place: Column, use: str) -> Column:
+        parts = [*[F.col(c).cast("string") for c in ids], place.cast("string")]
+        text = F.md5(F.concat_ws("|", *parts, F.lit(f"{use}{seed}")))
+        return F.conv(F.substring(text, 1, 15), 16, 10).cast("bigint")
+
+    draw = lambda j: F.pmod(number(j, "draw"), j + 1)
     chosen = F.aggregate(
         F.sequence(F.lit(first), F.lit(pool_size - 1)),
         F.array().cast("array<bigint>"),
@@ -431,7 +444,7 @@ def _random_positions(
     by_hash = F.transform(
         chosen,
         lambda p: F.struct(
-            F.xxhash64(*[F.col(c) for c in ids], p, F.lit(seed)).alias("h"),
+            number(p, "order").alias("h"),
             p.alias("p"),
         ),
     )

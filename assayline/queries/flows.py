@@ -7,6 +7,7 @@ from assayline.operators import vote as V
 from assayline.plans import curation, evaluation
 from assayline.queries import query, table, texts
 from assayline.queries.cleaning import LANGS, _fold_sql
+from assayline.queries.selection import MIXED, diversity_sql
 
 RULES = curation.CurationRules(
     benchmark_sources=("en",),
@@ -53,21 +54,40 @@ def _(spark, sf):
     return questions(spark, sf).select("qhash", "source_type", "row_idx")
 
 
-@query(
-    "flow_filter_questions",
-    f"""WITH {UNIQUE}, f AS (SELECT d.text, d.doc_id, n_chars, quality, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id
-          QUALIFY row_number() OVER (PARTITION BY d.text ORDER BY d.doc_id DESC) = 1)
-        SELECT substr(sha256(u.text), 1, 16) AS qhash, n_chars AS length, quality = 1 AS correct FROM u JOIN f ON f.text = u.text
-        WHERE f.doc_id % 11 <> 0 AND toxic <> 1 AND f.doc_id % 5 <> 0
+HARD = f"""{UNIQUE}, g AS (SELECT d.text, d.doc_id, d.source, n_chars, quality, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+          QUALIFY row_number() OVER (PARTITION BY d.text ORDER BY d.doc_id DESC) = 1),
+        h AS (SELECT substr(sha256(u.text), 1, 16) AS qhash, u.text, u.lang, g.source AS domain, n_chars AS length, quality = 1 AS correct
+        FROM u JOIN g ON g.text = u.text
+        WHERE g.doc_id % 11 <> 0 AND toxic <> 1 AND g.doc_id % 5 <> 0
           AND NOT regexp_matches(u.text, 'p[1-9][0-9]{{0,2}}\\.') AND u.text NOT LIKE '%[asy]%' AND u.text NOT LIKE '%![Image]%'
-          AND NOT regexp_matches(u.text, '\\*\\*([^\\s\\]]*\\d[^\\s\\]]*\\*\\*|[^\\s\\]]*\\*\\*[^\\n]*\\d)')""",
-)
+          AND NOT regexp_matches(u.text, '\\*\\*([^\\s\\]]*\\d[^\\s\\]]*\\*\\*|[^\\s\\]]*\\*\\*[^\\n]*\\d)'))"""
+
+
+@query("flow_filter_questions", f"WITH {HARD} SELECT qhash, length, correct FROM h")
 def _(spark, sf):
     hard = curation.filter_questions(questions(spark, sf), features(spark, sf), "doc_id", RULES)
     return hard.select("qhash", "length", "correct")
 
 
-@query("flow_training_text")
+DRAWN = diversity_sql(
+    "SELECT qhash AS id, domain, length FROM h",
+    f"SELECT qhash AS id FROM h WHERE correct AND (lang = 'en' OR (lang LIKE '%de%' AND length > {RULES.min_length}))",
+    MIXED.format(
+        first="SELECT domain FROM h WHERE lang = 'en'", second="SELECT domain FROM h WHERE lang = 'de'"
+    ),
+    RULES.sample_size,
+    RULES.uniform_draws,
+)
+
+
+@query(
+    "flow_training_text",
+    f"""WITH RECURSIVE {HARD}, {DRAWN},
+        r AS (SELECT text, min(source) AS source, max(lang) AS last_lang, min(lang) AS attempt FROM documents GROUP BY 1)
+        SELECT h.qhash, concat('<|im_start|>user{{n}}', h.text, '<|im_end|>{{n}}<|im_start|>assistant{{n}}<|im_start|>think{{n}}', r.source,
+          '{{n}}', r.last_lang, '{{n}}<|im_start|>answer{{n}}Answer: ', r.attempt, '<|im_end|>{{n}}') AS text
+        FROM h JOIN picked ON picked.id = h.qhash JOIN r ON r.text = h.text""".replace("{n}", "' || chr(10) || '"),
+)
 def _(spark, sf):
     hard = curation.filter_questions(questions(spark, sf), features(spark, sf), "doc_id", RULES)
     sample = curation.select_sample(hard, "en", "de", RULES)

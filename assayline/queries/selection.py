@@ -157,20 +157,82 @@ def _(spark, sf):
 
 @query(
     "d10_length_weights",
-    f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang
-          ORDER BY n_chars DESC, {hashed('doc_id', 0)}) - 1 AS length_rank FROM documents)
+    f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN lang END AS lang, n_chars FROM documents),
+        r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang
+          ORDER BY n_chars DESC, {hashed('doc_id', 0)}) - 1 AS length_rank FROM d)
         SELECT doc_id, lang, length_rank, round(pow(2.0, -length_rank) /
           sum(pow(2.0, -length_rank)) OVER (PARTITION BY lang), 6) AS weight FROM r""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    lang = F.when(F.col("doc_id") % 9 != 0, F.col("lang")).alias("lang")
+    docs = table(spark, sf, "documents").select("doc_id", lang, "n_chars")
     out = S.length_weights(docs, "lang", "n_chars", "doc_id")
     return out.select("doc_id", "lang", "length_rank", F.round("weight", 6).alias("weight"))
 
 
-@query("d11_diversity_sample")
+def diversity_sql(pool: str, chosen: str, weights: str, total: int, switch: int, seed: int = 42) -> str:
+    """Tables d (id, domain, length), c (id) and w (domain, weight), and the draws replayed:
+    ``one`` draws inside every domain, ``walk`` picks the domains, ``picked`` are the ids."""
+    even = lambda text: f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / pow(2.0, 52)"
+    places = "range(1, len(names) + 1)"
+    return f"""d AS ({pool}), c AS ({chosen}), w AS ({weights}),
+    p AS (SELECT domain, id, EXISTS (SELECT 1 FROM c WHERE c.id = d.id) AS chosen, count(*) OVER (PARTITION BY domain) AS size,
+      row_number() OVER (PARTITION BY domain ORDER BY length DESC, {hashed('id', seed)}, id) AS pos FROM d),
+    one AS (
+      SELECT domain, size, 0 AS step, list(id ORDER BY pos) AS ids, list(chosen ORDER BY pos) AS seen, 0 AS fresh,
+        any_value(id) AS id, false AS chosen FROM p WHERE pos <= {2 * total + 54} GROUP BY 1, 2
+      UNION ALL
+      SELECT domain, size, step + 1, ids[1:k] || list_slice(ids, k + 2, len(ids)), seen[1:k] || list_slice(seen, k + 2, len(seen)),
+        fresh + CAST(NOT seen[k + 1] AS INT), ids[k + 1], seen[k + 1]
+      FROM (SELECT *, least(CAST(floor(-log2(1 - {even(f"concat('{seed}|', domain, '|', step)")} *
+          CASE WHEN size - step < 60 THEN 1 - pow(2.0, step - size) ELSE 1 END)) AS BIGINT), len(ids) - 1) AS k
+        FROM one WHERE len(ids) > 0 AND fresh < {total})),
+    f AS (SELECT domain, any_value(size) AS size, list(chosen ORDER BY step) AS flags FROM one WHERE step > 0 GROUP BY 1),
+    a AS (SELECT list(f.domain ORDER BY f.domain NULLS FIRST) AS names, list(size ORDER BY f.domain NULLS FIRST) AS sizes,
+      list(flags ORDER BY f.domain NULLS FIRST) AS flags, list(coalesce(weight, 0) ORDER BY f.domain NULLS FIRST) AS odds
+      FROM f LEFT JOIN w ON w.domain IS NOT DISTINCT FROM f.domain),
+    walk AS (
+      SELECT 0 AS step, (SELECT count(DISTINCT id) FROM c) AS n, list_transform(names, lambda x: 0) AS taken FROM a
+      UNION ALL
+      SELECT step + 1, n + CAST(NOT flags[i][taken[i] + 1] AS INT), list_transform({places}, lambda j: taken[j] + CAST(j = i AS INT))
+      FROM (SELECT *, list_filter({places}, lambda j: upto[j] > {even(f"concat('{seed}|', step)")} * upto[len(upto)])[1] AS i
+        FROM (SELECT *, list_transform({places}, lambda j: list_sum(mix[1:j])) AS upto
+          FROM (SELECT *, list_transform({places}, lambda j: CASE WHEN taken[j] >= sizes[j] THEN 0.0
+                WHEN n < {switch} OR rest = 0 THEN 1.0 ELSE odds[j] END::DOUBLE) AS mix
+            FROM (SELECT *, list_sum(list_transform({places}, lambda j: CASE WHEN taken[j] < sizes[j] THEN odds[j] ELSE 0 END)) AS rest,
+                list_sum(list_transform({places}, lambda j: sizes[j] - taken[j])) AS left_over
+              FROM walk, a) WHERE n < {total} AND left_over > 0)))),
+    k AS (SELECT unnest(names) AS domain, unnest(taken) AS k FROM a, (SELECT taken FROM walk ORDER BY step DESC LIMIT 1)),
+    picked AS (SELECT one.id FROM one JOIN k ON k.domain IS NOT DISTINCT FROM one.domain AND step BETWEEN 1 AND k.k UNION SELECT id FROM c)"""
+
+
+MIXED = """SELECT domain, n / sum(n) OVER () AS weight FROM (
+    SELECT domain, CAST(coalesce(floor(a * (0.5 * sum(b) OVER () / nullif(sum(a) OVER (), 0))), 0) AS BIGINT) + b AS n FROM (
+      SELECT domain, CAST(sum(a) AS DOUBLE) AS a, sum(b) AS b FROM (
+        SELECT domain, 1 AS a, 0 AS b FROM ({first}) UNION ALL SELECT domain, 0, 1 FROM ({second})) GROUP BY 1)) WHERE n > 0"""
+
+GOOD_TOXIC = "SELECT doc_id AS id FROM labels WHERE quality = 1 AND toxic = 1"
+SPARSE = "CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source END AS domain"
+
+
+@query(
+    "d11_diversity_sample",
+    "WITH RECURSIVE "
+    + diversity_sql(
+        f"SELECT doc_id AS id, {SPARSE}, n_chars AS length FROM documents",
+        GOOD_TOXIC,
+        MIXED.format(
+            first=f"SELECT {SPARSE} FROM documents JOIN ({GOOD_TOXIC}) ON id = doc_id",
+            second=f"SELECT {SPARSE} FROM documents",
+        ),
+        100,
+        70,
+    )
+    + " SELECT id AS doc_id FROM picked",
+)
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    domain = F.when(F.col("doc_id") % 9 != 0, F.col("source")).alias("source")
+    docs = table(spark, sf, "documents").select("doc_id", domain, "n_chars")
     labels = table(spark, sf, "labels").where("quality = 1 AND toxic = 1").select("doc_id")
     weights = S.domain_weights(docs.join(labels, "doc_id"), docs, "source")
     return S.diversity_sample(
@@ -224,12 +286,34 @@ def _(spark, sf):
     return out.select("item_id", "context")
 
 
-@query("d15_fewshot_random")
+def _random_sql(k: int, seed: int = 1234) -> str:
+    """``k`` + 1 different places of the pool per row, drawn and ordered by hashes."""
+    n = k + 1
+    h = lambda place, use: f"CAST('0x' || substr(md5(concat_ws('|', turn_id, {place}, '{use}{seed}')), 1, 15) AS BIGINT)"
+    steps, done = [], []
+    for i in range(n):
+        j = f"(n - {n - i})"
+        drawn = f"{h(j, 'draw')} % ({j} + 1)"
+        pick = f"CASE WHEN {drawn} IN ({', '.join(done)}) THEN {j} ELSE {drawn} END" if done else drawn
+        steps.append(f"s{i} AS (SELECT *, {pick} AS p{i} FROM {f's{i - 1}' if i else 'b'})")
+        done.append(f"p{i}")
+    return f"""WITH t AS (SELECT conv_id * 1000 + turn AS turn_id, text, role FROM conversations),
+        q AS (SELECT *, row_number() OVER (ORDER BY turn_id) - 1 AS place FROM t),
+        b AS (SELECT turn_id, (SELECT count(*) FROM t) AS n FROM t), {', '.join(steps)},
+        u AS (SELECT turn_id, unnest([{', '.join(done)}]) AS place FROM s{n - 1}),
+        x AS (SELECT u.turn_id, q.text, q.role, row_number() OVER (PARTITION BY u.turn_id ORDER BY {h('u.place', 'order').replace('turn_id', 'u.turn_id')}, u.place) AS shot
+          FROM u JOIN q ON q.place = u.place AND q.turn_id <> u.turn_id)
+        SELECT turn_id, string_agg('[user]' || text || '[assistant]' || role, '' ORDER BY shot) AS context
+        FROM x WHERE shot <= {k} GROUP BY 1"""
+
+
+@query("d15_fewshot_random", _random_sql(3))
 def _(spark, sf):
     place = (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id")
     turns = table(spark, sf, "conversations").select(place, "text", "role")
     out = S.fewshot(turns.drop("role"), turns, 3, "turn_id", "turn_id", "text", "role", "random", chat=True)
-    return out.select("turn_id", F.to_json("context").alias("context"))
+    turns = F.transform("context", lambda t: F.concat(F.lit("["), t["role"], F.lit("]"), t["content"]))
+    return out.select("turn_id", F.array_join(turns, "").alias("context"))
 
 
 @query("d16_chunk", "SELECT doc_id, doc_id // 128 AS chunk_no FROM documents")

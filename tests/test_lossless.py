@@ -150,3 +150,16 @@ def test_left_out_rows_protect_nothing(spark):
         [a, b], test, ["id"], "text", "text", n=3, select=lambda d: d.where("id <> 2")
     )
     assert sorted(r["id"] for r in kept.collect()) == [1, 4]
+
+
+def test_null_domain_is_a_domain(spark):
+    rows = [(i, None if i % 3 == 0 else f"d{i % 3}", (i * 37) % 101) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, domain string, len int")
+    weighted = S.length_weights(df, "domain", "len", "id").groupBy("domain")
+    sums = {r[0]: (r[1], round(r[2], 9)) for r in weighted.agg({"id": "count", "weight": "sum"}).select("domain", "count(id)", "sum(weight)").collect()}
+    assert sums == {None: (20, 1.0), "d1": (20, 1.0), "d2": (20, 1.0)}
+    mixed = S.domain_weights(df, df.where("id < 30"), "domain")
+    assert {r["domain"]: r["n"] for r in mixed.collect()} == {None: 15, "d1": 15, "d2": 15}
+    none = df.where("id < 0").select("id")
+    every = S.diversity_sample(df, none, mixed, "id", "domain", "len", total=60, switch=10)
+    assert every.count() == 60
