@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from assayline.llm.anchors import REACH, owned_windows
 from assayline.llm.common import materialize
 
-MARK_BITS = 25
+SIZE_BITS = 7
 HEAVY_RUNS = 20_000
 SHARD_BYTES = 1 << 16
 GROUP_BYTES = 1 << 21
@@ -42,10 +42,13 @@ SETTLED = np.int64(-(1 << 63))
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text): null ids last in order, a few bits of the text's hash."""
+    """(id, mark, text): null ids last in order, the text's 64-bit hash.
+
+    A document is its (id, mark): different texts that share an id stay apart.
+    """
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(text_col).bitwiseAND((1 << MARK_BITS) - 1).alias("mark"),
+        F.xxhash64(text_col).alias("mark"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
 
@@ -60,7 +63,7 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, g, id, pos) of each run; pos packs start, windows and mark.
+    """(h, g, id, pos, mark) of each run; pos packs start and windows.
 
     Of equal runs in a batch all but the first are settled here: they carry the sign bit
     and need not meet the others, so a hot run gives each batch one row for its anchor.
@@ -70,35 +73,36 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, mark, text in zip(batch["id"].to_pylist(), batch["mark"].to_pylist(), batch["text"]):
             start, size, anchor, content = owned_windows(text.as_buffer().to_pybytes())
             if len(start):
-                pos = start << 32 | size << MARK_BITS | mark
-                out.append((anchor.view(np.int64), content.view(np.int64), np.full(len(start), i), pos))
+                same = [np.full(len(start), v) for v in (i, mark)]
+                pos = start << SIZE_BITS | size
+                out.append((anchor.view(np.int64), content.view(np.int64), same[0], pos, same[1]))
         if out:
-            h, g, i, pos = (np.concatenate(c) for c in zip(*out))
-            order = np.lexsort((pos, i, g, h))
-            h, g, i, pos = h[order], g[order], i[order], pos[order]
+            h, g, i, pos, mark = (np.concatenate(c) for c in zip(*out))
+            order = np.lexsort((mark, pos, i, g, h))
+            h, g, i, pos, mark = (c[order] for c in (h, g, i, pos, mark))
             fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
             head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            late = (i != i[head]) | (pos != pos[head])
+            late = (i != i[head]) | (pos != pos[head]) | (mark != mark[head])
             pos = np.where(late, pos | SETTLED, pos)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, g, i, pos)], ["h", "g", "id", "pos"])
+            cols = [pa.array(c) for c in (h, g, i, pos, mark)]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "g", "id", "pos", "mark"])
 
 
 def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (h, g, id, pos): runs to remove, and first runs of an anchor
+    """From rows sorted by (h, g, id, pos, mark): runs to remove, and first runs of an anchor
     that has several contents. One row is carried from batch to batch."""
     carry = None  # last content's first run, and whether its anchor had one before
 
-    def rows(h, gone, i, pos):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(gone), pa.array(i), pa.array(pos)], ["h", "gone", "id", "pos"]
-        )
+    def rows(h, gone, *run):
+        cols = [pa.array(c) for c in (h, gone, *run)]
+        return pa.RecordBatch.from_arrays(cols, ["h", "gone", "id", "pos", "mark"])
 
     for batch in batches:
-        cols = [batch[c].to_numpy() for c in ("h", "g", "id", "pos")]
+        cols = [batch[c].to_numpy() for c in ("h", "g", "id", "pos", "mark")]
         settled = cols[3] < 0
         if settled.any():
-            h, _, i, pos = (c[settled] for c in cols)
-            yield rows(h, np.full(len(h), True), i, pos ^ SETTLED)
+            h, _, i, pos, mark = (c[settled] for c in cols)
+            yield rows(h, np.full(len(h), True), i, pos ^ SETTLED, mark)
             cols = [c[~settled] for c in cols]
             if not len(cols[0]):
                 continue
@@ -106,12 +110,13 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry is not None:
             cols = [np.concatenate(([c], col)) for c, col in zip(carry[0], cols)]
             before = carry[1]
-        h, g, i, pos = cols
+        h, g, i, pos, mark = cols
         fresh_h = np.concatenate(([True], h[1:] != h[:-1]))
         fresh = fresh_h | np.concatenate(([True], g[1:] != g[:-1]))
         heads = np.flatnonzero(fresh)
         head = heads[np.cumsum(fresh) - 1]
-        gone = (i != i[head]) | (pos != pos[head])  # an equal row is the same run
+        # an equal row is the same run
+        gone = (i != i[head]) | (pos != pos[head]) | (mark != mark[head])
         follows = ~fresh_h[heads]
         follows[0] |= before
         leads = np.append(~fresh_h[heads[1:]], False)
@@ -119,25 +124,27 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = ([c[heads[-1]] for c in cols], bool(follows[-1]))
         for at, flag in ((np.flatnonzero(gone), True), (edge, False)):
             if len(at):
-                yield rows(h[at], np.full(len(at), flag), i[at], pos[at])
+                yield rows(h[at], np.full(len(at), flag), i[at], pos[at], mark[at])
     if carry is not None and carry[1]:
-        yield rows(*[np.array([c]) for c in (carry[0][0], False, carry[0][2], carry[0][3])])
+        yield rows(*[np.array([c]) for c in (carry[0][0], False, *carry[0][2:])])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the open runs of each document."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for i, z, spans in zip(batch["id"].to_pylist(), batch["z"], batch["spans"].to_pylist()):
+        out: list[list] = [[], [], [], [], []]
+        keys = zip(batch["id"].to_pylist(), batch["mark"].to_pylist())
+        for (i, mark), z, spans in zip(keys, batch["z"], batch["spans"].to_pylist()):
             raw = unpack.decompress(z.as_buffer())
             for s in spans:
-                start, size = s["pos"] >> 32, s["pos"] >> MARK_BITS & 127
-                for col, v in zip(out, (s["h"], i, s["pos"], raw[start : start + size + REACH - 1])):
+                start, size = s["pos"] >> SIZE_BITS, s["pos"] & ((1 << SIZE_BITS) - 1)
+                seg = raw[start : start + size + REACH - 1]
+                for col, v in zip(out, (s["h"], i, s["pos"], mark, seg)):
                     col.append(v)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-            ["h", "id", "pos", "seg"],
+            [pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.binary()))],
+            ["h", "id", "pos", "mark", "seg"],
         )
 
 
@@ -193,7 +200,7 @@ def merged_intervals(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_runs(
-    segs: list[bytes], ids: np.ndarray, pos: np.ndarray
+    segs: list[bytes], ids: np.ndarray, pos: np.ndarray, marks: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of every window that is not the first of its kind."""
     shards, starts, shard, size, place = [], [], [], 0, 0
@@ -214,7 +221,7 @@ def repeated_runs(
     starts = np.array(starts)
     seg = np.searchsorted(starts, where, side="right") - 1
     off = where - starts[seg]
-    first, mark = (pos[seg] >> 32) + off, pos[seg] & ((1 << MARK_BITS) - 1)
+    first, mark = (pos[seg] >> SIZE_BITS) + off, marks[seg]
     order = np.lexsort((mark, first, ids[seg], block))
     block, seg, off, first, mark = (x[order] for x in (block, seg, off, first, mark))
     heads = np.concatenate(([True], block[1:] != block[:-1]))
@@ -224,13 +231,13 @@ def repeated_runs(
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows to remove, as runs (id, pos), from segments sorted by anchor."""
+    """Windows to remove, as runs (id, pos, mark), from segments sorted by anchor."""
 
     def resolve(parts):
         table = pa.Table.from_batches(parts)
-        h, ids, pos = (table[c].to_numpy() for c in ("h", "id", "pos"))
+        ids, pos, marks = (table[c].to_numpy() for c in ("id", "pos", "mark"))
         segs = [s.as_py() for s in table["seg"].combine_chunks()]
-        seg, off = repeated_runs(segs, ids, pos)
+        seg, off = repeated_runs(segs, ids, pos, marks)
         order = np.lexsort((off, seg))
         seg, off = seg[order], off[order]
         if not len(seg):
@@ -238,9 +245,9 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (off[1:] != off[:-1] + 1))))
         size = np.diff(np.append(cut, len(seg)))
         seg, off = seg[cut], off[cut]
-        mark = pos[seg] & ((1 << MARK_BITS) - 1)
-        out = ((pos[seg] >> 32) + off) << 32 | size << MARK_BITS | mark
-        return pa.RecordBatch.from_arrays([pa.array(ids[seg]), pa.array(out)], ["id", "pos"])
+        out = ((pos[seg] >> SIZE_BITS) + off) << SIZE_BITS | size
+        cols = [pa.array(c) for c in (ids[seg], out, marks[seg])]
+        return pa.RecordBatch.from_arrays(cols, ["id", "pos", "mark"])
 
     held, size = [], 0
     for batch in batches:
@@ -268,55 +275,56 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of a heavy anchor's segment by its 128-bit hash."""
     digest = xxhash.xxh3_128_intdigest
     for batch in batches:
-        for i, pos, seg in zip(batch["id"].to_pylist(), batch["pos"].to_pylist(), batch["seg"]):
-            raw, start, mark = seg.as_py(), pos >> 32, pos & ((1 << MARK_BITS) - 1)
+        keys = zip(*[batch[c].to_pylist() for c in ("id", "pos", "mark")])
+        for (i, pos, mark), seg in zip(keys, batch["seg"]):
+            raw, start = seg.as_py(), pos >> SIZE_BITS
             n = len(raw) - REACH + 1
             both = [digest(raw[s : s + REACH]) for s in range(n)]
             cols = [
                 np.array([b & (2**64 - 1) for b in both], np.uint64).view(np.int64),
                 np.array([b >> 64 for b in both], np.uint64).view(np.int64),
                 np.full(n, i),
-                (np.arange(start, start + n) << 32) | 1 << MARK_BITS | mark,
+                np.arange(start, start + n) << SIZE_BITS | 1,
+                np.full(n, mark),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "id", "pos"])
+            names = ["w1", "w2", "id", "pos", "mark"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
 
 def _late_windows(segments: DataFrame) -> DataFrame:
-    rows = segments.mapInArrow(_windows, "w1 long, w2 long, id long, pos long")
-    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("id", "pos")).alias("first"))
+    rows = segments.mapInArrow(_windows, "w1 long, w2 long, id long, pos long, mark long")
+    run = F.struct("id", "pos", "mark")
+    first = rows.groupBy("w1", "w2").agg(F.min(run).alias("first"))
     both = rows.join(first, ["w1", "w2"])
-    return both.where(F.struct("id", "pos") != F.col("first")).select("id", "pos")
+    return both.where(run != F.col("first")).select("id", "pos", "mark")
 
 
 def repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_runs: int = HEAVY_RUNS
 ) -> DataFrame:
-    """(id, pos) of runs of repeated windows: ``pos`` packs start, windows and mark."""
+    """(id, pos, mark) of runs of repeated windows: ``pos`` packs start and windows."""
     packed = _packed(docs, id_col, text_col)
-    runs = packed.mapInArrow(_runs, "h long, g long, id long, pos long")
-    meet = F.when(F.col("pos") < 0, F.xxhash64("id", "pos")).otherwise(F.col("h"))
-    runs = runs.repartition(meet).sortWithinPartitions("h", "g", "id", "pos")
+    runs = packed.mapInArrow(_runs, "h long, g long, id long, pos long, mark long")
+    meet = F.when(F.col("pos") < 0, F.xxhash64("id", "pos", "mark")).otherwise(F.col("h"))
+    runs = runs.repartition(meet).sortWithinPartitions("h", "g", "id", "pos", "mark")
     found = materialize(
-        runs.mapInArrow(_classified, "h long, gone boolean, id long, pos long"), "runs"
+        runs.mapInArrow(_classified, "h long, gone boolean, id long, pos long, mark long"), "runs"
     )
-    gone = found.where("gone").select("id", "pos")
+    gone = found.where("gone").select("id", "pos", "mark")
     edges = found.where("NOT gone")
-    mark = F.col("pos").bitwiseAND((1 << MARK_BITS) - 1)
-    wanted = edges.groupBy("id", mark.alias("mark")).agg(
-        F.collect_list(F.struct("h", "pos")).alias("spans")
-    )
+    wanted = edges.groupBy("id", "mark").agg(F.collect_list(F.struct("h", "pos")).alias("spans"))
     texts = packed.where(F.octet_length("text") >= REACH).mapInArrow(
         _compressed, "id long, mark long, z binary"
     )
     segments = texts.join(wanted, ["id", "mark"]).mapInArrow(
-        _segments, "h long, id long, pos long, seg binary"
+        _segments, "h long, id long, pos long, mark long, seg binary"
     )
     sizes = edges.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     heavy = materialize(sizes.where(F.col("n") > heavy_runs).select("h"), "heavy-anchors")
     none = heavy.isEmpty()
     light = segments if none else segments.join(heavy, "h", "left_anti")
-    light = light.repartition("h").sortWithinPartitions("h", "id", "pos")
-    late = light.mapInArrow(_resolved, "id long, pos long")
+    light = light.repartition("h").sortWithinPartitions("h", "id", "pos", "mark")
+    late = light.mapInArrow(_resolved, "id long, pos long, mark long")
     if not none:
         late = late.union(_late_windows(segments.join(heavy, "h", "left_semi")))
     return gone.union(late)
@@ -325,7 +333,8 @@ def repeats(
 def _cut(raw: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
     """(kept bytes, bytes removed, maximal removed runs)."""
     spans = np.sort(spans)
-    start, end = spans >> 32, (spans >> 32) + (spans >> MARK_BITS & 127) + REACH - 1
+    start, size = spans >> SIZE_BITS, spans & ((1 << SIZE_BITS) - 1)
+    end = start + size + REACH - 1
     reach = np.maximum.accumulate(end)
     cut = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
     starts, ends = start[cut].tolist(), reach[np.append(cut[1:], len(start)) - 1].tolist()
@@ -362,12 +371,11 @@ def remove_repeats(
     Removed is each byte covered by a string of ``REACH`` bytes that also starts earlier:
     at a smaller id, or in the same document at an earlier start. Null ids come last; of
     different texts with one id the earlier start comes first, then a hash of the text;
-    rows equal in id and text are one document and get the same result. Null and empty
-    texts count as 0 bytes. Very long texts are hashed in blocks. No rows: no rows.
+    rows equal in id and in the 64-bit hash of the text are one document and get the same
+    result. Null and empty texts count as 0 bytes. Very long texts are hashed in blocks. No rows: no rows.
     """
     spans = repeats(docs, id_col, text_col, heavy_runs)
-    mark = F.col("pos").bitwiseAND((1 << MARK_BITS) - 1)
-    by_doc = spans.groupBy("id", mark.alias("mark")).agg(F.collect_set("pos").alias("spans"))
+    by_doc = spans.groupBy("id", "mark").agg(F.collect_set("pos").alias("spans"))
     texts = _packed(docs, id_col, text_col).mapInArrow(_compressed, "id long, mark long, z binary")
     rows = texts.join(by_doc, ["id", "mark"], "left").select("id", "z", "spans")
     return rows.mapInArrow(

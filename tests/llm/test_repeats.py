@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayline.llm import anchors, repeats
 from assayline.llm.anchors import REACH
@@ -73,6 +74,22 @@ def test_cases(spark):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_stay_apart(spark):
+    """Two texts under a null id whose hashes agree in 25 bits: only one holds a repeat."""
+    (a, b) = texts(5, 2, 220, "abcdefghij")
+    rows = spark.range(30_000).select(
+        F.concat(F.lit(a), F.lit(" "), F.col("id").cast("string")).alias("one"),
+        F.concat(F.lit(b[:150]), F.lit(" "), F.col("id").cast("string")).alias("two"),
+    )
+    mark = lambda c: F.xxhash64(c).bitwiseAND((1 << 25) - 1).alias("mark")
+    both = rows.select("one", mark("one")).join(rows.select("two", mark("two")), "mark")
+    one, two, _ = min((r.one, r.two, r.mark) for r in both.collect())
+    docs = [(1, a), (None, one), (None, two)]
+    got = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    facts = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got.collect())
+    assert facts == sorted([(len(a), 0, 0), (len(one), len(a), 1), (len(two), 0, 0)])
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
 def test_anchors_agree(letters, monkeypatch):
     """Equal windows have equal anchors, also over block ends."""
