@@ -70,6 +70,48 @@ def test_personal_data(spark):
         assert set(want) <= set(r.spans.split(",") if r.spans else [])
 
 
+def test_forms_the_patterns_do_not_know_are_added(spark):
+    """Learned from base spans alone: spelled mails, other phones and cards, no plain numbers."""
+    rng = random.Random(9)
+    word = lambda n=9: "".join(rng.choice("aeinorstl") for _ in range(rng.randint(2, n)))
+    some = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    full = lambda head: next(head + c for c in "0123456789" if pii.luhn(head + c))
+
+    def text(span):
+        words = [word() for _ in range(30)]
+        words.insert(rng.randrange(5, 25), span)
+        return " ".join(words)
+
+    known = [
+        lambda: f"{word()}.{some(2)}@{word()}.example.com",
+        lambda: f"{rng.randint(100, 255)}.{rng.randint(10, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}",
+        lambda: full("4" + some(14)),
+        lambda: f"+1 ({rng.randint(200, 999)}) 555-{some(4)}",
+    ]
+    others = [
+        (0, lambda: f"{word()} (at) {word()} (dot) com"),
+        (2, lambda: full("4" + some(11))),
+        (3, lambda: f"({rng.randint(200, 999)}) 555-{some(4)}"),
+    ]
+    plain = [lambda: "9" + some(9), lambda: f"20{some(2)}-10-1{some(1)}", lambda: "1234567", lambda: "8" + some(15)]
+    rows = [(text(rng.choice(known)()), None, "") for _ in range(600)]
+    rows += [(text(s := make()), kind, s) for kind, make in others for _ in range(40)]
+    rows += [(text(s := make()), None, s) for make in plain for _ in range(40)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, kind int, span string")
+    got = pii.find_personal_data(docs).select("row.*", "found.*").where("span <> ''").collect()
+    share = {k: [] for k in (0, 2, 3, None)}
+    for r in got:
+        start = r.text.index(r.span)
+        added = [(s["start"], s["kind"], s["end"]) for s in r.every if s not in r.base]
+        if r.kind is None:
+            share[None].append(bool(added))
+        elif not r.base:
+            hit = [a for a in added if a[1] == r.kind and a[0] <= start and a[2] >= start + len(r.span)]
+            share[r.kind].append(bool(hit))
+    found = {k: sum(v) / len(v) for k, v in share.items()}
+    assert min(found[k] for k in (0, 2, 3)) >= 0.8 and found[None] <= 0.02, found
+
+
 def test_personal_data_cases(spark):
     rows = [(1, None, "x"), (None, "", "x"), (2, "to a.b@c.de or +1 (222) 333-4444", "x"), (2, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, found string")
