@@ -35,7 +35,7 @@ def words_of(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised automaton over word numbers; state 0 is the empty string."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.words: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -142,7 +142,7 @@ class SuffixAutomaton:
 
 def item_groups(
     items: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES
-) -> Iterator[list[tuple[str, list[bytes]]]]:
+) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items in groups of at most about ``group_bytes`` of text, read piece by piece.
 
     The test set is streamed to the driver, which never holds more than one group.
@@ -152,7 +152,7 @@ def item_groups(
     )
     group, held = [], 0
     for name, text in rows.toLocalIterator():
-        if name is None or not text:
+        if not text:
             continue
         if held and held + len(text) > group_bytes:
             yield group
@@ -199,7 +199,8 @@ def item_hits(text: Column, groups: list, window: int) -> Column:
                     found, hit = automaton.scan(words)
                     spans += found
                     names.update(automaton.names[i] for i in hit)
-                rows.append((len(words), merged(spans), sorted(names)))
+                listed = sorted(names - {None}) + [None] * (None in names)
+                rows.append((len(words), merged(spans), listed))
             yield pa.array(
                 [{"n_words": n, "hits": h, "items": i} for n, h, i in rows], kind
             )
@@ -252,7 +253,8 @@ def scan_documents(
     each different text it hits, and these are looked up by a 128-bit hash of the text.
 
     Null and empty texts have no words and no hits, nor do items without words match
-    anything; items with a null id are left out, items that share an id count as one.
+    anything. Items that share an id count as one, and so do all with a null id: they mark
+    words like any item and stand as one null, last, in ``found.items``.
     Spans are word numbers, end exclusive, merged. Very long texts are scanned in one
     pass; only runs of item words are walked. No rows: no rows, no items: no hits.
     """
@@ -280,7 +282,7 @@ def scan_documents(
 
 
 def contamination(found: Column) -> dict[str, Column]:
-    """Digest columns of a ``found`` struct."""
+    """Digest columns of a ``found`` struct; a null item counts, but has no name to hash."""
     hits = F.aggregate(
         found["hits"], F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"]
     )
@@ -320,8 +322,10 @@ def strip_spans(
     **scan,
 ) -> DataFrame:
     """Input columns, with hit spans of at least ``min_words`` words cut from the text;
-    rows with more than ``max_coverage`` of their words hit are removed whole."""
-    rows = scan_documents(docs, items, text_col, **scan)
+    rows with more than ``max_coverage`` of their words hit are removed whole. Here, items
+    with a null id cut nothing."""
+    named = items.where(F.col(f"`{scan.get('item_id', 'item_id')}`").isNotNull())
+    rows = scan_documents(docs, named, text_col, **scan)
     spans = F.filter("found.hits", lambda h: h["last"] - h["first"] >= min_words)
 
     @F.arrow_udf("string")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assayline.llm import decontaminate as D
+from assayline.llm.queries import OP6_SQL
 
 
 def words(text):
@@ -49,6 +51,24 @@ def test_random_texts(spark, group_bytes, at_once):
         assert r.contaminated == (hit > 0) and r.n_items == len(names)
 
 
+@pytest.mark.parametrize("group_bytes", [1 << 20, 20])
+def test_items_without_id_count_as_the_check_sql_counts(spark, group_bytes):
+    items = [(None, "five six seven"), (None, "eight nine"), (3, "six seven ten"), (4, None)]
+    texts = ["x five six seven ten y", "five six seven eight nine", "six seven", None, "six seven ten"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = D.scan_documents(docs, bench, group_bytes=group_bytes)
+    facts = D.contamination(F.col("found"))
+    got = rows.select("row.doc_id", *[c.alias(k) for k, c in facts.items()]).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert sorted(map(tuple, got)) == sorted(con.sql(OP6_SQL).fetchall())
+    assert {r.doc_id: r.n_hit for r in got} == {0: 4, 1: 5, 2: 0, 3: 0, 4: 3}
+
+
 def test_strip_spans(spark):
     bench = spark.createDataFrame([(1, "one two three four"), (2, None), (None, "five six")], "item_id long, text string")
     texts = ["Zero, ONE two; three four! End.", "five six", None, "one two three", "one two three four"]
