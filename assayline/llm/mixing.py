@@ -138,7 +138,7 @@ def curriculum(
 ) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, source, positions.
 
-    ``taken`` is the number of words the mix takes, repeats counted: whole passes over
+    ``taken`` is the number of words of all placed passes, repeats counted: whole passes over
     the source, and in the last pass documents in hash order until the target is met (the
     last one in part). ``positions`` has the training time of each taken pass in 0..1.
 
@@ -182,21 +182,33 @@ def curriculum(
             out = F.when(F.col("rank") % len(shapes) == i, _time_of(demand(p), shape)).otherwise(out)
         return out
 
-    none = F.array().cast("array<double>")
-    positions = F.when(
-        (F.col("size") > 0) & (n_pos > 0), F.transform(F.sequence(F.lit(0), n_pos - 1), at)
+    def place(p: Column) -> Column:
+        words = F.when(p < F.col("passes"), F.col("size")).otherwise(F.col("part"))
+        return F.struct(at(p).alias("position"), words.alias("words"))
+
+    none = F.array().cast("array<struct<position: double, words: bigint>>")
+    places = F.when(
+        (F.col("size") > 0) & (n_pos > 0), F.transform(F.sequence(F.lit(0), n_pos - 1), place)
     ).otherwise(none)
-    return placed.select(
+    words = lambda n, p: n + p["words"]
+    return placed.withColumn("places", places).select(
         F.col("id").alias(id_col),
         "size",
         "source_size",
         "target",
-        (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
+        F.aggregate("places", F.lit(0).cast("long"), words).alias("taken"),
         "source",
-        positions.alias("positions"),
+        F.col("places.position").alias("positions"),
     )
 
 
+def by_first_position(mixed: DataFrame) -> DataFrame:
+    """One row per document, range-sorted by the position of its first pass; documents that
+    are not taken come last."""
+    order = [F.try_element_at("positions", F.lit(1)).asc_nulls_last(), F.col(mixed.columns[0])]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row per taken pass, range-sorted by position; ``taken_here`` are its words."""
     rows = mixed.select("*", F.posexplode("positions").alias("pass", "position"))

@@ -211,5 +211,5 @@ FROM c
 
 @query("op10_mixing", OP10_SQL)
 def _(spark, sf):
-    mixed = mixing.curriculum(read(spark, sf, "documents"))
+    mixed = mixing.by_first_position(mixing.curriculum(read(spark, sf, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

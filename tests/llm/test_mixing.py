@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.llm import mixing
+from assayline.llm.queries import QUERIES
+from conftest import SF
 
 
 def reshared(sizes, weights=(1, 2, 3), top=3):
@@ -60,6 +62,21 @@ def test_mix(spark, seed):
     assert (words or 0) == sum(r.taken for r in got)
 
 
+def test_the_query_comes_in_training_order(spark):
+    """The query's rows follow the first positions, and are of the placed passes."""
+    mixed = mixing.curriculum(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    first = {r.doc_id: r.positions[0] if r.positions else 2.0 for r in mixed}
+    got = QUERIES["op10_mixing"](spark, SF)
+    rows = got.collect()
+    assert [r.doc_id for r in rows] == sorted(first, key=lambda i: (first[i], i))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "positions" in plan and "aggregate(places" in plan
+    passes = {r.doc_id: 0 for r in rows}
+    for r in mixing.training_order(mixing.curriculum(spark.read.parquet(f"{SF}/documents.parquet"))).collect():
+        passes[r.doc_id] += r.taken_here
+    assert passes == {r.doc_id: r.taken for r in rows}
+
+
 def test_positions_follow_the_schedule(spark):
     shape = (2.0, 1.0, 0.0)
     shares = np.linspace(0, 1, 21)
