@@ -3,8 +3,10 @@
 A run is a stored table (h1, h2, docs, last): the 128-bit hash of a line key, the number
 of documents that hold it and the largest of their ids, sorted by the hash. Every batch of
 documents becomes a run on level 0; as soon as a level has ``fanout`` runs they are merged
-into one run of the next level, so a key is rewritten once per level only. Batches are
-merge-anti-joined with the runs. DataFrame operations alone.
+into one run of the next level, so a key is rewritten once per level only. For all
+documents at once the runs are merged at the end and the frequent keys joined back; in
+incremental use (``drop_seen_lines``) a batch is merge-anti-joined with the runs.
+DataFrame operations alone.
 """
 
 from __future__ import annotations
