@@ -13,6 +13,7 @@ from assayline.llm import (
     language,
     lines,
     mixing,
+    packing,
     pii,
     repeats,
     simhash,
@@ -213,3 +214,17 @@ FROM c
 def _(spark, sf):
     mixed = mixing.by_first_position(mixing.curriculum(read(spark, sf, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_best_fit_packing")
+def _(spark, sf):
+    limits = packing.Capacity(tokens=1024, documents=1024, attention=1024 * 1024)
+    return packing.pack_documents(read(spark, sf, "documents"), capacity=limits).select(
+        F.col("id").alias("doc_id"),
+        "piece",
+        "start",
+        "length",
+        "ids_crc32",
+        "sequence_id",
+        "offset",
+    )
