@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayline.llm import (
     covertree,
     decontaminate,
+    dialogs,
     language,
     lines,
     mixing,
@@ -228,3 +229,113 @@ def _(spark, sf):
         "sequence_id",
         "offset",
     )
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT [list_reduce(list_prepend(i, range(8)), lambda c, b:
+            CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)
+          FOR i IN range(256)] AS t
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+), hashed AS (
+  SELECT raw.*, xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(name, '')]),
+           lambda c, b: xor(t[(xor(c, b) % 256) + 1], c >> 8))) % 20 AS h
+  FROM raw, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END
+           AS text,
+         unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE h <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id
+              ORDER BY turn NULLS FIRST, role, text, copy) AS pos
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1
+                   THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated'
+                 ELSE 'none' END AS fault,
+         left(role, 1) AS i,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+  FROM ordered
+), go(p, r, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+states AS (SELECT unnest(range(4))::INT AS p),
+ins(p, q, n, path) AS (
+  SELECT p, p, 0, '' FROM states
+  UNION ALL
+  SELECT ins.p, go.q, n + 1, path || CASE go.r WHEN 'u' THEN 'H' ELSE 'I' END
+  FROM ins JOIN go ON go.p = ins.q WHERE go.r <> 's' AND n < 3
+), edits AS (
+  SELECT f.fault, x.i, p, p AS q, 4 AS cost, 'D' AS e
+  FROM states, (VALUES ('none'), ('truncated'), ('blank'), ('duplicate')) f(fault),
+       (VALUES ('s'), ('u'), ('a'), ('x')) x(i)
+  UNION ALL
+  SELECT f.fault, x.i, go.p, go.q, 3 + f.more, CASE go.r WHEN 'u' THEN 'R' ELSE 'S' END
+  FROM go, (VALUES ('none', 0), ('truncated', 3)) f(fault, more),
+       (VALUES ('s'), ('u'), ('a'), ('x')) x(i)
+  WHERE go.r <> 's'
+  UNION ALL
+  SELECT f.fault, go.r, go.p, go.q, f.more, 'K'
+  FROM go, (VALUES ('none', 0), ('truncated', 3)) f(fault, more)
+), moves AS (
+  SELECT fault, i, a.p, b.q,
+         min({'cost': 3 * a.n + cost + 3 * b.n, 'path': a.path || e || b.path}) AS best
+  FROM edits JOIN ins a ON a.q = edits.p JOIN ins b ON b.p = edits.q GROUP BY ALL
+), walk(conv_id, pos, st, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0, 'path': ''} FROM judged
+  UNION ALL
+  SELECT w.conv_id, j.pos, m.q,
+         min({'cost': w.best.cost + m.best.cost, 'path': w.best.path || m.best.path})
+  FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.pos = w.pos + 1
+  JOIN moves m ON m.fault = j.fault AND m.p = w.st
+       AND m.i = CASE WHEN j.i IN ('s', 'u', 'a') THEN j.i ELSE 'x' END
+  GROUP BY w.conv_id, j.pos, m.q
+), facts AS (
+  SELECT conv_id, max(pos) AS n,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au'))
+           AS illegal
+  FROM judged GROUP BY conv_id
+), best AS (
+  SELECT f.*, (SELECT min(w.best) FROM walk w WHERE w.pos = f.n AND w.st IN (0, 3)
+               AND w.conv_id IS NOT DISTINCT FROM f.conv_id) AS best
+  FROM facts f
+), letters AS (
+  SELECT conv_id, unnest(string_split(best.path, '')) AS e,
+         generate_subscripts(string_split(best.path, ''), 1) AS k
+  FROM best
+), placed AS (
+  SELECT conv_id, e, k, count(*) FILTER (WHERE e IN ('D', 'K', 'R', 'S'))
+           OVER (PARTITION BY conv_id ORDER BY k) AS pos
+  FROM letters
+), lines AS (
+  SELECT p.conv_id, string_agg(
+           CASE WHEN e IN ('H', 'R') THEN 'user' WHEN e IN ('I', 'S') THEN 'assistant'
+                ELSE role END || ':' || CASE WHEN e IN ('H', 'I') THEN '' ELSE text END,
+           chr(10) ORDER BY k) AS whole
+  FROM placed p LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.pos = p.pos
+  WHERE e <> 'D' GROUP BY p.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       translate(coalesce(best.path, ''), 'HS', 'IR') AS audit,
+       sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def _(spark, sf):
+    return dialogs.repair_damaged(read(spark, sf, "conversations"))
