@@ -15,6 +15,7 @@ from assayline.llm import (
     lines,
     mixing,
     packing,
+    phrases,
     pii,
     repeats,
     simhash,
@@ -339,3 +340,50 @@ LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM c.conv_id
 @query("op13_conversation_repair", OP13_SQL)
 def _(spark, sf):
     return dialogs.repair_damaged(read(spark, sf, "conversations"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+        FROM words, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k
+  FROM grams WHERE m > 1
+), scores AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, l.a AS l, r.a AS r, n,
+         (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+), best AS (
+  SELECT * FROM scores
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, unnest(list_distinct(flatten(
+           [[array_to_string(string_split(phrase, ' ')[i:i + s - 1], ' ')
+             FOR i IN range(1, m - s + 2)] FOR s IN range(2, m)]))) AS phrase, a AS longer
+  FROM grams WHERE m > 2
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM inner_ i WHERE i.lang = b.lang AND i.phrase = b.phrase
+    AND 100 * i.longer >= 100 * b.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept
+QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def _(spark, sf):
+    return phrases.collocations(read(spark, sf, "documents"))
