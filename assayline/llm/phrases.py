@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -29,7 +32,7 @@ from assayline.operators.scale import broadcast_if_small
 #: Every byte that ends a piece becomes a line end.
 PIECE_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 #: One word in so many is a trigger; a chunk without one is cut after so many words.
-TRIGGER, LONGEST = 16, 4096
+TRIGGER, LONGEST = 32, 4096
 #: Entries of the dictionary held by a task, words counted at once, words known by number.
 HELD, BLOCK_WORDS, VOCABULARY = 100_000, 1 << 20, 400_000
 #: Bits of the table for each frequent phrase, and bits of the table at most (128 MB).
@@ -37,28 +40,35 @@ BITS_EACH, MAX_BITS, SLICE_BITS = 16, 1 << 30, 1 << 15
 SALTS = 64
 
 
-class _Triggers(dict):
-    """Whether a word is a trigger; a bounded memory of answers."""
+class _Triggers(set):
+    """The trigger words met so far; a bounded memory of the words seen."""
 
-    def __missing__(self, word: bytes) -> bool:
-        if len(self) > 4 * VOCABULARY:
+    def __init__(self) -> None:
+        self.seen: set[bytes] = set()
+
+    def meet(self, words: Iterable[bytes]) -> None:
+        new = set(words) - self.seen
+        if len(self.seen) + len(new) > 2 * VOCABULARY:
             self.clear()
-        self[word] = found = zlib.crc32(word) % TRIGGER == 0
-        return found
+            self.seen, new = set(), set(words)
+        self.seen |= new
+        self.update([w for w in new if zlib.crc32(w) % TRIGGER == 0])
 
 
-def chunks_of(text: bytes, overlap: int, is_trigger: _Triggers) -> Iterator[tuple[int, bytes]]:
+def chunks_of(text: bytes, overlap: int, triggers: _Triggers) -> Iterator[tuple[int, bytes]]:
     """(own words, words joined by a space) of the chunks of one text."""
-    for piece in text.lower().translate(PIECE_ENDS).split(b"\n"):
+    text = text.lower().translate(PIECE_ENDS)
+    triggers.meet(text.split())
+    for piece in text.split(b"\n"):
         words = piece.split()  # only spaces and tabs are left to split at
-        if not words:
+        size = len(words)
+        if size <= LONGEST and triggers.isdisjoint(words[1:]):
+            if words:
+                yield size, b" ".join(words)
             continue
-        starts = [i for i, w in enumerate(words) if is_trigger[w]]
-        if not starts or starts[0]:
-            starts.insert(0, 0)
-        if len(words) > LONGEST:
-            starts = sorted({*starts, *range(0, len(words), LONGEST)})
-        for a, b in zip(starts, [*starts[1:], len(words)]):
+        starts = {0, *range(0, size, LONGEST), *[i for i, w in enumerate(words) if w in triggers]}
+        edges = [*sorted(starts), size]
+        for a, b in zip(edges, edges[1:]):
             yield b - a, b" ".join(words[a : b + overlap])
 
 
@@ -74,7 +84,7 @@ def dictionary(
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        is_trigger = _Triggers()
+        triggers = _Triggers()
 
         def out() -> pa.RecordBatch:
             lang, own, words = zip(*held) if held else ((), (), ())
@@ -90,7 +100,7 @@ def dictionary(
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for chunk in chunks_of(text.as_py(), longest_phrase - 1, is_trigger):
+                for chunk in chunks_of(text.as_py(), longest_phrase - 1, triggers):
                     held[(lang, *chunk)] += 1
                 if len(held) > HELD:
                     yield out()
@@ -102,11 +112,6 @@ def dictionary(
     return materialize(found, "chunks")
 
 
-def _word_hash(lang: str, word: bytes) -> int:
-    seed = zlib.crc32(lang.encode())
-    return zlib.crc32(word, seed) << 32 | zlib.adler32(word[::-1], seed) ^ zlib.crc32(word)
-
-
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from every place on, of word hashes in order."""
     size = max(len(words) - n + 1, 0)
@@ -121,7 +126,8 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def phrase_hash(lang: pa.Array, phrase: pa.Array) -> pa.Array:
     out = []
     for name, text in zip(lang.to_pylist(), phrase.to_pylist()):
-        words = [_word_hash(name, w) for w in text.encode().split(b" ")]
+        seed = zlib.crc32(name.encode())
+        words = [xxhash.xxh3_64_intdigest(w, seed) for w in text.encode().split(b" ")]
         out.append(gram_hashes(np.array(words, np.uint64), len(words))[0])
     return pa.array(np.array(out, np.uint64).view(np.int64))
 
@@ -156,64 +162,85 @@ def in_table(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return found
 
 
-class _Words:
-    """Numbers of the words of a block, by language, with their hashes."""
+class _Words(dict):
+    """Numbers of the words of one language; the end of a chunk, a line end, has number 0."""
+
+    def __init__(self, lang: str, names: list[bytes], codes: list[int]) -> None:
+        super().__init__({b"\n": 0})
+        self.seed, self.names, self.codes = zlib.crc32(lang.encode()), names, codes
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.names)
+        self.names.append(word)
+        self.codes.append(xxhash.xxh3_64_intdigest(word, self.seed))
+        return number
+
+
+class Block:
+    """Chunks whose phrases are counted at once, as word numbers with a 0 behind each chunk."""
 
     def __init__(self) -> None:
-        self.langs: dict[str, dict[bytes, int]] = {}
-        self.names: list[bytes] = []
-        self.codes: list[int] = []
-
-    def numbers(self, lang: str, words: list[bytes]) -> list[int]:
-        known = self.langs.setdefault(lang, {})
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = len(self.names)
-                    self.names.append(w)
-                    self.codes.append(_word_hash(lang, w))
-            return [known[w] for w in words]
-
-
-def block_counts(
-    rows: Sequence[tuple[str, list[int], int, int]],
-    words: _Words,
-    lengths: Sequence[int],
-    table: np.ndarray | None,
-    part: int,
-) -> Iterator[tuple[list[str], list[bytes], int, np.ndarray]]:
-    """(languages, phrases, length, counts) of the phrases of a block of chunks."""
-    sizes = np.array([len(r[1]) for r in rows])
-    ids = np.concatenate([np.array(r[1], np.int64) for r in rows])
-    ends = np.cumsum(sizes)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    place = np.arange(len(ids))
-    own = place - (ends - sizes)[row] < np.array([r[2] for r in rows])[row]
-    left = ends[row] - place
-    freq = np.array([r[3] for r in rows])[row]
-    if table is not None:
-        parts = in_table(table, gram_hashes(np.array(words.codes, np.uint64)[ids], part))
-    for n in lengths:
-        able = own & (left >= n)
+        self.names, self.codes, self.vocabularies = [b"\n"], [0], {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.own, self.freq, self.lang, self.size = [], [], [], [], 0
+        if len(self.names) > VOCABULARY:
+            self.names, self.codes, self.vocabularies = [b"\n"], [0], {}
+
+    def add(self, lang: str, words: list[bytes], own: np.ndarray, freq: np.ndarray) -> None:
+        if lang not in self.vocabularies:
+            self.vocabularies[lang] = _Words(lang, self.names, self.codes)
+        tokens = b" \n ".join([*words, b""]).split(b" ")
+        tokens.pop()  # behind the last line end
+        self.ids.append(np.array([*map(self.vocabularies[lang].__getitem__, tokens)], np.int64))
+        self.own.append(own)
+        self.freq.append(freq)
+        self.lang += [lang] * len(own)
+        self.size += len(tokens)
+
+    def counts(
+        self, lengths: Sequence[int], table: np.ndarray | None, part: int
+    ) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, n, a) of the phrases of ``lengths`` that start in own words."""
+        if not self.ids:
+            return
+        ids = np.concatenate(self.ids)
+        place = np.arange(len(ids))
+        ends = np.flatnonzero(ids == 0)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        row = np.repeat(np.arange(len(ends)), ends - starts + 1)
+        left = ends[row] - place
+        own = place < (starts + np.concatenate(self.own))[row]
+        freq = np.concatenate(self.freq)
+        langs, names = pa.array(self.lang, pa.string()), pa.array(self.names, pa.binary())
         if table is not None:
-            for j in range(n - part + 1):
-                able[: max(len(parts) - j, 0)] &= parts[j:]
-        at = np.flatnonzero(able)
-        if not len(at):
-            continue
-        number = ids[at]
-        for j in range(1, n):  # exact numbers of ever longer phrases
-            number = np.unique(number, return_inverse=True)[1] * len(words.names) + ids[at + j]
-        _, first, number = np.unique(number, return_index=True, return_inverse=True)
-        sums = np.zeros(len(first), np.int64)
-        np.add.at(sums, number, freq[at])
-        starts = at[first]
-        names = words.names
-        spans = np.stack([ids[starts + j] for j in range(n)], axis=1).tolist()
-        phrases = [b" ".join([names[i] for i in span]) for span in spans]
-        yield [rows[i][0] for i in row[starts].tolist()], phrases, n, sums
+            parts = in_table(table, gram_hashes(np.array(self.codes, np.uint64)[ids], part))
+        for n in lengths:
+            able = own & (left >= n)
+            if table is not None:
+                for j in range(n - part + 1):
+                    able[: max(len(parts) - j, 0)] &= parts[j:]
+            at = np.flatnonzero(able)
+            number = ids[at]
+            for j in range(1, n):  # exact numbers of ever longer phrases
+                number = pd.factorize(number)[0] * len(self.names) + ids[at + j]
+            number, values = pd.factorize(number)
+            sums = np.zeros(len(values), np.int64)
+            np.add.at(sums, number, freq[row[at]])
+            first = np.zeros(len(values), np.int64)
+            first[number[::-1]] = at[::-1]
+            words = [names.take(pa.array(ids[first + j])) for j in range(n)]
+            phrase = pc.binary_join_element_wise(*words, b" ") if n > 1 else words[0]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    langs.take(pa.array(row[first])),
+                    phrase.cast(pa.string()),
+                    pa.array(np.full(len(first), n, np.int32)),
+                    pa.array(sums),
+                ],
+                ["lang", "phrase", "n", "a"],
+            )
 
 
 def gram_counts(
@@ -226,33 +253,17 @@ def gram_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if held is None else held.value
-        words, rows, size = _Words(), [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for langs, phrases, n, sums in block_counts(rows, words, lengths, table, part):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(langs, pa.string()),
-                        pa.array(phrases, pa.binary()).cast(pa.string()),
-                        pa.array(np.full(len(langs), n, np.int32)),
-                        pa.array(sums),
-                    ],
-                    ["lang", "phrase", "n", "a"],
-                )
-
+        block = Block()
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for lang, text, own, freq in zip(*cols):
-                numbers = words.numbers(lang, text.split(b" "))
-                rows.append((lang, numbers, own, freq))
-                size += len(numbers)
-                if size > BLOCK_WORDS:
-                    yield from out()
-                    rows, size = [], 0
-                    if len(words.names) > VOCABULARY:
-                        words = _Words()
-        if rows:
-            yield from out()
+            langs = batch.column(0).dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                at = pa.array(np.flatnonzero(langs.indices.to_numpy(zero_copy_only=False) == code))
+                words, own, freq = (batch.column(i).take(at) for i in (1, 2, 3))
+                block.add(lang, words.to_pylist(), own.to_numpy(), freq.to_numpy())
+                if block.size > BLOCK_WORDS:
+                    yield from block.counts(lengths, table, part)
+                    block.clear()
+        yield from block.counts(lengths, table, part)
 
     rows = chunks.select("lang", F.col("words").cast("binary"), "own", "freq")
     found = rows.mapInArrow(count, "lang string, phrase string, n int, a long")
