@@ -13,9 +13,10 @@ side: it never loses a frequent phrase, and what it lets through is counted exac
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,47 +30,46 @@ from pyspark.sql.types import LongType
 from assayline.llm.common import join_facts, materialize
 from assayline.operators.scale import broadcast_if_small
 
-#: Every byte that ends a piece becomes a line end.
-PIECE_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
+#: Every byte that ends a piece becomes a line end, a tab a space.
+PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
+SPACES = re.compile(b" +")
 #: One word in so many is a trigger; a chunk without one is cut after so many words.
 TRIGGER, LONGEST = 32, 4096
 #: Entries of the dictionary held by a task, words counted at once, words known by number.
-HELD, BLOCK_WORDS, VOCABULARY = 100_000, 1 << 20, 400_000
+HELD, BLOCK_WORDS, VOCABULARY = 100_000, 3 << 19, 500_000
+TEXT_BYTES = 1 << 20
 #: Bits of the table for each frequent phrase, and bits of the table at most (128 MB).
 BITS_EACH, MAX_BITS, SLICE_BITS = 16, 1 << 30, 1 << 15
 SALTS = 64
 
 
-class _Triggers(set):
-    """The trigger words met so far; a bounded memory of the words seen."""
-
-    def __init__(self) -> None:
-        self.seen: set[bytes] = set()
-
-    def meet(self, words: Iterable[bytes]) -> None:
-        new = set(words) - self.seen
-        if len(self.seen) + len(new) > 2 * VOCABULARY:
-            self.clear()
-            self.seen, new = set(), set(words)
-        self.seen |= new
-        self.update([w for w in new if zlib.crc32(w) % TRIGGER == 0])
-
-
-def chunks_of(text: bytes, overlap: int, triggers: _Triggers) -> Iterator[tuple[int, bytes]]:
-    """(own words, words joined by a space) of the chunks of one text."""
-    text = text.lower().translate(PIECE_ENDS)
-    triggers.meet(text.split())
-    for piece in text.split(b"\n"):
-        words = piece.split()  # only spaces and tabs are left to split at
-        size = len(words)
-        if size <= LONGEST and triggers.isdisjoint(words[1:]):
-            if words:
-                yield size, b" ".join(words)
-            continue
-        starts = {0, *range(0, size, LONGEST), *[i for i, w in enumerate(words) if w in triggers]}
-        edges = [*sorted(starts), size]
-        for a, b in zip(edges, edges[1:]):
-            yield b - a, b" ".join(words[a : b + overlap])
+def chunks_of(text: bytes, overlap: int, longest: int = LONGEST) -> list[tuple[int, bytes]]:
+    """(own words, words joined by a space) of the chunks of a text. A word is a trigger by a
+    hash of its length, its first and its last three bytes."""
+    text = text.lower().translate(PLAIN)
+    if b"  " in text:
+        text = SPACES.sub(b" ", text)
+    letters = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(text) + 2, np.int8)
+    inside[1:-1] = (letters != 32) & (letters != 10)
+    edges = np.flatnonzero(np.diff(inside))
+    first, last = edges[::2], edges[1::2]
+    if not len(first):
+        return []
+    code = (last - first).astype(np.uint32)
+    for at in (first, *[np.maximum(last - k, first) for k in (1, 2, 3)]):
+        code = (code ^ letters[at]) * np.uint32(0x9E3779B1)
+    piece = np.cumsum(letters == 10)[first]
+    new = np.append(True, piece[1:] != piece[:-1])
+    pieces = np.flatnonzero(new)
+    sizes = np.diff(np.append(pieces, len(first)))
+    nth = np.arange(len(first)) - np.repeat(pieces, sizes)
+    new |= ((code >> np.uint32(16)) % TRIGGER == 0) | (nth % longest == 0)
+    start = np.flatnonzero(new)
+    own = np.diff(np.append(start, len(first)))
+    end = np.minimum(start + own + overlap, np.repeat(pieces + sizes, sizes)[start])
+    spans = zip(first[start].tolist(), last[end - 1].tolist())
+    return list(zip(own.tolist(), [text[a:b] for a, b in spans]))
 
 
 def dictionary(
@@ -83,29 +83,43 @@ def dictionary(
     )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        triggers = _Triggers()
-
-        def out() -> pa.RecordBatch:
-            lang, own, words = zip(*held) if held else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(lang, pa.string()),
-                    pa.array(words, pa.binary()).cast(pa.string()),
-                    pa.array(own, pa.int32()),
-                    pa.array(held.values(), pa.int64()),
-                ],
-                ["lang", "words", "own", "freq"],
-            )
+        held: dict[str, Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, found in held.items():
+                own, words = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(own), pa.string()),
+                        pa.array(words, pa.binary()).cast(pa.string()),
+                        pa.array(own, pa.int32()),
+                        pa.array(found.values(), pa.int64()),
+                    ],
+                    ["lang", "words", "own", "freq"],
+                )
+            held.clear()
+
+        def parts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+            """Texts of a language, joined by line ends up to about ``TEXT_BYTES``."""
+            texts: dict[str, list[bytes]] = {}
+            sizes: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = texts.setdefault(lang, [])
+                own.append(text.as_py())
+                sizes[lang] += len(own[-1])
+                if sizes[lang] > TEXT_BYTES:
+                    yield lang, b"\n".join(texts.pop(lang))
+                    del sizes[lang]
+            for lang, own in texts.items():
+                yield lang, b"\n".join(own)
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for chunk in chunks_of(text.as_py(), longest_phrase - 1, triggers):
-                    held[(lang, *chunk)] += 1
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        yield out()
+            for lang, text in parts(batch):
+                chunks = chunks_of(text, longest_phrase - 1)
+                held.setdefault(lang, Counter()).update(chunks)
+                if sum(map(len, held.values())) > HELD:
+                    yield from out()
+        yield from out()
 
     found = rows.mapInArrow(parse, "lang string, words string, own int, freq long")
     found = found.groupBy("lang", "words", "own").agg(F.sum("freq").alias("freq"))

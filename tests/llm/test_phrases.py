@@ -80,14 +80,13 @@ def test_shorter_phrases_and_no_rows(spark):
     assert phrases.collocations(docs, least=10**9).count() == 0
 
 
-def test_chunks_hold_every_phrase_once(monkeypatch):
-    monkeypatch.setattr(phrases, "LONGEST", 7)
+def test_chunks_hold_every_phrase_once():
     for _, text in corpus(9, 40):
         want, got = Counter(), Counter()
         for words in pieces(text):
             for n in range(1, 6):
                 want.update(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
-        for own, chunk in phrases.chunks_of((text or "").encode(), 4, phrases._Triggers()):
+        for own, chunk in phrases.chunks_of((text or "").encode(), 4, 7):
             words = chunk.decode().split(" ")
             assert 0 < own <= 7 and len(words) <= own + 4
             for n in range(1, 6):
@@ -98,9 +97,9 @@ def test_chunks_hold_every_phrase_once(monkeypatch):
 def test_equal_passages_make_equal_chunks():
     words = [f"w{i}" for i in range(2000)]
     passage = " ".join(words[500:1500])
-    one = Counter(c for c in phrases.chunks_of(passage.encode(), 4, phrases._Triggers()))
+    one = Counter(c for c in phrases.chunks_of(passage.encode(), 4))
     text = " ".join(words[:77]) + " " + passage + " " + " ".join(words[:9])
-    two = Counter(c for c in phrases.chunks_of(text.encode(), 4, phrases._Triggers()))
+    two = Counter(c for c in phrases.chunks_of(text.encode(), 4))
     assert sum((one & two).values()) >= len(one) - 3
 
 
