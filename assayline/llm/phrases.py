@@ -35,9 +35,8 @@ PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 SPACES = re.compile(b" +")
 #: One word in so many is a trigger; a chunk without one is cut after so many words.
 TRIGGER, LONGEST = 32, 4096
-#: Entries of the dictionary held by a task, words counted at once, words known by number.
-HELD, BLOCK_WORDS, VOCABULARY = 100_000, 3 << 19, 500_000
-TEXT_BYTES = 1 << 20
+#: Entries of the dictionary held by a task, bytes of text cut and bytes of chunks counted at once.
+HELD, TEXT_BYTES, BLOCK_BYTES = 200_000, 1 << 20, 12 << 20
 #: Bits of the table for each frequent phrase, and bits of the table at most (128 MB).
 BITS_EACH, MAX_BITS, SLICE_BITS = 16, 1 << 30, 1 << 15
 SALTS = 64
@@ -126,10 +125,10 @@ def dictionary(
     return materialize(found, "chunks")
 
 
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from every place on, of word hashes in order."""
+def gram_hashes(words: np.ndarray, n: int, seeds: np.ndarray) -> np.ndarray:
+    """Hash of the n words from every place on, of word hashes and a seed at each place."""
     size = max(len(words) - n + 1, 0)
-    out = np.zeros(size, np.uint64)
+    out = seeds[:size].copy()
     for j in range(n):
         out = (out ^ words[j : j + size]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
@@ -138,12 +137,12 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 @F.arrow_udf(LongType())
 def phrase_hash(lang: pa.Array, phrase: pa.Array) -> pa.Array:
-    out = []
-    for name, text in zip(lang.to_pylist(), phrase.to_pylist()):
-        seed = zlib.crc32(name.encode())
-        words = [xxhash.xxh3_64_intdigest(w, seed) for w in text.encode().split(b" ")]
-        out.append(gram_hashes(np.array(words, np.uint64), len(words))[0])
-    return pa.array(np.array(out, np.uint64).view(np.int64))
+    out = [0]
+    seeds = _codes(lang.cast("binary"))
+    for seed, text in zip(seeds, phrase.to_pylist()):
+        words = np.array([xxhash.xxh3_64_intdigest(w) for w in text.encode().split(b" ")], np.uint64)
+        out.append(gram_hashes(words, len(words), np.full(len(words), seed))[0])
+    return pa.array(np.array(out[1:], np.uint64).view(np.int64))
 
 
 def bit_table(phrases: DataFrame) -> np.ndarray:
@@ -176,85 +175,56 @@ def in_table(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return found
 
 
-class _Words(dict):
-    """Numbers of the words of one language; the end of a chunk, a line end, has number 0."""
-
-    def __init__(self, lang: str, names: list[bytes], codes: list[int]) -> None:
-        super().__init__({b"\n": 0})
-        self.seed, self.names, self.codes = zlib.crc32(lang.encode()), names, codes
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.names)
-        self.names.append(word)
-        self.codes.append(xxhash.xxh3_64_intdigest(word, self.seed))
-        return number
-
-
-class Block:
-    """Chunks whose phrases are counted at once, as word numbers with a 0 behind each chunk."""
-
-    def __init__(self) -> None:
-        self.names, self.codes, self.vocabularies = [b"\n"], [0], {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids, self.own, self.freq, self.lang, self.size = [], [], [], [], 0
-        if len(self.names) > VOCABULARY:
-            self.names, self.codes, self.vocabularies = [b"\n"], [0], {}
-
-    def add(self, lang: str, words: list[bytes], own: np.ndarray, freq: np.ndarray) -> None:
-        if lang not in self.vocabularies:
-            self.vocabularies[lang] = _Words(lang, self.names, self.codes)
-        tokens = b" \n ".join([*words, b""]).split(b" ")
-        tokens.pop()  # behind the last line end
-        self.ids.append(np.array([*map(self.vocabularies[lang].__getitem__, tokens)], np.int64))
-        self.own.append(own)
-        self.freq.append(freq)
-        self.lang += [lang] * len(own)
-        self.size += len(tokens)
-
-    def counts(
-        self, lengths: Sequence[int], table: np.ndarray | None, part: int
-    ) -> Iterator[pa.RecordBatch]:
-        """(lang, phrase, n, a) of the phrases of ``lengths`` that start in own words."""
-        if not self.ids:
-            return
-        ids = np.concatenate(self.ids)
-        place = np.arange(len(ids))
-        ends = np.flatnonzero(ids == 0)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        row = np.repeat(np.arange(len(ends)), ends - starts + 1)
-        left = ends[row] - place
-        own = place < (starts + np.concatenate(self.own))[row]
-        freq = np.concatenate(self.freq)
-        langs, names = pa.array(self.lang, pa.string()), pa.array(self.names, pa.binary())
+def _codes(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
+
+
+def block_counts(
+    rows: pa.Table, lengths: Sequence[int], table: np.ndarray | None, part: int
+) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n, a) of the phrases of ``lengths`` words that start in the own words of
+    chunks (lang, words, own, freq), counted at once over numbers of words."""
+    langs = rows["lang"].combine_chunks().dictionary_encode()
+    lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    split = pc.split_pattern(rows["words"].combine_chunks(), " ")
+    bounds = split.offsets.to_numpy().astype(np.int64)
+    words = split.flatten().dictionary_encode()
+    ids, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+    row = np.repeat(np.arange(len(lang)), np.diff(bounds))
+    place = np.arange(len(ids))
+    left = bounds[1:][row] - place
+    own = place < (bounds[:-1] + rows["own"].to_numpy())[row]
+    freq, lang = rows["freq"].to_numpy()[row], lang[row]
+    if table is not None:
+        codes = gram_hashes(_codes(names)[ids], part, _codes(langs.dictionary.cast("binary"))[lang])
+        parts = in_table(table, codes)
+    for n in lengths:
+        able = own & (left >= n)
         if table is not None:
-            parts = in_table(table, gram_hashes(np.array(self.codes, np.uint64)[ids], part))
-        for n in lengths:
-            able = own & (left >= n)
-            if table is not None:
-                for j in range(n - part + 1):
-                    able[: max(len(parts) - j, 0)] &= parts[j:]
-            at = np.flatnonzero(able)
-            number = ids[at]
-            for j in range(1, n):  # exact numbers of ever longer phrases
-                number = pd.factorize(number)[0] * len(self.names) + ids[at + j]
-            number, values = pd.factorize(number)
-            sums = np.zeros(len(values), np.int64)
-            np.add.at(sums, number, freq[row[at]])
-            first = np.zeros(len(values), np.int64)
-            first[number[::-1]] = at[::-1]
-            words = [names.take(pa.array(ids[first + j])) for j in range(n)]
-            phrase = pc.binary_join_element_wise(*words, b" ") if n > 1 else words[0]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    langs.take(pa.array(row[first])),
-                    phrase.cast(pa.string()),
-                    pa.array(np.full(len(first), n, np.int32)),
-                    pa.array(sums),
-                ],
-                ["lang", "phrase", "n", "a"],
-            )
+            for j in range(n - part + 1):
+                able[: max(len(parts) - j, 0)] &= parts[j:]
+        at = np.flatnonzero(able)
+        number = lang[at]
+        for j in range(n):  # exact numbers of ever longer phrases
+            if j > 1:
+                number = pd.factorize(number)[0]
+            number = number * len(names) + ids[at + j]
+        number, values = pd.factorize(number)
+        sums = np.zeros(len(values), np.int64)
+        np.add.at(sums, number, freq[at])
+        first = np.zeros(len(values), np.int64)
+        first[number[::-1]] = at[::-1]
+        found = [names.take(pa.array(ids[first + j])) for j in range(n)]
+        phrase = pc.binary_join_element_wise(*found, b" ") if n > 1 else found[0]
+        yield pa.RecordBatch.from_arrays(
+            [
+                langs.dictionary.take(pa.array(lang[first])),
+                phrase.cast(pa.string()),
+                pa.array(np.full(len(first), n, np.int32)),
+                pa.array(sums),
+            ],
+            ["lang", "phrase", "n", "a"],
+        )
 
 
 def gram_counts(
@@ -267,17 +237,15 @@ def gram_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if held is None else held.value
-        block = Block()
+        block, size = [], 0
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            for code, lang in enumerate(langs.dictionary.to_pylist()):
-                at = pa.array(np.flatnonzero(langs.indices.to_numpy(zero_copy_only=False) == code))
-                words, own, freq = (batch.column(i).take(at) for i in (1, 2, 3))
-                block.add(lang, words.to_pylist(), own.to_numpy(), freq.to_numpy())
-                if block.size > BLOCK_WORDS:
-                    yield from block.counts(lengths, table, part)
-                    block.clear()
-        yield from block.counts(lengths, table, part)
+            block.append(batch)
+            size += batch.nbytes
+            if size > BLOCK_BYTES:
+                yield from block_counts(pa.Table.from_batches(block), lengths, table, part)
+                block, size = [], 0
+        if block:
+            yield from block_counts(pa.Table.from_batches(block), lengths, table, part)
 
     rows = chunks.select("lang", F.col("words").cast("binary"), "own", "freq")
     found = rows.mapInArrow(count, "lang string, phrase string, n int, a long")

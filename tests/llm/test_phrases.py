@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
+import pyarrow as pa
 import pytest
 
 from assayline.llm import phrases
@@ -109,10 +109,9 @@ def test_bit_table_loses_nothing(spark):
     table = phrases.bit_table(held)
     hits = {}
     for letter in "wy":
-        block = phrases.Block()
         words = [f"{letter}{i} x{i % 7}".encode() for i in range(3000)]
-        block.add("en", words, np.full(3000, 2), np.full(3000, 5))
-        hits[letter] = sum(b.num_rows for b in block.counts([2], table, 2))
+        block = pa.table({"lang": ["en"] * 3000, "words": words, "own": [2] * 3000, "freq": [5] * 3000})
+        hits[letter] = sum(b.num_rows for b in phrases.block_counts(block, [2], table, 2))
     assert hits["w"] == 3000 and hits["y"] < 30
 
 
