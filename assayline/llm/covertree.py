@@ -134,9 +134,9 @@ def _block_links(cosine: float):
             hid, gid = home["id"].to_numpy(), guest["id"].to_numpy()
             trees = [Node(m, np.arange(len(m)), 2.0) for m in (x, y)]
             i, j = dual_pairs(trees[0], x, trees[1], y, cosine)
-            own = guest["own"].to_numpy(zero_copy_only=False)[j]
-            ok = ~own | (hid[i] < gid[j])
-            i, j = i[ok], j[ok]
+            if table["hb"][0].as_py() == table["vc"][0].as_py():  # a block against itself
+                ok = hid[i] < gid[j]
+                i, j = i[ok], j[ok]
             if len(i):
                 n_home, n_guest = home["mult"].to_numpy(), guest["mult"].to_numpy()
                 ids, place = np.unique(np.concatenate((hid[i], gid[j])), return_inverse=True)
@@ -248,20 +248,24 @@ def near_pairs(
         "grp", F.col("to").alias("cell"), (F.col("to") == F.col("cell")).alias("own"), "id", "mult", "emb"
     )
     parts = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
+    is_own = F.col("own").cast("long")
     counted = (
         guests.groupBy("grp", "cell")
-        .agg(F.sum(F.col("own").cast("long")).alias("homes"), F.count(F.lit(1)).alias("all"))
-        .select("grp", "cell", parts("homes").alias("nb"), parts("all").alias("nv"))
+        .agg(F.sum(is_own).alias("homes"), F.sum(1 - is_own).alias("others"))
+        .select("grp", "cell", parts("homes").alias("nb"), parts("others").alias("nv"))
     )
     counted = materialize(counted.where("nb > 0"), "blocks")
-    slot = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["grp", "cell", "hb", "vc"]
-    facts = ["own", "id", "mult", "emb"]
-    homes = placed.join(counted, ["grp", "cell"]).withColumn("own", F.lit(True))
-    homes = homes.withColumn("hb", slot("nb", 1)).withColumn("vc", spread("nv"))
+    slot = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), F.col(n)).cast("int")
+    spread = lambda a, b: F.explode(F.sequence(a, b))
+    # blocks 0 to nb - 1 are the points of the cell, those from nb on its visitors; a block of
+    # the cell meets itself, the later ones and all visitors, so each pair is looked at once
+    last = F.col("nb") - 1
+    keys, facts = ["grp", "cell", "hb", "vc"], ["id", "mult", "emb"]
+    homes = placed.join(counted, ["grp", "cell"]).withColumn("hb", slot("nb"))
+    homes = homes.withColumn("vc", spread(F.col("hb"), last + F.col("nv")))
     seen = guests.join(counted, ["grp", "cell"])
-    seen = seen.withColumn("vc", slot("nv", 2)).withColumn("hb", spread("nb"))
+    seen = seen.withColumn("vc", F.when(F.col("own"), slot("nb")).otherwise(F.col("nb") + slot("nv")))
+    seen = seen.withColumn("hb", spread(F.lit(0), F.least("vc", last)))
     rows = homes.select(*keys, F.lit(True).alias("home"), *facts).union(
         seen.select(*keys, F.lit(False).alias("home"), *facts)
     )
@@ -281,7 +285,8 @@ def classes(
     Vectors of one label and length are compared; null labels, null and empty vectors, and
     vectors that are zero or hold null or non-finite components link with nothing and are
     classes of their own. Repeated rows are vectors of their own. A null id is never the
-    smallest id of a class, and is never kept. No rows: no rows.
+    smallest id of a class, and is never kept; a class of null ids alone has a null
+    component. No rows: no rows.
     """
     emb = F.transform(F.col("v").cast("array<double>"), lambda c: c + F.lit(0.0))  # -0.0 to 0.0
     usable = (
@@ -300,9 +305,8 @@ def classes(
     points = rows.where("ok").groupBy("grp", "h1", "h2", "emb").agg(
         F.min("id").alias("first"), F.count(F.lit(1)).alias("mult")
     )
-    # a class of null ids gets a number below all ids that are not negative
-    number = F.coalesce("first", F.lit(-1) - F.shiftrightunsigned("h1", 1))
-    points = materialize(points.withColumn("id", number), "points")
+    # numbers of the stored rows tell points apart, whatever their ids
+    points = materialize(points.withColumn("id", F.monotonically_increasing_id()), "points")
     found = near_pairs(points.select("grp", "id", "mult", "emb"), cosine, **sizes)
     found = materialize(found, "vector-links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))

@@ -76,3 +76,17 @@ def test_many_equal_directions():
         covertree.Node(x, np.arange(600), 2.0), x, covertree.Node(x, np.arange(600), 2.0), x, 0.98
     )
     assert len(set(zip(i.tolist(), j.tolist()))) == len(i) == 2 * 300 * 300
+
+
+def test_null_and_negative_ids_in_several_labels(spark):
+    """Equal vectors under different labels stay apart, whatever their ids."""
+    v, w = [1.0, 2.0], [2.0, -1.0]
+    rows = [(None, v, k) for k in (1, 2, 3)] + [(k, v, k) for k in (1, 2)] + [(3, v, 3)]
+    rows += [(-1, w, 1), (-(2**62), w, 2), (None, w, 2), (-5, w, 2), (None, w, 4), (None, w, 4)]
+    assert result(covertree.classes(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_many_ids_are_null(spark):
+    rows = [(None if i % 3 else -i, v, k) for i, v, k in vectors(4, 120, 9, 0.12)]
+    for sizes in ({}, {"block_rows": 11}, {"cell_rows": 10, "block_rows": 6}):
+        assert result(covertree.classes(spark.createDataFrame(rows, SCHEMA), **sizes)) == brute(rows)
