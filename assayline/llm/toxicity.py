@@ -92,7 +92,8 @@ def train(
 
     Learns from at most ``per_class`` labelled ids of each class, drawn by a hash of the
     id, whose crc32 remainder is not the held-out one. Null ids, labels and texts without
-    words teach nothing; of several labels for an id the highest counts. Without rows
+    words teach nothing; of several labels for an id the highest counts, of several texts
+    the one with the smallest hash. Without rows
     all weights are zero.
     """
     known = labels.select(
@@ -105,7 +106,10 @@ def train(
     first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     known = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_class)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(known.drop("k")), "id")  # at most 2 * per_class rows
+    rows = texts.where("text IS NOT NULL").join(F.broadcast(known.drop("k")), "id")
+    # one row per drawn id, so at most 2 * per_class rows
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    rows = rows.groupBy("id", "label").agg(one.alias("one")).select("id", "label", "one.text")
 
     @F.arrow_udf("array<int>")
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

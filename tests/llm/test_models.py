@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -120,6 +122,32 @@ def test_personal_data_cases(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_cover_and_apart():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        spans = sorted((int(a), 0, int(a + n)) for a, n in zip(rng.integers(0, 60, 9), rng.integers(1, 9, 9)))
+        meets = lambda s, o: s[0] < o[2] and o[0] < s[2]
+        held, taken, added = pii.Cover(spans[:4]), pii.Cover(), []
+        for s in spans:
+            assert held.meets(s) == any(meets(s, o) for o in spans[:4])
+            assert taken.meets(s) == any(meets(s, o) for o in added)
+            if not taken.meets(s):
+                taken.add(s)
+                added.append(s)
+        alone = [s for n, s in enumerate(spans) if not any(meets(s, o) for o in spans[:n] + spans[n + 1 :])]
+        assert pii.apart(spans) == alone
+
+
+def test_very_many_spans_in_one_text(spark):
+    """Ten megabytes of addresses and numbers, in the sample and in use."""
+    line = "write to anna{0}@mail.example.org or call 555-38{0} at once. "
+    text = "".join(line.format(i % 89 + 10) for i in range(160_000))
+    start = time.time()
+    docs = spark.createDataFrame([(1, text), (2, "x@y.zz"), (3, None)], "doc_id int, text string")
+    got = {r["row"].doc_id: len(r.found.base) for r in pii.find_personal_data(docs).collect()}
+    assert got == {1: 160_000, 2: 1, 3: 0} and time.time() - start < 90
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
@@ -149,6 +177,58 @@ def test_toxicity_cases(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
+def plain_ftrl(rows, epochs, bits):
+    """One coordinate at a time, over (id order, label, text) with dictionaries."""
+    z, n = {}, {}
+    rate, beta, l1 = 2.0, 1.0, 10.0
+    held = [(sorted({int(f) for f in toxicity.features(toxicity.word_hashes(t), bits)}), y) for y, t in rows]
+    seen = {}
+    for at, _ in held:
+        for c in at:
+            seen[c] = seen.get(c, 0) + 1
+    held = [([c for c in at if seen[c] >= toxicity.MIN_DOCS] + [1 << bits], y) for at, y in held if at]
+    ones = sum(y for _, y in held)
+    up = ((len(held) - ones) / ones) ** 0.5
+
+    def weight(c):
+        if abs(z.get(c, 0.0)) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[c]) - z[c]) / ((beta + math.sqrt(n[c])) / rate)
+
+    for _ in range(epochs):
+        for at, y in held:
+            w = {c: weight(c) for c in at}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (up if y else 1.0)
+            for c in at:
+                old = n.get(c, 0.0)
+                z[c] = z.get(c, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / rate * w[c]
+                n[c] = old + g * g
+    return {c: weight(c) for c in z if weight(c)}
+
+
+def test_weights_against_plain_ftrl(spark):
+    """All weights and scores of a small table; one row of an id that is there very often."""
+    rng = np.random.default_rng(3)
+    mild, bad = ["tea", "cup", "the", "of", "sun"], ["grr", "foul", "the", "of", "zap"]
+    rows = [(i, " ".join(rng.choice(bad if i % 3 == 0 else mild, 30)), int(i % 3 == 0)) for i in range(90)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id int, toxic int")
+    again = [(6, f"copy {k}", 0) for k in range(3000)] + [(None, "null id", 0), (9, None, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows + again], "doc_id int, text string")
+    learned = docs.join(labels, "doc_id").where("text IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1")
+    learned = learned.selectExpr("doc_id", "text", "toxic", "xxhash64(text) h")
+    order = spark.createDataFrame([(i,) for i in range(90)], "id int").selectExpr("id", "xxhash64(id, 7) o").collect()
+    place = {r.id: r.o for r in order}
+    one = {}
+    for r in learned.collect():
+        if r.doc_id not in one or r.h < one[r.doc_id].h:
+            one[r.doc_id] = r
+    train = [(one[i].toxic, one[i].text) for i in sorted(one, key=lambda i: place[i])]
+    want = plain_ftrl(train, 3, 10)
+    got = toxicity.train(docs, labels, shards=1, epochs=3, bits=10)
+    assert {int(c) for c in np.flatnonzero(got)} == set(want)
+    assert all(abs(got[c] - w) < 1e-9 for c, w in want.items())
+
+
 def test_word_hashes_in_pieces(monkeypatch):
     text = "some words, of any length " * 40 + "x" * 300 + " end"
     whole = toxicity.word_hashes(text)
