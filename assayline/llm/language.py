@@ -123,8 +123,10 @@ def learn(
 ) -> Filters:
     """Filters from at most ``per_language`` labelled, not held-out ids of each language.
 
-    What reaches the driver is at most one row per filter cell and 64 languages. Rows
-    with null id, language or text teach nothing. No rows: no languages.
+    A gram is learned for a language if ``MIN_SHARE`` of its drawn documents hold it, two at
+    least; a language with at most 50 labelled documents learns every gram, as few of its
+    grams are met twice. All texts of a drawn id teach. What reaches the driver is at most one
+    row per filter cell and 64 languages. Rows with null id, language or text teach nothing. No rows: no languages.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
