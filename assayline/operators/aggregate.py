@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -297,47 +294,6 @@ def mean_stderr(value: Column) -> Column:
     return F.when(n > 1, F.stddev_samp(value) / F.sqrt(n))
 
 
-def bootstrap_stderr(
-    df: DataFrame,
-    stats: Mapping[str, Column],
-    metric: Callable[[Mapping[str, Column]], Column],
-    iters: int = 1000,
-    seed: int = 42,
-) -> DataFrame:
-    """Bootstrap standard error of a metric of column sums (``n`` is always there).
-
-    Rows with equal statistics are merged first; a merged row of m samples gets a
-    Poisson(m) weight per replicate, drawn from a generator seeded by the row itself, so
-    the answer does not depend on the partitioning. A task adds its rows into one sum per
-    replicate, so ``iters`` rows per task are shuffled, whatever the number of samples.
-    """
-    names = [*stats, "n"]
-    merged = (
-        df.select(*[expr.cast("double").alias(name) for name, expr in stats.items()])
-        .groupBy(*stats)
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((iters, len(names)))
-        for batch in batches:
-            for row in batch[names].to_numpy(dtype=float):
-                rng = np.random.default_rng([seed, zlib.crc32(row.tobytes())])
-                # a merged row carries its statistics once per sample
-                sums += np.outer(rng.poisson(row[-1], size=iters), np.append(row[:-1], 1.0))
-        yield pd.DataFrame(sums, columns=names).assign(replicate=range(iters))
-
-    schema = ", ".join(f"{c} double" for c in names) + ", replicate long"
-    totals = (
-        merged.mapInPandas(weigh, schema)
-        .groupBy("replicate")
-        .agg(*[F.sum(c).alias(c) for c in names])
-        .where("n > 0")
-    )
-    value = metric({c: F.col(c) for c in names})
-    return totals.select(value.alias("v")).agg(F.stddev_samp("v").alias("stderr"))
-
-
 def pooled_stderr(stderr: str = "stderr", size: str = "n") -> Column:
     """Aggregate: pooled standard error of subtasks, from their errors and sizes."""
     n, se = F.col(size), F.col(stderr)
@@ -408,14 +364,35 @@ def group_rollup(metrics: DataFrame, edges: DataFrame, config: DataFrame) -> Dat
 
 
 def aggregate_metrics(
-    samples: DataFrame, keys: Sequence[str] = ("task", "metric", "filter")
+    samples: DataFrame,
+    keys: Sequence[str] = ("task", "metric", "filter"),
+    how: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Mean, standard error and count per task, metric and filter."""
-    return samples.groupBy(*keys).agg(
+    """Value, standard error and count per task, metric and filter.
+
+    Samples carry ``value``; ``how`` names for a metric one of ``mean`` (the default),
+    ``median``, ``perplexity`` or ``bypass``. Errors are those of a mean, null for others.
+    """
+    how = {m: h for m, h in (how or {}).items() if h != "mean"}
+    value = F.col("value")
+    other = F.col("metric").isin(list(how)) if how else F.lit(False)
+    out = samples.groupBy(*keys).agg(
         F.avg("value").alias("value"),
-        mean_stderr(F.col("value")).alias("stderr"),
+        F.exp(-F.avg("value")).alias("_perplexity"),
+        mean_stderr(value).alias("stderr"),
         F.count(F.lit(1)).alias("samples"),
     )
+    if not how:
+        return out.drop("_perplexity")
+    named = lambda kind: F.col("metric").isin([m for m, h in how.items() if h == kind])
+    middle = median(samples.where(named("median")), keys, "value")
+    middle = middle.withColumnsRenamed({k: f"_m{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)]
+    score = F.when(named("median"), F.col("median")).when(named("perplexity"), F.col("_perplexity"))
+    score = score.when(named("bypass"), F.lit(-1.0)).otherwise(F.col("value"))
+    return out.join(middle, same, "left").select(
+        *keys, score.alias("value"), F.when(~other, F.col("stderr")).alias("stderr"), "samples"
+    )
 
 
 def direction(df: DataFrame, keys: Sequence[str], higher_is_better: str) -> DataFrame:

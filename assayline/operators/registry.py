@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from assayline import fixed_values as V
 from assayline.functions import answers
 from assayline.operators import aggregate as A
-from assayline.operators import vote
+from assayline.operators import statistics, vote
+from assayline.operators.statistics import Ranked, Statistic
 
-Aggregation = Callable[[Column], Column]
+#: A mergeable statistic, an aggregate of an ordered group, or an aggregate column of a score.
+Aggregation = Statistic | Ranked | Callable[[Column], Column]
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -70,14 +72,22 @@ def register_filter(name: str) -> Callable:
     return add
 
 
-register_aggregation("mean")(A.agg_mean)
-register_aggregation("bypass")(A.agg_bypass)
-register_aggregation("median")(A.agg_median)
-register_aggregation("perplexity")(A.perplexity)
-register_aggregation("weighted_perplexity")(
-    lambda pair: A.weighted_perplexity(pair["ll"], pair["size"])
+for _name in (
+    "mean", "bypass", "perplexity", "weighted_perplexity", "bits_per_byte", "brier", "mcc",
+    "bleu", "chrf", "ter",
+):
+    register_aggregation(_name)(getattr(statistics, _name))
+register_aggregation("f1")(statistics.f1())
+register_aggregation("median")(
+    Ranked(lambda rows, keys, score, order: A.median(rows, keys, score).withColumnRenamed("median", "value"))
+)
+register_aggregation("mean_last")(
+    Ranked(
+        lambda rows, keys, score, order: A.agg_mean_last(
+            rows, keys, order, score
+        ).withColumnRenamed("mean_last", "value")
+    )
 )
-register_aggregation("bits_per_byte")(lambda pair: A.bits_per_byte(pair["ll"], pair["size"]))
 
 
 def _on_answer(build: Callable[..., Column]) -> Callable[..., DataFrame]:
@@ -135,29 +145,64 @@ def filter_chains(
     return {chain["name"]: [step(o) for o in chain["filter"]] for chain in declared}
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two tables with one row per key, side by side; null keys meet."""
+    right = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    both = left.join(right, same, "left") if keys else left.crossJoin(right)  # one row each
+    return both.drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def evaluate_metrics(
     df: DataFrame,
     keys: Sequence[str],
     scores: Mapping[str, Sequence[Column]],
     errors: bool = False,
+    ids: Sequence[str] = (),
+    order: str | None = None,
+    iters: int = statistics.FEW,
+    seed: int = 42,
 ) -> DataFrame:
-    """Aggregate registered metrics in one pass: metric name to its score arguments.
+    """Aggregate registered metrics: metric name to its score arguments.
 
-    With ``errors`` every metric has a column ``<name>_stderr``: the standard error of the
-    mean for metrics aggregated by ``mean``, null (shown as N/A) for fewer than two rows and
-    for other aggregations, whose error ``bootstrap_stderr`` estimates.
+    All mergeable statistics share one aggregation, plain aggregate columns another, and a
+    ranked one (``median``, ``mean_last``, which needs ``order``) has its own. With ``errors``
+    every metric has a column ``<name>_stderr``: for means the standard error, else with
+    ``ids``, which name a row, the bootstrap error over ``iters`` replicates, at most 100 for
+    bleu, chrf and ter. Without a way to an error it is null (shown as N/A).
     """
     rows = df.withColumns(
         {f"_m_{name}": METRICS[name].score(*args) for name, args in scores.items()}
     )
-    out = []
-    for name in scores:
-        how, value = METRICS[name].aggregation, F.col(f"_m_{name}")
-        out.append(AGGREGATIONS[how](value).alias(name))
-        if errors:
-            error = A.mean_stderr(value) if how == "mean" else F.max(F.lit(None).cast("double"))
-            out.append(error.alias(f"{name}_stderr"))
-    return rows.groupBy(*keys).agg(*out)
+    how = {name: AGGREGATIONS[METRICS[name].aggregation] for name in scores}
+    merged = {n: (h, F.col(f"_m_{n}")) for n, h in how.items() if isinstance(h, Statistic)}
+    plain = [n for n, h in how.items() if not isinstance(h, (Statistic, Ranked))]
+    parts = [statistics.aggregate(rows, keys, merged)] if merged else []
+    if plain:
+        parts.append(rows.groupBy(*keys).agg(*[how[n](F.col(f"_m_{n}")).alias(n) for n in plain]))
+    for name, h in how.items():
+        if isinstance(h, Ranked):
+            kept = [c for c in dict.fromkeys([*keys, order]) if c]
+            part = h.build(rows.select(*kept, f"_m_{name}"), keys, f"_m_{name}", order)
+            parts.append(part.select(*keys, F.col("value").alias(name)))
+    if errors:
+        means = [n for n in scores if METRICS[n].aggregation == "mean"]
+        if means:
+            error = [A.mean_stderr(F.col(f"_m_{n}")).alias(f"{n}_stderr") for n in means]
+            parts.append(rows.groupBy(*keys).agg(*error))
+        drawn = {n: m for n, m in merged.items() if n not in means} if ids else {}
+        if drawn:
+            parts.append(statistics.bootstrap(rows, keys, drawn, ids, iters, seed))
+        for name in scores:
+            if ids and METRICS[name].aggregation == "median":
+                part = statistics.bootstrap_median(rows, keys, f"_m_{name}", ids, iters, seed)
+                parts.append(part.withColumnRenamed("stderr", f"{name}_stderr"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = _beside(out, part, keys)
+    cols = [c for n in scores for c in ([n, f"{n}_stderr"] if errors else [n])]
+    none = F.lit(None).cast("double")
+    return out.select(*keys, *[F.col(c) if c in out.columns else none.alias(c) for c in cols])
 
 
 @dataclass

@@ -32,6 +32,12 @@ def overlap(
 ) -> DataFrame:
     """Per sample and order k: shared grams ``match_k``, and gram counts ``pred_k`` and
     ``ref_k`` of the token arrays ``pred`` and ``ref``; a null array has no grams."""
+    found = overlap_counts(F.col(pred), F.col(ref), orders)
+    return df.select(*ids, found.alias("_o")).select(*ids, "_o.*")
+
+
+def overlap_counts(pred: Column, ref: Column, orders: Sequence[int]) -> Column:
+    """The counts of ``overlap`` as a struct of two token arrays."""
     names = [f"{n}_{k}" for k in orders for n in ("match", "pred", "ref")]
 
     @F.arrow_udf(", ".join(f"{n} long" for n in names))
@@ -43,7 +49,7 @@ def overlap(
         cols = list(zip(*out)) or [()] * len(names)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    return df.select(*ids, count(F.col(pred), F.col(ref)).alias("_o")).select(*ids, "_o.*")
+    return count(pred, ref)
 
 
 def shared_grams(pred: list[str], ref: list[str], k: int) -> tuple[int, int, int]:
@@ -220,8 +226,10 @@ def smoothed_bleu4(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> Da
     return sums.select(*ids, score.alias("bleu"))
 
 
-def _bleu_from(match: Callable, pred: Callable, ref1: Column) -> Column:
-    """BLEU in percent from count columns; zero matches are halved repeatedly."""
+def bleu_score(count: Callable[[str, int], Column]) -> Column:
+    """BLEU in percent from ``count`` of (match, pred or ref, order); zero matches are halved
+    repeatedly."""
+    match, pred, ref1 = (lambda k: count("match", k)), (lambda k: count("pred", k)), count("ref", 1)
     logs, halves = F.lit(0.0), F.lit(1.0)
     for k in ORDERS:
         none = (match(k) == 0) & (pred(k) > 0)
@@ -236,8 +244,7 @@ def _bleu_from(match: Callable, pred: Callable, ref1: Column) -> Column:
 
 def sample_bleu(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> DataFrame:
     sums = bleu_sums(df, ids, pred, ref)
-    as_double = lambda name: lambda k: F.col(f"{name}_{k}").cast("double")
-    score = _bleu_from(as_double("match"), as_double("pred"), as_double("ref")(1))
+    score = bleu_score(lambda name, k: F.col(f"{name}_{k}").cast("double"))
     return sums.select(*ids, score.alias("bleu"))
 
 
@@ -248,8 +255,7 @@ def corpus_bleu(
     sums = bleu_sums(df, ids, pred, ref)
     names = [f"{n}_{k}" for k in ORDERS for n in ("match", "pred", "ref")]
     total = sums.groupBy(*keys).agg(*[F.sum(c).cast("double").alias(c) for c in names])
-    column = lambda name: lambda k: F.col(f"{name}_{k}")
-    score = _bleu_from(column("match"), column("pred"), F.col("ref_1"))
+    score = bleu_score(lambda name, k: F.col(f"{name}_{k}"))
     return total.select(*keys, score.alias("bleu"))
 
 
@@ -267,9 +273,15 @@ def chrf(
     sums = overlap(split, ids, "_p", "_r", orders)
     names = [f"{n}_{k}" for k in orders for n in ("match", "pred", "ref")]
     total = sums.groupBy(*keys).agg(*[F.sum(c).cast("double").alias(c) for c in names])
+    score = chrf_score(lambda name, k: F.col(f"{name}_{k}"))
+    return total.select(*keys, score.alias("chrf"))
+
+
+def chrf_score(count: Callable[[str, int], Column]) -> Column:
+    """chrF in percent from ``count`` of (match, pred or ref, order)."""
     used, precision, recall = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    for k in orders:
-        m, p, r = (F.col(f"{n}_{k}") for n in ("match", "pred", "ref"))
+    for k in range(1, V.CHRF_ORDER + 1):
+        m, p, r = (count(n, k) for n in ("match", "pred", "ref"))
         both = (p > 0) & (r > 0)
         used = used + F.when(both, 1.0).otherwise(0.0)
         precision = precision + F.when(both, m / p).otherwise(0.0)
@@ -277,7 +289,7 @@ def chrf(
     p, r = F.try_divide(precision, used), F.try_divide(recall, used)
     b2 = float(V.CHRF_BETA**2)
     score = F.try_divide((1 + b2) * p * r, b2 * p + r)
-    return total.select(*keys, (100 * F.coalesce(score, F.lit(0.0))).alias("chrf"))
+    return 100 * F.coalesce(score, F.lit(0.0))
 
 
 def rouge_n(

@@ -46,8 +46,10 @@ MODULES = [
     "transport",
     "reshaping",
     "answers",
+    "statistics",
     "choice_scores",
     "text_scores",
+    "statistics",
     "flows",
 ]
 

@@ -228,16 +228,6 @@ def _(spark, sf):
     )
 
 
-@query("h17_bootstrap_stderr")
-def _(spark, sf):
-    return A.bootstrap_stderr(
-        table(spark, sf, "events"),
-        {"ll": -F.col("value") / 100},
-        lambda s: F.exp(-s["ll"] / s["n"]),
-        iters=200,
-    )
-
-
 SUBTASKS = """t AS (SELECT n_regionkey AS r, n_name AS task, avg(c_acctbal) AS value,
     stddev_samp(c_acctbal) / sqrt(count(*)) AS stderr, count(*) AS n
     FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayline.operators import aggregate as A
 from assayline.operators import joins, scale, sets
 from assayline.operators import selection as S
+from assayline.operators import statistics as ST
 from assayline.sources import readers
 from assayline.streaming import intake
 
@@ -84,10 +85,10 @@ def test_task_hash_is_a_tree(spark, chunk):
 
 
 def test_bootstrap_does_not_see_the_partitioning(spark):
-    df = spark.range(200).select((F.col("id") % 17).cast("double").alias("v"))
+    df = spark.range(200).select("id", (F.col("id") % 17).cast("double").alias("v"))
+    items = {"v": (ST.mean, F.col("v"))}
     runs = [
-        A.bootstrap_stderr(df.repartition(n), {"v": F.col("v")}, lambda s: s["v"] / s["n"], iters=200)
-        .first()["stderr"]
+        ST.bootstrap(df.repartition(n), [], items, ["id"], iters=200).first()["v_stderr"]
         for n in (1, 3, 7)
     ]
     assert max(runs) - min(runs) < 1e-9

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import math
 import random
 import statistics
@@ -15,6 +17,7 @@ from assayline.functions import checks as C
 from assayline.functions import scores as S
 from assayline.functions.math_text import normalize_math
 from assayline.operators import aggregate as A
+from assayline.operators import statistics as ST
 from assayline.operators import text_scores as TS
 
 
@@ -43,15 +46,79 @@ def test_pooled_error_close_to_whole_sample(spark):
 def test_bootstrap_close_to_analytic(spark):
     rng = random.Random(1)
     values = [rng.random() for _ in range(1000)]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = A.bootstrap_stderr(df, {"v": F.col("v")}, lambda s: s["v"] / s["n"], iters=4000).first()["stderr"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v double")
+    items = {"v": (ST.mean, F.col("v"))}
+    got = ST.bootstrap(df, [], items, ["id"], iters=1000).first()["v_stderr"]
     assert got == pytest.approx(statistics.stdev(values) / math.sqrt(1000), rel=0.06)
 
 
-def test_bootstrap_of_merged_rows(spark):
-    df = spark.createDataFrame([(1.0,)] * 300 + [(0.0,)] * 700, "v double")
-    got = A.bootstrap_stderr(df, {"v": F.col("v")}, lambda s: s["v"] / s["n"], iters=4000).first()["stderr"]
-    assert got == pytest.approx(math.sqrt(0.21 / 1000), rel=0.06)
+def test_bootstrap_replays(spark):
+    """Median, F1 and the limit on replicates against weights drawn here."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab"), rng.randrange(6), rng.randrange(3), rng.randrange(3)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, k string, v int, g int, p int")
+    draw = lambda i, b, r: sum(
+        int(hashlib.md5(f"{i}|7|{b}".encode()).hexdigest()[4 * r : 4 * r + 4], 16) >= s
+        for s in ST.poisson_limits()
+    )
+    few = dataclasses.replace(ST.f1("macro"), replicates=10)
+    items = {"f": (few, F.struct(F.col("g").alias("gold"), F.col("p").alias("pred")))}
+    got = {r["k"]: r["f_stderr"] for r in ST.bootstrap(df, ["k"], items, ["id"], 20, 7).collect()}
+    mid = {r["k"]: r["stderr"] for r in ST.bootstrap_median(df, ["k"], "v", ["id"], 20, 7).collect()}
+    for key in "ab":
+        scores, middles = [], []
+        for n in range(20):
+            held = [r for r in rows if r[1] == key for _ in range(draw(r[0], n // 8, n % 8))]
+            middles.append(statistics.median(r[2] for r in held))
+            labels = {x for r in held for x in r[3:]}
+            f = [
+                2 * sum(r[3] == r[4] == x for r in held) / sum((r[3] == x) + (r[4] == x) for r in held)
+                for x in labels
+            ]
+            scores.append(sum(f) / len(f))
+        assert got[key] == pytest.approx(statistics.stdev(scores[:10]))
+        assert mid[key] == pytest.approx(statistics.stdev(middles))
+
+
+def test_poisson_weights(spark):
+    rows = spark.range(3000).select("id", F.lit(0).alias("b"))
+    w = [x for r in rows.select(ST.replicate_weights(["id"], 1, "b").alias("w")).collect() for x in r["w"]]
+    assert statistics.mean(w) == pytest.approx(1, abs=0.03)
+    assert statistics.variance(w) == pytest.approx(1, abs=0.05)
+
+
+def test_statistics_of_empty_and_null_groups(spark):
+    df = spark.createDataFrame([(None, None, 1), (None, 2.0, 1), ("a", None, None)], "k string, v double, g int")
+    labels = F.struct(F.col("g").alias("gold"), F.col("g").alias("pred"))
+    items = {"m": (ST.mean, F.col("v")), "f": (ST.f1(), labels), "c": (ST.mcc, labels)}
+    got = {r["k"]: (r["m"], r["f"], r["c"]) for r in ST.aggregate(df, ["k"], items).collect()}
+    assert got == {None: (2.0, 1.0, 0.0), "a": (None, 0.0, 0.0)}
+    assert ST.aggregate(df.limit(0), ["k"], items).count() == 0
+
+
+@pytest.mark.parametrize("average", ["macro", "micro", "weighted"])
+def test_label_statistics_equal_the_table_form(spark, average):
+    rng = random.Random(4)
+    rows = [(rng.choice("xy"), rng.randrange(4), rng.randrange(4)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "k string, g int, p int")
+    items = {
+        "f": (ST.f1(average), F.struct(F.col("g").alias("gold"), F.col("p").alias("pred"))),
+        "c": (ST.mcc, F.struct(F.col("p").alias("gold"), F.col("g").alias("pred"))),
+    }
+    got = {r["k"]: (r["f"], r["c"]) for r in ST.aggregate(df, ["k"], items).collect()}
+    f = {r["k"]: r["f1"] for r in A.f1(df, "g", "p", average, keys=["k"]).collect()}
+    c = {r["k"]: r["mcc"] for r in A.mcc(df, "p", "g", keys=["k"]).collect()}
+    assert got == {k: (pytest.approx(f[k]), pytest.approx(c[k])) for k in "xy"}
+
+
+def test_aggregate_metrics_by_name(spark):
+    rows = [("t", "acc", 1.0), ("t", "acc", 0.0), ("t", "mid", 1.0), ("t", "mid", 5.0), ("t", "mid", 9.0)]
+    rows += [("t", "ppl", -1.0), ("t", "off", 3.0)]
+    df = spark.createDataFrame(rows, "task string, metric string, value double")
+    how = {"mid": "median", "ppl": "perplexity", "off": "bypass"}
+    got = {r["metric"]: (r["value"], r["stderr"]) for r in A.aggregate_metrics(df, ["task", "metric"], how).collect()}
+    assert got["acc"] == (0.5, pytest.approx(0.5)) and got["mid"] == (5.0, None)
+    assert got["ppl"] == (pytest.approx(math.e), None) and got["off"] == (-1.0, None)
 
 
 def test_mean_stderr_needs_two_rows(spark):
