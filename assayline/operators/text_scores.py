@@ -7,6 +7,7 @@ shuffled, and only counts leave the task. Samples with equal ids stay apart.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -323,32 +324,58 @@ def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
     return code[: len(a)], code[len(a) :]
 
 
-def edit_distance(a: list, b: list) -> int:
-    """Word edit distance, one row of the table at a time."""
+def _places(a: Sequence) -> dict:
+    """Bits at the places of every value of ``a``."""
+    found: dict = {}
+    for i, word in enumerate(a):
+        found.setdefault(word, []).append(i)
+    size = len(a) // 8 + 1
+    out = {}
+    for word, at in found.items():
+        bits = bytearray(size)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        out[word] = int.from_bytes(bits, "little")
+    return out
+
+
+def _next_column(size: int) -> Callable[[tuple[int, int, int], int], tuple[tuple[int, int, int], int, int]]:
+    """Step of the edit table of a list of ``size`` values down, as bits over it: from a column
+    (cells above, cells below their upper neighbour, last cell) and the places of the next
+    value across to the next column, and the cells that equal their upper left neighbour and
+    that are one above their left neighbour."""
+    every, last = (1 << size) - 1, 1 << size >> 1
+
+    def step(column: tuple[int, int, int], same: int) -> tuple[tuple[int, int, int], int, int]:
+        up, down, score = column
+        level = (((same & up) + up) ^ up) | same | down
+        more = down | (every & ~(level | up))
+        less = up & level
+        score += bool(more & last) - bool(less & last)
+        right = (more << 1) | 1
+        return (every & ((less << 1) | ~(level | right)), right & level & every, score), level, more
+
+    return step
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Edit distance of two lists, a column of the table in a few operations on bits."""
     if not len(a) or not len(b):
         return max(len(a), len(b))
-    x, y = _codes(list(a), list(b))
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, word in enumerate(x, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != word))
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row[-1])
-
-
-def common_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence of two word lists."""
-    if not len(a) or not len(b):
-        return 0
-    x, y = _codes(list(a), list(b))
-    row = np.zeros(len(y) + 1, dtype=np.int64)
-    for word in x:
-        new = row.copy()
-        new[1:] = np.maximum(row[1:], row[:-1] + (y == word))
-        row = np.maximum.accumulate(new)
-    return int(row[-1])
+    step, places, column = _next_column(len(a)), _places(a), ((1 << len(a)) - 1, 0, len(a))
+    for word in b:
+        column, _, _ = step(column, places.get(word, 0))
+    return column[2]
+
+
+def common_length(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence of two lists, on bits as well."""
+    every = (1 << len(a)) - 1
+    places, open_ = _places(a), every
+    for word in b:
+        met = open_ & places.get(word, 0)
+        open_ = ((open_ + met) | (open_ - met)) & every
+    return len(a) - open_.bit_count()
 
 
 @F.pandas_udf(T.IntegerType())
@@ -372,23 +399,23 @@ def wer(df: DataFrame, pred: str, ref: str, keys: Sequence[str] = ()) -> DataFra
 SHIFT_WORDS, SHIFT_REACH = 10, 50
 
 
-def edit_path(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For two code arrays: which words of ``x`` and of ``y`` are matched on a cheapest edit
-    path, and where every word of ``y`` falls in ``x``."""
-    steps, rows = np.arange(len(y) + 1), [np.arange(len(y) + 1, dtype=np.int32)]
-    for i, word in enumerate(x, 1):
-        new = np.empty_like(rows[-1])
-        new[0] = i
-        new[1:] = np.minimum(rows[-1][1:] + 1, rows[-1][:-1] + (y != word))
-        rows.append((np.minimum.accumulate(new - steps) + steps).astype(np.int32))
+def edit_path(x: Sequence, y: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For two lists: which words of ``x`` and of ``y`` are matched on a cheapest edit path, and
+    where every word of ``y`` falls in ``x``. The table is kept as two bits a cell."""
+    steps, step, places = [], _next_column(len(x)), _places(x)
+    column = ((1 << len(x)) - 1, 0, len(x))
+    for word in y:
+        column, *bits = step(column, places.get(word, 0))
+        steps.append(bits)
     fit_x, fit_y, place = np.zeros(len(x), bool), np.zeros(len(y), bool), np.zeros(len(y), int)
     i, j = len(x), len(y)
     while i or j:
-        if i and j and rows[i][j] == rows[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
+        level, more = (bits >> (i - 1) & 1 for bits in steps[j - 1]) if i and j else (0, 1)
+        if i and j and (x[i - 1] == y[j - 1] or not level):
             i, j = i - 1, j - 1
             fit_x[i] = fit_y[j] = x[i] == y[j]
             place[j] = i
-        elif j and rows[i][j] == rows[i][j - 1] + 1:
+        elif j and more:
             j -= 1
             place[j] = i
         else:
@@ -396,44 +423,71 @@ def edit_path(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return fit_x, fit_y, place
 
 
-def best_move(x: np.ndarray, y: np.ndarray, cost: int) -> tuple[int, np.ndarray]:
-    """Lowest distance after moving one group of words of ``x`` to where ``y`` has the same
-    group, and the words after the move; of equal gains the longer group, then the earlier.
-    Groups that fit already stay."""
-    fit_x, fit_y, place = edit_path(x, y)
-    best = (0, 0, 0, 0)
-    after = x
+def moves(x: list[int], y: list[int]) -> list[tuple[int, int, int]]:
+    """(words, from, to) of the moves of one group of words of ``x`` to where ``y`` has the same
+    group: longer groups first, then earlier ones. Groups that fit already stay."""
+    fit_x, fit_y, place = (side.tolist() for side in edit_path(x, y))
     where: dict[int, list[int]] = {}
     for j, word in enumerate(y):
-        where.setdefault(int(word), []).append(j)
-    for i in range(len(x)):
-        for j in where.get(int(x[i]), ()):
-            if abs(i - j) > SHIFT_REACH:
-                continue
+        where.setdefault(word, []).append(j)
+    found = []
+    for i, word in enumerate(x):
+        near = where.get(word, [])
+        near = near[bisect_left(near, i - SHIFT_REACH) : bisect_right(near, i + SHIFT_REACH)]
+        for j in near:
+            out_x = out_y = False
             for n in range(1, SHIFT_WORDS + 1):
                 if i + n > len(x) or j + n > len(y) or x[i + n - 1] != y[j + n - 1]:
                     break
-                to = int(place[j])
-                if fit_x[i : i + n].all() or fit_y[j : j + n].all() or i <= to < i + n:
-                    continue
-                rest = np.delete(x, slice(i, i + n))
-                moved = np.insert(rest, to if to < i else to - n, x[i : i + n])
-                rank = (cost - edit_distance(moved, y), n, -i, -j)
-                if rank > best and rank[0] > 0:
-                    best, after = rank, moved
-    return cost - best[0], after
+                out_x, out_y = out_x or not fit_x[i + n - 1], out_y or not fit_y[j + n - 1]
+                if out_x and out_y and not i <= place[j] < i + n:
+                    found.append((-n, i, j, place[j]))
+    tried, out = set(), []
+    for n, i, _, to in sorted(found):
+        if (n, i, to) not in tried:
+            tried.add((n, i, to))
+            out.append((-n, i, to))
+    return out
+
+
+def best_move(x: list[int], y: list[int], cost: int) -> tuple[int, list[int]]:
+    """Lowest distance after one move, and the words after it; of equal gains the longer group,
+    then the earlier. A move of n words gains 2 n at most, so the search ends at the first
+    move that no later one can beat. A move is tried from the first word it touches on, until
+    a column of the table beyond the last one is as it was without the move."""
+    step, places = _next_column(len(y)), _places(y)
+    columns = [((1 << len(y)) - 1, 0, len(y))]
+    for word in x:
+        columns.append(step(columns[-1], places.get(word, 0))[0])
+    gain, after = 0, x
+    for n, i, to in moves(x, y):
+        if gain >= 2 * n:
+            break
+        first, end = min(i, to), max(i + n, to)
+        part = x[to:i] if to < i else x[i + n : to]
+        part = x[i : i + n] + part if to < i else part + x[i : i + n]
+        column = columns[first]
+        for word in part:
+            column = step(column, places.get(word, 0))[0]
+        while end < len(x) and column[:2] != columns[end][:2]:
+            column = step(column, places.get(x[end], 0))[0]
+            end += 1
+        less = columns[end][2] - column[2]
+        if less > gain:
+            gain, after = less, x[:first] + part + x[first + len(part) :]
+    return cost - gain, after
 
 
 def shifted_edits(pred: list[str], ref: list[str]) -> int:
     """Edits with moves of word groups as one edit each, the best move first."""
-    x, y = _codes(list(pred), list(ref))
-    cost, moves = edit_distance(x, y), 0
+    x, y = (side.tolist() for side in _codes(list(pred), list(ref)))
+    cost, made = edit_distance(x, y), 0
     while cost > 1:  # a move saves nothing below two edits
         less, moved = best_move(x, y, cost)
         if less == cost:
             break
-        cost, x, moves = less, moved, moves + 1
-    return cost + moves
+        cost, x, made = less, moved, made + 1
+    return cost + made
 
 
 MOVE_EDITS = T.StructType().add("edits", T.IntegerType()).add("size", T.DoubleType())

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -404,3 +405,65 @@ def test_several_references(spark):
     assert (sums[1]["match_2"], sums[2]["match_1"], sums[3]["pred_1"]) == (2, 0, 0)
     rate = {r["id"]: r["ter"] for r in TS.ter(df, "p", "r", ["id"]).collect()}
     assert rate == {1: pytest.approx(100 / 3), 2: None, 3: None}
+
+
+def plain_table(x, y):
+    table = [list(range(len(y) + 1))]
+    for i, a in enumerate(x, 1):
+        row = [i]
+        for j, b in enumerate(y, 1):
+            row.append(min(table[-1][j] + 1, row[-1] + 1, table[-1][j - 1] + (a != b)))
+        table.append(row)
+    return table
+
+
+def plain_shifted(x, y):
+    """Edits and moves by whole tables: every move tried, the best by gain, words, place."""
+    cost, moves = plain_table(x, y)[-1][-1], 0
+    while cost > 1:
+        fit_x, fit_y, place = TS.edit_path(x, y)
+        best, after = (0,), x
+        for i in range(len(x)):
+            for j in range(max(0, i - TS.SHIFT_REACH), min(len(y), i + TS.SHIFT_REACH + 1)):
+                for n in range(1, TS.SHIFT_WORDS + 1):
+                    if x[i : i + n] != y[j : j + n] or i + n > len(x) or j + n > len(y):
+                        break
+                    to = int(place[j])
+                    if fit_x[i : i + n].all() or fit_y[j : j + n].all() or i <= to < i + n:
+                        continue
+                    rest = x[:i] + x[i + n :]
+                    at = to if to < i else to - n
+                    moved = rest[:at] + x[i : i + n] + rest[at:]
+                    rank = (cost - plain_table(moved, y)[-1][-1], n, -i, -j)
+                    if rank[0] > 0 and rank > best:
+                        best, after = rank, moved
+        if best[0] == 0:
+            break
+        cost, x, moves = cost - best[0], after, moves + 1
+    return cost + moves
+
+
+def test_edit_bits_against_tables():
+    rng = random.Random(11)
+    for _ in range(400):
+        k = rng.randint(1, 7)
+        x, y = ([rng.randrange(k) for _ in range(rng.randrange(15))] for _ in "xy")
+        table = plain_table(x, y)
+        assert TS.edit_distance(x, y) == table[-1][-1]
+        assert TS.shifted_edits(x, y) == plain_shifted(x, y), (x, y)
+    words = [str(i) for i in range(90)]
+    mixed = words[40:60] + words[:40] + words[65:] + words[60:65]
+    assert TS.shifted_edits(mixed, words) == plain_shifted(mixed, words)
+
+
+def test_long_texts_are_compared_in_time():
+    rng = random.Random(12)
+    words = [str(rng.randrange(3000)) for _ in range(20_000)]
+    fewer = [w for w in words if rng.random() > 0.1]
+    start = time.time()
+    assert TS.edit_distance(fewer, words) == len(words) - len(fewer)
+    assert TS.common_length(fewer, words) == len(fewer)
+    shuffled = [str(i) for i in range(300)]
+    rng.shuffle(shuffled)
+    assert 250 < TS.shifted_edits(shuffled, [str(i) for i in range(300)]) < 300
+    assert time.time() - start < 20
