@@ -25,7 +25,13 @@ from assayline.functions.text import (
     normalize_strict,
     word_spans,
 )
-from assayline.operators.scale import BROADCAST_ROWS, broadcast_if_small, first_k
+from assayline.operators.scale import (
+    BROADCAST_ROWS,
+    broadcast_if_small,
+    first_k,
+    is_scan,
+    small,
+)
 from assayline.session import materialize
 
 
@@ -60,12 +66,13 @@ def contaminated_by(
 ) -> DataFrame:
     """Ids of ``train`` rows holding any gram of the ``protected`` table (``ngram``).
 
-    A protected set that fits is broadcast, so the corpus is scanned once and only
+    A protected set within the row and byte bounds of a broadcast is broadcast, so the corpus is scanned once and only
     the hits are shuffled. Beyond ``max_rows`` only 64-bit gram hashes are shuffled
     to find candidate rows; the grams of the candidates are then compared as text,
     again without moving the protected side.
     """
-    if protected.count() <= max_rows:
+    protected = protected if is_scan(protected) else materialize(protected, "protected")
+    if small(protected, max_rows):
         rows = ngram_rows(train, ids, text, n, normalizer)
         hits = rows.join(F.broadcast(protected), "ngram", "left_semi")
         return hits.select(*ids).distinct()
@@ -347,8 +354,9 @@ def train_overlap(
     text: str,
     n: int = CORPUS_NGRAM,
 ) -> DataFrame:
-    """Ids (task, split, document) of evaluation rows found in the corpus index."""
-    rows = ngram_rows(tasks, ids, text, n, normalize_spaced)
+    """Ids (task, split, document) of evaluation rows found in the corpus index, which is read
+    once; the grams of the evaluation texts are stored, and those found in the index."""
+    rows = materialize(ngram_rows(tasks, ids, text, n, normalize_spaced), "wanted-grams")
     found = matching_grams(index, rows)
     return (
         rows.join(broadcast_if_small(found), "ngram", "left_semi")

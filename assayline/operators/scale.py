@@ -7,6 +7,7 @@ totals of the earlier chunks; only one row per (key, chunk) meets in one place.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ HASH_ROWS = 1 << 16
 RANK_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 SPARSE = 4  # id range over rows from which on ids count as sparse
 _ALL = "_all"
+SCANS = {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "Union"}
 
 
 def chunk_of(order: str, rows: int = CHUNK_ROWS) -> Column:
@@ -42,13 +44,27 @@ def _row_bytes(df: DataFrame) -> Column:
     return total.cast("long")
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether a plan only reads, projects and filters stored rows."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    names = re.findall(r"^[\s:+-]*(\w+)", plan, re.MULTILINE)
+    return set(names) <= SCANS
+
+
 def broadcast_if_small(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Broadcast hint only within a bound of rows and of bytes; larger inputs are left to a
-    shuffle join."""
+    shuffle join. What is more than a scan is stored first, so it is computed once."""
+    if not is_scan(df):
+        df = materialize(df, "side")
+    return F.broadcast(df) if small(df, max_rows, max_bytes) else df
+
+
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is within both bounds."""
     rows, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
-    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def running(

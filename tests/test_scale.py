@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from assayline.operators import scale
 from assayline.operators import selection as S
 from assayline.operators import vote as V
 from assayline.operators.scale import first_k, hash_ranked, numbered, ranked, running
@@ -255,3 +256,16 @@ def test_allocate_matches_loop(spark):
                 want[(q, i)] = n
                 width, total = width - n, total - exp(s / 0.3)
         assert got == want
+
+
+def test_a_side_is_computed_once(spark, tmp_path):
+    """What is more than a scan is stored before it is counted and joined."""
+    path = str(tmp_path / "t")
+    spark.range(100).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert scale.is_scan(stored.where("id > 3").selectExpr("id * 2 AS x"))
+    grouped = stored.groupBy("id").count()
+    assert not scale.is_scan(grouped) and not scale.is_scan(stored.join(grouped, "id"))
+    side = scale.broadcast_if_small(grouped)
+    assert path not in " ".join(side.inputFiles()) and side.count() == 100
+    assert scale.small(stored, 100) and not scale.small(stored, 99) and not scale.small(stored, 100, 10)
