@@ -25,6 +25,7 @@ from assayline.functions.text import (
     normalize_strict,
     word_spans,
 )
+from assayline.operators.bits import bit_table
 from assayline.operators.scale import (
     BROADCAST_ROWS,
     broadcast_if_small,
@@ -51,8 +52,41 @@ def ngram_rows(
 
 
 def ngram_index(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """Inverted index as a long table of distinct ``(ngram, doc_id)``."""
-    return ngram_rows(df, [doc_id], text, n).select("ngram", doc_id).distinct()
+    """Inverted index as a long table of distinct ``(ngram, doc_id)``. Repeats inside a text
+    merge in the row; only texts that share an id (null is one) are compared by a shuffle."""
+    shared = df.groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_k0"))
+    shared = materialize(shared, "shared-ids")
+    if shared.isEmpty():
+        return ngram_rows(df, [doc_id], text, n).select("ngram", doc_id)
+    shared = broadcast_if_small(shared)
+    alone = df.join(shared, _same([doc_id]), "left_anti")
+    rest = df.join(shared, _same([doc_id]), "left_semi")
+    parts = [ngram_rows(part, [doc_id], text, n).select("ngram", doc_id) for part in (alone, rest)]
+    return parts[0].unionAll(parts[1].distinct())
+
+
+def _same(cols: Sequence[str]) -> Column:
+    """Null-safe equality of columns with the ``_k0``, ``_k1`` ... of a side table."""
+    return reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cols)]
+    )
+
+
+def _side(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)])
+
+
+def keep_known(df: DataFrame, known: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the stored table ``known`` of distinct keys.
+
+    Within the bounds of a broadcast this is one. Beyond them a bit table of the keys drops
+    rows where they are read, and only the survivors are shuffled to be compared whole.
+    """
+    if small(known, max_rows):
+        return df.join(F.broadcast(known), key, "left_semi")
+    code = F.col(key) if dict(known.dtypes)[key] == "bigint" else F.xxhash64(key)
+    table = bit_table(known.select(code.alias("_code")), "_code", known.count())
+    return table.survivors(df, code).join(known, key, "left_semi")
 
 
 def contaminated_by(
@@ -66,9 +100,10 @@ def contaminated_by(
 ) -> DataFrame:
     """Ids of ``train`` rows holding any gram of the ``protected`` table (``ngram``).
 
-    A protected set within the row and byte bounds of a broadcast is broadcast, so the corpus is scanned once and only
-    the hits are shuffled. Beyond ``max_rows`` only 64-bit gram hashes are shuffled
-    to find candidate rows; the grams of the candidates are then compared as text,
+    A protected set within the row and byte bounds of a broadcast is broadcast, so the corpus
+    is scanned once and only the hits are shuffled. Beyond ``max_rows`` a bit table of the
+    64-bit gram hashes drops corpus grams where they are read, and the survivors' hashes are
+    shuffled to find candidate rows; the grams of the candidates are then compared as text,
     again without moving the protected side.
     """
     protected = protected if is_scan(protected) else materialize(protected, "protected")
@@ -80,7 +115,8 @@ def contaminated_by(
     hashes = F.transform(grams(normalizer(F.col(text)), n), lambda g: F.xxhash64(g))
     coarse = train.select(*ids, F.explode(F.array_distinct(hashes)).alias("_g"))
     known = protected.select(F.xxhash64("ngram").alias("_g")).distinct()
-    candidates = coarse.join(known, "_g", "left_semi").select(*ids).distinct()
+    known = materialize(known, "protected-hashes")
+    candidates = keep_known(coarse, known, "_g", max_rows).select(*ids).distinct()
     candidates = materialize(candidates, "candidates")
     narrowed = train.join(broadcast_if_small(candidates, max_rows), list(ids), "left_semi")
     rows = ngram_rows(narrowed, ids, text, n, normalizer)
@@ -127,6 +163,43 @@ def decontaminate(
     return kept, report
 
 
+def _settled(held: DataFrame, fixed: DataFrame, place: Sequence[str]) -> DataFrame:
+    """Rows ``place`` that a protected gram or a kept row of an earlier source removes.
+
+    ``held`` has the deciding grams of every row. In a round a row goes if it holds a gram
+    of a kept row of an earlier source, and is kept once all earlier rows that share a gram
+    with it are settled; the others wait. The first source among the waiting rows always
+    settles, and rounds are as many as the longest chain of rows that wait for each other.
+    """
+    rank = F.col("source_rank")
+    kept = fixed.select("ngram", F.lit(-1).alias("lo"))
+    waiting, removed = held, None
+    while True:
+        facts = (
+            waiting.select("ngram", rank.alias("first"), F.lit(None).cast("int").alias("lo"))
+            .unionByName(kept.select("ngram", F.lit(None).cast("int").alias("first"), "lo"))
+            .groupBy("ngram")
+            .agg(F.min("first").alias("first"), F.min("lo").alias("lo"))
+            .where("first IS NOT NULL")
+        )
+        judged = waiting.join(broadcast_if_small(facts), "ngram").groupBy(*place).agg(
+            F.max(F.coalesce(F.col("lo") < rank, F.lit(False))).alias("hit"),
+            F.max(F.col("first") < rank).alias("blocked"),
+        )
+        judged = materialize(judged, "judged")
+        gone = judged.where("hit").select(*place)
+        removed = gone if removed is None else removed.unionAll(gone)
+        later = judged.where("NOT hit AND blocked")
+        if later.isEmpty():
+            return removed
+        clear = broadcast_if_small(_side(judged.where("NOT hit AND NOT blocked"), place))
+        fresh = waiting.join(clear, _same(place), "left_semi").select("ngram", rank.alias("lo"))
+        kept = kept.unionByName(fresh).groupBy("ngram").agg(F.min("lo").alias("lo"))
+        kept = materialize(kept, "kept-grams")
+        later = broadcast_if_small(_side(later, place))
+        waiting = materialize(waiting.join(later, _same(place), "left_semi"), "waiting")
+
+
 def decontaminate_sources(
     sources: Sequence[DataFrame],
     test: DataFrame,
@@ -142,9 +215,11 @@ def decontaminate_sources(
     protect nothing.
 
     Only a gram that is protected or met in two sources can decide anything: one count by
-    64-bit hash finds those, and only their rows are stored, by source. The loop runs over
-    sources, not rows, on that table: it joins hashes to find suspects, and compares grams
-    as text only between suspects and the rows that share a hash with them.
+    64-bit hash finds those, and only their rows are stored. Without ``select`` these rows are
+    settled in rounds (`_settled`), whose number does not grow with the number of sources, and
+    grams are compared as text; rows of a source that share their ids (nulls are equal) are
+    one row. With it the loop runs over sources: it joins hashes to find suspects, and
+    compares grams as text only between suspects and the rows that share a hash with them.
     """
     place = ["source_rank", *ids]
     rows = [
@@ -157,8 +232,15 @@ def decontaminate_sources(
     fixed = materialize(fixed.withColumn("_g", F.xxhash64("ngram")), "grams")
     met = hashed.groupBy("_g").agg(F.min("source_rank").alias("lo"), F.max("source_rank").alias("hi"))
     deciding = met.where("lo < hi").select("_g").unionByName(fixed.select("_g")).distinct()
-    deciding = broadcast_if_small(materialize(deciding, "deciding"))
-    hashed = materialize(hashed.join(deciding, "_g", "left_semi"), "hashes", ["source_rank"])
+    deciding = materialize(deciding, "deciding")
+    marked = [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)]
+    whole = reduce(lambda a, b: a.unionByName(b), marked)
+    if select is None:
+        told = ngram_rows(rows, place, text, n).withColumn("_g", F.xxhash64("ngram"))
+        held = materialize(keep_known(told, deciding, "_g").drop("_g"), "held")
+        removed = _settled(held, fixed.select("ngram"), place)
+        return whole.join(broadcast_if_small(_side(removed, place)), _same(place), "left_anti")
+    hashed = materialize(keep_known(hashed, deciding, "_g"), "hashes", ["source_rank"])
 
     removed: DataFrame | None = None
     for rank, source in enumerate(sources):
@@ -187,16 +269,13 @@ def decontaminate_sources(
         agreed = wanted_grams(suspects, ids).join(proof, "ngram", "left_semi")
         flagged = agreed.select(F.lit(rank).alias("source_rank"), *ids).distinct()
         flagged = materialize(flagged, "flagged")
-        if select is not None:
-            bad = broadcast_if_small(flagged.select(*ids))
-            picked = select(source.join(bad, list(ids), "left_anti")).select(*ids)
-            picked = broadcast_if_small(materialize(picked, "picked"))
-            left = source.select(*ids).join(picked, list(ids), "left_anti").distinct()
-            flagged = materialize(left.select(F.lit(rank).alias("source_rank"), *ids), "left-out")
+        bad = broadcast_if_small(flagged.select(*ids))
+        picked = select(source.join(bad, list(ids), "left_anti")).select(*ids)
+        picked = broadcast_if_small(materialize(picked, "picked"))
+        left = source.select(*ids).join(picked, list(ids), "left_anti").distinct()
+        flagged = materialize(left.select(F.lit(rank).alias("source_rank"), *ids), "left-out")
         removed = flagged if removed is None else removed.unionByName(flagged)
 
-    marked = [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)]
-    whole = reduce(lambda a, b: a.unionByName(b), marked)
     return whole.join(broadcast_if_small(removed), place, "left_anti")
 
 
@@ -338,13 +417,10 @@ def frequent_ngrams(
 def matching_grams(
     index: DataFrame, wanted: DataFrame, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Distinct wanted grams present in a (large) index; the index is not shuffled
-    while the wanted grams fit a broadcast."""
-    wanted = wanted.select("ngram").distinct()
-    hits = index.select("ngram").join(
-        broadcast_if_small(wanted, max_rows), "ngram", "left_semi"
-    )
-    return hits.distinct()
+    """Distinct wanted grams present in a (large) index. The index is not shuffled: wanted
+    grams beyond a broadcast are looked up in a bit table first."""
+    wanted = materialize(wanted.select("ngram").distinct(), "wanted")
+    return keep_known(index.select("ngram"), wanted, "ngram", max_rows).distinct()
 
 
 def train_overlap(
@@ -369,19 +445,20 @@ def overlap_stats(
     index: DataFrame, tasks: DataFrame, text: str, n: int = CORPUS_NGRAM
 ) -> DataFrame:
     """One row over the corpus index: all grams, distinct grams, and how many of the
-    distinct ones occur in the evaluation texts or not."""
-    wanted = ngram_rows(tasks, [], text, n, normalize_spaced).distinct()
-    marked = index.select("ngram").join(
-        broadcast_if_small(wanted.withColumn("_hit", F.lit(1))), "ngram", "left"
-    )
-    per_gram = marked.groupBy("ngram").agg(
-        F.count(F.lit(1)).alias("n"), F.max("_hit").alias("hit")
-    )
-    return per_gram.agg(
+    distinct ones occur in the evaluation texts or not. Grams are counted by a 128-bit hash,
+    of which a task sends one row each; the evaluation grams are compared as text."""
+    wanted = ngram_rows(tasks, [], text, n, normalize_spaced)
+    found = matching_grams(index, wanted).agg(F.count(F.lit(1)).alias("matching"))
+    per_gram = index.groupBy(
+        F.xxhash64("ngram").alias("_a"), F.xxhash64("ngram", F.lit(1)).alias("_b")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    counts = per_gram.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.count(F.lit(1)).alias("distinct_grams"),
-        F.count("hit").alias("matching"),
-    ).withColumn("non_matching", F.col("distinct_grams") - F.col("matching"))
+    )
+    return counts.join(F.broadcast(found)).withColumn(
+        "non_matching", F.col("distinct_grams") - F.col("matching")
+    )
 
 
 def metric_clean(

@@ -3,7 +3,7 @@ sample → training text."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -32,12 +32,17 @@ class CurationRules:
 
 
 def collect_questions(
-    sources: Sequence[DataFrame], protected: DataFrame, protected_text: str, rules: CurationRules
+    sources: Sequence[DataFrame],
+    protected: DataFrame,
+    protected_text: str,
+    rules: CurationRules,
+    select: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Common-schema sources in order: decontaminated against the protected texts and
-    the kept rows of earlier sources, first copy of each question kept, key added."""
+    the kept rows of earlier sources, first copy of each question kept, key added.
+    ``select`` picks among the clean rows of a source; what it leaves out protects nothing."""
     kept = ngrams.decontaminate_sources(
-        sources, protected, ["row_idx"], "question", protected_text, rules.ngram
+        sources, protected, ["row_idx"], "question", protected_text, rules.ngram, select
     )
     unique = selection.dedup_first(kept, "question", ["source_rank", "row_idx"])
     return unique.withColumn("qhash", joins.question_hash(F.col("question")))
