@@ -115,6 +115,34 @@ def test_new_checkpoint_adds_to_an_old_table(spark, tmp_path):
     assert got == [(1, "x"), (2, "a"), (9, "z")]
 
 
+def test_intake_reads_the_parts_it_touches(spark, tmp_path):
+    import shutil
+
+    src, out, schema = str(tmp_path / "src"), str(tmp_path / "out"), "k string, v string"
+    rows = [(f"k{i}", "old") for i in range(300)] + [(None, "old")]
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    run = lambda mark: intake.intake(
+        spark.readStream.schema(schema).parquet(src), out, ["k"], str(tmp_path / mark), order=["v"]
+    ).awaitTermination()
+    run("one")
+    # keys come from the part of the new row alone
+    one = spark.createDataFrame([("k7", "new")], schema)
+    part = one.select(*[c.alias(n) for n, c in intake._hashed(["k"]).items()]).first()["part"]
+    known = intake.known_keys(spark, out, [part], "none")
+    files = {r[0] for r in known.select(F.input_file_name()).distinct().collect()}
+    assert files and all(f"/part={part}/" in f for f in files)
+    assert known.count() < 30
+    assert intake.unseen(one, out, "none", ["k"]).isEmpty()
+    # a table without its index, and one whose index broke off, are indexed again
+    folder = next((tmp_path / "out" / intake.KEY_FOLDER).glob("batch=*"))
+    shutil.rmtree(folder / "part=-1")
+    shutil.rmtree(next(folder.glob("part=*")))
+    spark.createDataFrame([("k1", "new"), (None, "new"), ("z", "new")], schema).write.mode("append").parquet(src)
+    run("two")
+    got = spark.read.parquet(out)
+    assert got.count() == 302 and got.where("v = 'new'").collect()[0]["k"] == "z"
+
+
 def test_corpus_is_the_same_packed_or_plain(spark, tmp_path):
     import zstandard
 
