@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -402,6 +402,12 @@ def answer_class(answer: Column) -> Column:
     return normalize_math(normalize_math(bare, "competition"), "grader")
 
 
+def answer_forms() -> list[Callable[[Column], Column]]:
+    """The two normal forms of the grader: answers that agree in either are equal."""
+    bare = lambda a: trim_space(F.regexp_replace(trim_space(a), r"^\\text\{(.+?)\}$", "$1"))
+    return [lambda a: normalize_math(bare(a), "competition"), lambda a: normalize_math(a, "grader")]
+
+
 # --- phrases -----------------------------------------------------------------------
 
 

@@ -118,30 +118,34 @@ def compare_runs(
     )
 
 
+SHALLOW = 16  # up to this depth the groups need not be counted to rule out a cycle
+
+
 def leaf_tasks(
     edges: DataFrame, parent: str = "group", child: str = "child"
 ) -> DataFrame:
     """Leaf tasks below every group, as rows ``(group, task)``.
 
-    One join per level; a node is a leaf when it has no children. Paths that meet again
-    are merged on every level. A group below itself is an error.
+    Path doubling: after round k the table holds the leaves at most 2^k steps below a group
+    and the inner nodes exactly 2^k steps below it; joining it to itself doubles both. Depth d
+    takes log2(d) rounds. A node is a leaf when it has no children; paths that meet again are
+    merged in every round. A group below itself is an error.
     """
     steps = edges.select(F.col(parent).alias("group"), F.col(child).alias("task")).distinct()
-    inner = steps.select(F.col("group").alias("task")).distinct()
-    level, leaves, depth = steps, None, inner.count()
+    inner = steps.select(F.col("group").alias("task"), F.lit(False).alias("_inner")).distinct()
+    leaf = F.coalesce(F.col("_inner"), F.lit(True)).alias("leaf")
+    reach = materialize(steps.join(inner, "task", "left").select("group", "task", leaf), "reach")
+    span = 1
     while True:
-        if depth < 0:
+        jumps = reach.where("NOT leaf").select("group", F.col("task").alias("_over"))
+        if jumps.isEmpty():
+            return reach.select("group", "task")
+        if span >= SHALLOW and span >= inner.count():
             raise ValueError("the groups form a cycle")
-        depth -= 1
-        done = level.join(inner, "task", "left_anti").select("group", "task")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        deeper = level.join(
-            steps.select(F.col("group").alias("task"), F.col("task").alias("_next")),
-            "task",
-        ).select("group", F.col("_next").alias("task")).distinct()
-        level = materialize(deeper, "level")
-        if level.isEmpty():
-            return leaves.distinct()
+        further = reach.select(F.col("group").alias("_over"), "task", "leaf")
+        further = jumps.join(further, "_over").select("group", "task", "leaf")
+        reach = materialize(reach.where("leaf").unionByName(further).distinct(), "reach")
+        span *= 2
 
 
 def join_predictions(

@@ -26,6 +26,7 @@ from assayline.functions.text import (
     word_spans,
 )
 from assayline.operators.bits import bit_table
+from assayline.operators.leaders import displaced, same, side
 from assayline.operators.scale import (
     BROADCAST_ROWS,
     broadcast_if_small,
@@ -59,23 +60,12 @@ def ngram_index(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     if shared.isEmpty():
         return ngram_rows(df, [doc_id], text, n).select("ngram", doc_id)
     shared = broadcast_if_small(shared)
-    alone = df.join(shared, _same([doc_id]), "left_anti")
-    rest = df.join(shared, _same([doc_id]), "left_semi")
+    alone = df.join(shared, same([doc_id]), "left_anti")
+    rest = df.join(shared, same([doc_id]), "left_semi")
     parts = [ngram_rows(part, [doc_id], text, n).select("ngram", doc_id) for part in (alone, rest)]
     return parts[0].unionAll(parts[1].distinct())
 
 
-def _same(cols: Sequence[str]) -> Column:
-    """Null-safe equality of columns with the ``_k0``, ``_k1`` ... of a side table."""
-    return reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cols)]
-    )
-
-
-def _side(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)])
-
-
 def keep_known(df: DataFrame, known: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in the stored table ``known`` of distinct keys.
 
@@ -163,43 +153,6 @@ def decontaminate(
     return kept, report
 
 
-def _settled(held: DataFrame, fixed: DataFrame, place: Sequence[str]) -> DataFrame:
-    """Rows ``place`` that a protected gram or a kept row of an earlier source removes.
-
-    ``held`` has the deciding grams of every row. In a round a row goes if it holds a gram
-    of a kept row of an earlier source, and is kept once all earlier rows that share a gram
-    with it are settled; the others wait. The first source among the waiting rows always
-    settles, and rounds are as many as the longest chain of rows that wait for each other.
-    """
-    rank = F.col("source_rank")
-    kept = fixed.select("ngram", F.lit(-1).alias("lo"))
-    waiting, removed = held, None
-    while True:
-        facts = (
-            waiting.select("ngram", rank.alias("first"), F.lit(None).cast("int").alias("lo"))
-            .unionByName(kept.select("ngram", F.lit(None).cast("int").alias("first"), "lo"))
-            .groupBy("ngram")
-            .agg(F.min("first").alias("first"), F.min("lo").alias("lo"))
-            .where("first IS NOT NULL")
-        )
-        judged = waiting.join(broadcast_if_small(facts), "ngram").groupBy(*place).agg(
-            F.max(F.coalesce(F.col("lo") < rank, F.lit(False))).alias("hit"),
-            F.max(F.col("first") < rank).alias("blocked"),
-        )
-        judged = materialize(judged, "judged")
-        gone = judged.where("hit").select(*place)
-        removed = gone if removed is None else removed.unionAll(gone)
-        later = judged.where("NOT hit AND blocked")
-        if later.isEmpty():
-            return removed
-        clear = broadcast_if_small(_side(judged.where("NOT hit AND NOT blocked"), place))
-        fresh = waiting.join(clear, _same(place), "left_semi").select("ngram", rank.alias("lo"))
-        kept = kept.unionByName(fresh).groupBy("ngram").agg(F.min("lo").alias("lo"))
-        kept = materialize(kept, "kept-grams")
-        later = broadcast_if_small(_side(later, place))
-        waiting = materialize(waiting.join(later, _same(place), "left_semi"), "waiting")
-
-
 def decontaminate_sources(
     sources: Sequence[DataFrame],
     test: DataFrame,
@@ -216,7 +169,7 @@ def decontaminate_sources(
 
     Only a gram that is protected or met in two sources can decide anything: one count by
     64-bit hash finds those, and only their rows are stored. Without ``select`` these rows are
-    settled in rounds (`_settled`), whose number does not grow with the number of sources, and
+    settled in rounds (`leaders.displaced`), whose number does not grow with the number of sources, and
     grams are compared as text; rows of a source that share their ids (nulls are equal) are
     one row. With it the loop runs over sources: it joins hashes to find suspects, and
     compares grams as text only between suspects and the rows that share a hash with them.
@@ -238,8 +191,8 @@ def decontaminate_sources(
     if select is None:
         told = ngram_rows(rows, place, text, n).withColumn("_g", F.xxhash64("ngram"))
         held = materialize(keep_known(told, deciding, "_g").drop("_g"), "held")
-        removed = _settled(held, fixed.select("ngram"), place)
-        return whole.join(broadcast_if_small(_side(removed, place)), _same(place), "left_anti")
+        removed = displaced(held, place, "source_rank", "ngram", fixed)
+        return whole.join(broadcast_if_small(side(removed, place)), same(place), "left_anti")
     hashed = materialize(keep_known(hashed, deciding, "_g"), "hashes", ["source_rank"])
 
     removed: DataFrame | None = None

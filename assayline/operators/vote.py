@@ -11,7 +11,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.operators.scale import first_by, first_k, running
+from assayline.operators import leaders
+from assayline.operators.scale import broadcast_if_small, first_by, first_k, running
+from assayline.session import materialize
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -91,6 +93,44 @@ def best_of_n(
     return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
+def answer_links(
+    df: DataFrame, keys: Sequence[str], answer: str, forms: Sequence[Callable[[Column], Column]]
+) -> DataFrame:
+    """One row per form an answer has, with a text that names question, form and value."""
+    parts = [F.struct(F.lit(i).alias("form"), f(F.col(answer)).alias("value")) for i, f in enumerate(forms)]
+    spread = df.withColumn("_form", F.explode(F.array(*parts))).where("_form.value IS NOT NULL")
+    named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    link = F.to_json(F.struct(*named, "_form.form", F.col("_form.value").cast("string").alias("value")))
+    return spread.withColumn("_link", link).drop("_form")
+
+
+def leader_classes(
+    df: DataFrame,
+    keys: Sequence[str],
+    idx: str,
+    answer: str,
+    forms: Sequence[Callable[[Column], Column]],
+) -> DataFrame:
+    """Classes of the answers of a question: rows ``(keys, answer, _class, _since)``.
+
+    Two answers are equal if any of ``forms`` maps them to one value, which is not
+    transitive. In order of first use, an answer opens a class unless an earlier opener is
+    equal to it; it belongs to every class whose opener it equals, and does not merge them
+    if these are two. ``_since`` is the first use of the opener. An answer
+    without any form (null) is in no class. Only distinct answers are compared, by their
+    forms; no pairs of answers are made.
+    """
+    used = df.where(F.col(answer).isNotNull()).groupBy(*keys, answer).agg(F.min(idx).alias("_since"))
+    links = materialize(answer_links(used, keys, answer, forms), "answer-links")
+    place = [*keys, answer]
+    joined = leaders.displaced(links, place, "_since", "_link")
+    openers = links.join(
+        broadcast_if_small(leaders.side(joined, place)), leaders.same(place), "left_anti"
+    ).select("_link", F.col(answer).alias("_class"), "_since")
+    members = links.drop("_since").join(broadcast_if_small(openers), "_link")
+    return members.drop("_link").distinct()
+
+
 def weighted_vote(
     df: DataFrame,
     keys: Sequence[str],
@@ -98,11 +138,14 @@ def weighted_vote(
     answer: str,
     weight: Column | None = None,
     same: Callable[[Column], Column] | None = None,
+    forms: Sequence[Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Vote over answer classes by running weight (plain vote: every weight is 1).
 
     Answers are of one class if ``same`` maps them to one value (the answer itself if not
-    given; ``answers.answer_class`` for graded equality). The text shown is that of the
+    given; ``answers.answer_class`` for graded equality). With ``forms`` the classes are those
+    of ``leader_classes``: a response adds its weight to every class open by then that it
+    equals, and an answer without a form is always new. The text shown is that of the
     response with which the class took the lead.
 
     The lead changes only when a *repeated* answer's running weight exceeds the best
@@ -119,7 +162,22 @@ def weighted_vote(
         (F.lit(1.0) if weight is None else weight).cast("double").alias("_w"),
         (same or (lambda a: a))(F.col(answer)).alias("_class"),
     )
+    if forms is not None:
+        place = [*keys, answer]
+        found = leader_classes(df, keys, idx, answer, forms)
+        named = {c: f"_k{i}" for i, c in enumerate(place)}
+        found = found.withColumnsRenamed(named)
+        open_by_then = leaders.same(place) & (F.col(idx) >= F.col("_since"))
+        rows = rows.drop("_class").join(broadcast_if_small(found), open_by_then, "left")
+        rows = rows.drop("_since", *named.values())
+        rows = materialize(rows, "classed")
     rows = running(rows, [*keys, "_class"], idx, {"_run": F.col("_w"), "_seen": one})
+    if forms is not None:
+        alone = F.col("_class").isNull()
+        rows = rows.withColumns({
+            "_run": F.when(alone, F.col("_w")).otherwise(F.col("_run")),
+            "_seen": F.when(alone, one).otherwise(F.col("_seen")),
+        })
     is_repeat, order = F.col("_seen") > 1, -F.col(idx)
     cell = F.struct(F.col("_run").alias("run"), order.alias("o"), F.col(answer).alias("a"))
     opening = F.struct(F.col(idx).alias("i"), F.col("_run").alias("run"), F.col(answer).alias("a"))

@@ -5,7 +5,7 @@ Question = user, answer = event type, order = event id, weight = value.
 
 from pyspark.sql import functions as F
 
-from assayline.functions.answers import answer_class
+from assayline.functions.answers import answer_class, answer_forms
 from assayline.operators import registry as R
 from assayline.operators import trees
 from assayline.operators import vote as V
@@ -187,6 +187,30 @@ def _(spark, sf):
     return V.weighted_vote(rows, Q, "event_id", "event_type", same=answer_class)
 
 
+# 'x=7' and '7' agree in one form, '7' and '7 cm' in the other, 'x=7' and '7 cm' in none: the class
+# that opens first decides where the middle one goes
+LINKED = """WITH said AS (SELECT user_id, event_id, value AS w, ['x=7', '7', '7 cm', '1/2', '0.5'][1 + CAST(floor(value) AS BIGINT) % 5] AS a FROM events),
+    f AS (SELECT user_id, a, min(event_id) AS since FROM said GROUP BY 1, 2),
+    eq(a, b) AS (VALUES ('x=7', '7'), ('7', 'x=7'), ('7', '7 cm'), ('7 cm', '7'), ('1/2', '0.5'), ('0.5', '1/2'),
+      ('x=7', 'x=7'), ('7', '7'), ('7 cm', '7 cm'), ('1/2', '1/2'), ('0.5', '0.5')),
+    reps AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g JOIN eq ON eq.b = g.a WHERE eq.a = f.a AND g.user_id = f.user_id AND g.since < f.since
+        AND (f.a IN ('1/2', '0.5', '7') OR NOT EXISTS (SELECT 1 FROM f h JOIN eq e ON e.b = h.a WHERE e.a = g.a AND h.user_id = g.user_id AND h.since < g.since)))),
+    m AS (SELECT s.*, reps.a AS cls FROM said s JOIN eq ON eq.a = s.a JOIN reps ON reps.user_id = s.user_id AND reps.a = eq.b AND reps.since <= s.event_id),
+    """
+
+
+@query(
+    "j7_leader_classes",
+    LINKED + VOTE.format(w="CAST(w AS DECIMAL(18, 2))").replace("WITH r", "r", 1).replace("FROM events)", "FROM m)")
+    .replace("user_id, event_type ORDER", "user_id, cls ORDER").replace("event_type", "a"),
+)
+def _(spark, sf):
+    texts = F.array(*[F.lit(x) for x in ("x=7", "7", "7 cm", "1/2", "0.5")])
+    rows = events(spark, sf).withColumn("a", F.element_at(texts, (F.floor("value") % 5 + 1).cast("int")))
+    out = V.weighted_vote(rows, Q, "event_id", "a", F.col("value"), forms=answer_forms())
+    return out.withColumn("vote", F.round("vote", 4))
+
+
 @query(
     "g20_cov_maj_at_n",
     "WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events), "

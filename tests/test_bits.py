@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from assayline.operators import bits
+from assayline.operators import bits, leaders
 from assayline.operators import ngrams as N
 
 
@@ -101,7 +101,8 @@ def test_fold_by_rounds(spark, monkeypatch, count, rows, limit):
     if limit is not None:
         # every side beyond its bound: bit tables and shuffles everywhere
         monkeypatch.setattr(N, "small", lambda *a, **k: False)
-        monkeypatch.setattr(N, "broadcast_if_small", lambda df, *a: df)
+        for module in (N, leaders):
+            monkeypatch.setattr(module, "broadcast_if_small", lambda df, *a: df)
     sources = [list(enumerate(texts(10 * count + s, rows, size=7))) for s in range(count)]
     sources[1] = sources[1] + [(rows + i, t) for i, t in sources[0][:3]]
     test = texts(99, 3)
@@ -114,8 +115,8 @@ def test_fold_by_rounds(spark, monkeypatch, count, rows, limit):
 def test_fold_counts_rounds_by_chains_not_sources(spark, monkeypatch):
     """Thirty sources, of which every third meets the one before: two rounds settle them."""
     rounds = []
-    store = N.materialize
-    monkeypatch.setattr(N, "materialize", lambda df, name, *a: (rounds.append(name), store(df, name, *a))[1])
+    store = leaders.materialize
+    monkeypatch.setattr(leaders, "materialize", lambda df, name, *a: (rounds.append(name), store(df, name, *a))[1])
     frames = []
     for s in range(30):
         said = f"w{s // 3} x{s // 3} y{s // 3} z{s}"

@@ -101,6 +101,18 @@ def test_leaf_tasks_merge_paths_and_stop_on_cycles(spark):
     ring = spark.createDataFrame([("a", "b"), ("b", "a")], "group string, child string")
     with pytest.raises(ValueError):
         joins.leaf_tasks(ring)
+    assert joins.leaf_tasks(ring.limit(0)).isEmpty()
+
+
+def test_leaf_tasks_of_a_long_chain_in_few_rounds(spark, monkeypatch):
+    stored = []
+    store = joins.materialize
+    monkeypatch.setattr(joins, "materialize", lambda df, name: (stored.append(name), store(df, name))[1])
+    chain = [(f"g{i}", f"g{i + 1}") for i in range(999)] + [("g999", "end"), ("g10", "side")]
+    got = joins.leaf_tasks(spark.createDataFrame(chain, "group string, child string"))
+    assert got.where("task = 'end'").count() == 1000
+    assert got.where("task = 'side'").count() == 11 and got.count() == 1011
+    assert len(stored) <= 11
 
 
 def test_new_checkpoint_adds_to_an_old_table(spark, tmp_path):
