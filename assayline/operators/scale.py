@@ -21,6 +21,9 @@ BROADCAST_BYTES = 64 << 20
 HASH_ROWS = 1 << 16
 RANK_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 SPARSE = 4  # id range over rows from which on ids count as sparse
+SURPLUS = 4  # rows over k up to which a key is not cut
+SKETCH = 10_000
+FRACTIONS = [2.0**-i for i in range(10, 0, -1)]  # cuts a sketch offers, as shares of a key
 _ALL = "_all"
 SCANS = {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "Union"}
 
@@ -153,16 +156,60 @@ def ranked(
     return running_in_order(df, keys, order, {name: F.lit(1).cast("long")})
 
 
+def nearest(df: DataFrame, keys: Sequence[str], lead: Column, k: int) -> DataFrame:
+    """Rows among which the ``k`` smallest by ``lead`` of every key are, and not many more.
+
+    ``lead`` is a number without nulls that the wanted order starts with. A quantile sketch
+    per key names a cut, an exact count says whether it keeps k rows, and only then rows
+    beyond it are left out where they are read. Cuts are tightened until a key has at most
+    ``SURPLUS`` times k rows or equal values allow no more. Keys with fewer rows have no cut.
+    """
+    rows = df.withColumn("_lead", lead.cast("double"))
+    named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]
+    at = F.lit(True)
+    for i, c in enumerate(keys):
+        at = at & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    while True:
+        facts = rows.groupBy(*named).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.percentile_approx("_lead", FRACTIONS, SKETCH).alias("_q"),
+        ).where(F.col("_n") > SURPLUS * k)
+        wanted = (F.lit(1.2 * k) + 4 * F.col("_n") / SKETCH) / F.col("_n")
+        pick = F.greatest(F.size(F.filter(F.array(*map(F.lit, FRACTIONS)), lambda f: f < wanted)), F.lit(0))
+        cuts = facts.select(*names, "_n", F.get("_q", pick).alias("_cut")).where("_cut IS NOT NULL")
+        cuts = materialize(cuts, "cuts")
+        if cuts.isEmpty():
+            return rows.drop("_lead")
+        under = rows.join(broadcast_if_small(cuts), at).where("_lead <= _cut")
+        held = under.groupBy(*names, "_cut").agg(
+            F.count(F.lit(1)).alias("_held"), F.first("_n").alias("_n")
+        )
+        good = held.where((F.col("_held") >= k) & (F.col("_held") < F.col("_n")))
+        good = materialize(good.select(*names, "_cut"), "cuts")
+        if good.isEmpty():
+            return rows.drop("_lead")
+        rows = rows.join(broadcast_if_small(good), at, "left")
+        rows = rows.where("_cut IS NULL OR _lead <= _cut").drop("_cut", *names)
+
+
 def first_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "pos"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    k: int,
+    name: str = "pos",
+    lead: Column | None = None,
 ) -> DataFrame:
     """First ``k`` rows per key with their position, the same rows for every k.
 
     Up to the rank limit of the session Spark cuts every key to k rows before the shuffle
-    already; a larger k is ranked in chunks.
+    already; a larger k is ranked in chunks, and with ``lead`` (see ``nearest``) only rows
+    near the first k are ranked.
     """
     if k > int(df.sparkSession.conf.get(RANK_SETTING)):
-        return ranked(df, keys, order, name).where(F.col(name) <= k)
+        near = df if lead is None else nearest(df, keys, lead, k)
+        return ranked(near, keys, order, name).where(F.col(name) <= k)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
@@ -180,18 +227,22 @@ def hash_ranked(
     seed: int,
     name: str = "pos",
     digits: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Seeded random 1-based position per key; chunk = leading hex digits, as many as keep
-    a chunk at about ``HASH_ROWS`` rows."""
+    a chunk at about ``HASH_ROWS`` rows. With ``limit`` only so many rows per key are kept."""
+    mixed = df.withColumn("_h", hash_text(id_cols, seed))
+    if limit is not None:
+        mixed = nearest(mixed, keys, F.conv(F.substring("_h", 1, 12), 16, 10), limit)
     if digits is None:
         digits = 1
-        rows = df.count()
+        rows = mixed.count()
         while rows > HASH_ROWS * 16**digits:
             digits += 1
-    mixed = df.withColumn("_h", hash_text(id_cols, seed))
     order = [F.col("_h"), *[F.col(c) for c in id_cols]]
     one = {name: F.lit(1).cast("long")}
-    return running(mixed, keys, "", one, [F.substring("_h", 1, digits)], order).drop("_h")
+    out = running(mixed, keys, "", one, [F.substring("_h", 1, digits)], order).drop("_h")
+    return out if limit is None else out.where(F.col(name) <= limit)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

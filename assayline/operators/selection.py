@@ -26,6 +26,7 @@ from assayline.fixed_values import (
 from assayline.operators.scale import (
     broadcast_if_small,
     first_by,
+    first_k,
     hash_ranked,
     hash_text,
     numbered,
@@ -94,12 +95,10 @@ def quota_sample(
 
     # only rows within a quota of their own can be picked: as many as the sample asks
     slim = df.select(*id_cols, task, topic)
-    by_task = hash_ranked(slim, [task], id_cols, seed, "_task_no").where(
-        F.col("_task_no") <= per_task
-    )
+    by_task = hash_ranked(slim, [task], id_cols, seed, "_task_no", limit=per_task)
     by_topic = hash_ranked(
-        slim.where(F.col(topic).isNotNull()), [topic], id_cols, seed, "_topic_no"
-    ).where(F.col("_topic_no") <= per_topic)
+        slim.where(F.col(topic).isNotNull()), [topic], id_cols, seed, "_topic_no", limit=per_topic
+    )
     near = by_task.drop(topic).join(by_topic.drop(topic), [*id_cols, task], "full")
     near = near.withColumns(
         {
@@ -271,7 +270,8 @@ def diversity_sample(
     """Ids selected so far plus draws until ``total``: domain uniform while fewer than
     ``switch`` are selected, then by ``weights``; inside the domain long traces first.
 
-    Each domain's draw order is made on Spark from its longest rows only. A draw
+    Each domain's draw order is made on Spark from its longest rows only, found by a cut
+    per domain before any row is sorted. A draw
     reaches at most 53 ranks past the rows already drawn (a double holds no smaller
     probability), so ``2 * total + 54`` ranks hold every possible draw. The driver
     sees the flags of those draws and picks domains, never the rows. Numbers come from
@@ -292,8 +292,9 @@ def diversity_sample(
     count = picked.count()
     reach = 2 * total + 54
     mixed = marked.withColumn("_h", hash_text(["id"], seed))
-    order = [F.col("domain"), F.col("length").desc(), F.col("_h"), F.col("id")]
-    pools = ranked(mixed, ["domain"], order, "_pos").where(F.col("_pos") <= reach)
+    order = [F.col("length").desc(), F.col("_h"), F.col("id")]
+    by_length = F.coalesce(-F.col("length"), F.lit(float("inf")))
+    pools = first_k(mixed, ["domain"], order, reach, "_pos", by_length)
     sizes = marked.groupBy(F.col("domain").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     pools = pools.join(sizes, F.col("domain").eqNullSafe(F.col("_d")))
     pools = pools.withColumn("length_rank", F.col("_pos") - 1)

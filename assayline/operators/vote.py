@@ -33,7 +33,8 @@ def take_first_k(
     """First ``k`` responses; with ``check`` a question with fewer is an error."""
     if check and not short_groups(df, keys, k).isEmpty():
         raise ValueError(f"some questions have fewer than {k} responses")
-    return first_k(df, keys, [F.col(idx)], k)
+    lead = F.coalesce(F.col(idx).cast("double"), F.lit(float("-inf")))
+    return first_k(df, keys, [F.col(idx)], k, lead=lead)
 
 
 def majority_vote(

@@ -269,3 +269,43 @@ def test_a_side_is_computed_once(spark, tmp_path):
     side = scale.broadcast_if_small(grouped)
     assert path not in " ".join(side.inputFiles()) and side.count() == 100
     assert scale.small(stored, 100) and not scale.small(stored, 99) and not scale.small(stored, 100, 10)
+
+
+@pytest.mark.parametrize("k", [1, 40, 900])
+def test_nearest_holds_the_first_k(spark, k):
+    hot = spark.range(60_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("k"), (F.xxhash64("id") % 100_000).alias("v"), "id"
+    )
+    few = spark.range(50).select(F.lit("few").alias("k"), F.lit(7).cast("long").alias("v"), "id")
+    ties = spark.range(5_000).select(F.lit("ties").alias("k"), (F.col("id") % 2).alias("v"), "id")
+    df = hot.unionAll(few).unionAll(ties)
+    near = scale.nearest(df, ["k"], F.col("v"), k)
+    assert near.columns == df.columns
+    rows = {r["k"]: r["count"] for r in near.groupBy("k").count().collect()}
+    # about k rows of the hot and of the null key; no row of a small one is lost
+    for key in ("hot", None):
+        assert k <= rows[key] <= max(4 * k, 60)
+    assert rows["few"] == 50 or k == 1
+    assert rows["ties"] in (2_500, 5_000)
+    plain = scale.first_k(df, ["k"], [F.col("v"), F.col("id")], k)
+    cut = scale.first_k(near, ["k"], [F.col("v"), F.col("id")], k)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+
+
+def test_first_k_beyond_the_limit_with_a_lead(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("v"), "id")
+    order = [F.col("v"), F.col("id")]
+    got = scale.first_k(df, ["k"], order, 1_200, lead=F.col("v"))
+    want = scale.first_k(df, ["k"], order, 1_200)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    none = scale.first_k(df.limit(0), ["k"], order, 1_200, lead=F.col("v"))
+    assert none.isEmpty()
+    whole = scale.nearest(df, [], F.col("v"), 100)
+    assert 100 <= whole.count() <= 400
+
+
+def test_hash_ranked_with_a_limit(spark):
+    df = spark.range(9_000).select((F.col("id") % 2).alias("k"), "id")
+    want = scale.hash_ranked(df, ["k"], ["id"], 7).where("pos <= 30")
+    got = scale.hash_ranked(df, ["k"], ["id"], 7, limit=30)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
