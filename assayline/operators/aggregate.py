@@ -433,6 +433,7 @@ def trace_columns(
     out = {
         "steps": step_count,
         "pieces": F.size(steps),
+        "step_words": F.transform(steps, lambda s: F.size(words(s))),
         "thinking_words": thinking_words,
         "total_words": F.size(words(text)),
         "answer_words": F.size(words(body)),
@@ -462,8 +463,14 @@ def trace_stats(
         F.count(F.lit(1)).alias("samples"),
         avg("steps").alias("avg_steps"),
         F.round(F.try_divide(F.sum("thinking_words"), F.sum("pieces")), 1).alias("avg_step"),
+        F.min(F.array_min("step_words")).alias("min_step"),
+        F.max(F.array_max("step_words")).alias("max_step"),
         F.min("thinking_words").alias("min_thinking"),
         F.max("thinking_words").alias("max_thinking"),
+        F.min("answer_words").alias("min_answer"),
+        F.max("answer_words").alias("max_answer"),
+        F.min("total_words").alias("min_total"),
+        F.max("total_words").alias("max_total"),
         avg("thinking_words").alias("avg_thinking"),
         avg("answer_words").alias("avg_answer"),
         avg("total_words").alias("avg_total"),
@@ -489,6 +496,20 @@ def correctness_by_length(df: DataFrame, response: str, correct: str, idx: str)
     return out.select("place", idx, "thinking_words", correct)
 
 
+def sorted_lengths(df: DataFrame, response: str, idx: str, counted: bool = False) -> DataFrame:
+    """Lengths in words in rising order, as rows ``(kind, place, idx, step, words)``: one per
+    sample for thinking, answer and total, and one per step (``step`` from 1, else 0)."""
+    found = trace_columns(response, counted=counted)
+    cell = lambda kind, step, size: F.struct(
+        F.lit(kind).alias("kind"), step.cast("int").alias("step"), size.alias("words")
+    )
+    whole = [cell(k, F.lit(0), found[f"{k}_words"]) for k in ("thinking", "answer", "total")]
+    steps = F.transform(found["step_words"], lambda size, i: cell("step", i + 1, size))
+    rows = df.select(idx, F.inline(F.concat(F.array(*whole), steps)))
+    out = ranked(rows, ["kind"], [F.col("words"), F.col(idx), F.col("step")], "place")
+    return out.select("kind", "place", idx, "step", "words")
+
+
 def sample_counts(df: DataFrame, keys: Sequence[str], limit: int | None) -> DataFrame:
     """Original and effective number of samples."""
     n = F.count(F.lit(1))

@@ -338,7 +338,10 @@ TRACES = """t AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN '<|im_start|>th
     c AS (SELECT *, len(l) - 2 AS steps, array_to_string(l[2:len(l) - 1], chr(10)) AS think FROM s),
     w AS (SELECT *, len(list_filter(regexp_split_to_array(think, '\\s+'), lambda x: x <> '')) AS tw,
       len(list_filter(regexp_split_to_array(resp, '\\s+'), lambda x: x <> '')) AS rw,
+      list_transform(l[2:len(l) - 1], lambda y: len(list_filter(regexp_split_to_array(y, '\\s+'), lambda x: x <> ''))) AS sw,
       CASE WHEN resp LIKE '%<|im_start|>answer%' THEN 2 ELSE 0 END AS aw FROM c)"""
+EXTREMES = """min(list_min(sw)) AS min_step, max(list_max(sw)) AS max_step, min(tw) AS min_thinking, max(tw) AS max_thinking,
+        min(aw) AS min_answer, max(aw) AS max_answer, min(rw) AS min_total, max(rw) AS max_total"""
 
 
 def traces(spark, sf):
@@ -353,7 +356,7 @@ def traces(spark, sf):
 
 @query(
     "h23_trace_stats",
-    f"""WITH {TRACES} SELECT count(*) AS samples, round(avg(steps), 1) AS avg_steps, min(tw) AS min_thinking, max(tw) AS max_thinking,
+    f"""WITH {TRACES} SELECT count(*) AS samples, round(avg(steps), 1) AS avg_steps, {EXTREMES},
         round(sum(tw) / sum(greatest(steps, 0)), 1) AS avg_step,
         round(avg(tw), 1) AS avg_thinking, round(avg(aw), 1) AS avg_answer, round(avg(rw), 1) AS avg_total,
         count(*) FILTER (resp NOT LIKE '%Answer:%' AND resp NOT LIKE '%\\boxed%') AS without_answer,
@@ -368,15 +371,16 @@ def _(spark, sf):
 
 # one counted step per line, one answer section
 COUNTED = """s AS (SELECT string_split(text, chr(10)) AS l, role, turn % 2 = 0 AS ok, text FROM conversations),
-    r AS (SELECT len(l) AS steps, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS tw, ok FROM s)"""
+    r AS (SELECT len(l) AS steps, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS tw, ok,
+      list_transform(l, lambda y: len(list_filter(regexp_split_to_array(y, '\\s+'), lambda x: x <> ''))) AS sw FROM s),
+    q AS (SELECT *, tw + 3 * steps + 3 AS rw, 2 AS aw FROM r)"""
 
 
 @query(
     "h23_counted_steps",
     f"""WITH {COUNTED} SELECT count(*) AS samples, round(avg(steps), 1) AS avg_steps, round(sum(tw) / sum(steps), 1) AS avg_step,
-        min(tw) AS min_thinking, max(tw) AS max_thinking, round(avg(tw), 1) AS avg_thinking, 2.0 AS avg_answer,
-        round(avg(tw + 3 * steps + 3), 1) AS avg_total, 0 AS without_answer, 0 AS without_thinking,
-        count(*) FILTER (steps > 3) AS too_many_steps, round(avg(CAST(ok AS INT)), 6) AS accuracy FROM r""",
+        {EXTREMES}, round(avg(tw), 1) AS avg_thinking, 2.0 AS avg_answer, round(avg(rw), 1) AS avg_total, 0 AS without_answer, 0 AS without_thinking,
+        count(*) FILTER (steps > 3) AS too_many_steps, round(avg(CAST(ok AS INT)), 6) AS accuracy FROM q""",
 )
 def _(spark, sf):
     lines = F.split("text", "\n")
@@ -396,6 +400,18 @@ def _(spark, sf):
     return A.correctness_by_length(traces(spark, sf), "resp", "ok", "idx")
 
 
+@query(
+    "h23_sorted_lengths",
+    f"""WITH {TRACES.replace("SELECT conv_id, CASE", "SELECT conv_id * 1000 + turn AS idx, CASE", 1)},
+        e AS (SELECT 'thinking' AS kind, idx, 0 AS step, tw AS words FROM w UNION ALL SELECT 'answer', idx, 0, aw FROM w
+          UNION ALL SELECT 'total', idx, 0, rw FROM w
+          UNION ALL SELECT 'step', idx, unnest(range(1, len(sw) + 1)), unnest(sw) FROM w)
+        SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY words, idx, step) AS place, idx, step, words FROM e""",
+)
+def _(spark, sf):
+    return A.sorted_lengths(traces(spark, sf), "resp", "idx")
+
+
 @query(
     "h24_sample_counts",
     "SELECT source, count(*) AS original, least(count(*), 30) AS effective FROM documents GROUP BY 1",
