@@ -264,7 +264,8 @@ def _(spark, sf):
 @query(
     "b14_budget_prompt",
     f"""SELECT item_id, text || {NL} || {NL} || 'Think for up to 8 steps.' AS steps, text || {NL} || {NL} || 'Think for up to 512 tokens.' AS tokens,
-        text || {NL} || {NL} || 'Answer after a short amount of thinking. Do not spend excessive time double-checking your work.' AS short, text AS plain
+        text || {NL} || {NL} || 'Answer after a short amount of thinking. Do not spend excessive time double-checking your work.' AS short, text AS plain,
+        text || {NL} || {NL} || 'Answer after a long amount of thinking. If you feel like you are finished early, spend the extra time trying to double-check your work until you are absolutely sure that you have the correct answer.' AS long
         FROM benchmark""",
 )
 def _(spark, sf):
@@ -275,6 +276,7 @@ def _(spark, sf):
         B.budget_prompt(text, "tokens", 512).alias("tokens"),
         B.budget_prompt(text, "short").alias("short"),
         B.budget_prompt(text, None).alias("plain"),
+        B.budget_prompt(text, "long").alias("long"),
     )
 
 
@@ -318,6 +320,59 @@ def _(spark, sf):
     )
 
 
+def _chain(col: str, steps: list[tuple[str, str]]) -> str:
+    """Replacements one after the other; a first part in slashes is a pattern."""
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for what, by in steps:
+        if what.startswith("/") and what.endswith("/"):
+            col = f"regexp_replace({col}, {quoted(what[1:-1])}, {quoted(by)}, 'g')"
+        else:
+            col = f"replace({col}, {quoted(what)}, {quoted(by)})"
+    return col
+
+
+WIKI = [("s '", "s'"), ("//' [0-9]//", "/'[0-9]/")]
+WIKI += [(f" @{c}@ ", c) for c in "-,."] + [(f" {c} ", f"{c} ") for c in ":;.!?,"]
+WIKI += [(rf"/\{a}\s*([^\{b}]*?)\s*\{b}/", rf"{a}\1{b}") for a, b in ("()", "[]", "{}")]
+WIKI += [(rf"/{q}\s*([^{q}]*?)\s*{q}/", rf"{q}\1{q}") for q in "\"'"]
+WIKI += [(" ".join("=" * k), "=" * k) for k in (4, 3, 2)]
+WIKI += [(" ° ", "°"), (" \n", "\n"), ("\n ", "\n"), (" N ", " 1 "), (" 's", "'s")]
+SPACING = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+SPACING += [(r"/\s+([.,;:!?)])/", r"\1")]
+SPACING += [(rf"/(\s+|^)\{a}\s+([^)]+)\s+\{b}/", rf"\1{a}\2{b}") for a, b in ("()", "[]")]
+SPACING += [(rf"/(\s+|^){q}\s+([^{q}]+)\s+{q}/", rf"\1{q}\2{q}") for q in "\"'"]
+
+
+@query(
+    "b17_detokenize_marks",
+    f"""WITH d AS (SELECT doc_id, replace(replace(replace(text, '.', ' . '), ',', ' , '), '-', ' @-@ ') AS w,
+          replace(replace(text, '.', ' . '), ' a', ' &amp; &quot; a') AS p, source, lang FROM documents),
+        e AS (SELECT doc_id, '= = = ' || source || ' = = = ' || {NL} || ' ' || w || ' ( ' || lang || ' ) " ' || source || ' " 5 @.@ 2 ° N 7 's : {{ ' || lang || ' }}' AS w,
+          '( ' || lang || ' ) ' || p || ' [ ' || source || ' ] &lt;b&gt; it&#39;s ; " ' || lang || ' " !' AS p FROM d)
+        SELECT doc_id, {_chain("w", WIKI)} AS wiki, {_chain("p", SPACING)} AS spacing FROM e""".replace("7 's", "7 ''s"),
+)
+def _(spark, sf):
+    def swapped(*pairs):
+        out = F.col("text")
+        for what, by in pairs:
+            out = F.replace(out, F.lit(what), F.lit(by))
+        return out
+
+    w = swapped((".", " . "), (",", " , "), ("-", " @-@ "))
+    p = swapped((".", " . "), (" a", " &amp; &quot; a"))
+    wiki = W.render(
+        "= = = {source} = = = \n {w} ( {lang} ) \" {source} \" 5 @.@ 2 ° N 7 's : {{ {lang} }}",
+        {"source": F.col("source"), "lang": F.col("lang"), "w": w},
+    )
+    page = W.render(
+        "( {lang} ) {p} [ {source} ] &lt;b&gt; it&#39;s ; \" {lang} \" !",
+        {"source": F.col("source"), "lang": F.col("lang"), "p": p},
+    )
+    return table(spark, sf, "documents").select(
+        "doc_id", W.detokenize(wiki, "wiki").alias("wiki"), W.detokenize(page, "spacing").alias("spacing")
+    )
+
+
 @query(
     "b17_detokenize_brackets",
     """SELECT doc_id, replace(regexp_replace(replace(trim(s, ' ' || chr(10)), ' [title]', '. '), '\\[[^\\n]*?\\]', '', 'g'), '  ', ' ') AS brackets

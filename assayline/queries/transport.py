@@ -279,8 +279,9 @@ def _(spark, sf):
        CASE WHEN vec_id % 3 = 0 THEN chr(65 + CAST(label AS INT) % 4) ELSE CAST(label % 4 AS VARCHAR) END AS label,
        CASE WHEN vec_id % 3 = 0 THEN 'A' || chr(10) || 'B' || chr(10) || 'C' || chr(10) || 'D' END AS choices,
        CASE WHEN vec_id % 3 = 0 THEN chr(64 + CAST(list_position(embedding[1:4], list_max(embedding[1:4])) AS INT))
-         WHEN vec_id % 3 = 1 THEN 'resp ' || CAST(label AS VARCHAR) ELSE '?' END AS raw_prediction,
-       CASE WHEN vec_id % 3 = 1 THEN CAST(label AS VARCHAR) END AS filtered_prediction,
+         WHEN vec_id % 3 = 1 THEN 'resp ' || CAST(label AS VARCHAR) ELSE replace(printf('%.4f', CAST(embedding[1] AS DOUBLE)), '-0.0000', '0.0000') END AS raw_prediction,
+       CASE WHEN vec_id % 3 = 1 THEN CAST(label AS VARCHAR) WHEN vec_id % 3 = 0 THEN array_to_string(
+         list_transform(embedding[1:4], lambda x: replace(printf('%.4f', CAST(x AS DOUBLE)), '-0.0000', '0.0000')), ',') END AS filtered_prediction,
        label % 2 AS acc FROM embeddings""",
 )
 def _(spark, sf):
@@ -297,14 +298,16 @@ def _(spark, sf):
         (F.col("label") % 2).alias("acc"),
     )
     out = report.sample_report(rows, ["acc"])
-    # likelihood text differs between engines in the last digits
-    other = F.col("output_type") == "loglikelihood"
-    return out.withColumns(
-        {
-            "raw_prediction": F.when(other, "?").otherwise(F.col("raw_prediction")),
-            "filtered_prediction": F.when(F.col("output_type") == "generate_until", F.col("filtered_prediction")),
-        }
-    )
+    # likelihoods are compared with four decimals, since their texts end differently
+    kind = F.col("output_type")
+
+    def four(text):
+        return F.replace(F.format_string("%.4f", text.cast("double")), F.lit("-0.0000"), F.lit("0.0000"))
+
+    listed = F.array_join(F.transform(F.split("filtered_prediction", ","), four), ",")
+    raw = F.when(kind == "loglikelihood", four(F.col("raw_prediction"))).otherwise(F.col("raw_prediction"))
+    filtered = F.when(kind == "multiple_choice", listed).otherwise(F.col("filtered_prediction"))
+    return out.withColumns({"raw_prediction": raw, "filtered_prediction": filtered})
 
 
 @query(
