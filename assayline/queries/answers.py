@@ -300,6 +300,29 @@ def _(spark, sf):
     return wide.select("o_orderkey", *[X.phrase_answer(F.col(n), n).alias(n) for n in said])
 
 
+@query(
+    "f16_phrases_in_texts",
+    """WITH t AS (SELECT doc_id, n_chars, replace(text, chr(10), ' ') AS line, text FROM documents),
+         s AS (SELECT doc_id, line || ' ' || n_chars || '.5 or -' || doc_id || ' Q: ' || n_chars AS shots,
+           'The answer is: ' || line || chr(10) || chr(10) || 'rest' AS para,
+           trim(regexp_replace(text, '^\\s+', '')) AS body FROM t)
+       SELECT doc_id, regexp_extract_all(split_part(shots, 'Q: ', 1), '-?\\d+\\.?\\d*')[-1] AS grade_school_shots,
+         coalesce(nullif(trim(replace(regexp_extract(para, 'The answer is:(.+)\\n\\n', 1), ',', '')), ''), '[invalid]') AS paragraph,
+         regexp_replace(split_part(body, chr(10), 1), '\\s+$', '') AS chinese_choice,
+         regexp_replace(body, '\\s+$', '') AS formal FROM s""",
+)
+def _(spark, sf):
+    line = F.translate("text", "\n", " ")
+    said = {
+        "grade_school_shots": F.concat(line, F.lit(" "), "n_chars", F.lit(".5 or -"), "doc_id", F.lit(" Q: "), "n_chars"),
+        "paragraph": F.concat(F.lit("The answer is: "), line, F.lit("\n\nrest")),
+        "chinese_choice": F.concat(F.lit("所以答案是"), "text", F.lit("\n问题 3")),
+        "formal": F.concat("text", F.lit("\nInformal: other words")),
+    }
+    wide = table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in said.items()])
+    return wide.select("doc_id", *[X.phrase_answer(F.col(n), n).alias(n) for n in said])
+
+
 @query(
     "f17_between",
     """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS inner_text, role || ' tail' AS rest, text AS bare FROM conversations""",
