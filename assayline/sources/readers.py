@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,73 +86,21 @@ def read_subject_csv(spark: SparkSession, path: str, columns: Sequence[str]) ->
     return rows.select("subject", *columns)
 
 
-CORPUS = "text string, meta string, file string"
-
-
-def _parse_corpus_line(line: str) -> tuple[str, str]:
-    record = json.loads(line)
-    if isinstance(record, str):
-        return record, "{}"
-    text = record["text"]
-    if isinstance(text, list):
-        text = "\n\n".join(text)
-    meta = record.get("meta", {})
-    if isinstance(meta, str):
-        return text, meta
-    return text, json.dumps(meta, separators=(",", ":"), ensure_ascii=False)
-
-
-def _corpus_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import io
-
-    import zstandard
-
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            name = path.rsplit("/", 1)[-1]
-            with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)) as raw:
-                lines = io.TextIOWrapper(raw, encoding="utf-8")
-                block: list[tuple[str, str, str]] = []
-                for line in lines:
-                    if line.strip():
-                        block.append((*_parse_corpus_line(line), name))
-                    if len(block) == 4096:
-                        yield pd.DataFrame(block, columns=["text", "meta", "file"])
-                        block = []
-                if block:
-                    yield pd.DataFrame(block, columns=["text", "meta", "file"])
-
-
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Corpus files of JSON lines, ``.zst`` compressed or plain: a line is a text or an
     object with ``text`` (a list is joined by blank lines) and optional ``meta`` (a text
-    as it is, anything else as JSON). A folder may hold both kinds of files.
+    as it is, anything else as JSON with sorted keys, ``{}`` if missing). A folder may hold
+    both kinds of files. Blank lines are left out; a line without text gives a null.
 
-    Compressed files are decompressed as streams inside the tasks; one file is one value,
-    so a compressed file may have up to 2 GiB.
+    Spark's text reader opens both kinds and decompresses as a stream, all frames of a file
+    one after the other, so a file may have any size. A compressed file is one task, as its
+    frames cannot be found without reading it; a plain one is split.
     """
-    files = spark.read.format("binaryFile").load(path)
-    packed = F.col("path").endswith(".zst")
-    kinds = files.select(packed.alias("packed")).distinct().collect()
-    parts = []
-    if any(k["packed"] for k in kinds):
-        raw = files.where(packed).select("path", "content")
-        parts.append(raw.mapInPandas(_corpus_files, CORPUS))
-    if not parts:
-        return _plain_corpus(spark, path)
-    if len(kinds) > 1:
-        rest = [r["path"] for r in files.where(~packed).select("path").collect()]
-        parts.append(_plain_corpus(spark, rest))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _plain_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
     row = F.parse_json("value")
     parts = F.try_variant_get(row, "$.text", "array<string>")
-    whole = F.coalesce(
-        F.try_variant_get(row, "$.text", "string"), F.try_variant_get(row, "$", "string")
-    )
+    bare = F.when(F.schema_of_variant(row) == "STRING", F.try_variant_get(row, "$", "string"))
+    whole = F.coalesce(F.try_variant_get(row, "$.text", "string"), bare)
     meta = F.try_variant_get(row, "$.meta", "string")
     return lines.select(
         F.coalesce(F.array_join(parts, "\n\n"), whole).alias("text"),

@@ -42,6 +42,22 @@ def test_read_corpus(spark, tmp_path, packed):
     assert {r["file"] for r in got} == {name.name}
 
 
+def test_read_corpus_frames_and_long_lines(spark, tmp_path):
+    """All frames of a file are read, a line may run over frames, and no line is too long."""
+    texts = [f"text {i} é" for i in range(500)] + ["x" * 20_000_000, "last"]
+    body = "\n".join(json.dumps({"text": t, "meta": {"b": 1, "a": None}}) for t in texts).encode()
+    cut = len(body) // 3
+    frames = [zstandard.compress(part) for part in (body[:cut], body[cut : 2 * cut], body[2 * cut :])]
+    (tmp_path / "many.jsonl.zst").write_bytes(b"".join(frames))
+    (tmp_path / "plain.jsonl").write_text('"alone"\n\n{"meta": "m"}\n')
+    (tmp_path / "empty.jsonl.zst").write_bytes(zstandard.compress(b""))
+    rows = readers.read_corpus(spark, str(tmp_path))
+    got = sorted((r["text"] or "", r["meta"], r["file"]) for r in rows.collect())
+    want = [(t, '{"a":null,"b":1}', "many.jsonl.zst") for t in texts]
+    assert got == sorted([*want, ("alone", "{}", "plain.jsonl"), ("", "m", "plain.jsonl")])
+    assert "Python" not in rows._jdf.queryExecution().toString()
+
+
 def test_keyed_and_combined_json(spark, tmp_path):
     for key in ("abc", "def"):
         (tmp_path / f"{key}.json").write_text(json.dumps({"grade": key.upper()}, indent=2))
