@@ -1,7 +1,10 @@
 """Token, n-gram, edit and instruction scores on documents and conversations."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from assayline import fixed_values as V
 from assayline.functions import checks as C
 from assayline.operators import aggregate as A
 from assayline.operators import text_scores as S
@@ -339,6 +342,72 @@ def _(spark, sf):
     )
 
 
+SPLIT = "string_split(text, chr(10))"
+STOPS = "|".join(re.escape(a) for a in V.ABBREVIATIONS)
+SENTENCES = f"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(replace(text, chr(10), ' '), '\\b({STOPS})\\.', '\\1' || chr(1), 'g'),
+      '([.!?]+["''”]?)(\\s|$)', '\\1' || chr(2), 'g'), chr(2)), lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '')"""
+WORDS = f"regexp_extract_all(lower(text), '{WORD}')"
+LISTED = "('* ' || replace(text, chr(10), chr(10) || '* '))"
+STARRED = "regexp_replace(text, '(?m)^(\\S+)', '*\\1*', 'g')"
+BLANK_LINES = "string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))"
+SHOUTED = "replace(text, ' the ', ' THE ')"
+HALVES = "list_transform(string_split(array_to_string(l[1:2], '******'), '******'), lambda p: trim(p, ' ' || chr(10)))"
+REPHRASED = "(string_split(l[1], ' ')[1] || ' *' || coalesce(string_split(l[1], ' ')[2], '') || '* end')"
+FULL_LINE = "The and attion to thanedble the, anea."
+
+
+def filled_sql(pattern: str) -> str:
+    return f"len(list_filter(regexp_extract_all({STARRED}, '{pattern}'), lambda h: trim(trim(h, '*')) <> ''))"
+
+
+# The responses are the texts in other forms; every expectation is counted from the texts.
+@query(
+    "g18_checks_forms",
+    f"""SELECT doc_id, len({SENTENCES}) >= 30 AS sentences, list_contains({SENTENCES}, '{FULL_LINE}') AS key_sentences,
+        len(list_filter(string_split({LISTED}, chr(10)), lambda b: regexp_matches(b, '^\\s*(\\*[^*]|\\*$|-)'))) = 9 AS bullets,
+        contains(text, 'tion of') OR contains(text, 'the en') AS constrained,
+        len(list_filter(l, lambda b: ltrim(b) LIKE 'The%')) > 0 AS starts,
+        {filled_sql('\\*[^\\n\\*]*\\*')} + {filled_sql('\\*\\*[^\\n\\*]*\\*\\*')} >= 10 AS highlights,
+        len(l) >= 10 AS sections, contains(text, chr(10) || 'T') OR regexp_matches(lower(text), 'p\\.\\s?s\\.') AS postscript,
+        NOT list_has_any({WORDS}, ['ou', 'scum']) AS forbidden,
+        len(list_filter({BLANK_LINES}, lambda b: trim(b) <> '')) = 9 AND lower(regexp_extract(trim({BLANK_LINES}[1]), '^[^.,?!''" ]*')) = 'the' AS first_word,
+        contains(text, 'the, ') AS title, regexp_matches(text, '^\\p{{Lu}}') AS upper_case,
+        len(list_filter(regexp_extract_all({SHOUTED}, '[\\p{{L}}\\p{{M}}\\p{{N}}_''-]+'), lambda w: upper(w) = w AND regexp_matches(w, '\\p{{Lu}}'))) >= 3 AS capitals,
+        text LIKE '%.' OR text LIKE '%"' AS quoted,
+        len({HALVES}) = 2 AND {HALVES}[1] <> '' AND {HALVES}[2] <> '' AND {HALVES}[1] <> {HALVES}[2] AS two_responses,
+        lower(text) LIKE 'the and%' AS repeats, regexp_replace({REPHRASED}, '\\*.*\\*', '', 'g') = 'The  end' AS rephrased_marks,
+        len(list_filter(['the', 'and', 'is', 'that', 'with'], lambda w: list_contains({WORDS}, w))) BETWEEN 3 AND 4 AS rephrased
+        FROM (SELECT doc_id, text, {SPLIT} AS l FROM documents)""",
+)
+def _(spark, sf):
+    t = F.col("text")
+    lines = F.split(t, "\n")
+    numbered = F.transform(lines, lambda x, i: F.concat(F.lit("Section "), (i + 1).cast("string"), F.lit(" "), x))
+    first = F.split(lines[0], " ")
+    marked = F.concat(first[0], F.lit(" *"), F.coalesce(F.get(first, F.lit(1)), F.lit("")), F.lit("* end"))
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        C.check_number_sentences(t, "at least", 30).alias("sentences"),
+        C.check_key_sentences(t, [FULL_LINE], 1).alias("key_sentences"),
+        C.check_number_bullets(F.concat(F.lit("* "), F.replace(t, F.lit("\n"), F.lit("\n* "))), 9).alias("bullets"),
+        C.check_constrained_response(t, ["tion of", "the en"]).alias("constrained"),
+        C.check_constrained_start(t, "The").alias("starts"),
+        C.check_number_highlights(F.regexp_replace(t, r"(?md)^(\S+)", r"*$1*"), 10).alias("highlights"),
+        C.check_number_sections(F.array_join(numbered, "\n"), "Section", 10).alias("sections"),
+        C.check_postscript(F.replace(t, F.lit("\nT"), F.lit("\nP. S. T")), "P.S.").alias("postscript"),
+        C.check_forbidden_words(t, ["ou", "scum"]).alias("forbidden"),
+        C.check_paragraph_first_word(F.replace(t, F.lit("\n"), F.lit("\n\n")), 9, 1, "The").alias("first_word"),
+        C.check_title(F.replace(t, F.lit("the, "), F.lit("<<the>> "))).alias("title"),
+        C.check_upper_case(F.left(t, F.lit(1))).alias("upper_case"),
+        C.check_capital_words(F.replace(t, F.lit(" the "), F.lit(" THE ")), "at least", 3).alias("capitals"),
+        C.check_quoted(F.concat(F.lit('"'), F.regexp_replace(t, r"\.\z", '."'))).alias("quoted"),
+        C.check_two_responses(F.array_join(F.slice(lines, 1, 2), "******")).alias("two_responses"),
+        C.check_repeat_prompt(t, "The and").alias("repeats"),
+        C.check_rephrased_marks(marked, "The *big* end").alias("rephrased_marks"),
+        C.check_rephrased_paragraph(t, "The and is that with", 3, 4).alias("rephrased"),
+    )
+
+
 RULES = [
     ("no_commas", {}),
     ("number_words", {"relation": "at least", "n": 50}),
