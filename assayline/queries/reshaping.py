@@ -570,6 +570,59 @@ def _(spark, sf):
     return out
 
 
+ASK = "chr(10) || 'What of the following is the right choice? Explain your answer.' || chr(10)"
+# first three lines of a text, each without outer blanks; null where there is none
+THREE = "(SELECT doc_id, trim(l[1]) AS a, trim(l[2]) AS b, trim(l[3]) AS c FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+
+
+@query(
+    "b28_to_messages_forms",
+    f"""WITH x AS {THREE},
+        o AS (SELECT *, 'A) ' || b || ' B) ' || c AS sat, left(b, 1) || ') ' || b AS odd FROM x)
+        SELECT doc_id, 'sat' AS fmt, a || {ASK} || '(' || replace(replace(s, ' B) ', ' (B) '), ' C) ', ' (C) ') AS ask, 'B' AS said, 'B' AS answer
+          FROM (SELECT *, CASE WHEN a LIKE 'T%' THEN sat ELSE odd END AS s FROM o) WHERE s LIKE 'A%'
+        UNION ALL SELECT doc_id, 'courseware', a, b, c FROM x WHERE c IS NOT NULL AND b IS NOT NULL
+        UNION ALL SELECT doc_id, 'chinese', a, '', replace(b, ',', '') FROM x WHERE b IS NOT NULL
+        UNION ALL SELECT doc_id, 'multilingual', NULL, NULL, replace(b, ',', '') FROM x WHERE b IS NOT NULL
+        UNION ALL SELECT doc_id, 'cloze', a, '', CAST(length(a) AS VARCHAR) || '|' || CAST(length(b) AS VARCHAR) FROM x WHERE b IS NOT NULL
+        UNION ALL SELECT doc_id, 'mathqa', a || chr(10) || '[''A: ' || b || chr(39) || ', ' || chr(39) || left(c, 1) || ': ' || c || chr(39) || ']', '', 'A' FROM x WHERE b IS NOT NULL AND left(c, 1) IN ('A', 'B', 'C', 'D')
+        UNION ALL SELECT doc_id, 'mathqa_shots', a || chr(10) || '从以下选项中选择:    ' || '(A)' || b || ' (B)' || c, '', 'A' FROM x WHERE b IS NOT NULL AND c IS NOT NULL
+        UNION ALL SELECT doc_id, 'formal', '(*### Problem' || chr(10) || chr(10) || a || chr(10) || chr(10) || '### Solution' || chr(10) || chr(10) || b || ' *)' || chr(10) || chr(10) || 'Formal:' || chr(10) || c,
+          '', 'placeholder' FROM x WHERE b IS NOT NULL AND c IS NOT NULL""",
+)
+def _(spark, sf):
+    lines = F.split("text", "\n")
+    docs = table(spark, sf, "documents").select("doc_id", *[F.get(lines, F.lit(i)).alias(n) for i, n in enumerate("abc")])
+    text = lambda *parts: F.concat(*[F.col(p) if p in "abc" else F.lit(p) for p in parts])
+    odd = F.concat(F.left(F.btrim("b"), F.lit(1)), F.lit(") "), F.btrim("b"))
+    size = lambda c, end: F.concat(F.length(F.btrim(c)).cast("string"), F.lit(end))
+    lettered = F.concat(F.lit("("), F.left(F.btrim("c"), F.lit(1)), F.lit(") "), F.col("c"))
+    known = F.col("b").isNotNull() & F.col("c").isNotNull()
+    sides = {"question": F.col("a"), "problem": F.col("a"), "solution": F.col("b")}
+    forms = {
+        "sat": {"options": F.when(F.btrim("a").startswith("T"), text(" A) ", "b", " B) ", "c")).otherwise(odd), "answer": F.lit("B")},
+        "courseware": {"answer": F.when(known, F.btrim("c"))},
+        "chinese": {"golden": F.col("b")},
+        "multilingual": {"answer": F.btrim("b"), "messages": F.lit(None).cast("array<struct<role:string,content:string>>")},
+        "cloze": {"answer": F.concat(size("a", ".00"), F.lit(" ; "), size("b", ".0"))},
+        "mathqa": {"options": F.array(text("(A)", "b"), lettered), "label": F.when(known, "A")},
+        "mathqa_shots": {
+            "question": text("a", "\\"),
+            "options": F.array(text("(A)", "b"), text(" (B)", "c")),
+            "label": F.when(known, "A"),
+        },
+        "formal": {n: F.col(c) for n, c in (("informal_statement", "a"), ("informal_proof", "b"), ("formal_statement", "c"))},
+    }
+    out = None
+    for fmt, columns in forms.items():
+        rows = B.to_messages(docs.where(known if fmt == "formal" else F.lit(True)).withColumns({**sides, **columns}), fmt)
+        answer = F.array_join("answer", "|") if fmt == "cloze" else F.col("answer")
+        said = [F.get("messages", F.lit(i))["content"].alias(n) for i, n in ((0, "ask"), (1, "said"))]
+        part = rows.select("doc_id", F.lit(fmt).alias("fmt"), *said, answer.alias("answer"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "b29_format_release",
     """SELECT p_partkey, p_brand AS subdomain, 'parts' AS source FROM part WHERE p_size % 3 <> 0""",
