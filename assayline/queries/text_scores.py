@@ -299,6 +299,29 @@ def _(spark, sf):
     return S.wer(turns(spark, sf), "pred", "ref", ["role"]).withColumn("wer", F.round("wer", 6))
 
 
+# Every line against the next line of its turn; the check fills the edit table row by row.
+LINE_PAIRS = f"""(SELECT row_number() OVER () AS id, role, {word_list('l[i]')} AS pw, {word_list('l[i + 1]')} AS rw
+    FROM (SELECT role, l, unnest(range(1, len(l))) AS i FROM (SELECT role, string_split(text, chr(10)) AS l FROM conversations)))"""
+
+
+@query(
+    "g24_wer_lines",
+    f"""WITH RECURSIVE p AS MATERIALIZED {LINE_PAIRS},
+        e AS (SELECT id, 0 AS i, range(0, len(rw) + 1) AS d FROM p
+          UNION ALL SELECT id, i, list_transform(range(1, len(t) + 1), lambda j: list_min(list_transform(t[1:j], lambda x, k: x + j - k))) FROM (
+            SELECT e.id, e.i + 1 AS i, list_concat([CAST(e.i + 1 AS BIGINT)], list_transform(range(1, len(rw) + 1),
+              lambda j: least(d[j + 1] + 1, d[j] + CAST(pw[e.i + 1] <> rw[j] AS BIGINT)))) AS t
+            FROM e JOIN p ON p.id = e.id WHERE e.i < len(pw)))
+        SELECT role, round(CAST(sum(d[len(d)]) AS DOUBLE) / sum(len(rw)), 6) AS wer FROM e JOIN p ON p.id = e.id WHERE i = len(pw) GROUP BY 1""",
+)
+def _(spark, sf):
+    lines = F.split("text", "\n")
+    later = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    pairs = F.transform(later, lambda r, i: F.struct(lines[i].alias("pred"), r.alias("ref")))
+    rows = table(spark, sf, "conversations").select("role", F.inline(pairs))
+    return S.wer(rows, "pred", "ref", ["role"]).withColumn("wer", F.round("wer", 6))
+
+
 CLEAN = "lower(trim(regexp_replace(regexp_replace({0}, '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g')))"
 ROUGE = "regexp_replace({0}, '[^a-z0-9]+', ' ', 'g')"
 
