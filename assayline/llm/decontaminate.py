@@ -9,11 +9,13 @@ a large benchmark makes more passes over a batch and not one larger broadcast.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm.common import materialize
@@ -140,49 +142,60 @@ class SuffixAutomaton:
         return spans, items
 
 
-def item_groups(
-    items: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES
-) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Items in groups of at most about ``group_bytes`` of text, read piece by piece.
+Group = tuple[str, Broadcast]
 
-    The test set is streamed to the driver, which never holds more than one group.
-    """
-    rows = items.select(F.struct(id_col, text_col).alias("row")).select(
-        F.col(f"row.`{id_col}`").cast("string"), F.col(f"row.`{text_col}`")
+
+def grouped_items(
+    items: DataFrame, id_col: str, text_col: str, group_bytes: int
+) -> tuple[DataFrame, int]:
+    """Distinct (name, text) rows with the number of their ``part``, and how many parts there
+    are: parts are dealt by a hash of the row, for about ``group_bytes`` of text in each."""
+    named = items.select(F.struct(id_col, text_col).alias("row")).select(
+        F.col(f"row.`{id_col}`").cast("string").alias("name"), F.col(f"row.`{text_col}`").alias("text")
     )
-    group, held = [], 0
-    for name, text in rows.toLocalIterator():
-        if not text:
-            continue
-        if held and held + len(text) > group_bytes:
-            yield group
-            group, held = [], 0
-        group.append((name, words_of(text)))
-        held += len(text)
-    if group:
-        yield group
+    named = named.where("text <> ''").distinct()
+    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-total // group_bytes)
+    rows = named.withColumn("part", F.pmod(F.xxhash64("name", "text", F.lit("part")), F.lit(max(parts, 1))))
+    if parts > 1:  # sorted, so that a pass reads little more than its own parts
+        rows = materialize(rows.repartitionByRange("part").sortWithinPartitions("part"), "items")
+    return rows, parts
 
 
-SPANS = "array<struct<first: int, last: int>>"
-RESULT = f"n_words long, hits {SPANS}, items array<string>"
+def sent_groups(rows: DataFrame, parts: range) -> list[Group]:
+    """The items of some parts as (key, broadcast), one for each part that has any."""
+    held: dict[int, list[tuple[str | None, str]]] = {}
+    for row in rows.where(F.col("part").between(parts.start, parts.stop - 1)).collect():
+        held.setdefault(row["part"], []).append((row["name"], row["text"]))
+    send = rows.sparkSession.sparkContext.broadcast
+    return [(uuid.uuid4().hex, send(held[part])) for part in sorted(held)]
+
 
+#: Automata of this worker by group key; those of groups no longer asked for are let go.
+_BUILT: dict[str, SuffixAutomaton] = {}
 
-def _automata(
-    spark: SparkSession, items: DataFrame, id_col: str, text_col: str, window: int, group_bytes: int
-) -> list:
-    """One broadcast per group; each has a size bound by ``group_bytes``."""
-    return [
-        spark.sparkContext.broadcast(group)
-        for group in item_groups(items, id_col, text_col, group_bytes)
-    ]
+
+def automata_of(groups: list[Group], window: int) -> list[SuffixAutomaton]:
+    """One automaton per group, built once in a worker and used by all its tasks."""
+    keys = {f"{key}:{window}": sent for key, sent in groups}
+    for old in _BUILT.keys() - keys.keys():
+        del _BUILT[old]
+    for key in keys.keys() - _BUILT.keys():
+        items = [(name, words_of(text)) for name, text in keys[key].value]
+        _BUILT[key] = SuffixAutomaton(items, window)
+    return [_BUILT[key] for key in keys]
+
+
+SPANS = "array<struct<first: int, last: int>>"
+RESULT = f"n_words long, hits {SPANS}, items array<string>"
 
 
-def item_hits(text: Column, groups: list, window: int) -> Column:
+def item_hits(text: Column, groups: list[Group], window: int) -> Column:
     """Struct (n_words, hits, items): merged word spans that windows cover, items found."""
 
     @F.arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automata = [SuffixAutomaton(g.value, window) for g in groups]
+        automata = automata_of(groups, window)
         kind = pa.struct(
             [
                 ("n_words", pa.int64()),
@@ -249,8 +262,10 @@ def scan_documents(
 ) -> DataFrame:
     """(row, found): the input row as a struct, and its words, hit spans and items.
 
-    With more than ``groups_at_once`` groups of items, every further pass gives one row for
-    each different text it hits, and these are looked up by a 128-bit hash of the text.
+    Items are dealt to groups of about ``group_bytes`` of text; a longer item is not divided.
+    The driver sends ``groups_at_once`` of them at a time and frees them once their pass is
+    stored; those of the first pass stay, as its rows are not stored here. Every further pass
+    gives one row for each different text it hits, looked up by a 128-bit hash of the text.
 
     Null and empty texts have no words and no hits, nor do items without words match
     anything. Items that share an id count as one, and so do all with a null id: they mark
@@ -258,21 +273,22 @@ def scan_documents(
     Spans are word numbers, end exclusive, merged. Very long texts are scanned in one
     pass; only runs of item words are walked. No rows: no rows, no items: no hits.
     """
-    spark = docs.sparkSession
-    groups = _automata(spark, items, item_id, item_text, window, group_bytes)
+    bench, parts = grouped_items(items, item_id, item_text, group_bytes)
+    passes = [range(at, at + groups_at_once) for at in range(0, max(parts, 1), groups_at_once)]
     packed = docs.select(F.struct("*").alias("row"))
     text = F.col(f"row.`{text_col}`")
-    passes = [
-        groups[at : at + groups_at_once] for at in range(0, len(groups), groups_at_once)
-    ] or [[]]
-    rows = packed.withColumn("found", item_hits(text, passes[0], window))
+    rows = packed.withColumn("found", item_hits(text, sent_groups(bench, passes[0]), window))
     if len(passes) == 1:
         return rows
     key = {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit("text"), text)}
     more = None
     for some in passes[1:]:
-        hit = packed.select(*[c.alias(k) for k, c in key.items()], item_hits(text, some, window).alias("f"))
+        groups = sent_groups(bench, some)
+        hit = packed.select(*[c.alias(k) for k, c in key.items()], item_hits(text, groups, window).alias("f"))
         hit = hit.where(F.size("f.hits") > 0).groupBy(*key).agg(F.first("f").alias("f"))
+        hit = materialize(hit, "pass-hits")
+        for _, sent in groups:  # the pass is stored, so nothing asks for them again
+            sent.destroy()
         more = hit if more is None else more.union(hit)
     # one entry a pass for each text
     more = more.groupBy(*key).agg(F.collect_list("f").alias("more"))

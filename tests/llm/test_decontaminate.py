@@ -69,6 +69,45 @@ def test_items_without_id_count_as_the_check_sql_counts(spark, group_bytes):
     assert {r.doc_id: r.n_hit for r in got} == {0: 4, 1: 5, 2: 0, 3: 0, 4: 3}
 
 
+def test_groups_are_bounded_and_sent_part_by_part(spark):
+    """Copies of an item count once, groups stay near their size, a part holds only its items."""
+    texts = random_texts(3, 300, 12) + ["a b c a b c"] * 200
+    items = [(i if i < 300 else 7, t) for i, t in enumerate(texts)] + [(None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, parts = D.grouped_items(bench, "item_id", "text", 400)
+    kept = {(str(i), t) for i, t in items if t}
+    assert {(r["name"], r["text"]) for r in rows.collect()} == kept and rows.count() == len(kept)
+    assert parts == -(-sum(len(t) for _, t in kept) // 400) > 3
+    sent = [group for at in range(0, parts, 2) for group in D.sent_groups(rows, range(at, at + 2))]
+    assert {item for _, group in sent for item in group.value} == kept
+    assert max(sum(len(t) for _, t in group.value) for _, group in sent) < 3 * 400
+    assert D.sent_groups(rows.limit(0), range(2)) == []
+
+
+def test_automata_are_built_once_and_let_go():
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    one, two = ("k1", Sent([("1", "a b c")])), ("k2", Sent([("2", "c d")]))
+    first = D.automata_of([one], 10)
+    assert D.automata_of([one, two], 10)[0] is first[0]
+    assert D.automata_of([one], 3)[0] is not first[0]  # another window
+    D.automata_of([two], 10)
+    assert list(D._BUILT) == ["k2:10"]
+
+
+def test_very_long_text_and_long_run_of_item_words(spark):
+    """A run of 200,000 item words, and one item at the end of a text of 400,000 others."""
+    run = " ".join(["a", "b"] * 100_000)
+    long = "z " * 400_000 + "a b a b a"
+    docs = spark.createDataFrame([(0, run), (1, long), (2, "z a b")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "a b a b a")], "item_id long, text string")
+    rows = D.scan_documents(docs, bench)
+    got = {r.doc: [tuple(h) for h in r.hits] for r in rows.select(F.col("row.doc_id").alias("doc"), "found.hits").collect()}
+    assert got == {0: [(0, 199_999)], 1: [(400_000, 400_005)], 2: []}
+
+
 def test_strip_spans(spark):
     bench = spark.createDataFrame([(1, "one two three four"), (2, None), (None, "five six")], "item_id long, text string")
     texts = ["Zero, ONE two; three four! End.", "five six", None, "one two three", "one two three four"]
