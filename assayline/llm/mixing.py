@@ -10,17 +10,16 @@ alone, and only ids and sizes are shuffled.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.llm.common import materialize
+from assayline.operators.scale import running_in_order
 
 #: Relative weight at even steps of training time, one list per source in turn.
 SHAPES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-CELL_ROWS = 2048
 
 
 def word_count(text: Column) -> Column:
@@ -76,32 +75,17 @@ def source_targets(
     )
 
 
-def _offsets(rows: DataFrame, n_rows: int) -> DataFrame:
+def _offsets(rows: DataFrame) -> DataFrame:
     """Add ``before``: sizes of the source's documents ahead in hash order.
 
-    Every source is cut into hash cells of about ``CELL_ROWS`` rows, however hot it is;
-    sums run inside a cell, and one row per cell carries the sums of the cells ahead.
+    The stored rows are range-partitioned on the whole order, so a part has an even share
+    of all rows, however hot a source or an id is, and only one row per source and part is
+    summed in order. Rows alike in everything are told apart by their place in the table.
     """
-    bits = max(0, math.ceil(math.log2(max(1, n_rows) / CELL_ROWS)))
-    high = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
-    celled = rows.withColumn("cell", F.shiftright(high, 32 - min(bits, 32)))
-    ahead = Window.partitionBy("source").orderBy("cell")
-    cells = (
-        celled.groupBy("source", "cell")
-        .agg(F.sum("size").alias("cell_size"))
-        .select(
-            F.col("source").alias("c_source"),
-            F.col("cell").alias("c_cell"),
-            (F.sum("cell_size").over(ahead) - F.col("cell_size")).alias("base"),
-        )
-    )
-    inside = Window.partitionBy("source", "cell").orderBy("order", "id", "tie")
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = celled.withColumn("upto", F.sum("size").over(inside))
-    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell"))
-    return local.join(cells, same).withColumn(
-        "before", F.col("base") + F.col("upto") - F.col("size")
-    )
+    place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    order = [F.col(c) for c in ("order", "id", "tie", "place")]
+    placed = running_in_order(rows.withColumn("place", place), ["source"], order, {"upto": F.col("size")})
+    return placed.withColumn("before", F.col("upto") - F.col("size"))
 
 
 def _time_of(share: Column, shape: Sequence[float]) -> Column:
@@ -158,11 +142,10 @@ def curriculum(
     )
     rows = materialize(rows, "sizes")
     targets = materialize(source_targets(rows, weights, max_repeat), "targets")
-    n_rows = targets.agg(F.sum("rows")).first()[0] or 0
     plan = targets.select(
         F.col("source").alias("t_source"), "rank", "source_size", "target"
     )
-    placed = _offsets(rows, n_rows).join(
+    placed = _offsets(rows).join(
         plan, F.col("source").eqNullSafe(F.col("t_source"))
     )
     passes = F.when(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.llm import mixing
+from assayline.llm.common import materialize
 from assayline.llm.queries import QUERIES
 from conftest import SF
 
@@ -88,12 +89,50 @@ def test_positions_follow_the_schedule(spark):
     assert np.abs(np.interp(got, grid, met / met[-1]) - shares).max() < 1e-3
 
 
-def test_cells_do_not_matter(spark, monkeypatch):
+def test_parts_do_not_matter(spark):
     rows = [(i, "w " * (i % 9), "ab"[i % 3 == 0]) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     one = sorted(map(str, mixing.curriculum(docs).collect()))
-    monkeypatch.setattr(mixing, "CELL_ROWS", 3)
-    assert sorted(map(str, mixing.curriculum(docs).collect())) == one
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted(map(str, mixing.curriculum(docs).collect())) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_rows_that_share_an_id_are_spread(spark):
+    """400 rows with a null id, 300 of them alike: spans meet end to end and the mix is whole."""
+    rows = [(None, "a b c", "x")] * 300 + [(None, "w " * (i % 7), "x") for i in range(100)]
+    rows += [(i, "d e", "y") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = materialize(
+        docs.select(
+            F.col("doc_id").alias("id"), "source", mixing.word_count(F.col("text")).alias("size"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"), F.xxhash64("text").alias("tie"),
+        ),
+        "sizes",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = mixing._offsets(sizes).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = {"x": [], "y": []}
+    for r in placed:
+        spans[r["source"]].append((r["before"], r["before"] + r["size"]))
+    for source, found in spans.items():
+        found = sorted(f for f in found if f[0] < f[1])
+        assert found[0][0] == 0 and all(a[1] == b[0] for a, b in zip(found, found[1:]))
+        assert found[-1][1] == sum(len(t.split()) for _, t, s in rows if s == source)
+    got = mixing.curriculum(docs).collect()
+    assert len(got) == 500
+    for source in "xy":
+        mine = [r for r in got if r.source == source]
+        assert 0 <= mine[0].target - sum(r.taken for r in mine) < 1
 
 
 def test_cases(spark):
