@@ -329,3 +329,52 @@ TRANSLATION_TOKENS = [
 CHRF_ORDER = 6
 CHRF_BETA = 2
 BLEU_ORDER = 4
+
+# Step-reward examples: head of the question, its end if nothing is written yet, lead of the
+# first output, text between question and written part.
+STEP_REWARD_PARTS = {
+    "v1": ("Question: ", "", "\n\nAnswer: ", "\n\nAnswer: "),
+    "v2": ("# Question\n\n", "\n\n# Solution", "\n\n", "\n\n# Solution\n\n"),
+    "v3": ("# Question\n\n", "\n\n# Solution\n\n", "", "\n\n# Solution\n\n"),
+}
+
+# Instruction texts with headings.
+QUESTION_HEAD = "# Question\n\n"
+SOLUTION_HEAD = "\n\n# Solution"
+STARTER_HEAD = "\n\n# Starter Code\n\n```python\n"
+STARTER_END = "\n```\n\n# Solution"
+PROGRAM_START = "\n\n```python\n"
+PROGRAM_END = "\n```\n"
+
+# Traces: where the question starts and ends, pattern between steps.
+TRACE_MARKS = {
+    "reserved": (
+        "user<|end_header_id|>\n\n",
+        "Put your answer on its own line after",
+        r"\n<\|reserved_special_token_[012]\|>\n",
+    ),
+    "steps": (
+        "<|im_start|>user\n",
+        "Put your answer on its own line after",
+        r"<\|im_start\|>step\d+\n",
+    ),
+    "steps_left": (
+        "<|im_start|>user\n",
+        "\n\nThink for up to",
+        r"<\|im_start\|>\d+ steps left\n",
+    ),
+}
+STEP_NUMBER = "Step "
+STEP_ANSWER = "The answer is: "
+RESERVED_END = "<|eot_id|>"
+RESERVED_ANSWER = "Answer:"
+STEP_TURN_ANSWER = "<|im_start|>answer\nAnswer: "
+NEXT_TURN = "\n<|im_start|>"
+
+# Benchmark rows as messages.
+CHOICE_ASK = "\nWhat of the following is the right choice? Explain your answer.\n"
+BOXED_START = "\nSo the answer is $\\boxed{"
+BOXED_END = "}$."
+SHOTS_ASK = "\n从以下选项中选择:    "
+FORMAL_TEXT = "(*### Problem\n\n{a}\n\n### Solution\n\n{b} *)\n\nFormal:\n{c}"
+FORMAL_ANSWER = "placeholder"

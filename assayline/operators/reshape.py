@@ -187,11 +187,7 @@ def render_prm(df: DataFrame, fmt: str) -> DataFrame:
     """
     c = F.col
     if fmt in ("v1", "v2", "v3"):
-        # fixed values: heads of the prompt and the text between prompt and output
-        head = {"v1": "Question: ", "v2": "# Question\n\n", "v3": "# Question\n\n"}[fmt]
-        fresh = {"v1": "", "v2": "\n\n# Solution", "v3": "\n\n# Solution\n\n"}[fmt]
-        lead = {"v1": "\n\nAnswer: ", "v2": "\n\n", "v3": ""}[fmt]
-        rest = {"v1": "\n\nAnswer: ", "v2": "\n\n# Solution\n\n", "v3": "\n\n# Solution\n\n"}[fmt]
+        head, fresh, lead, rest = V.STEP_REWARD_PARTS[fmt]
         start = c("output_prefix") == ""
         return df.withColumns(
             {
@@ -207,7 +203,7 @@ def render_prm(df: DataFrame, fmt: str) -> DataFrame:
         prefix = F.coalesce(c("output_prefix"), F.lit("")) if "output_prefix" in df.columns else F.lit("")
         return df.withColumns(
             {
-                "input": F.concat(F.lit("# Question\n\n"), c("input"), F.lit("\n\n# Solution\n\n"), prefix),
+                "input": F.concat(F.lit(V.QUESTION_HEAD), c("input"), F.lit(V.SOLUTION_HEAD + "\n\n"), prefix),
                 "output": F.array_join(pieces, V.LIST_SPLITTER),
                 "label": F.array_join(F.transform("label", lambda x: x.cast("string")), V.LIST_SPLITTER),
             }
@@ -246,7 +242,7 @@ def render_instruct(
     if fmt in ("steps", "steps_headed"):
         return render_prm(df, "v1" if fmt == "steps" else "v2")
     if fmt == "solution":
-        head = F.concat(F.lit("# Question\n\n"), c("query"), F.lit("\n\n# Solution"))
+        head = F.concat(F.lit(V.QUESTION_HEAD), c("query"), F.lit(V.SOLUTION_HEAD))
         return df.withColumns(
             {"input": head, "output": F.concat(F.lit("\n\n"), c("output")), "is_eos": F.lit(True)}
         )
@@ -256,12 +252,11 @@ def render_instruct(
         return df.withColumns(
             {
                 "input": F.concat(
-                    F.lit("# Question\n\n"), trim_space(c("question")),
-                    F.lit("\n\n# Starter Code\n\n```python\n"), trim_space(c("starter_code")),
-                    F.lit("\n```\n\n# Solution"),
+                    F.lit(V.QUESTION_HEAD), trim_space(c("question")),
+                    F.lit(V.STARTER_HEAD), trim_space(c("starter_code")), F.lit(V.STARTER_END),
                 ),
                 "output": F.concat(
-                    F.lit("\n\n```python\n"), trim_space(c("solutions")), F.lit("\n```\n")
+                    F.lit(V.PROGRAM_START), trim_space(c("solutions")), F.lit(V.PROGRAM_END)
                 ),
                 "is_eos": F.lit(True),
             }
@@ -287,25 +282,7 @@ def to_reward_format(col: Column, fmt: str) -> Column:
     step turns), ``steps_left`` (turns that count down). ``plain`` marks the ends of
     sentences and formulas in the solution instead.
     """
-    # fixed values: where the question starts and ends, and what separates steps
-    marks = {
-        "reserved": (
-            "user<|end_header_id|>\n\n",
-            "Put your answer on its own line after",
-            r"\n<\|reserved_special_token_[012]\|>\n",
-        ),
-        "steps": (
-            "<|im_start|>user\n",
-            "Put your answer on its own line after",
-            r"<\|im_start\|>step\d+\n",
-        ),
-        "steps_left": (
-            "<|im_start|>user\n",
-            "\n\nThink for up to",
-            r"<\|im_start\|>\d+ steps left\n",
-        ),
-    }
-    start, end, splitter = marks[fmt]
+    start, end, splitter = V.TRACE_MARKS[fmt]
     from_question = F.substring(col, F.locate(start, col) + len(start), F.length(col))
     question = trim_space(F.substring_index(from_question, end, 1))
     parts = F.split(col, splitter)
@@ -314,16 +291,17 @@ def to_reward_format(col: Column, fmt: str) -> Column:
 
     def body(step: Column, i: Column) -> Column:
         text = step
-        number = F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "))
-        said = F.concat(number, F.lit("The answer is: "))
+        number = F.concat(F.lit(V.STEP_NUMBER), (i + 1).cast("string"), F.lit(": "))
+        said = F.concat(number, F.lit(V.STEP_ANSWER))
         if fmt == "reserved":
-            closed = F.replace(F.replace(text, F.lit("<|eot_id|>"), F.lit("")), F.lit("Answer:"), said)
+            bare = F.replace(text, F.lit(V.RESERVED_END), F.lit(""))
+            closed = F.replace(bare, F.lit(V.RESERVED_ANSWER), said)
             text = F.when(i == count - 1, closed).otherwise(text)
         elif fmt == "steps":
-            closed = F.replace(text, F.lit("<|im_start|>answer\nAnswer: "), said)
+            closed = F.replace(text, F.lit(V.STEP_TURN_ANSWER), said)
             text = F.when(i == count - 1, closed).otherwise(text)
         else:
-            text = F.replace(text, F.lit("\n<|im_start|>"), F.lit(""))
+            text = F.replace(text, F.lit(V.NEXT_TURN), F.lit(""))
         return F.concat(number, trim_space(text), F.lit(V.STEP_MARK))
 
     joined = F.concat(question, F.array_join(F.transform(steps, body), " "))
@@ -616,11 +594,10 @@ def to_messages(df: DataFrame, fmt: str) -> DataFrame:
 
     c = F.col
     none = F.lit("")
-    ask = "\nWhat of the following is the right choice? Explain your answer.\n"
     question = trim_space(c("question")) if "question" in df.columns else None
     if fmt == "grade_school":
         calc = F.regexp_replace("cot", "<<[^<>]*>>", "")
-        said = F.concat(calc, F.lit("\nSo the answer is $\\boxed{"), trim_space(c("answer")), F.lit("}$."))
+        said = F.concat(calc, F.lit(V.BOXED_START), trim_space(c("answer")), F.lit(V.BOXED_END))
         chat, gold = messages(c("question"), said), F.replace(c("answer"), F.lit(","), none)
     elif fmt == "math":
         steps = F.regexp_replace("solution", r"(?<=\.) (?=[A-Z])", "\n")
@@ -631,7 +608,7 @@ def to_messages(df: DataFrame, fmt: str) -> DataFrame:
         for letter in "BCDEFG":
             options = F.replace(options, F.lit(f" {letter}) "), F.lit(f" ({letter}) "))
         starts = F.when(trim_space(c("options")).startswith("A"), c("answer"))
-        chat = messages(F.concat(question, F.lit(ask), trim_space(options)), c("answer"))
+        chat = messages(F.concat(question, F.lit(V.CHOICE_ASK), trim_space(options)), c("answer"))
         gold = starts
     elif fmt == "courseware":
         chat = messages(trim_space(c("problem")), trim_space(c("solution")))
@@ -639,7 +616,7 @@ def to_messages(df: DataFrame, fmt: str) -> DataFrame:
     elif fmt == "stem":
         line = lambda x, i: F.concat(F.lit("("), letter_at(i), F.lit(") "), trim_space(x))
         listed = F.array_join(F.transform("options", line), ", ")
-        chat, gold = messages(F.concat(question, F.lit(ask), listed), c("answer")), c("answer")
+        chat, gold = messages(F.concat(question, F.lit(V.CHOICE_ASK), listed), c("answer")), c("answer")
     elif fmt == "multilingual":
         return df.withColumn("answer", F.replace(c("answer"), F.lit(","), none)).dropna(
             subset=["answer"]
@@ -662,18 +639,18 @@ def to_messages(df: DataFrame, fmt: str) -> DataFrame:
     elif fmt == "mathqa_shots":
         listed = F.array_join(F.transform("options", trim_space), " ")
         stem = F.regexp_replace(question, r"\\+$", "")
-        chat = messages(F.concat(stem, F.lit("\n从以下选项中选择:    "), listed), none)
+        chat = messages(F.concat(stem, F.lit(V.SHOTS_ASK), listed), none)
         gold = c("label")
     elif fmt == "formal":
         text = render(
-            "(*### Problem\n\n{a}\n\n### Solution\n\n{b} *)\n\nFormal:\n{c}",
+            V.FORMAL_TEXT,
             {
                 "a": trim_space(c("informal_statement")),
                 "b": trim_space(c("informal_proof")),
                 "c": trim_space(c("formal_statement")),
             },
         )
-        chat, gold = messages(text, none), F.lit("placeholder")
+        chat, gold = messages(text, none), F.lit(V.FORMAL_ANSWER)
     else:
         raise ValueError(f"unknown benchmark format: {fmt}")
     return df.withColumns({"messages": chat, "_gold": gold}).withColumn(

@@ -669,6 +669,14 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(c, r) for r, c in pairs] if flip else pairs
 
 
+def bag_f1(one: set[str], two: set[str]) -> float:
+    """Harmonic mean of the shared part of either bag; two empty bags agree."""
+    if not one & two:
+        return float(not one and not two)
+    a, b = (len(one & two) / len(bag) for bag in (one, two))
+    return 2 * a * b / (a + b)
+
+
 def span_scores(pred: Sequence[str], gold: Sequence[str]) -> tuple[float, float]:
     """Exact match and F1 of two lists of spans with the best alignment."""
     p, g = [_span_words(s) for s in pred], [_span_words(s) for s in gold]
@@ -680,11 +688,7 @@ def span_scores(pred: Sequence[str], gold: Sequence[str]) -> tuple[float, float]
         for j, pw in enumerate(map(set, p)):
             if numbers and not numbers & pw:
                 continue
-            same = len(gw & pw)
-            precision = same / len(pw) if pw else 1.0
-            recall = same / len(gw) if gw else 1.0
-            if precision + recall:
-                gain[i, j] = 2 * precision * recall / (precision + recall)
+            gain[i, j] = bag_f1(pw, gw)
     total = sum(gain[i, j] for i, j in best_assignment(gain)) if gain.size else 0.0
     return float(exact), round(total / max(len(p), len(g), 1), 2)
 
