@@ -214,6 +214,35 @@ def translation_sql(col: str) -> str:
     return word_list(f"({out})")
 
 
+# the same references with the words of the translation tokenizer
+BLEU_REFS = f"""(SELECT conv_id, turn * 10 + k AS turn, {PRED} AS p, ref AS r FROM (SELECT *,
+      unnest([CASE WHEN text LIKE '%.' THEN text ELSE text || '.' END, 'I have no comment.', role || '.',
+        CASE WHEN reverse(text) LIKE '%.' THEN reverse(text) ELSE reverse(text) || '.' END]) AS ref, unnest([0, 1, 2, 3]) AS k
+      FROM (SELECT * REPLACE (trim(text, ' ' || chr(10)) AS text) FROM conversations)))"""
+FOUR = (1, 2, 3, 4)
+ZEROS = {k: " + ".join(f"CAST(m{i} = 0 AS INT)" for i in FOUR[:k]) for k in FOUR}
+SMOOTH = " + ".join(f"ln(CASE WHEN m{k} = 0 THEN 1 / (pow(2.0, {ZEROS[k]}) * p{k}) ELSE m{k} / p{k} END)" for k in FOUR)
+
+
+@query(
+    "g13_bleu_refs",
+    f"""WITH x AS (SELECT conv_id, turn, {translation_sql('p')} AS pw, {translation_sql('r')} AS rw FROM {BLEU_REFS}),
+        g AS ({GRAM_UNION}), c AS (SELECT conv_id, turn, k, g, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'r') AS r FROM g GROUP BY ALL),
+        s AS (SELECT conv_id, turn, {", ".join(f"CAST(coalesce(sum(least(p, r)) FILTER (k = {k}), 0) AS DOUBLE) AS m{k}, CAST(coalesce(sum(p) FILTER (k = {k}), 0) AS DOUBLE) AS p{k}" for k in FOUR)},
+          CAST(coalesce(sum(r) FILTER (k = 1), 0) AS DOUBLE) AS r1 FROM c GROUP BY 1, 2),
+        b AS (SELECT conv_id, turn // 10 AS turn, turn % 10 AS no,
+          CASE WHEN m1 = 0 OR p4 = 0 THEN 0.0 ELSE 100 * CASE WHEN p1 < r1 THEN exp(1 - r1 / p1) ELSE 1.0 END * exp(({SMOOTH}) / 4) END AS f FROM s)
+        SELECT conv_id, turn, round(max(f) FILTER (no < 2), 6) AS bleu_max, round(max(f) FILTER (no < 2) - max(f) FILTER (no >= 2), 6) AS bleu_diff,
+          CAST(max(f) FILTER (no < 2) > max(f) FILTER (no >= 2) AS INT) AS bleu_acc FROM b GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    rows = turns(spark, sf).withColumns(
+        {"true_refs": F.array("ref", F.lit(" ")), "false_refs": F.array("role", F.reverse(F.btrim("ref", F.lit(" \n"))))}
+    )
+    out = S.true_false_refs(rows, IDS, "pred", "true_refs", "false_refs", "bleu")
+    return out.withColumns({c: F.round(c, 6) for c in ("bleu_max", "bleu_diff")})
+
+
 def corpus_sums(orders) -> str:
     union = " UNION ALL ".join(gram_counts(s, t, k) for k in orders for s, t in (("p", "pw"), ("r", "rw")))
     sums = ", ".join(

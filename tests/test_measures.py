@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import itertools
 import math
 import random
+import re
 import statistics
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -20,6 +23,7 @@ from assayline.functions.math_text import normalize_math
 from assayline.operators import aggregate as A
 from assayline.operators import statistics as ST
 from assayline.operators import text_scores as TS
+from conftest import SF
 
 
 def one(spark, expr, **values):
@@ -467,3 +471,43 @@ def test_long_texts_are_compared_in_time():
     rng.shuffle(shuffled)
     assert 250 < TS.shifted_edits(shuffled, [str(i) for i in range(300)]) < 300
     assert time.time() - start < 20
+
+
+def plain_summary_hits(pred, ref):
+    """Whole table and walk back, one pair of sentences after the other."""
+    left, hits = Counter(w for s in pred for w in s), 0
+    for x in ref:
+        places = set()
+        for y in pred:
+            n = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for i, j in itertools.product(range(len(x)), range(len(y))):
+                n[i + 1][j + 1] = n[i][j] + 1 if x[i] == y[j] else max(n[i][j + 1], n[i + 1][j])
+            i, j = len(x), len(y)
+            while i and j:
+                if x[i - 1] == y[j - 1]:
+                    places.add(i - 1)
+                    i, j = i - 1, j - 1
+                elif n[i][j - 1] > n[i - 1][j]:
+                    j -= 1
+                else:
+                    i -= 1
+        for i in sorted(places):
+            if left[x[i]]:
+                left[x[i]] -= 1
+                hits += 1
+    return hits
+
+
+def test_summary_rouge_l_of_all_turns(spark):
+    """Every turn, its lines in reverse order as prediction, against the plain version."""
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select(
+        "conv_id", "turn", F.col("text").alias("r"), F.array_join(F.reverse(F.split("text", "\n")), "\n").alias("p")
+    )
+    got = {(r["conv_id"], r["turn"]): r["rougeL"] for r in TS.rouge_l_sum(rows, ["conv_id", "turn"], "p", "r").collect()}
+    split = lambda t: [w for w in (re.sub("[^a-z0-9]+", " ", s.lower()).split() for s in t.replace(" . ", ".\n").split("\n")) if w]
+    for row in rows.collect():
+        p, r = split(row["p"]), split(row["r"])
+        size = sum(map(len, p)) + sum(map(len, r))
+        want = 2 * plain_summary_hits(p, r) / size if size else 0.0
+        assert abs(got.pop((row["conv_id"], row["turn"])) - want) < 1e-12
+    assert not got
