@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,16 +72,39 @@ SPANS = T.ArrayType(
 )
 
 
-@F.pandas_udf(SPANS)
-def word_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Words with first and last character position (inclusive) in the text."""
+#: Characters of text whose words a Python worker holds at a time; one text is never cut.
+SPAN_CHARS = 1 << 19
+
+
+@F.arrow_udf(SPANS)
+def word_spans(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Words with first and last character position (inclusive) in the text.
+
+    A batch of texts is answered in slices of about ``SPAN_CHARS`` characters, so memory
+    does not grow with the rows of a batch.
+    """
     find = re.compile(r"\S+").finditer
+
+    def answer(ends: list, words: list, starts: array, stops: array, null: list) -> pa.Array:
+        cols = [pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+        spans = pa.StructArray.from_arrays(cols, ["word", "start", "stop"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans, mask=pa.array(null, pa.bool_()))
+
     for batch in texts:
-        yield batch.map(
-            lambda text: None
-            if text is None
-            else [
-                {"word": m.group(), "start": m.start(), "stop": m.end() - 1}
-                for m in find(text)
-            ]
-        )
+        held = 0
+        ends, words, starts, stops, null = [0], [], array("i"), array("i"), []
+        for value in batch:
+            text = value.as_py()
+            for m in find(text or ""):
+                words.append(m.group())
+                starts.append(m.start())
+                stops.append(m.end() - 1)
+            ends.append(len(words))
+            null.append(text is None)
+            held += len(text or "")
+            if held >= SPAN_CHARS:
+                yield answer(ends, words, starts, stops, null)
+                held = 0
+                ends, words, starts, stops, null = [0], [], array("i"), array("i"), []
+        if null:
+            yield answer(ends, words, starts, stops, null)

@@ -142,3 +142,16 @@ def test_rolling_windows_predict_each_token_once(spark, max_len, ctx):
 def test_prepare_pair(spark):
     df = spark.createDataFrame([("It ca n't be .", "Yes ( it can )"), ("", "x"), (None, "x")], "a string, b string")
     assert [tuple(r) for r in B.prepare_pair(df, "a", "b").collect()] == [("It can't be", "yes (it can)")]
+
+
+def test_word_spans_of_a_batch_come_in_slices():
+    import pyarrow as pa
+
+    texts = ["ab  cd", None, "", "x " * T.SPAN_CHARS, " y", None]
+    got = list(T.word_spans.func(iter([pa.array(texts)])))
+    assert [len(part) for part in got] == [4, 2]
+    want = [
+        None if t is None else [{"word": m.group(), "start": m.start(), "stop": m.end() - 1} for m in re.finditer(r"\S+", t)]
+        for t in texts
+    ]
+    assert [spans for part in got for spans in part.to_pylist()] == want
