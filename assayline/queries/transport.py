@@ -413,9 +413,8 @@ def _(spark, sf):
 @query("m1_stream_intake", "SELECT DISTINCT text FROM documents")
 def _(spark, sf):
     schema = table(spark, sf, "documents").schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    )
+    # a pattern, so that a single file and a folder of part files are both streamed
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/documents[.]parquet")
     out, mark = scratch_path(spark, "intake"), scratch_path(spark, "intake-checkpoint")
     I.intake(stream, out, ["text"], mark).awaitTermination()
     return spark.read.parquet(out).select("text")

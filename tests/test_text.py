@@ -155,3 +155,14 @@ def test_word_spans_of_a_batch_come_in_slices():
         for t in texts
     ]
     assert [spans for part in got for spans in part.to_pylist()] == want
+
+
+def test_intake_streams_a_folder_of_part_files(spark, tmp_path):
+    from assayline.queries import QUERIES, load_all
+
+    load_all()
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string").withColumn("doc_id", F.monotonically_increasing_id())
+    rows.repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["m1_stream_intake"](spark, str(tmp_path)).collect()
+    assert sorted(str(r["text"]) for r in got) == ["None", "a", "b"]
