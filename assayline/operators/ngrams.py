@@ -36,6 +36,17 @@ from assayline.operators.scale import (
 )
 from assayline.session import materialize
 
+#: Text of one task whose grams are sorted or grouped.
+PART_BYTES = 8 << 20
+#: Index files: a column of a file is one page, so that zstd sees the grams that overlap.
+INDEX_FILES = {
+    "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "6",
+    "parquet.page.size": str(64 << 20),
+    "parquet.page.row.count.limit": str(1 << 22),
+    "parquet.enable.dictionary": "false",
+}
+
 
 def ngram_rows(
     df: DataFrame,
@@ -52,6 +63,13 @@ def ngram_rows(
     return df.select(*ids, F.explode(found).alias("ngram"))
 
 
+def in_parts(df: DataFrame, text: str) -> DataFrame:
+    """Rows dealt to tasks of about ``PART_BYTES`` bytes of text, which is moved once: the grams of
+    a task, several times its text, can then be sorted or grouped in memory."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.repartition(max(1, -(-total // PART_BYTES)))
+
+
 def ngram_index(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """Inverted index as a long table of distinct ``(ngram, doc_id)``. Repeats inside a text
     merge in the row; only texts that share an id (null is one) are compared by a shuffle."""
@@ -343,19 +361,20 @@ def write_ngram_index(
     n: int = CORPUS_NGRAM,
     buckets: int = CORPUS_BUCKETS,
 ) -> None:
-    """Corpus index in hash buckets, sorted inside a bucket, zstd Parquet.
+    """Corpus index in hash buckets, sorted inside a file of a bucket, zstd Parquet.
 
-    Rows are rebalanced by bucket: adaptive execution splits a bucket that a very
-    frequent gram has blown up over several tasks and merges small ones, so files have
-    an even size and each is sorted. The grams are computed once.
+    The texts are dealt to tasks of even size and each task writes one sorted file for every
+    bucket, so the grams, many times the texts, are neither shuffled nor spilled, and a very
+    frequent gram is spread over the tasks. The grams are computed once.
     """
     order = ["bucket", "ngram", doc_id]
-    rows = ngram_rows(df, [doc_id], text, n, normalize_spaced, distinct=False).withColumn(
+    dealt = in_parts(df.select(doc_id, text), text)
+    rows = ngram_rows(dealt, [doc_id], text, n, normalize_spaced, distinct=False).withColumn(
         "bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int")
     )
-    rows.hint("rebalance", "bucket").sortWithinPartitions(*order).write.partitionBy(
-        "bucket"
-    ).option("compression", "zstd").parquet(path)
+    rows.sortWithinPartitions(*order).write.partitionBy("bucket").options(
+        **INDEX_FILES
+    ).parquet(path)
 
 
 def frequent_ngrams(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -166,3 +167,27 @@ def test_intake_streams_a_folder_of_part_files(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "labels.parquet"))
     got = QUERIES["m1_stream_intake"](spark, str(tmp_path)).collect()
     assert sorted(str(r["text"]) for r in got) == ["None", "a", "b"]
+
+
+REPEATING = [(1, "a b a b a b"), (2, "a b c"), (2, "b a b A"), (None, "a b"), (None, "a b a"), (3, "a"), (4, None), (5, "")]
+
+
+def naive_grams(text, n):
+    w = (text or "").lower().split()
+    return [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+
+def test_index_files_are_written_without_a_shuffle_of_grams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "PART_BYTES", 40)
+    path = str(tmp_path / "index")
+    N.write_ngram_index(frame(spark, ["a b c d e f g h"] * 12), path, "id", "text", 3, buckets=2)
+    rows = spark.read.parquet(path)
+    assert sorted((r["id"], r["ngram"]) for r in rows.collect()) == sorted(
+        (i, g) for i in range(12) for g in naive_grams("a b c d e f g h", 3)
+    )
+    files = defaultdict(list)
+    for r in rows.select("*", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).collect():
+        files[r["f"]].append((r["i"], r["ngram"], r["id"]))
+    assert all([x[1:] for x in sorted(f)] == sorted(x[1:] for x in f) for f in files.values())
+    # every task writes its own file of a bucket: a gram that all texts hold is spread
+    assert len({f for f, held in files.items() if any(x[1] == "a b c" for x in held)}) > 1
