@@ -70,6 +70,52 @@ def in_parts(df: DataFrame, text: str) -> DataFrame:
     return df.repartition(max(1, -(-total // PART_BYTES)))
 
 
+def _row_counts(found: Column) -> Column:
+    """Array of (ngram, n): the distinct values of an array of texts and how often each is
+    in it. The array is sorted once; equal values are neighbours."""
+    last = F.lit(-1)
+
+    def runs(a: Column) -> Column:
+        is_first = lambda i: (i == 0) | (F.get(a, i) != F.get(a, i + last))
+        at = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        starts = F.array(F.filter(at, is_first))
+
+        def counted(s: Column) -> Column:
+            return F.transform(
+                s,
+                lambda p, k: F.struct(
+                    F.get(a, p).alias("ngram"),
+                    (F.coalesce(F.get(s, k + 1), F.size(a)) - p).cast("long").alias("n"),
+                ),
+            )
+
+        # lambdas over arrays of one element: the value is computed once, not for every use
+        return F.get(F.transform(starts, counted), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(found)), runs), F.lit(0))
+
+
+def ngram_counts(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
+    """Rows ``(doc_id, ngram, n)``: how often a gram is in the texts of an id. Counted inside
+    the row; only texts that share an id (null is one) are added up by a shuffle."""
+    shared = df.groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_k0"))
+    shared = materialize(shared, "shared-ids")
+
+    def counted(part: DataFrame) -> DataFrame:
+        found = _row_counts(grams(normalize(F.col(text)), n))
+        return part.select(doc_id, F.inline(found))
+
+    if shared.isEmpty():
+        return counted(df)
+    shared = broadcast_if_small(shared)
+    alone = df.join(shared, same([doc_id]), "left_anti")
+    rest = counted(df.join(shared, same([doc_id]), "left_semi"))
+    summed = rest.groupBy(doc_id, "ngram").agg(F.sum("n").alias("n"))
+    return counted(alone).unionAll(summed)
+
+
 def ngram_index(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """Inverted index as a long table of distinct ``(ngram, doc_id)``. Repeats inside a text
     merge in the row; only texts that share an id (null is one) are compared by a shuffle."""

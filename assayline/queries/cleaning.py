@@ -26,8 +26,7 @@ def _(spark, sf):
     f"SELECT doc_id, ngram, count(*) AS n FROM ({grams('documents', 'doc_id', 13)}) GROUP BY ALL",
 )
 def _(spark, sf):
-    rows = N.ngram_rows(texts(spark, sf), ["doc_id"], "text", 13, distinct=False)
-    return rows.groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("n"))
+    return N.ngram_counts(texts(spark, sf), "doc_id", "text", 13)
 
 
 @query("c3_ngram_index", f"SELECT DISTINCT ngram, doc_id FROM ({DOC8})")

@@ -177,6 +177,16 @@ def naive_grams(text, n):
     return [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
 
 
+def test_gram_counts_are_made_inside_the_row(spark):
+    df = spark.createDataFrame(REPEATING, "id long, text string")
+    want = Counter((i, g) for i, t in REPEATING for g in naive_grams(t, 2))
+    got = N.ngram_counts(df, "id", "text", 2).collect()
+    assert {(r["id"], r["ngram"]): r["n"] for r in got} == want and len(got) == len(want)
+    alone = N.ngram_counts(df.where("id IN (1, 3, 4, 5)"), "id", "text", 2)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert {r["ngram"]: r["n"] for r in alone.collect()} == {"a b": 3, "b a": 2}
+
+
 def test_index_files_are_written_without_a_shuffle_of_grams(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(N, "PART_BYTES", 40)
     path = str(tmp_path / "index")
