@@ -427,8 +427,16 @@ def frequent_ngrams(
     index: DataFrame, doc_id: str, min_docs: int = FREQUENT_DOCS
 ) -> DataFrame:
     """Grams found in more than ``min_docs`` documents, with that number. ``index`` has a
-    gram once per document, so a plain count with partial sums is enough."""
-    counted = index.groupBy("ngram").agg(F.count(doc_id).alias("docs"))
+    gram once per document, so a plain count with partial sums is enough.
+
+    A first pass counts 64-bit hashes, which can only find too many; the grams whose hash is
+    frequent are then counted as text, and only these are shuffled as text.
+    """
+    per_hash = index.select(F.xxhash64("ngram").alias("_g"), doc_id).groupBy("_g")
+    often = per_hash.agg(F.count(doc_id).alias("docs")).where(F.col("docs") > min_docs)
+    often = materialize(often.select("_g"), "frequent")
+    told = index.withColumn("_g", F.xxhash64("ngram"))
+    counted = keep_known(told, often, "_g").groupBy("ngram").agg(F.count(doc_id).alias("docs"))
     return counted.where(F.col("docs") > min_docs)
 
 

@@ -184,7 +184,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # one row per document: repeats merge inside the text, so one shuffle counts the grams
-    rows = N.ngram_rows(texts(spark, sf), ["doc_id"], "text", 8)
+    rows = N.ngram_rows(N.in_parts(texts(spark, sf).select("doc_id", "text"), "text"), ["doc_id"], "text", 8)
     return N.frequent_ngrams(rows, "doc_id")
 
 

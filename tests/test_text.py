@@ -201,3 +201,12 @@ def test_index_files_are_written_without_a_shuffle_of_grams(spark, tmp_path, mon
     assert all([x[1:] for x in sorted(f)] == sorted(x[1:] for x in f) for f in files.values())
     # every task writes its own file of a bucket: a gram that all texts hold is spread
     assert len({f for f, held in files.items() if any(x[1] == "a b c" for x in held)}) > 1
+
+
+def test_only_frequent_grams_are_shuffled_as_text(spark):
+    rows = [(i, f"w{i} common words here") for i in range(5)] + [(None, "common words here")]
+    index = N.ngram_rows(spark.createDataFrame(rows, "id long, text string"), ["id"], "text", 2)
+    got = N.frequent_ngrams(index, "id", 4)
+    assert {r["ngram"]: r["docs"] for r in got.collect()} == {"common words": 5, "words here": 5}
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert N.frequent_ngrams(index, "id", 5).count() == 0
