@@ -475,12 +475,11 @@ def overlap_stats(
     of which a task sends one row each; the evaluation grams are compared as text."""
     wanted = ngram_rows(tasks, [], text, n, normalize_spaced)
     found = matching_grams(index, wanted).agg(F.count(F.lit(1)).alias("matching"))
-    per_gram = index.groupBy(
+    codes = index.select(
         F.xxhash64("ngram").alias("_a"), F.xxhash64("ngram", F.lit(1)).alias("_b")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    counts = per_gram.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.count(F.lit(1)).alias("distinct_grams"),
+    )
+    counts = index.agg(F.count(F.lit(1)).alias("total")).join(
+        F.broadcast(codes.distinct().agg(F.count(F.lit(1)).alias("distinct_grams")))
     )
     return counts.join(F.broadcast(found)).withColumn(
         "non_matching", F.col("distinct_grams") - F.col("matching")

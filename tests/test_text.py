@@ -210,3 +210,13 @@ def test_only_frequent_grams_are_shuffled_as_text(spark):
     assert {r["ngram"]: r["docs"] for r in got.collect()} == {"common words": 5, "words here": 5}
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
     assert N.frequent_ngrams(index, "id", 5).count() == 0
+
+
+def test_overlap_counts_grams_once(spark):
+    index = N.ngram_rows(frame(spark, ["a b c a b c", "a b x"]), ["id"], "text", 2, distinct=False)
+    got = N.overlap_stats(index, frame(spark, ["a b", "q r"]), "text", 2).collect()
+    assert [tuple(r) for r in got] == [(7, 4, 1, 3)]
+    plan = N.overlap_stats(index, frame(spark, ["a b", "q r"]), "text", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1) AS n" not in plan  # a hash is sent without a number beside it
+    empty = N.overlap_stats(index.where("id < 0"), frame(spark, ["a b"]), "text", 2).collect()
+    assert [tuple(r) for r in empty] == [(0, 0, 0, 0)]
