@@ -3,9 +3,8 @@
 The base patterns always stand. Loose generators propose further spans (spelled-out
 mail signs, numbers in odd groups); trees over format and context score them, and a
 threshold for each kind, calibrated on a held-out fold, decides. As the base patterns stand
-anyway, the trees learn only from candidates that no base span overlaps: base spans of a
-bounded sample of documents, rewritten in place into forms the patterns do not know, are
-the positives; plain numbers and words are the negatives. Other candidates are unlabelled
+anyway, the trees learn only from candidates that no base span overlaps: the base spans of all
+documents, rewritten in place into forms the patterns do not know, are the positives; plain numbers and words are the negatives. Other candidates are unlabelled
 and left out.
 """
 
@@ -22,18 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.boosting import Boosted
+from assayline.llm.boosting import TASKS, Boosted, tally
+from assayline.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Most documents and candidates that training looks at.
-SAMPLE_DOCS = 20_000
-SAMPLE_CANDIDATES = 20_000
 PRECISION = 0.98
-#: Most base spans and plain candidates a sampled document gives, and characters kept around a
-#: rewritten span.
-SPANS_PER_DOC = 32
-PLAIN_PER_DOC = 8
+#: Characters kept around a rewritten span.
 AROUND = 60
+#: Examples a Python worker sends at a time, and steps of a score among which a threshold is sought.
+SLICE = 2048
+STEPS = 1 << 16
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only start where a run of digits starts, which keeps long runs linear
@@ -274,90 +271,94 @@ def _is_plain(text: str, span: tuple[int, int, int]) -> bool:
     return s.isdigit() and not _like_card(s)
 
 
-def examples(text: str) -> list[tuple[list[float], int]]:
-    """(features, label) of candidates that no base span overlaps.
+def examples(text: str) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Slices of features and labels of candidates that no base span overlaps.
 
-    Every base span apart from others, of long lists ``SPANS_PER_DOC`` drawn ones, is
-    rewritten twice, and for each rewriting something plain is put at another place of the
-    text; draws depend on the text alone.
+    Every base span apart from others is rewritten twice, and for each rewriting something
+    plain is put at another place of the text; draws depend on the text alone.
     """
-    base, out = base_spans(text), []
+    base = base_spans(text)
     rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
 
-    def placed(start: int, new: str, end: int, kind: int, label: int) -> None:
+    def placed(start: int, new: str, end: int, kind: int, label: int) -> tuple[np.ndarray, list[int]]:
         # a sign apart from the span, without which words are not looked at
         left = text[max(0, start - AROUND) : start]
         right = text[end : end + AROUND] + " @" * (kind == 0)
         around, at = left + new + right, (len(left), kind, len(left) + len(new))
         fixed, own = Cover(base_spans(around)), Cover([at])
         found = [c for c in candidates(around) if own.meets(c) and not fixed.meets(c)]
-        good = [int(label and c[1] == kind) for c in found]
-        out.extend(zip(describe(around, found).tolist(), good))
+        return describe(around, found), [int(label and c[1] == kind) for c in found]
 
-    alone = apart(base)
-    if len(alone) > SPANS_PER_DOC:
-        alone = sorted(rng.sample(alone, SPANS_PER_DOC))
-    for start, kind, end in alone:
+    for start, kind, end in apart(base):
         for _ in range(2):
-            placed(start, altered(kind, text[start:end], rng), end, kind, 1)
+            yield placed(start, altered(kind, text[start:end], rng), end, kind, 1)
             spaces = [at for at in (rng.randrange(len(text)) for _ in range(8)) if text[at].isspace()]
             for at in [a for a in spaces if not CONTEXT.search(text[max(0, a - 30) : a])][:2]:
                 what = rng.choice((kind, 2))
-                placed(at + 1, plain(what, rng), at, what, 0)
+                yield placed(at + 1, plain(what, rng), at, what, 0)
     held = Cover(base)
     usual = [c for c in candidates(text) if not held.meets(c) and _is_plain(text, c)]
-    usual = rng.sample(usual, min(PLAIN_PER_DOC, len(usual)))
-    return out + [(x, 0) for x in describe(text, usual).tolist()]
+    for at in range(0, len(usual), SLICE):
+        part = usual[at : at + SLICE]
+        yield describe(text, part), [0] * len(part)
+
+
+def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Stored examples (x, y, held, n) of all texts: features as int16 bytes, label, whether
+    the text is in the fold not trained on, and how often the example stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["x", "y", "held"]
+        for batch in batches:
+            x, y, held = [], [], []
+            for value, fold in zip(batch.column(0), batch.column(1)):
+                text = value.as_py()
+                for found, good in examples(text) if text else ():
+                    x += [row.tobytes() for row in found.clip(-32768, 32767).astype("<i2")]
+                    y += good
+                    held += [fold.as_py()] * len(good)
+                    if len(y) >= SLICE:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.int32()), pa.array(held, pa.bool_())], names)
+                        x, y, held = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.int32()), pa.array(held, pa.bool_())], names)
+
+    fold = F.pmod(F.xxhash64(text_col, F.lit(13)), F.lit(3)) == 0
+    found = docs.select(F.col(text_col), fold).mapInArrow(run, "x binary, y int, held boolean")
+    merged = found.groupBy("x", "y", "held").agg(F.count(F.lit(1)).alias("n"))
+    tasks = min(TASKS, docs.sparkSession.sparkContext.defaultParallelism)
+    return materialize(merged.repartition(tasks), "examples", ["held"])
 
 
 def train(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    sample_docs: int = SAMPLE_DOCS,
-    sample_candidates: int = SAMPLE_CANDIDATES,
-    precision: float = PRECISION,
+    docs: DataFrame, text_col: str = "text", precision: float = PRECISION
 ) -> tuple[Boosted | None, list[float]]:
-    """Trees and a threshold for each kind, from a bounded sample drawn by hashes of ids.
+    """Trees and a threshold for each kind, from the candidates of all texts.
 
     A text's candidates are all in the fold not trained on, or none. The threshold is the lowest score above which, on the fold not trained on, the share of
-    positives is at least ``precision``; infinite for a kind without such a score.
+    positives is at least ``precision``, in ``STEPS`` steps; infinite for a kind without such a score.
     """
-    n_docs = docs.count()
-    draw = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 20))
-    rows = docs.where(draw < (1 << 20) * min(1.0, sample_docs / max(1, n_docs)))
-
-    @F.arrow_udf("array<struct<x: array<double>, y: int>>")
-    def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("x", pa.list_(pa.float64())), ("y", pa.int32())]))
-        for batch in batches:
-            out = []
-            for value in batch:
-                text = value.as_py()
-                out.append([{"x": x, "y": y} for x, y in examples(text)] if text else [])
-            yield pa.array(out, kind)
-
-    part = F.pmod(F.xxhash64(text_col, F.lit(13)), F.lit(3))
-    found = rows.select(
-        F.col(id_col).alias("id"), part.alias("part"), F.explode(labelled(F.col(text_col))).alias("c")
-    )
-    found = found.select("c.x", "c.y", "part", F.xxhash64("id", "c.x").alias("o"))
-    got = found.orderBy("o", "x").limit(sample_candidates).collect()
+    rows = labelled(docs, text_col)
+    taught, tested = rows.where("NOT held"), rows.where("held")
     never = [float("inf")] * len(KINDS)
-    if not got or len({r["y"] for r in got}) < 2:
-        return None, never
-    x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got])
-    fold = np.array([r["part"] for r in got]) == 0
-    if len(set(y[~fold])) < 2:
+    if taught.agg(F.count_distinct("y")).first()[0] < 2:
         return None, never
-    model = Boosted().fit(x[~fold], y[~fold])
-    score, limits = model.score(x), []
+    model = Boosted().fit_rows(taught)
+
+    def scored(x, y, n):
+        step = np.floor(model.score(x) * STEPS).astype(np.int64)
+        for k in range(len(KINDS)):
+            own = (x[:, k] == 1) & (2 * step >= STEPS)
+            yield step[own] * len(KINDS) + k, n[own], (n * y)[own]
+
+    cells = tally(tested, (STEPS + 1) * len(KINDS), scored, ("n", "ones")).groupBy("k")
+    cells = cells.agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).orderBy(F.desc("k")).toArrow()
+    cell, n, ones = (cells.column(c).to_numpy() for c in ("k", "n", "ones"))
+    limits = []
     for k in range(len(KINDS)):
-        rows_k = np.flatnonzero(fold & (x[:, k] == 1))
-        order = rows_k[np.argsort(-score[rows_k], kind="stable")]
-        exact = y[order].cumsum() / np.arange(1, len(order) + 1)
-        good = np.flatnonzero((exact >= precision) & (y[order] == 1))
-        limits.append(float(max(0.5, score[order[good[-1]]])) if len(good) else float("inf"))
+        own = cell % len(KINDS) == k
+        exact = ones[own].cumsum() / n[own].cumsum()
+        good = np.flatnonzero((exact >= precision) & (ones[own] > 0))
+        limits.append(float(cell[own][good[-1]] // len(KINDS) / STEPS) if len(good) else float("inf"))
     return model, limits
 
 
@@ -419,7 +420,7 @@ def find_personal_data(
     of different kinds may overlap and all stand; an added span overlaps no other span.
     Repeated rows and null ids are treated like any row. No rows: no rows.
     """
-    model, limits = train(docs, id_col, text_col, **fit)
+    model, limits = train(docs, text_col, **fit)
     rows = docs.select(F.struct("*").alias("row"))
     found = spans(F.col(f"row.`{text_col}`"), docs.sparkSession, model, limits)
     return rows.withColumn("found", found)

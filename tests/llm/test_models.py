@@ -156,6 +156,29 @@ def test_boosting_learns():
     assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
 
 
+def test_boosting_over_stored_rows_equals_the_array_version(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-3, 40, size=(1500, 3)).astype("<i2")
+    y = ((x[:, 0] > 12) ^ (x[:, 1] > 20)).astype(int)
+    rows = [(bytes(r.tobytes()), int(v), 1) for r, v in zip(x, y)]
+    df = spark.createDataFrame(rows, "x binary, y int, n long")
+    one, two = (Boosted(trees=4).fit_rows(df.repartition(n).groupBy("x", "y").agg(F.sum("n").alias("n"))) for n in (1, 5))
+    plain = Boosted(trees=4).fit(x.astype(float), y)
+    assert all(np.allclose(a, b) for a, b in zip(one.edges, plain.edges))
+    assert one.model[0][0] == two.model[0][0] == plain.model[0][0]
+    assert (one.score(x) == two.score(x)).all() and np.allclose(one.score(x), plain.score(x), atol=1e-4)
+
+
+def test_every_base_span_and_every_text_teaches(spark):
+    mails = " ".join(f"u{i}@host{i}.org, " for i in range(100))
+    docs = spark.createDataFrame([(i, f"{mails} 12345{i:05} and") for i in range(50)], "doc_id long, text string")
+    held = docs.where(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(3)) == 0).count()
+    rows = pii.labelled(docs).groupBy("held").agg(F.sum("n").alias("n"), F.sum(F.col("y") * F.col("n")).alias("ones"))
+    got = {r["held"]: r for r in rows.collect()}
+    # of each text two rewritings of 100 mails, not of 32 drawn ones (some give no candidate)
+    assert got[True]["ones"] > 150 * held and got[False]["ones"] > 150 * (50 - held)
+
+
 def test_toxicity_accuracy(spark):
     base = SF.replace("sf0.001", "sf0.1")
     docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
