@@ -6,6 +6,7 @@ shuffled, and only counts leave the task. Samples with equal ids stay apart.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -621,6 +622,8 @@ def true_false_refs(
 
 
 def _number(word: str) -> bool:
+    if word.isalpha() and word.lower() not in ("nan", "inf", "infinity"):
+        return False
     try:
         float(word)
     except ValueError:
@@ -628,40 +631,49 @@ def _number(word: str) -> bool:
     return True
 
 
+_BARE = str.maketrans("", "", "".join(V.PUNCTUATION))
+
+
 def _span_words(span: str) -> list[str]:
     out = []
     for token in re.split(" |-", span.lower()):
-        if not _number(token):
-            token = "".join(c for c in token if c not in V.PUNCTUATION)
-        if _number(token):
+        number = _number(token)
+        if not number:
+            token = token.translate(_BARE)
+            number = _number(token)
+        if number:
             token = str(float(token))
-        token = re.sub(r"\b(a|an|the)\b", " ", token)
-        out.extend(token.split())
+        out.extend(re.sub(r"\b(a|an|the)\b", " ", token).split())
     return out
 
 
-def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
+def best_assignment(gain: Sequence[Sequence[float]]) -> list[tuple[int, int]]:
     """Row-column pairs of a one-to-one assignment with the largest total gain
     (shortest augmenting paths, exact for any size)."""
-    flip = gain.shape[0] > gain.shape[1]
-    cost = -(gain.T if flip else gain)
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.zeros(m + 1, dtype=int)
+    if len(gain) * len(gain[0]) == 1:
+        return [(0, 0)]
+    flip = len(gain) > len(gain[0])
+    cost = [[-x for x in row] for row in (zip(*gain) if flip else gain)]
+    n, m = len(cost), len(cost[0])
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
     for i in range(1, n + 1):
         owner[0], j = i, 0
-        low, back = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int)
-        done = np.zeros(m + 1, dtype=bool)
+        low, back, left, seen = [math.inf] * (m + 1), [0] * (m + 1), list(range(1, m + 1)), []
         while owner[j]:
-            done[j] = True
-            slack = cost[owner[j] - 1] - u[owner[j]] - v[1:]
-            better = ~done[1:] & (slack < low[1:])
-            low[1:][better], back[1:][better] = slack[better], j
-            nxt = int(np.argmin(np.where(done[1:], np.inf, low[1:]))) + 1
-            step = low[nxt]
-            u[owner[done]] += step
-            v[done] -= step
-            low[~done] -= step
+            seen.append(j)
+            row, less, step, nxt = cost[owner[j] - 1], u[owner[j]], math.inf, 0
+            for c in left:
+                slack = row[c - 1] - less - v[c]
+                if slack < low[c]:
+                    low[c], back[c] = slack, j
+                if low[c] < step:
+                    step, nxt = low[c], c
+            for c in seen:
+                u[owner[c]] += step
+                v[c] -= step
+            left.remove(nxt)
+            for c in left:
+                low[c] -= step
             j = nxt
         while j:
             owner[j], j = owner[back[j]], back[j]
@@ -682,14 +694,11 @@ def span_scores(pred: Sequence[str], gold: Sequence[str]) -> tuple[float, float]
     p, g = [_span_words(s) for s in pred], [_span_words(s) for s in gold]
     joined = lambda bags: [" ".join(b) for b in bags]
     exact = set(joined(p)) == set(joined(g)) and len(p) == len(g)
-    gain = np.zeros((len(g), len(p)))
-    for i, gw in enumerate(map(set, g)):
+    bags, gain = [set(pw) for pw in p], []
+    for gw in map(set, g):
         numbers = {w for w in gw if _number(w)}
-        for j, pw in enumerate(map(set, p)):
-            if numbers and not numbers & pw:
-                continue
-            gain[i, j] = bag_f1(pw, gw)
-    total = sum(gain[i, j] for i, j in best_assignment(gain)) if gain.size else 0.0
+        gain.append([0.0 if numbers and not numbers & pw else bag_f1(pw, gw) for pw in bags])
+    total = sum(gain[i][j] for i, j in best_assignment(gain)) if p and g else 0.0
     return float(exact), round(total / max(len(p), len(g), 1), 2)
 
 

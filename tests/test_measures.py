@@ -511,3 +511,10 @@ def test_summary_rouge_l_of_all_turns(spark):
         want = 2 * plain_summary_hits(p, r) / size if size else 0.0
         assert abs(got.pop((row["conv_id"], row["turn"])) - want) < 1e-12
     assert not got
+
+
+def test_span_scores_run_on_all_cores(spark):
+    from __spark_entry__ import queries
+
+    df = queries()["g8_span_f1"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
