@@ -11,10 +11,12 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,27 +40,106 @@ def overlap(
     return df.select(*ids, found.alias("_o")).select(*ids, "_o.*")
 
 
+#: Tokens of a slice of rows that are counted together; one row is never cut.
+SLICE_TOKENS = 1 << 19
+
+
 def overlap_counts(pred: Column, ref: Column, orders: Sequence[int]) -> Column:
-    """The counts of ``overlap`` as a struct of two token arrays."""
+    """The counts of ``overlap`` as a struct of two token arrays, or of two texts, whose tokens
+    are their characters. A batch is counted in slices of about ``SLICE_TOKENS`` tokens."""
     names = [f"{n}_{k}" for k in orders for n in ("match", "pred", "ref")]
 
     @F.arrow_udf(", ".join(f"{n} long" for n in names))
     def count(preds: pa.Array, refs: pa.Array) -> pa.Array:
-        out = [
-            [n for k in orders for n in shared_grams(p or [], r or [], k)]
-            for p, r in zip(preds.to_pylist(), refs.to_pylist())
-        ]
-        cols = list(zip(*out)) or [()] * len(names)
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+        sizes = np.cumsum(np.maximum(token_sizes(preds), token_sizes(refs)))
+        parts, start = [], 0
+        while start < len(preds):
+            limit = (sizes[start - 1] if start else 0) + SLICE_TOKENS
+            stop = max(start + 1, int(np.searchsorted(sizes, limit, "right")))
+            codes, ends = coded([side.slice(start, stop - start) for side in (preds, refs)])
+            parts.append(shared_counts(codes, ends, orders))
+            start = stop
+        table = np.concatenate(parts, axis=1) if parts else np.zeros((len(names), 0), np.int64)
+        return pa.StructArray.from_arrays([pa.array(c) for c in table], names)
 
     return count(pred, ref)
 
 
-def shared_grams(pred: list[str], ref: list[str], k: int) -> tuple[int, int, int]:
-    """Grams in both lists, counted as often as in the poorer one, and grams of each."""
-    p, r = (Counter(zip(*[side[i:] for i in range(k)]) if k > 1 else side) for side in (pred, ref))
-    both = sum([min(n, r[gram]) for gram, n in p.items() if gram in r])
-    return both, max(0, len(pred) - k + 1), max(0, len(ref) - k + 1)
+def _is_text(side: pa.Array) -> bool:
+    return pa.types.is_string(side.type) or pa.types.is_large_string(side.type)
+
+
+def token_sizes(side: pa.Array) -> np.ndarray:
+    """Tokens of every row; a null has none."""
+    sizes = pc.utf8_length(side) if _is_text(side) else pc.list_value_length(side)
+    return pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def coded(sides: Sequence[pa.Array]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Tokens of the sides in row order as small numbers, equal where the tokens are, and how
+    many there are up to the end of every row."""
+    ends = [np.cumsum(token_sizes(side)) for side in sides]
+    if _is_text(sides[0]):
+        texts = ["".join(t or "" for t in side.to_pylist()) for side in sides]
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.unique(flat, return_inverse=True)[1]
+    else:
+        kept = pa.chunked_array([side.flatten() for side in sides]).combine_chunks()
+        codes = kept.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    cuts = np.cumsum([int(e[-1]) if len(e) else 0 for e in ends])[:-1]
+    return np.split(codes.astype(np.int64), cuts), ends
+
+
+def code_lists(sides: Sequence[pa.Array]) -> list[list[list[int]]]:
+    """The rows of ``coded`` sides as lists of numbers."""
+    out = []
+    for codes, ends in zip(*coded(sides)):
+        flat, ends = codes.tolist(), ends.tolist()
+        out.append([flat[a:b] for a, b in zip([0, *ends], ends)])
+    return out
+
+
+def grouped(rows: Sequence, side: pa.Array) -> list[Sequence]:
+    """The elements of the lists of a side, as lists again; a null has none."""
+    ends = np.cumsum(token_sizes(side)).tolist()
+    return [rows[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def shared_counts(
+    codes: Sequence[np.ndarray], ends: Sequence[np.ndarray], orders: Sequence[int]
+) -> np.ndarray:
+    """Per order and row of two sides: grams in both, counted as often as in the poorer one, and
+    grams of each. A gram of k tokens is its first k - 1 tokens, numbered, and its last one."""
+    rows = len(ends[0])
+    sizes = [np.diff(e, prepend=0) for e in ends]
+    row = np.concatenate([np.repeat(np.arange(rows), n) for n in sizes])
+    token = np.concatenate(codes)
+    total, first = len(token), len(codes[0])
+    left = np.concatenate([np.repeat(e, n) for e, n in zip(ends, sizes)])
+    left = left - np.concatenate([np.arange(len(c)) for c in codes])  # tokens up to the row's end
+    place, gram, many = np.arange(total), token, int(token.max(initial=0)) + 1
+    kinds, out = many, []
+    for k in range(1, max(orders) + 1):
+        if k > 1:
+            long = left[place] >= k
+            place, gram = place[long], gram[long]
+            if rows * many * kinds >= 1 << 61:
+                known, gram = np.unique(gram, return_inverse=True)
+                many = len(known)
+            gram, many = gram * kinds + token[place + k - 1], many * kinds
+        if k not in orders:
+            continue
+        if rows * many >= 1 << 61:
+            known, gram = np.unique(gram, return_inverse=True)
+            many = max(len(known), 1)
+        key = np.sort(((row[place] * many + gram) << 1) | (place >= first))
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        n, key = np.diff(start, append=len(key)), key[start]
+        both = np.flatnonzero(key[:-1] ^ 1 == key[1:])
+        least = np.minimum(n[both], n[both + 1])
+        match = np.bincount((key[both] >> 1) // many, least, rows).astype(np.int64)
+        out += [match, *[np.maximum(s - k + 1, 0) for s in sizes]]
+    return np.stack(out)
 
 
 def overlap_refs(
@@ -262,8 +343,8 @@ def corpus_bleu(
 
 
 def characters(col: Column) -> Column:
-    """Characters without white space."""
-    return F.array_remove(F.split(F.regexp_replace(col, V.WHITESPACE, ""), ""), "")
+    """The text without white space; its characters are the tokens."""
+    return F.regexp_replace(col, V.WHITESPACE, "")
 
 
 def chrf(
@@ -320,9 +401,10 @@ def rouge1(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> DataFrame:
     )
 
 
-def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
-    _, code = np.unique(np.array([*a, *b], dtype=object).astype(str), return_inverse=True)
-    return code[: len(a)], code[len(a) :]
+def _codes(a: Sequence, b: Sequence) -> tuple[list[int], list[int]]:
+    known: dict = {}
+    x, y = ([known.setdefault(word, len(known)) for word in side] for side in (a, b))
+    return x, y
 
 
 def _places(a: Sequence) -> dict:
@@ -360,7 +442,14 @@ def _next_column(size: int) -> Callable[[tuple[int, int, int], int], tuple[tuple
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Edit distance of two lists, a column of the table in a few operations on bits."""
+    """Edit distance of two lists, a column of the table in a few operations on bits. What both
+    begin or end with costs nothing."""
+    start, stop, short = 0, 0, min(len(a), len(b))
+    while start < short and a[start] == b[start]:
+        start += 1
+    while stop < short - start and a[-1 - stop] == b[-1 - stop]:
+        stop += 1
+    a, b = a[start : len(a) - stop], b[start : len(b) - stop]
     if not len(a) or not len(b):
         return max(len(a), len(b))
     step, places, column = _next_column(len(a)), _places(a), ((1 << len(a)) - 1, 0, len(a))
@@ -481,7 +570,7 @@ def best_move(x: list[int], y: list[int], cost: int) -> tuple[int, list[int]]:
 
 def shifted_edits(pred: list[str], ref: list[str]) -> int:
     """Edits with moves of word groups as one edit each, the best move first."""
-    x, y = (side.tolist() for side in _codes(list(pred), list(ref)))
+    x, y = _codes(pred, ref)
     cost, made = edit_distance(x, y), 0
     while cost > 1:  # a move saves nothing below two edits
         less, moved = best_move(x, y, cost)
@@ -494,14 +583,16 @@ def shifted_edits(pred: list[str], ref: list[str]) -> int:
 MOVE_EDITS = T.StructType().add("edits", T.IntegerType()).add("size", T.DoubleType())
 
 
-@F.pandas_udf(MOVE_EDITS)
-def move_edits(preds: pd.Series, refs: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(MOVE_EDITS)
+def move_edits(preds: pa.Array, refs: pa.Array) -> pa.Array:
     """Fewest edits to any reference and the mean length of the references."""
-    out = [
-        (min((shifted_edits(p, r) for r in known), default=0), float(np.mean([len(r) for r in known] or [0])))
-        for p, known in zip(preds, refs)
-    ]
-    return pd.DataFrame(out, columns=["edits", "size"])
+    mine, flat = code_lists([preds, refs.flatten()])
+    edits, sizes = [], []
+    for p, known in zip(mine, grouped(flat, refs)):
+        edits.append(min((shifted_edits(p, r) for r in known), default=0))
+        sizes.append(sum(map(len, known)) / max(len(known), 1))
+    cols = [pa.array(edits, pa.int32()), pa.array(sizes, pa.float64())]
+    return pa.StructArray.from_arrays(cols, ["edits", "size"])
 
 
 def ter(df: DataFrame, pred: str, ref: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -527,22 +618,24 @@ def rouge_l(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> DataFrame
     return rows.select(*ids, F.coalesce(score, F.lit(0.0)).alias("rougeL"))
 
 
-def common_places(x: np.ndarray, y: np.ndarray) -> set[int]:
-    """Places in ``x`` of a longest common subsequence with ``y``. The table is kept as one
-    bit a cell."""
-    row, left = np.zeros(len(y) + 1, np.int32), []
-    for word in x:
-        new = row.copy()
-        new[1:] = np.maximum(row[1:], row[:-1] + (y == word))
-        new = np.maximum.accumulate(new)
-        left.append(np.packbits(new[:-1] > row[1:]))
-        row = new
+def common_places(x: Sequence, y: Sequence) -> set[int]:
+    """Places in ``x`` of a longest common subsequence with ``y``. A column of the table is kept
+    as bits: where the length grows from one word of ``x`` to the next."""
+    every = (1 << len(x)) - 1
+    places, open_, grown = _places(x), every, []
+    if places.keys().isdisjoint(y):
+        return set()
+    for word in y:
+        met = open_ & places.get(word, 0)
+        if met:
+            open_ = ((open_ + met) | (open_ - met)) & every
+        grown.append(~open_)
     found, i, j = set(), len(x) - 1, len(y) - 1
     while i >= 0 and j >= 0:
         if x[i] == y[j]:
             found.add(i)
             i, j = i - 1, j - 1
-        elif left[i][j >> 3] >> (7 - (j & 7)) & 1:
+        elif grown[j] >> i & 1:
             j -= 1
         else:
             i -= 1
@@ -552,21 +645,21 @@ def common_places(x: np.ndarray, y: np.ndarray) -> set[int]:
 def summary_hits(pred: list[list[str]], ref: list[list[str]]) -> int:
     """Words of the reference sentences on a common subsequence with any predicted sentence,
     each at most as often as the prediction has it."""
-    code = {w: i for i, w in enumerate({w for s in [*pred, *ref] for w in s})}
-    sides = [[np.array([code[w] for w in s], int) for s in side] for side in (pred, ref)]
-    have = Counter(int(w) for s in sides[0] for w in s)
+    have = Counter(w for s in pred for w in s)
     hits = 0
-    for sentence in sides[1]:
-        for i in sorted(set().union(*[common_places(sentence, p) for p in sides[0]])):
-            if have[int(sentence[i])] > 0:
-                have[int(sentence[i])] -= 1
+    for sentence in ref:
+        for i in sorted(set().union(*[common_places(sentence, p) for p in pred])):
+            if have[sentence[i]] > 0:
+                have[sentence[i]] -= 1
                 hits += 1
     return hits
 
 
-@F.pandas_udf(T.IntegerType())
-def common_summary(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([summary_hits(x, y) for x, y in zip(a, b)], dtype="int32")
+@F.arrow_udf(T.IntegerType())
+def common_summary(preds: pa.Array, refs: pa.Array) -> pa.Array:
+    flat = code_lists([preds.flatten(), refs.flatten()])
+    rows = zip(*[grouped(sentences, side) for sentences, side in zip(flat, (preds, refs))])
+    return pa.array([summary_hits(p, r) for p, r in rows], pa.int32())
 
 
 def rouge_l_sum(df: DataFrame, ids: Sequence[str], pred: str, ref: str) -> DataFrame:
@@ -594,10 +687,11 @@ def true_false_refs(
     true = F.when(F.array_contains(true, plain), true).otherwise(F.array_append(true, F.lit(plain)))
     mark = lambda arr, flag: F.transform(arr, lambda r: F.struct(r.alias("ref"), F.lit(flag).alias("is_true")))
     refs = F.concat(mark(true, True), mark(tidy(F.col(false_refs)), False))
-    long = df.select(*ids, pred, F.posexplode(refs).alias("_no", "_r")).select(
-        *ids, pred, "_no", F.col("_r.ref").alias("_ref"), F.col("_r.is_true").alias("_true")
+    named = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ids]))
+    long = named.select(*ids, pred, F.explode(refs).alias("_r")).select(
+        *ids, pred, F.col("_r.ref").alias("_ref"), F.col("_r.is_true").alias("_true")
     )
-    keys = [*ids, "_no"]
+    keys = [*ids, "_true"]
     if metric == "bleu":
         scored = sample_bleu(long, keys, pred, "_ref").withColumnRenamed("bleu", "_s")
     elif metric == "rougeL":
@@ -605,8 +699,7 @@ def true_false_refs(
     else:
         n = int(metric.removeprefix("rouge"))
         scored = rouge_n(long, keys, pred, "_ref", n).withColumn("_s", 100 * F.col(f"rouge{n}"))
-    joined = scored.join(long.select(*keys, "_true"), keys)
-    best = joined.groupBy(*ids).agg(
+    best = scored.groupBy(*ids).agg(
         F.max(F.when(F.col("_true"), F.col("_s"))).alias("_t"),
         F.max(F.when(~F.col("_true"), F.col("_s"))).alias("_f"),
     )

@@ -13,6 +13,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -513,6 +514,29 @@ def test_summary_rouge_l_of_all_turns(spark):
     assert not got
 
 
+def test_counts_of_a_batch_equal_counts_of_its_rows(monkeypatch):
+    rng = random.Random(4)
+    for limit in (1, 30, 1 << 19):
+        monkeypatch.setattr(TS, "SLICE_TOKENS", limit)
+        rows = [[None, *[[f"w{rng.randrange(5)}" for _ in range(rng.randrange(30))] for _ in range(9)]] for _ in "ab"]
+        sides = [pa.array(side, pa.list_(pa.string())) for side in rows]
+        found = TS.shared_counts(*TS.coded(sides), (1, 2, 4)).T.tolist()
+        plain = []
+        for sides in zip(*rows):
+            each = [[TS.gram_counter(side or [], k) for side in sides] for k in (1, 2, 4)]
+            plain.append([n for p, r in each for n in ((p & r).total(), p.total(), r.total())])
+        assert found == plain
+    texts = [["aé漢😀aé", "", None], ["é漢aé", "a", "b"]]
+    found = TS.shared_counts(*TS.coded([pa.array(t, pa.string()) for t in texts]), (1, 2)).T.tolist()
+    assert found == [[4, 6, 4, 2, 5, 3], [0, 0, 1, 0, 0, 0], [0, 0, 1, 0, 0, 0]]
+
+
+def test_common_places_of_long_sentences():
+    x = [f"w{i % 997}" for i in range(4000)]
+    places = TS.common_places(x, x[1:])
+    assert len(places) == 3999 and TS.common_places(x, ["none"] * 4000) == set()
+
+
 def test_span_scores_run_on_all_cores(spark):
     from __spark_entry__ import queries
 
