@@ -6,7 +6,10 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,10 @@ from pyspark.sql import types as T
 from assayline.fixed_values import LOWERCASE, PUNCTUATION, UPPERCASE, WHITESPACE
 
 
+#: Odd factor of the rolling gram hash.
+HASH_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
 def normalize(col: Column) -> Column:
     """Lower case, white space collapsed to single spaces, no outer spaces."""
     return F.trim(F.regexp_replace(F.lower(col), WHITESPACE, " "))
@@ -64,6 +71,50 @@ def normalize_spaced(col: Column) -> Column:
     return F.trim(F.regexp_replace(normalize_strict(col), WHITESPACE, " "))
 
 
+#: Words of normalized text whose gram hashes a Python worker makes at a time; a text is not cut.
+HASH_WORDS = 1 << 19
+
+
+def gram_hashes(col: Column, n: int) -> Column:
+    """A 64-bit hash of every gram of ``grams(col, n)``, from hashes of its words in order, so no
+    gram is built; a null text gives null. Equal grams have equal hashes."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+            sizes, start = np.cumsum(sizes, dtype=np.int64), 0
+            while start < len(batch):
+                limit = (sizes[start - 1] if start else 0) + 8 * HASH_WORDS
+                stop = max(start + 1, int(np.searchsorted(sizes, limit, "right")))
+                yield _rolled(batch.slice(start, stop - start), n)
+                start = stop
+
+    return hashed(col)
+
+
+def _rolled(texts: pa.Array, n: int) -> pa.Array:
+    """Hashes of the grams of texts whose words are parted by single spaces."""
+    split = pc.split_pattern(texts, " ")
+    words = split.flatten().dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False)
+    known = words.dictionary.to_numpy(zero_copy_only=False).astype(object)
+    word = hash_array(known, categorize=False)[code] if len(code) else np.zeros(0, np.uint64)
+    sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    # an empty text is one empty word to ``split``, and no word here
+    empty = pc.fill_null(pc.equal(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = np.zeros(max(len(word) - n + 1, 0), np.uint64)
+    for k in range(n):
+        total = total * HASH_FACTOR + word[k : k + len(total)]
+    total = (total ^ (total >> np.uint64(32))) * HASH_FACTOR
+    counts = np.where(empty, 0, np.maximum(sizes - n + 1, 0))
+    at = np.arange(int(counts.sum())) + np.repeat(ends - sizes - (np.cumsum(counts) - counts), counts)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    null = texts.is_null()
+    return pa.ListArray.from_arrays(offsets, pa.array(total[at].view(np.int64)), mask=null)
+
+
 SPANS = T.ArrayType(
     T.StructType()
     .add("word", T.StringType())

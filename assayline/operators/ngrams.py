@@ -18,6 +18,7 @@ from assayline.fixed_values import (
     QUESTION_NGRAM,
 )
 from assayline.functions.text import (
+    gram_hashes,
     gram_starts,
     grams,
     normalize,
@@ -63,6 +64,14 @@ def ngram_rows(
     return df.select(*ids, F.explode(found).alias("ngram"))
 
 
+def hashed_ngrams(df: DataFrame, ids: Sequence[str], text: str, n: int) -> DataFrame:
+    """``ngram_rows`` with the hash ``_g`` of every gram beside it, and with repeats: structs of a
+    text are not made distinct in the row, which takes quadratic time."""
+    plain = df.select(*ids, normalize(F.col(text)).alias("_t"))
+    both = F.arrays_zip(grams(F.col("_t"), n).alias("ngram"), gram_hashes(F.col("_t"), n).alias("_g"))
+    return plain.select(*ids, F.inline(both))
+
+
 def in_parts(df: DataFrame, text: str) -> DataFrame:
     """Rows dealt to tasks of about ``PART_BYTES`` bytes of text, which is moved once: the grams of
     a task, several times its text, can then be sorted or grouped in memory."""
@@ -243,21 +252,23 @@ def decontaminate_sources(
         s.select(F.lit(i).alias("source_rank"), *ids, text) for i, s in enumerate(sources)
     ]
     rows = reduce(DataFrame.unionByName, rows)
-    hashes = F.transform(grams(normalize(F.col(text)), n), lambda g: F.xxhash64(g))
-    hashed = rows.select(*place, F.explode(F.array_distinct(hashes)).alias("_g"))
-    fixed = ngram_rows(test, [], test_text, n).distinct()
-    fixed = materialize(fixed.withColumn("_g", F.xxhash64("ngram")), "grams")
+    hashes = rows.select(*place, gram_hashes(normalize(F.col(text)), n).alias("_g"))
+    hashed = hashes.select(*place, F.explode("_g").alias("_g"))
+    fixed = materialize(hashed_ngrams(test, [], test_text, n).distinct(), "grams")
     met = hashed.groupBy("_g").agg(F.min("source_rank").alias("lo"), F.max("source_rank").alias("hi"))
     deciding = met.where("lo < hi").select("_g").unionByName(fixed.select("_g")).distinct()
     deciding = materialize(deciding, "deciding")
     marked = [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)]
     whole = reduce(lambda a, b: a.unionByName(b), marked)
     if select is None:
-        told = ngram_rows(rows, place, text, n).withColumn("_g", F.xxhash64("ngram"))
-        held = materialize(keep_known(told, deciding, "_g").drop("_g"), "held")
+        # the grams are built for the rows that hold a deciding hash, not for all
+        holders = materialize(keep_known(hashed, deciding, "_g").select(*place).distinct(), "holders")
+        open_rows = rows.join(broadcast_if_small(side(holders, place)), same(place), "left_semi")
+        told = hashed_ngrams(open_rows, place, text, n)
+        held = materialize(keep_known(told, deciding, "_g").drop("_g").distinct(), "held")
         removed = displaced(held, place, "source_rank", "ngram", fixed)
         return whole.join(broadcast_if_small(side(removed, place)), same(place), "left_anti")
-    hashed = materialize(keep_known(hashed, deciding, "_g"), "hashes", ["source_rank"])
+    hashed = materialize(keep_known(hashed, deciding, "_g").distinct(), "hashes", ["source_rank"])
 
     removed: DataFrame | None = None
     for rank, source in enumerate(sources):
@@ -271,7 +282,7 @@ def decontaminate_sources(
         wanted = hint(hits.select("_g").distinct())
 
         def wanted_grams(df: DataFrame, cols: Sequence[str], wanted=wanted) -> DataFrame:
-            found = ngram_rows(df, cols, text, n).withColumn("_g", F.xxhash64("ngram"))
+            found = hashed_ngrams(df, cols, text, n)
             return found.join(wanted, "_g", "left_semi").drop("_g")
 
         proof = fixed.join(wanted, "_g", "left_semi").select("ngram")

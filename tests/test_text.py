@@ -222,6 +222,20 @@ def test_overlap_counts_grams_once(spark):
     assert [tuple(r) for r in empty] == [(0, 0, 0, 0)]
 
 
+def test_gram_hashes_follow_the_grams(spark):
+    texts = [("a b c d",), ("",), (None,), ("a",), ("x a b c d a b",), ("a b é😀 b a",)]
+    t = F.col("t")
+    rows = spark.createDataFrame(texts, "t string").select(
+        "t", T.grams(t, 2).alias("g"), T.gram_hashes(t, 2).alias("h")
+    ).collect()
+    known = {}
+    for row in rows:
+        assert (row.h is None) == (row.t is None) and len(row.h or []) == len(row.g or [])
+        for gram, code in zip(row.g or [], row.h or []):
+            assert known.setdefault(gram, code) == code
+    assert len(set(known.values())) == len(known)
+
+
 def test_full_stops_of_abbreviations_close_no_sentence(spark):
     from assayline.functions import checks as C
 
