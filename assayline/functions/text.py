@@ -61,6 +61,26 @@ def grams(col: Column, n: int) -> Column:
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(1))
 
 
+def gram_marks(col: Column, n: int) -> Column:
+    """A number for every gram of ``grams(col, n)`` that goes by its longest word, of several the one
+    with the largest hash. Equal grams have equal numbers, and so have most neighbours in a text."""
+    found = F.array_remove(F.split(col, " "), "")
+
+    def mark(word: Column) -> Column:
+        size = F.least(F.length(word), F.lit(127)).cast("long")
+        return F.shiftleft(size, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 8))
+
+    def largest(marks: Column) -> Column:
+        if n == 1:
+            return marks
+        return F.transform(
+            gram_starts(marks, n), lambda i: F.greatest(*[F.get(marks, i + k) for k in range(n)])
+        )
+
+    # a lambda over an array of one element: the marks of the words are made once, not for every gram
+    return F.get(F.transform(F.array(F.transform(found, mark)), largest), F.lit(0))
+
+
 def normalize_strict(col: Column) -> Column:
     """ASCII letters to lower case, ASCII punctuation removed, nothing else touched."""
     return F.translate(col, UPPERCASE + PUNCTUATION, LOWERCASE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.fixed_values import (
@@ -19,6 +19,7 @@ from assayline.fixed_values import (
 )
 from assayline.functions.text import (
     gram_hashes,
+    gram_marks,
     gram_starts,
     grams,
     normalize,
@@ -39,10 +40,14 @@ from assayline.session import materialize
 
 #: Text of one task whose grams are sorted or grouped.
 PART_BYTES = 8 << 20
-#: Index files: a column of a file is one page, so that zstd sees the grams that overlap.
+#: Text of a task for each bucket it writes: the grams of one index file fit the window of zstd.
+FILE_BYTES = 128 << 10
+#: Index files: a column of a file is one page, so that zstd sees the grams that overlap. Version 2
+#: writes a gram without what it shares with the one before.
 INDEX_FILES = {
     "compression": "zstd",
-    "parquet.compression.codec.zstd.level": "6",
+    "parquet.compression.codec.zstd.level": "9",
+    "parquet.writer.version": "v2",
     "parquet.page.size": str(64 << 20),
     "parquet.page.row.count.limit": str(1 << 22),
     "parquet.enable.dictionary": "false",
@@ -72,11 +77,11 @@ def hashed_ngrams(df: DataFrame, ids: Sequence[str], text: str, n: int) -> DataF
     return plain.select(*ids, F.inline(both))
 
 
-def in_parts(df: DataFrame, text: str) -> DataFrame:
-    """Rows dealt to tasks of about ``PART_BYTES`` bytes of text, which is moved once: the grams of
-    a task, several times its text, can then be sorted or grouped in memory."""
+def in_parts(df: DataFrame, text: str, size: int | None = None) -> DataFrame:
+    """Rows dealt to tasks of about ``size`` (``PART_BYTES``) bytes of text, which is moved once: the
+    grams of a task, several times its text, can then be sorted or grouped in memory."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return df.repartition(max(1, -(-total // PART_BYTES)))
+    return df.repartition(max(1, -(-total // (size or PART_BYTES))))
 
 
 def _row_counts(found: Column) -> Column:
@@ -423,17 +428,27 @@ def write_ngram_index(
     The texts are dealt to tasks of even size and each task writes one sorted file for every
     bucket, so the grams, many times the texts, are neither shuffled nor spilled, and a very
     frequent gram is spread over the tasks. The grams are computed once.
+
+    The bucket is a hash of one word of the gram (``gram_marks``), so equal grams share it, and so
+    do most grams that overlap: a file then holds their common words, and zstd writes these once.
     """
     order = ["bucket", "ngram", doc_id]
-    dealt = in_parts(df.select(doc_id, text), text)
-    rows = ngram_rows(dealt, [doc_id], text, n, normalize_spaced, distinct=False).withColumn(
-        "bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int")
-    )
+    dealt = in_parts(df.select(doc_id, text), text, min(PART_BYTES, buckets * FILE_BYTES))
+    plain = dealt.select(doc_id, normalize_spaced(F.col(text)).alias("_t"))
+    both = F.arrays_zip(grams(F.col("_t"), n).alias("ngram"), gram_marks(F.col("_t"), n).alias("_m"))
+    bucket = F.pmod(F.xxhash64("_m"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = plain.select(doc_id, F.inline(both)).select(doc_id, "ngram", bucket)
     rows.sortWithinPartitions(*order).write.partitionBy("bucket").options(
-        **INDEX_FILES
+        **INDEX_FILES, **{f"parquet.enable.dictionary#{doc_id}": "true"}
     ).parquet(path)
 
 
+def read_ngram_index(spark: SparkSession, path: str, doc_id: str) -> DataFrame:
+    """Rows ``(ngram, doc_id)`` of a stored index, those of a document together inside a task: their
+    grams overlap, so what is written of them takes about half the space of sorted grams."""
+    return spark.read.parquet(path).select("ngram", doc_id).sortWithinPartitions(doc_id)
+
+
 def frequent_ngrams(
     index: DataFrame, doc_id: str, min_docs: int = FREQUENT_DOCS
 ) -> DataFrame:

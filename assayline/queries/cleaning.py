@@ -175,7 +175,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "grams13")
     N.write_ngram_index(texts(spark, sf), path, "doc_id", "text", 13, buckets=16)
-    return spark.read.parquet(path).select("ngram", "doc_id")
+    return N.read_ngram_index(spark, path, "doc_id")
 
 
 @query(

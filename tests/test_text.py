@@ -243,3 +243,51 @@ def test_full_stops_of_abbreviations_close_no_sentence(spark):
     found = [r.s for r in spark.createDataFrame(rows, "t string").select(C.sentences(F.col("t")).alias("s")).collect()]
     assert found[0] == ["Mr. A met Dr. B.", "He has a Ph.D. now.", "xMr.", "is not.", "It is 3.5 m.", "Co."]
     assert found[1] == ["St.Mrs. a.b.", "1.", "2.3."]
+
+
+def test_index_keeps_overlapping_grams_in_one_file(spark, tmp_path):
+    import random
+
+    draw, letters = random.Random(7), string.ascii_lowercase
+    known = ["".join(draw.choices(letters, k=draw.randint(2, 11))) for _ in range(8000)]
+    texts = [" ".join(draw.choices(known, k=600)) for _ in range(60)]
+    rows = [*enumerate(texts), (60, texts[3]), (60, texts[4]), (None, texts[5]), (61, None), (62, ""), (63, "too few words")]
+    df, path = spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "index")
+    N.write_ngram_index(df, path, "id", "text", 13, buckets=16)
+    held = spark.read.parquet(path).collect()
+    want = Counter((i, g) for i, t in rows for g in naive_grams(t, 13))
+    assert Counter((r["id"], r["ngram"]) for r in held) == want
+    back = N.read_ngram_index(spark, path, "id")
+    assert back.columns == ["ngram", "id"] and Counter((r["id"], r["ngram"]) for r in back.collect()) == want
+    bucket = {}
+    assert all(bucket.setdefault(r["ngram"], r["bucket"]) == r["bucket"] for r in held)
+    assert set(bucket.values()) == set(range(16))
+    pairs = [(bucket[a], bucket[b]) for t in texts for a, b in zip(naive_grams(t, 13), naive_grams(t, 13)[1:])]
+    assert sum(a == b for a, b in pairs) > 0.7 * len(pairs)
+    # 34 bytes a gram with buckets by the whole gram
+    stored = sum(f.stat().st_size for f in (tmp_path / "index").rglob("*.parquet"))
+    assert stored < 25 * len(held)
+
+
+def test_index_is_read_back_document_by_document(spark, tmp_path):
+    path = str(tmp_path / "index")
+    N.write_ngram_index(frame(spark, [f"a b c d{i} e f g h" for i in range(40)]), path, "id", "text", 3, buckets=4)
+    back = N.read_ngram_index(spark, path, "id").withColumn("_p", F.spark_partition_id()).collect()
+    seen = [(r["_p"], r["id"]) for r in back]
+    runs = [x for k, x in enumerate(seen) if not k or seen[k - 1] != x]
+    assert len(back) == 240 and len(runs) == len(set(runs))
+
+
+@pytest.mark.parametrize("n", [1, 2, 13])
+def test_gram_marks_follow_the_grams(spark, n):
+    texts = [("a b c d",), ("",), (None,), ("a",), ("x a b c d a b",), ("é😀 " * 20 + "b",), ("w" * 300 + " a" * 30,)]
+    t = F.col("t")
+    rows = spark.createDataFrame(texts, "t string").select(
+        "t", T.grams(T.normalize_spaced(t), n).alias("g"), T.gram_marks(T.normalize_spaced(t), n).alias("m")
+    ).collect()
+    known = {}
+    for row in rows:
+        assert len(row.m or []) == len(row.g or [])
+        for gram, code in zip(row.g or [], row.m or []):
+            assert known.setdefault(gram, code) == code
+            assert code >> 56 == min(127, max(map(len, gram.split())))
