@@ -84,7 +84,9 @@ def coded(sides: Sequence[pa.Array]) -> tuple[list[np.ndarray], list[np.ndarray]
         flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.unique(flat, return_inverse=True)[1]
     else:
-        kept = pa.chunked_array([side.flatten() for side in sides]).combine_chunks()
+        flat = [side.flatten() for side in sides]
+        # parts without a token are left out: joining them to others failed
+        kept = pa.chunked_array([f for f in flat if len(f)], flat[0].type).combine_chunks()
         codes = kept.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
     cuts = np.cumsum([int(e[-1]) if len(e) else 0 for e in ends])[:-1]
     return np.split(codes.astype(np.int64), cuts), ends
